@@ -170,12 +170,12 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[o[0] : o[-1]], o - o[0]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """A batch in pieces of about SLICE_BYTES of the column; rows stay whole."""
+def slices(batch: pa.RecordBatch, column: str = "text", rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of about SLICE_BYTES of the column and at most so many rows; rows stay whole."""
     _, o = string_bytes(batch.column(column))
     at = 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(o, o[at] + SLICE_BYTES, "right")) - 1)
+        to = min(at + rows, max(at + 1, int(np.searchsorted(o, o[at] + SLICE_BYTES, "right")) - 1))
         yield batch.slice(at, to - at)
         at = to
 
