@@ -29,15 +29,17 @@ _FOLDED = _BYTES.copy()
 _FOLDED[65:91] = _BYTES[97:123]
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df with a reliable checkpoint in the shared folder.
-
-    The folder is the session's spark.checkpoint.dir; one of our own is set
-    only where the session names none, as in local tests.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names in spark.checkpoint.dir; one of our own only where it names none, as in local tests."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexloom-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexloom-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -184,6 +186,36 @@ def words_of(batch: pa.RecordBatch, column: str = "text", fold: bool = False, bl
     return Words(*string_bytes(batch.column(column)), fold, blank)
 
 
+def squeezed(rows: DataFrame) -> DataFrame:
+    """rows with the text as a zstd frame, to exchange half the bytes."""
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
+        for batch in (s for b in batches for s in slices(b)):
+            raw, o = string_bytes(batch.column("text"))
+            raw = raw.tobytes()
+            packed = pa.array([pack(raw[a:b]) for a, b in zip(o[:-1], o[1:], strict=True)], pa.binary())
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", packed)
+
+    types = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(squeeze, types)
+
+
+def unsqueezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with their texts back, a few hundred rows at a time."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
+        at = batch.schema.get_field_index("text")
+        if pa.types.is_binary(batch.schema.field(at).type):
+            texts = pa.array([unpack(x) for x in batch.column(at).to_pylist()], pa.binary())
+            batch = batch.set_column(at, "text", texts.cast(pa.string()))
+        yield batch
+
+
 def signed(x: np.ndarray) -> pa.Array:
     """64-bit hashes as Spark's long."""
     return pa.array(np.ascontiguousarray(x).view(np.int64))

@@ -75,9 +75,9 @@ def _windows(benchmark: DataFrame, length: int, gram: int) -> DataFrame:
     return w.select("len", "window", "items", least.alias("print"))
 
 
-def contaminated_words(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """For each row of docs: doc_id, text, n_words, hits (places of window starts with their lengths, ordered), n_hit, items (sorted ids)."""
-    rows = keyed(docs)
+def contaminated_words(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, gram: int = GRAM, also: tuple[str, ...] = ()) -> DataFrame:
+    """For each row of docs: doc_id, text, n_words, hits (places of window starts with their lengths, ordered), n_hit, items (sorted ids), and columns named in also."""
+    rows = keyed(docs, *also)
     windows = shared_checkpoint(_windows(benchmark, length, gram))
     lengths = [r[0] for r in windows.select("len").distinct().collect()]  # at most `length` of them
     prints = windows.groupBy("len", "print").agg(F.collect_list(F.struct(F.array_join("window", " ").alias("window"), "items")).alias("windows"))
@@ -85,7 +85,7 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, length: int = LENG
         prints = F.broadcast(prints)
 
     split = rows.select(*KEY, words_of("text").alias("w"))
-    own = split.select(*KEY, F.size("w").cast("long").alias("n_words"), *[_grams(F.col("w"), size).alias(f"g{size}") for size in sorted({_plan(n, gram)[0] for n in lengths})], )
+    own = split.select(*KEY, *[_grams(F.col("w"), size).alias(f"g{size}") for size in sorted({_plan(n, gram)[0] for n in lengths})])
     found = None
     for n in lengths:
         size, width = _plan(n, gram)
@@ -94,10 +94,10 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, length: int = LENG
         found = some if found is None else found.unionByName(some)
     if found is None:
         none = F.array().cast("array<struct<at:int,len:int>>")
-        return rows.select("doc_id", "text", F.size(words_of("text")).cast("long").alias("n_words"), none.alias("hits"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+        return rows.select("doc_id", "text", *also, F.size(words_of("text")).cast("long").alias("n_words"), none.alias("hits"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
     found = shared_checkpoint(found.groupBy(*KEY).agg(F.collect_set("hit").alias("found")))
 
-    both = rows.join(found, KEY, "left").select("doc_id", "text", "found", words_of("text").alias("w"))
+    both = rows.join(found, KEY, "left").select("doc_id", "text", *also, "found", words_of("text").alias("w"))
     at = F.array().cast("array<struct<at:int,len:int,items:array<string>>>")
     for n in sorted(lengths):
         at = F.concat(at, _extended(n, gram))
@@ -111,7 +111,13 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, length: int = LENG
         lambda s: s["n"].cast("long"),
     )
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("windows", lambda x: x["items"]))))
-    return both.select("doc_id", "text", F.size("w").cast("long").alias("n_words"), "hits", covered.alias("n_hit"), items.alias("items"))
+    return both.select("doc_id", "text", *also, F.size("w").cast("long").alias("n_words"), "hits", covered.alias("n_hit"), items.alias("items"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+    """The documents without any hit word; columns as in docs."""
+    whole = docs.withColumn("_whole", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    return contaminated_words(whole, benchmark, also=("_whole",), **how).where("n_hit = 0").select("_whole.*")
 
 
 def _extended(length: int, gram: int) -> Column:

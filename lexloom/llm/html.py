@@ -166,41 +166,43 @@ def _all_text(node: Node) -> str:
     return "".join(out)
 
 
-def _rows(table: Node) -> list[list[Node]]:
-    rows, todo = [], list(reversed(table.children))
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str) or x.hidden() or x.tag == "caption":
-            continue
-        if x.tag == "tr":
-            rows.append([c for c in x.children if not isinstance(c, str) and c.tag in ("td", "th") and not c.hidden()])
-        else:
-            todo += reversed(x.children)
-    return rows
+_PARTS = {"thead", "tbody", "tfoot", "colgroup"}
 
 
-def _loose(table: Node) -> list:
-    """What stands in a table outside cells; it is shown before the table."""
-    out, todo = [], list(reversed(table.children))
+def _rows(table: Node) -> tuple[list[list[Node]], list]:
+    """The cells of a table by rows, and what stands outside cells; cells without a row form one."""
+    rows, loose, todo, bare = [], [], list(reversed(table.children)), None
     while todo:
         x = todo.pop()
         if isinstance(x, str):
             if x.strip():
-                out.append(x)
-        elif x.tag in ("thead", "tbody", "tfoot", "tr", "colgroup"):
-            if not x.hidden():
-                todo += reversed([c for c in x.children if x.tag != "tr" or isinstance(c, str) or c.tag not in ("td", "th")])
+                loose.append(x)
+        elif x.hidden():
+            continue
+        elif x.tag in ("td", "th"):
+            if bare is None:
+                rows.append(bare := [])
+            bare.append(x)
+        elif x.tag == "tr":
+            bare = None
+            cells = [c for c in x.children if not isinstance(c, str) and c.tag in ("td", "th")]
+            rows.append([c for c in cells if not c.hidden()])
+            loose += [c for c in x.children if (c.strip() if isinstance(c, str) else c not in cells)]
+        elif x.tag in _PARTS:
+            bare = None
+            todo += reversed(x.children)
         else:
-            out.append(x)
-    return out
+            loose.append(x)
+    return rows, loose
 
 
 def _table(page: Page, table: Node, depth: int) -> None:
-    for x in _loose(table):
+    rows, loose = _rows(table)
+    for x in loose:  # a caption, and what has no cell, is shown before the rows
         _show(page, x, depth + 1)
         page.end()
     grid = []
-    for row in _rows(table):
+    for row in rows:
         cells = []
         for c in row:
             inner = Page()

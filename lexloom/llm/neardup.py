@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, Polynomial, U, keyed, mix, partitions, shared_checkpoint, signed, slices, words_of
+from .common import KEY, Polynomial, U, keyed, mix, partitions, shared_checkpoint, signed, slices, squeezed, unsqueezed, words_of
 
 SHINGLE = 3
 PERCENT = 85
@@ -158,7 +158,7 @@ def _confirm(percent: int, size: int):
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader, own = None, np.zeros(0, U)
-        for batch in (s for b in batches for s in slices(b, rows=ROWS)):
+        for batch in (s for b in unsqueezed(batches) for s in slices(b, rows=ROWS)):
             sets, first = shingle_sets(batch, size)
             a, b = batch.column("a").to_pylist(), batch.column("c").to_pylist()
             found = []
@@ -202,9 +202,21 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs; kept marks the one with the least id."""
+    return _components_of(docs, percent, size).drop(*KEY)
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """One document of each component, and all without shingles; columns as in docs."""
+    found = _components_of(docs, percent, size).where("kept")
+    stays = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(*KEY)).alias("k")).select("k.*").unionByName(found.where("n_shingles = 0").select(*KEY).distinct())
+    whole = keyed(docs.withColumn("_whole", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), "_whole").select(*KEY, "_whole")
+    return whole.join(stays, KEY, "left_semi").groupBy(*KEY).agg(F.first("_whole").alias("_whole")).select("_whole.*")
+
+
+def _components_of(docs: DataFrame, percent: int, size: int) -> DataFrame:
     rows = keyed(docs)
     type_of = dict(docs.dtypes)["doc_id"]
-    texts = rows.select(*KEY, "text")
+    texts = squeezed(rows.select(*KEY, "text"))
     seen = rows.select("doc_id", *KEY, "text").mapInArrow(_sketch(size), f"doc_id {type_of}, _id long, _t long, n long, a long, b long, mins array<int>, sketch binary")
     seen = shared_checkpoint(seen.repartition(partitions(docs.sparkSession), *KEY))
     equal = ["n", "a", "b"]
@@ -237,6 +249,6 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     lows = comp.join(classes.select("c", "low"), "c")
     lows = lows.join(lows.groupBy("comp").agg(F.min("low").alias("least")), "comp").select("c", "least")
     named = classes.join(lows, "c", "left").select(*equal, F.coalesce("least", "low").alias("least"))
-    out = seen.select("doc_id", *equal).join(named, equal, "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = seen.select("doc_id", *KEY, *equal).join(named, equal, "left")
+    out = out.select("doc_id", *KEY, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, Polynomial, Words, keyed, shared_checkpoint, signed, slices, take, words_of
+from .common import KEY, Polynomial, Words, keyed, shared_checkpoint, signed, slices, squeezed, take, unsqueezed, words_of
 
 LENGTH = 35
 BASE = 18
@@ -119,18 +119,26 @@ def _replay(batch: pa.RecordBatch, words: Words, sizes: list[int], length: int)
 
 def _emit(size: int, before: list[int], length: int):
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for b in batches for s in slices(b)):
+        for batch in (s for b in unsqueezed(batches) for s in slices(b)):
             words = words_of(batch)
             _, alive = _replay(batch, words, before, length) if before else (None, None)
             runs = _Stretches(words, size, length, alive)
-            yield pa.RecordBatch.from_arrays([signed(runs.hash), signed(runs.context), *take(batch, KEY, runs.doc)], ["h", "context", *KEY])
+            # one row for each representative of a document
+            order = np.lexsort((runs.context, runs.hash, runs.doc))
+            h, doc, context = runs.hash[order], runs.doc[order], runs.context[order].view(np.int64)
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            first = np.flatnonzero(new)
+            n = np.diff(np.append(first, len(h)))
+            low, high = (f.reduceat(context, first) if len(h) else context for f in (np.minimum, np.maximum))
+            yield pa.RecordBatch.from_arrays([signed(h[first]), pa.array(n), pa.array(low), pa.array(high), *take(batch, KEY, doc[first])], ["h", "n", "a", "b", *KEY])
 
     return stretches
 
 
 def _clean(sizes: list[int], length: int):
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for b in batches for s in slices(b)):
+        for batch in (s for b in unsqueezed(batches) for s in slices(b)):
             words = words_of(batch)
             done, _ = _replay(batch, words, sizes, length)
             start = np.flatnonzero(done)
@@ -151,18 +159,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, base: int = BASE) -> D
     rows = keyed(docs)
     key_type = "_id long, _t long"
     sizes, parts = levels(length, base), []
-    candidates = rows.select(*KEY, "text")
+    texts, candidates = squeezed(rows), rows.select(*KEY, "text")
     for k, size in enumerate(sizes):
-        found = candidates.mapInArrow(_emit(size, sizes[:k], length), f"h long, context long, {key_type}")
+        found = candidates.mapInArrow(_emit(size, sizes[:k], length), f"h long, n long, a long, b long, {key_type}")
         judged = (
             found.groupBy("h")
-            .agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b"))
+            .agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.max("b").alias("b"))
             .where("n > 1")
-            .select("h", (F.col("a") != F.col("b")).alias("open"))
+            .select(F.expr("h ^ 1").alias("k"), "h", (F.col("a") != F.col("b")).alias("open"))
         )
+        # joined by another key than judged is grouped by, so that both sides are exchanged and Spark can split a hot one
         mine = (
-            found.select("h", *KEY)
-            .join(judged, "h")
+            found.select(F.expr("h ^ 1").alias("k"), *KEY)
+            .join(judged, "k")
             .groupBy(*KEY)
             .agg(F.collect_set(F.expr("if(open, null, h)")).alias("settled"), F.collect_set(F.expr("if(open, h, null)")).alias("open"))
         )
@@ -171,8 +180,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, base: int = BASE) -> D
             break
         so_far = _verdicts(parts)
         going = parts[-1].where(F.size("open") > 0).select(*KEY)
-        candidates = rows.select(*KEY, "text").join(so_far.join(going, KEY), KEY)
-    return rows.join(_verdicts(parts), KEY, "left").select("doc_id", "text", "verdicts").mapInArrow(
+        candidates = texts.select(*KEY, "text").join(so_far.join(going, KEY), KEY)
+    return texts.join(_verdicts(parts), KEY, "left").select("doc_id", "text", "verdicts").mapInArrow(
         _clean(sizes[: len(parts)], length), f"doc_id {dict(rows.dtypes)['doc_id']}, n_words long, n_removed long, kept_text string"
     )
 

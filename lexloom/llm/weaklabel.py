@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Polynomial, _byte_powers, mix, slices, words_of
+from .common import BLANK, Polynomial, U, _byte_powers, mix, slices, words_of
 from .quality import _SYMBOL, WINDOW, LineView, _again, _within
 
-LABELLERS = ("length", "symbols", "capitals", "repeated_lines", "repeated_words", "exclamations", "line_ends", "word_length", "bare_marks")
+LABELLERS = ("length", "symbols", "capitals", "repeated_lines", "repeated_words", "exclamations", "line_ends", "word_length", "bare_marks", "marked_words", "marks")
 #: For each labeller its figure is bad from the first limit on and good up to the second; length and line_ends the other way round.
-LIMITS = ((20, 50), (0.1, 0.02), (0.3, 0.12), (0.3, 0.0), (0.2, 0.05), (0.1, 0.02), (0.1, 0.5), (12.0, 9.0), (0.15, 0.05))
+LIMITS = ((20, 50), (0.1, 0.02), (0.3, 0.12), (0.3, 0.0), (0.2, 0.05), (0.1, 0.02), (0.1, 0.5), (12.0, 9.0), (0.15, 0.05), (0.2, 0.05), (0.6, 0.3))
 FALLING = (0, 6)
 SAMPLE, LONGEST, BITS = 8000, 20_000, 14
 STEPS, RATE, DECAY, SCALE = 300, 2.0, 1e-4, 8.0
@@ -59,6 +59,8 @@ def votes(batch: pa.RecordBatch) -> np.ndarray:
     data = words.data
     letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
     bare = letters[words.end] == letters[words.start]
+    symbols = np.concatenate([[0], np.cumsum(_SYMBOL[data])])
+    marked = symbols[words.end] > symbols[words.start]
     ends = _END[data[words.end[view.high - 1] - 1]] if len(view.high) else np.zeros(0, bool)
     figures = (
         words.count,
@@ -70,6 +72,8 @@ def votes(batch: pa.RecordBatch) -> np.ndarray:
         np.bincount(view.doc[ends], minlength=n) / lines,
         _within(_LETTER[data], words.bytes) / count,
         np.bincount(words.doc()[bare], minlength=n) / count,
+        np.bincount(words.doc()[marked], minlength=n) / count,
+        _within(~_LETTER[data] & ~BLANK[data], words.bytes) / count,
     )
     out = np.zeros((n, len(LABELLERS)), np.int8)
     for k, (f, (bad, good)) in enumerate(zip(figures, LIMITS, strict=True)):
