@@ -7,9 +7,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Longer pairs are not aligned but shown as one removal and one addition.
 MAX_ALIGNED = 6000
+#: Types, not their names: a name is parsed by a session, and this module is imported before there is one.
+OPERATIONS = T.ArrayType(T.StructType([T.StructField("t", T.StringType()), T.StructField("s", T.StringType())]))
 
 
 def align(old: str, new: str, limit: int = MAX_ALIGNED) -> list[tuple[str, str]]:
@@ -48,17 +51,17 @@ def align(old: str, new: str, limit: int = MAX_ALIGNED) -> list[tuple[str, str]]
     return out
 
 
-@F.pandas_udf("array<struct<t:string,s:string>>")
+@F.pandas_udf(OPERATIONS)
 def char_diff(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([[{"t": t, "s": s} for t, s in align(a or "", b or "")] for a, b in zip(old, new, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def common_fragment(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The longest substring that all texts of an array share, leftmost in the first."""
     for lists in batches:

@@ -127,7 +127,7 @@ def f28_front_matter(spark, read):
     return spark.sql(f"SELECT * FROM {_RAW}").select("path", T.front_matter(F.col("raw")).alias("m")).select("path", "m.body", "m.status", "m.title")
 
 
-@query("SELECT 'status: draft\nBody A\n===\n\nno front' || '…' AS prompt, 8 AS tokens")
+@query("SELECT 'status: draft\nBody A\n===\n\nno front\n' || '…' AS prompt, 9 AS tokens")
 def f30_composed(spark, read):
     """documents in order under their headers, joined and cut with a mark."""
     rows = spark.sql(f"SELECT * FROM {_RAW}").withColumn("m", T.front_matter(F.col("raw")))
@@ -166,10 +166,10 @@ _BROKEN = {
     "I005": f"regexp_matches(text, '{lexicon.PERSONAL}')",
     "I006": f"{_or('text', lexicon.CONCLUSION_WORDS)} AND NOT {_CITATION}",
 }
-_VIOLATIONS = " UNION ALL ".join(f"SELECT id, '{i}' AS invariant, '{s}' AS severity FROM {{0}} WHERE {_BROKEN[i]}" for i, s in R.INVARIANTS)
+_VIOLATIONS = " UNION ALL ".join(f"SELECT id, '{i}' AS invariant, '{s}' AS severity FROM ROWS WHERE {_BROKEN[i]}" for i, s in R.INVARIANTS)
 
 
-@query(_VIOLATIONS.format(_TEXTS))
+@query(_VIOLATIONS.replace("ROWS", _TEXTS))
 def f34_violations(spark, read):
     """Broken invariants, one row each."""
     return R.violations(spark.sql(f"SELECT * FROM {_TEXTS}")).select("id", "invariant", "severity")
@@ -181,14 +181,14 @@ def f40_personal_data(spark, read):
     return R.violations(spark.sql(f"SELECT * FROM {_TEXTS}")).where("invariant = 'I005'").select("id", F.col("detail").alias("found"))
 
 
-@query("SELECT severity, count(*) AS n FROM (" + _VIOLATIONS.format("(SELECT doc_id AS id, text FROM documents)") + ") GROUP BY severity")
+@query("SELECT severity, count(*) AS n FROM (" + _VIOLATIONS.replace("ROWS", "(SELECT doc_id AS id, text FROM documents)") + ") GROUP BY severity")
 def a18_severities(spark, read):
     """A18, I001 to I006 on documents: violations by severity."""
     return R.violations(read("documents").select("doc_id", "text")).groupBy("severity").agg(F.count("*").alias("n"))
 
 
 _GATES = "(contains(l, 'role') AND contains(l, 'task') AND contains(l, 'output') AND contains(l, 'constraint')) AS g1, n >= 50 AS g2, (contains(text, '例如') OR contains(l, 'example') OR contains(text, '{') OR contains(text, '```')) AS g4, (d1 = d2 AND s1 - 2 * d1 = s2 - 2 * d2) AS g5"
-_COUNTS = "SELECT doc_id, text, lower(text) AS l, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\v\\f\\r]+'), x -> x <> '')) AS n, (length(text) - length(replace(text, '{{', ''))) / 2 AS d1, (length(text) - length(replace(text, '}}', ''))) / 2 AS d2, length(text) - length(replace(text, '{', '')) AS s1, length(text) - length(replace(text, '}', '')) AS s2 FROM documents"
+_COUNTS = "SELECT doc_id, text, lower(text) AS l, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '')) AS n, (length(text) - length(replace(text, '{{', ''))) / 2 AS d1, (length(text) - length(replace(text, '}}', ''))) / 2 AS d2, length(text) - length(replace(text, '{', '')) AS s1, length(text) - length(replace(text, '}', '')) AS s2 FROM documents"
 
 
 @query(f"SELECT doc_id, g1, g2, g4, g5 FROM (SELECT doc_id, {_GATES} FROM ({_COUNTS}))")
