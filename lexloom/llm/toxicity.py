@@ -2,10 +2,13 @@
 
 Examples are labelled rows, at most EXAMPLES of each label and LONGEST
 characters, the ones with the least text hashes; equal texts count once. Terms are lower-cased words, and
-for words of more than STEM letters their first STEM letters too, so that inflected
-forms meet. Of all terms of the examples those stay that tell the labels apart
+for longer words their first STEMS letters too, so that inflected
+forms meet; a term that makes up DENSE percent of a text, twice at least, adds one for that,
+as the length-1 vectors would hide it. Of all terms of the examples those stay that tell the labels apart
 (a z-score of at least Z on document frequencies, MIN_DOCS documents at
-least, RATIO times as frequent), TERMS at most. Vectors are
+least, RATIO times as frequent), TERMS at most. Near copies among the examples
+count as one document there, or the words of one text that was copied often
+would pass for words of its label. Vectors are
 (1 + ln tf) * idf, of length 1; idf is taken over the examples.
 
 The index holds, for each term, the examples' weights and the greatest weight
@@ -40,29 +43,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import Polynomial, U, slices, words_of
 
-EXAMPLES, LONGEST, TERMS, STEM = 3000, 20_000, 4096, 5
-Z, MIN_DOCS, RATIO = 3.0, 3, 4.0
+EXAMPLES, LONGEST, TERMS, STEMS, DENSE = 3000, 20_000, 4096, (4, 5, 7), (1, 2, 4)
+Z, MIN_DOCS, RATIO = 5.0, 5, 4.0
+#: Examples that share a band of minwise word triples are near copies.
+BANDS, BAND_ROWS = 24, 4
 K, BLOCK, PRIOR = 15, 128, 1.0
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms_of(text: str, keep: dict | None = None) -> Counter:
-    """Term frequencies; with keep, of those terms only."""
+def terms_of(text: str, keep: frozenset | None = None) -> Counter:
+    """Term frequencies; with keep, of those terms only, which speeds up the rest."""
     words = Counter(_WORD.findall(text.lower()))
+    total = sum(words.values())
     out: Counter = Counter()
     for w, n in words.items():
         if keep is None or w in keep:
             out[w] += n
-        if len(w) > STEM:
-            s = w[:STEM] + "*"
-            if keep is None or s in keep:
-                out[s] += n
+        for size in STEMS:
+            if len(w) > size and (keep is None or w[:size] + "*" in keep):
+                out[w[:size] + "*"] += n
+    for t, n in list(out.items()):
+        if n > 1:
+            for percent in DENSE:
+                if 100 * n >= percent * total:
+                    out[f"{t}%{percent}"] = 1
     return out
 
 
+def roots(terms) -> frozenset:
+    """What terms_of must keep to find these terms."""
+    return frozenset(t.split("%")[0] for t in terms)
+
+
 class Index:
     """Examples in blocks, with block maxima for each term."""
 
@@ -144,17 +159,55 @@ class Index:
         return min(1.0, max(0.0, value)), [self.ids[e] for _, e in near]
 
 
+def families(texts: list[str]) -> list[int]:
+    """For each text the place of the first that it is a near copy of, over any number of steps."""
+    up = list(range(len(texts)))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    seeds = np.random.default_rng(6).integers(1, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) | U(1)
+    first: dict[tuple[int, int], int] = {}
+    at = 0
+    for batch in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])):
+        words = words_of(batch, fold=True)
+        grams = Polynomial(words.hash).windows(3)
+        fits = words.room()[: len(grams)] >= 3
+        edges = np.minimum(words.first, len(grams))
+        for d in range(batch.num_rows):
+            own = grams[edges[d] : edges[d + 1]][fits[edges[d] : edges[d + 1]]]
+            if len(own):
+                least = np.array([(own * s).min() for s in seeds], U).reshape(BANDS, BAND_ROWS)
+                keys = Polynomial(least.ravel()).hashes(np.arange(BANDS) * BAND_ROWS, np.arange(1, BANDS + 1) * BAND_ROWS)
+                for band, key in enumerate(keys.tolist()):
+                    other = root(first.setdefault((band, key), at + d))
+                    mine = root(at + d)
+                    up[max(mine, other)] = min(mine, other)
+        at += batch.num_rows
+    return [root(i) for i in range(len(texts))]
+
+
 def build(rows: list[tuple[object, str, int]]) -> Index:
     """An index of (id, text, label) examples in the given order."""
     counts = [terms_of(t) for _, t, _ in rows]
     labels = [y for _, _, y in rows]
-    n1, n0 = max(1, sum(labels)), max(1, len(labels) - sum(labels))
     df = (Counter(), Counter())
     for c, y in zip(counts, labels, strict=True):
         df[y].update(c.keys())
+    kin: dict[tuple[int, int], set] = {}
+    for c, y, f in zip(counts, labels, families([t for _, t, _ in rows]), strict=True):
+        kin.setdefault((f, y), set()).update(c.keys())
+    once, total = (Counter(), Counter()), [0, 0]
+    for (_, y), own in kin.items():
+        once[y].update(own)
+        total[y] += 1
+    n1, n0 = max(1, total[1]), max(1, total[0])
     rated = []
-    for t in df[0].keys() | df[1].keys():
-        a, b = df[1][t], df[0][t]
+    for t in once[0].keys() | once[1].keys():
+        a, b = once[1][t], once[0][t]
         if a + b < MIN_DOCS:
             continue
         p, q = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
@@ -188,8 +241,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, each: int = EXAMPLES) ->
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = pickle.loads(shared.value)
+        kept = roots(index.idf)
         for batch in (s for b in batches for s in slices(b)):
-            out = [index.score(terms_of(t or "", index.idf)) for t in batch.column("text").to_pylist()]
+            out = [index.score(terms_of(t or "", kept)) for t in batch.column("text").to_pylist()]
             evidence = pa.array([[str(i) for i in near] for _, near in out], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s for s, _ in out], pa.float64()), evidence], ["doc_id", "score", "evidence"])
 

@@ -190,6 +190,20 @@ def test_toxicity(spark):
     assert {r.score for r in none} == {0.0}
 
 
+def test_copies_of_a_toxic_text_do_not_teach_its_words():
+    rng = random.Random(8)
+    vocab = [f"w{k}x" for k in range(800)]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    one = [f"own{'abcdefghij'[k % 10] * (k // 10 + 1)}" for k in range(60)]
+    rows = [(k, " ".join([*one[:k % 50], "and", *one[k % 50:], "vilest"]), 1) for k in range(30)]
+    rows += [(100 + k, " ".join([*text(60), "vilest"]), 1) for k in range(30)] + [(200 + k, " ".join(text(60)), 0) for k in range(300)]
+    kin = toxicity.families([t for _, t, _ in rows])
+    assert set(kin[:30]) == {0} and len(set(kin[30:])) == 330
+    index = toxicity.build(rows)
+    assert set(index.idf) == {"vilest", "vile*", "viles*"}
+    assert index.score(toxicity.terms_of("some vilest words", index.idf))[0] > 0.9 and index.score(toxicity.terms_of("own" + "a", index.idf))[0] < 0.5
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(0)
     terms = [f"t{k}" for k in range(40)]
