@@ -37,6 +37,7 @@ import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -190,35 +191,39 @@ def families(texts: list[str]) -> list[int]:
     return [root(i) for i in range(len(texts))]
 
 
-def build(rows: list[tuple[object, str, int]]) -> Index:
-    """An index of (id, text, label) examples in the given order."""
-    counts = [terms_of(t) for _, t, _ in rows]
-    labels = [y for _, _, y in rows]
-    df = (Counter(), Counter())
-    for c, y in zip(counts, labels, strict=True):
-        df[y].update(c.keys())
-    kin: dict[tuple[int, int], set] = {}
-    for c, y, f in zip(counts, labels, families([t for _, t, _ in rows]), strict=True):
-        kin.setdefault((f, y), set()).update(c.keys())
+def telling(rows: list[tuple[object, str, int]]) -> list[str]:
+    """The terms that tell the labels of (id, text, label) examples apart, best first. Holds one family's terms at a time beside the counts."""
+    order = sorted((f, y, k) for k, (f, (_, _, y)) in enumerate(zip(families([t for _, t, _ in rows]), rows, strict=True)))
     once, total = (Counter(), Counter()), [0, 0]
-    for (_, y), own in kin.items():
-        once[y].update(own)
+    for (_, y), own in groupby(order, key=lambda x: x[:2]):
+        once[y].update(set().union(*(terms_of(rows[k][1]) for _, _, k in own)))
         total[y] += 1
     n1, n0 = max(1, total[1]), max(1, total[0])
     rated = []
-    for t in once[0].keys() | once[1].keys():
-        a, b = once[1][t], once[0][t]
+    for t, a in once[1].items():
+        rated.append((t, a, once[0][t]))
+    rated += [(t, 0, b) for t, b in once[0].items() if b >= MIN_DOCS and t not in once[1]]
+    out = []
+    for t, a, b in rated:
         if a + b < MIN_DOCS:
             continue
         p, q = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
         m = (a + b + 1) / (n1 + n0 + 2)
         z = abs(p - q) / math.sqrt(m * (1 - m) * (1 / n1 + 1 / n0))
         if z >= Z and max(p / q, q / p) >= RATIO:
-            rated.append((-z, t))
-    kept = [t for _, t in sorted(rated)[:TERMS]]
-    idf = {t: math.log((1 + len(rows)) / (1 + df[0][t] + df[1][t])) + 1 for t in kept}
+            out.append((-z, t))
+    return [t for _, t in sorted(out)[:TERMS]]
+
+
+def build(rows: list[tuple[object, str, int]]) -> Index:
+    """An index of (id, text, label) examples in the given order."""
+    kept = frozenset(telling(rows))
+    keep, labels = roots(kept), [y for _, _, y in rows]
+    counts = [Counter({t: n for t, n in terms_of(text, keep).items() if t in kept}) for _, text, _ in rows]
+    df = Counter(t for c in counts for t in c)
+    idf = {t: math.log((1 + len(rows)) / (1 + df[t])) + 1 for t in sorted(kept)}
     index = Index(idf, [], [], [])
-    vectors = [index.vector(Counter({t: n for t, n in c.items() if t in idf})) for c in counts]
+    vectors = [index.vector(c) for c in counts]
     index = Index(idf, vectors, labels, [i for i, _, _ in rows])
     index.calibrate(vectors)
     return index
