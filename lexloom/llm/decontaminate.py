@@ -77,7 +77,11 @@ def _windows(benchmark: DataFrame, length: int, gram: int) -> DataFrame:
 
 def contaminated_words(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, gram: int = GRAM, also: tuple[str, ...] = ()) -> DataFrame:
     """For each row of docs: doc_id, text, n_words, hits (places of window starts with their lengths, ordered), n_hit, items (sorted ids), and columns named in also."""
-    rows = keyed(docs, *also)
+    return _judged(keyed(docs, *also), benchmark, length, gram, "left").select("doc_id", "text", *also, "n_words", "hits", "n_hit", "items")
+
+
+def _judged(rows: DataFrame, benchmark: DataFrame, length: int, gram: int, how: str) -> DataFrame:
+    """rows with n_words, hits, n_hit and items; with how = inner only those that have a fingerprint in common with an item."""
     windows = shared_checkpoint(_windows(benchmark, length, gram))
     lengths = [r[0] for r in windows.select("len").distinct().collect()]  # at most `length` of them
     prints = windows.groupBy("len", "print").agg(F.collect_list(F.struct(F.array_join("window", " ").alias("window"), "items")).alias("windows"))
@@ -94,10 +98,11 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, length: int = LENG
         found = some if found is None else found.unionByName(some)
     if found is None:
         none = F.array().cast("array<struct<at:int,len:int>>")
-        return rows.select("doc_id", "text", *also, F.size(words_of("text")).cast("long").alias("n_words"), none.alias("hits"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+        empty = rows if how == "left" else rows.limit(0)
+        return empty.select(*rows.columns, F.size(words_of("text")).cast("long").alias("n_words"), none.alias("hits"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
     found = shared_checkpoint(found.groupBy(*KEY).agg(F.collect_set("hit").alias("found")))
 
-    both = rows.join(found, KEY, "left").select("doc_id", "text", *also, "found", words_of("text").alias("w"))
+    both = rows.join(found, KEY, how).select(*rows.columns, "found", words_of("text").alias("w"))
     at = F.array().cast("array<struct<at:int,len:int,items:array<string>>>")
     for n in sorted(lengths):
         at = F.concat(at, _extended(n, gram))
@@ -111,13 +116,18 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, length: int = LENG
         lambda s: s["n"].cast("long"),
     )
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("windows", lambda x: x["items"]))))
-    return both.select("doc_id", "text", *also, F.size("w").cast("long").alias("n_words"), "hits", covered.alias("n_hit"), items.alias("items"))
+    return both.select(*rows.columns, F.size("w").cast("long").alias("n_words"), "hits", covered.alias("n_hit"), items.alias("items"))
+
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """The documents without any hit word; columns as in docs.
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The documents without any hit word; columns as in docs."""
-    whole = docs.withColumn("_whole", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    return contaminated_words(whole, benchmark, also=("_whole",), **how).where("n_hit = 0").select("_whole.*")
+    Verdicts are checkpointed before they are filtered: a filter on n_hit would
+    move below the words' projection and split each text again for every place.
+    """
+    hits = shared_checkpoint(_judged(keyed(docs), benchmark, length, gram, "inner").select(*KEY, "n_hit"))
+    whole = keyed(docs.withColumn("_whole", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), "_whole").select(*KEY, "_whole")
+    return whole.join(hits.where("n_hit > 0").select(*KEY).distinct(), KEY, "left_anti").select("_whole.*")
 
 
 def _extended(length: int, gram: int) -> Column:
