@@ -25,8 +25,9 @@ def sliding_counts(events: DataFrame, width: str = "1 hour", step: str = "30 min
 
 
 def once(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """Each event id once within the watermark."""
-    return event_time(events).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    """Each event id once: within the watermark of a stream, in all of a batch."""
+    rows = event_time(events)
+    return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else rows.dropDuplicates(["event_id"])
 
 
 def sync(index: DataFrame, tracked: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
