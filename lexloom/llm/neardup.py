@@ -18,10 +18,12 @@ with the least class of its node, which joins large groups of near copies by a
 number of comparisons in proportion to their size. Then, in nodes whose classes
 are not yet all connected, every class with all that are connected to
 something else than most of the node, in blocks of SMALL by SMALL. Pairs
-already connected need no comparison: a further link would change no class.
+already connected need no comparison: a further link would change no class. So
+each stray is first confirmed with those few that resemble it most, and only
+what is still unconnected after that is confirmed in full.
 Before texts are fetched, a pair must pass an exact bound on set sizes and a
-sketch of 64 minwise bytes (a true link fails it with a probability below
-1e-6). Components spread by least labels with pointer jumping, as joins.
+sketch of 64 minwise bytes, in the second pass also one of 1024 (a true link
+fails either with a probability below 1e-6). Components spread by least labels with pointer jumping, as joins.
 
 Defined cases: null, empty or blank text has no shingles and is linked with
 nothing; rows repeated with the same id and text share everything; null ids
@@ -46,11 +48,14 @@ TREES, START, DEPTH, SMALL = 16, 2, 4, 64
 MINS = TREES * DEPTH
 #: Of 64 sketch bytes so many must agree; the mean at a similarity of 0.85 is 54.
 AGREE = 38
+#: The longer sketch of the second pass: its bytes, how many must agree (the mean at 0.85 is 871, six deviations less are 802), and how many of a stray's best are confirmed first.
+LONG, AGREE_LONG, BEST = 1024, 802, 4
 #: Rows in a slice, and bits of a shingle's hash beside the row's number.
 ROWS, BITS = 4095, 52
 VERIFY_GROUP = 256
 
 _SEEDS = np.random.default_rng(85).integers(1, 2**63, MINS, dtype=np.uint64) | U(1)
+_LONG_SEEDS = np.random.default_rng(1024).integers(1, 2**63, LONG, dtype=np.uint64) | U(1)
 
 
 def shingle_sets(batch: pa.RecordBatch, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -115,40 +120,96 @@ def _nodes(classes: DataFrame) -> DataFrame:
     return nodes
 
 
-def _may_link(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Whether pairs pass the size bound and the sketch; the last axis of x and y has the sketch bytes."""
-    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((x == y).sum(-1) >= AGREE)
+def _long_sketch(size: int):
+    """Classes with their text become classes with the longer sketch."""
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (s for b in unsqueezed(batches) for s in slices(b, rows=ROWS)):
+            sets, first = shingle_sets(batch, size)
+            least = np.zeros((batch.num_rows, LONG), U)
+            if len(sets):  # classes always have shingles
+                spread = mix(sets)
+                for k, seed in enumerate(_LONG_SEEDS):
+                    least[:, k] = np.minimum.reduceat(spread * seed, first[:-1])
+            rows = (mix(least) & U(255)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("n"), pa.array([r.tobytes() for r in rows], pa.binary())], ["c", "n", "sketch"])
+
+    return sketches
+
+
+def _agreement(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """How many bytes of two sketches (the last axis of x and y) agree, -1 where the size bound or the sketch excludes a link."""
+    same = (x == y).sum(-1)
+    ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (same >= (AGREE if x.shape[-1] == MINS else AGREE_LONG))
+    return np.where(ok, same, -1)
 
 
 def _bytes_of(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, MINS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1) if len(column) else np.zeros((0, MINS), np.uint8)
 
 
 def _pair_filter(percent: int):
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = _may_link(batch.column("an").to_numpy(), batch.column("bn").to_numpy(), _bytes_of(batch.column("ask")), _bytes_of(batch.column("bsk")), percent)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+            same = _agreement(batch.column("an").to_numpy(), batch.column("bn").to_numpy(), _bytes_of(batch.column("ask")), _bytes_of(batch.column("bsk")), percent)
+            yield batch.select(["a", "b"]).filter(pa.array(same >= 0))
 
     return pairs
 
 
-def _block_filter(percent: int):
-    """Pairs of a block's classes with a block's strays that are in another component and may be linked."""
+def _blocks(nodes: DataFrame, comp: DataFrame, about: DataFrame) -> DataFrame:
+    """(members, strays): of each node whose classes (c, n, sketch) are in several components, every block of its classes beside every block of those outside its largest."""
+    mixed = nodes.join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    groups = mixed.groupBy("node", "comp").agg(F.count("*").alias("n"))
+    most = groups.groupBy("node").agg(F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("comps"), F.sum("n").alias("size")).where("comps > 1")
+    most = most.select("node", "most.comp", (F.col("size") - F.col("most.n")).alias("stray"), "size").withColumnRenamed("comp", "main")
+    mixed = mixed.join(most, "node").join(about, "c")
+    block = lambda count: F.pmod(F.xxhash64("c"), F.ceil(F.col(count) / SMALL))
+    one = F.struct("c", F.col("n").cast("long").alias("n"), "comp", "sketch")
+    members = mixed.groupBy("node", block("size").alias("block")).agg(F.collect_list(one).alias("members"))
+    strays = mixed.where("comp != main").groupBy("node", block("stray").alias("block")).agg(F.collect_list(one).alias("strays"))
+    return members.drop("block").join(strays.drop("block"), "node").select("members", "strays")
+
+
+def _touched(percent: int):
+    """The classes of a block that may be linked to one of another component."""
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
+            found = [np.zeros(0, np.int64)]
+            for members, strays in zip(batch.column("members"), batch.column("strays"), strict=True):
+                cm, cs, same = _compared(members.values, strays.values, percent)
+                found += [cs[(same >= 0).any(1)], cm[(same >= 0).any(0)]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)))], ["c"])
+
+    return classes
+
+
+def _compared(m: pa.StructArray, s: pa.StructArray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Members, strays, and how much each stray agrees with each member of another component."""
+    same = _agreement(s.field("n").to_numpy()[:, None], m.field("n").to_numpy()[None], _bytes_of(s.field("sketch"))[:, None], _bytes_of(m.field("sketch"))[None], percent)
+    same[s.field("comp").to_numpy()[:, None] == m.field("comp").to_numpy()[None]] = -1
+    return m.field("c").to_numpy(), s.field("c").to_numpy(), same
+
+
+def _block_filter(percent: int, best: bool = False):
+    """(stray, other, same): pairs of a block in different components that may be linked; with best only each stray's most alike."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
-            left, right = [], []
+        for batch in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
+            found: list[list[np.ndarray]] = [[], [], []]
             for members, strays in zip(batch.column("members"), batch.column("strays"), strict=True):
-                m, s = (x.values for x in (members, strays))
-                cm, cs = (x.field("c").to_numpy() for x in (m, s))
-                ok = _may_link(m.field("n").to_numpy()[:, None], s.field("n").to_numpy()[None], _bytes_of(m.field("sketch"))[:, None], _bytes_of(s.field("sketch"))[None], percent)
-                ok &= m.field("comp").to_numpy()[:, None] != s.field("comp").to_numpy()[None]
-                i, j = np.nonzero(ok)
-                left.append(np.minimum(cm[i], cs[j]))
-                right.append(np.maximum(cm[i], cs[j]))
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+                cm, cs, same = _compared(members.values, strays.values, percent)
+                if best:
+                    top = same.argmax(1)
+                    only = np.full_like(same, -1)
+                    only[np.arange(len(cs)), top] = same[np.arange(len(cs)), top]
+                    same = only
+                i, j = np.nonzero(same >= 0)
+                for k, x in enumerate((cs[i], cm[j], same[i, j].astype(np.int64))):
+                    found[k].append(x)
+            if found[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in found], ["stray", "other", "same"])
 
     return pairs
 
@@ -231,20 +292,23 @@ def _components_of(docs: DataFrame, percent: int, size: int) -> DataFrame:
     links = _links(stars, classes, texts, percent, size)
 
     comp = components(links)
-    mixed = nodes.join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    groups = mixed.groupBy("node", "comp").agg(F.count("*").alias("n"))
-    most = groups.groupBy("node").agg(F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("comps"), F.sum("n").alias("size")).where("comps > 1")
-    most = most.select("node", "most.comp", (F.col("size") - F.col("most.n")).alias("stray"), "size").withColumnRenamed("comp", "main")
-    mixed = mixed.join(most, "node").join(about, "c")
-    block = lambda count: F.pmod(F.xxhash64("c"), F.ceil(F.col(count) / SMALL))
-    one = F.struct("c", F.col("n").cast("long").alias("n"), "comp", "sketch")
-    members = mixed.groupBy("node", block("size").alias("block")).agg(F.collect_list(one).alias("members"))
-    strays = mixed.where("comp != main").groupBy("node", block("stray").alias("block")).agg(F.collect_list(one).alias("strays"))
-    cross = members.drop("block").join(strays.drop("block"), "node").select("members", "strays").mapInArrow(_block_filter(percent), "a long, b long").distinct()
-    cross = shared_checkpoint(cross.join(stars, ["a", "b"], "left_anti"))
-    if not cross.isEmpty():
-        links = links.unionByName(_links(cross, classes, texts, percent, size))
-        comp = components(links)
+    found = "stray long, other long, same long"
+    touched = shared_checkpoint(_blocks(nodes, comp, about).mapInArrow(_touched(percent), "c long").distinct())
+    if not touched.isEmpty():
+        nodes = shared_checkpoint(nodes.join(touched, "c", "left_semi"))
+        about = touched.join(classes.select("c", "n", *KEY), "c").join(texts, KEY).select("c", "n", "text").mapInArrow(_long_sketch(size), "c long, n long, sketch binary")
+        about = shared_checkpoint(about)
+        pair = [F.least("stray", "other").alias("a"), F.greatest("stray", "other").alias("b")]
+        likely = _blocks(nodes, comp, about).mapInArrow(_block_filter(percent, best=True), found)
+        likely = likely.groupBy("stray", F.pmod(F.xxhash64("other"), F.lit(BEST)).alias("part")).agg(F.max_by("other", F.struct("same", "other")).alias("other"))
+        done = stars
+        for turn in ("likely", "rest"):
+            pairs = likely if turn == "likely" else _blocks(nodes, comp, about).mapInArrow(_block_filter(percent), found)
+            pairs = shared_checkpoint(pairs.select(*pair).distinct().join(done, ["a", "b"], "left_anti"))
+            if not pairs.isEmpty():
+                links = links.unionByName(_links(pairs, classes, texts, percent, size))
+                comp = components(links)
+            done = done.unionByName(pairs)
 
     lows = comp.join(classes.select("c", "low"), "c")
     lows = lows.join(lows.groupBy("comp").agg(F.min("low").alias("least")), "comp").select("c", "least")
