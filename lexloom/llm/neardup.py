@@ -263,13 +263,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs; kept marks the one with the least id."""
-    return _components_of(docs, percent, size).drop(*KEY)
+    return _components_of(docs, percent, size).drop(*KEY, "group")
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """One document of each component, and all without shingles; columns as in docs."""
     found = _components_of(docs, percent, size).where("kept")
-    stays = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(*KEY)).alias("k")).select("k.*").unionByName(found.where("n_shingles = 0").select(*KEY).distinct())
+    # component_id is a document's id, which may be null or shared by unlinked texts
+    stays = found.where("n_shingles > 0").groupBy("group").agg(F.min(F.struct(*KEY)).alias("k")).select("k.*").unionByName(found.where("n_shingles = 0").select(*KEY).distinct())
     whole = keyed(docs.withColumn("_whole", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), "_whole").select(*KEY, "_whole")
     return whole.join(stays, KEY, "left_semi").groupBy(*KEY).agg(F.first("_whole").alias("_whole")).select("_whole.*")
 
@@ -311,8 +312,8 @@ def _components_of(docs: DataFrame, percent: int, size: int) -> DataFrame:
             done = done.unionByName(pairs)
 
     lows = comp.join(classes.select("c", "low"), "c")
-    lows = lows.join(lows.groupBy("comp").agg(F.min("low").alias("least")), "comp").select("c", "least")
-    named = classes.join(lows, "c", "left").select(*equal, F.coalesce("least", "low").alias("least"))
+    lows = lows.join(lows.groupBy("comp").agg(F.min("low").alias("least")), "comp").select("c", "least", "comp")
+    named = classes.join(lows, "c", "left").select(*equal, F.coalesce("least", "low").alias("least"), F.coalesce("comp", "c").alias("group"))
     out = seen.select("doc_id", *KEY, *equal).join(named, equal, "left")
-    out = out.select("doc_id", *KEY, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = out.select("doc_id", *KEY, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "group")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

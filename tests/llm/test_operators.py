@@ -80,6 +80,13 @@ def test_near_duplicates_repeated_rows(spark):
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id, r.kept) for r in got.collect()) == [(-1, 2, 2, False), (2, 2, 2, True), (5, 2, 2, False), (5, 2, 2, False), (7, 0, 7, True), (7, 0, 7, True)]
 
 
+def test_different_texts_of_null_and_repeated_ids_stay(spark):
+    texts = ["a b c d", "e f g h", "i j k l", "m n o p", "q r s t", "q r s t", "q r s t"]
+    rows = list(zip([None, None, 5, 5, None, 5, 9], texts, strict=True)) + [(None, ""), (None, " ")]
+    left = neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id or -1, r.text) for r in left.collect()) == [(-1, ""), (-1, " "), (-1, "a b c d"), (-1, "e f g h"), (5, "i j k l"), (5, "m n o p"), (5, "q r s t")]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r.c: r.comp for r in neardup.components(edges).collect()}
