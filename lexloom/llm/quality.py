@@ -2,7 +2,7 @@
 
 Lines (split at newlines, normalised: A-Z lower-cased, digits alike, blanks between
 words alike) are hashed. For each host, here the column `source`, the distinct documents
-that have a line are counted; documents with equal texts count once. A
+that have a line are counted, copies of a text each, against the host's distinct documents. A
 line above the limits (MIN_DOCS documents and SHARE of the host's) is removed
 wherever it is not its first document's on that host, and a document is
 rejected if less than KEEP of its words or fewer than MIN_WORDS are left. The base
@@ -123,11 +123,10 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, keep:
     figures = rows.mapInArrow(_figures, f"doc_id {kind}, source string, _id long, _t long, {counts}, lines array<long>, line_words array<long>")
     figures = shared_checkpoint(figures.withColumn("lines", F.arrays_zip("lines", "line_words")).drop("line_words").repartition(partitions(docs.sparkSession), *KEY))
 
-    # _t is a hash of the text, so grouping by it counts equal texts once
+    # a document is an id and a text; only repeated rows of both count once
     lines = figures.select("source", *KEY, F.explode(F.array_distinct("lines.lines")).alias("line"))
-    texts = lines.groupBy("source", "line", "_t").agg(F.min("_id").alias("_id"))
-    often = texts.groupBy("source", "line").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_t")).alias("first")).where(F.col("n") >= min_docs)
-    hosts = figures.groupBy("source").agg(F.count("*").alias("docs"))
+    often = lines.distinct().groupBy("source", "line").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_t")).alias("first")).where(F.col("n") >= min_docs)
+    hosts = figures.select("source", *KEY).distinct().groupBy("source").agg(F.count("*").alias("docs"))
     often = often.toDF("host", "often", "n", "first").join(hosts, F.col("host").eqNullSafe(F.col("source"))).where(F.col("n") >= share * F.col("docs")).select("host", "often", "first")
     gone = lines.join(often, (F.col("line") == F.col("often")) & F.col("source").eqNullSafe(F.col("host"))).where(F.struct("_id", "_t") != F.col("first"))
     gone = gone.groupBy(*KEY).agg(F.collect_set("line").alias("removed"))

@@ -132,6 +132,17 @@ def test_quality_base_and_lines(spark, frame, docs):
     assert set(clean) == {*range(30), 98} and clean[4].text == body(4) + "\n" and clean[0].text == rows[0][1]
 
 
+def test_a_line_counts_each_copy_of_a_text_and_a_repeated_row_once(spark):
+    body = lambda k: " ".join(f"{'abcdefghij'[k % 10]}{'klmnopqrst'[j % 10]}{'uvwxyz'[j // 10]}" for j in range(30))
+    rows = [(k, f"{body(k % 10)}\nseen in all copies", "h") for k in range(30)] + [(k, body(k) + " own", "h") for k in range(100, 130)] + [(200, f"{body(3)} other\nseen in one", "g")] * 60
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_docs=20, share=0.5).collect()
+    # 30 of the host's 60 documents have the line, in 10 texts; the other 60 rows are one document
+    assert {r.doc_id: r.n_removed_words >= 4 for r in got} == {k: 0 < k < 30 for k in [*range(30), *range(100, 130), 200]}
+    rows += [(300, "a repeated row of no line above", "h")] * 50
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_docs=20, share=0.49).collect()
+    assert {r.doc_id for r in got if r.n_removed_words >= 4} == set(range(1, 30))
+
+
 def test_secrets(frame, docs):
     got = by_id(secrets.find_secrets(frame))
     for i, t in docs:
