@@ -1,12 +1,15 @@
 """Operator 5, secret scans: base patterns and a token-efficiency test.
 
 The base patterns are key assignments, access keys and long hex strings. The
-method looks at every other run of key characters: a tokenizer's vocabulary is
+method looks at every run of key characters outside them: a tokenizer's vocabulary is
 made of frequent strings, so text takes few tokens for its characters and random strings
-take many. A run of MIN_CHARS or more that mixes digits with letters and has
-less than RATIO characters to a token is a secret, unless it is a known digest
-(hex in the length of a common hash), a UUID, a number, a date or time, or part
-of a path or address.
+take many. A run of MIN_CHARS or more that has
+less than RATIO characters to a token is a secret, whatever stands before it. So is a
+part of it after an equals sign. What is left of a run
+outside the base patterns is a run again, and so is what is left outside known digests
+(hex in the length of a common hash), UUIDs, mail addresses and urls up to their
+query; a url's user part and query are tested. Numbers, dates and
+times, that is runs without a letter, are never secrets.
 
 Everything happens in one pass over the rows, with no exchange. Places are code points, ends
 exclusive, in the whole text.
@@ -38,7 +41,11 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
 MIN_CHARS, RATIO = 20, 2.0
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_CHARS)
 DIGESTS = (32, 40, 56, 64, 96, 128)
-KNOWN = re.compile(r"(?:[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|[0-9+/_=-]+|[A-Za-z+/_=-]+|[0-9a-zA-Z]*(?:[-_/=+][A-Za-z]{3,}){2,}[-_/=+0-9A-Za-z]*)")
+NUMBER = re.compile(r"[0-9+/_=-]+")
+#: Digests and UUIDs that stand alone; urls (their host and path) and mail addresses.
+KNOWN = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|%s)(?![0-9A-Za-z])" % "|".join("[0-9a-fA-F]{%d}" % n for n in DIGESTS))
+ADDRESS = re.compile(r"""://(?:[^\s/?#@"'<>]*@)?(?P<url>[^\s?#"'<>]*)|(?<![A-Za-z0-9._%+-])(?P<mail>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)""")
+PART = re.compile(r"=+(?=[^=])")
 _LONG_HEX = re.compile(r"[0-9a-f]{%d,}" % MIN_HEX)
 
 
@@ -72,22 +79,58 @@ def tokens(text: str) -> int:
 
 def is_random(run: str) -> bool:
     """Whether a run of key characters looks like a random string and is no known kind of identifier."""
-    if KNOWN.fullmatch(run) or (len(run) in DIGESTS and re.fullmatch(r"[0-9a-fA-F]+", run)):
-        return False
-    if sum(c.isdigit() for c in run) < 2 or sum(c.isalpha() for c in run) < 4:
+    if NUMBER.fullmatch(run) or KNOWN.fullmatch(run):
         return False
     return len(run) < RATIO * tokens(run)
 
 
+def _outside(start: int, end: int, taken: list[tuple[int, int]], at: int) -> Iterator[tuple[int, int]]:
+    """The stretches of MIN_CHARS or more between start and end that are in none of the taken ones from place at on; these are sorted."""
+    while at < len(taken) and taken[at][0] < end:
+        i, j = taken[at]
+        at += 1
+        if j > start:
+            if i - start >= MIN_CHARS:
+                yield start, i
+            start = j
+    if end - start >= MIN_CHARS:
+        yield start, end
+
+
+def _random_parts(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The whole stretch if it is random, else those of its parts between equals signs that are."""
+    if is_random(text[start:end]):
+        return [(start, end)]
+    cuts = [start, *(m.end() for m in PART.finditer(text, start, end)), end]
+    return [(i, j) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j - i >= MIN_CHARS and is_random(text[i:j])] if len(cuts) > 2 else []
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for i, j in sorted(spans):
+        if out and i <= out[-1][1]:
+            out[-1] = (out[-1][0], max(j, out[-1][1]))
+        else:
+            out.append((i, j))
+    return out
+
+
 def all_spans(text: str) -> list[tuple[int, int, int]]:
     """Base spans, and random strings outside them, by place and kind."""
     out = base_spans(text)
-    base = list(out)
-    for m in RUN.finditer(text):
-        i, j = m.span()
-        before = text[i - 1 : i]
-        if not any(a < j and i < b for _, a, b in base) and before not in (".", "@", ":", "?", "&", "%") and is_random(m[0]):
-            out.append((3, i, j))
+    runs = [m.span() for m in RUN.finditer(text)]
+    if not runs:
+        return out
+    taken = [(i, j) for _, i, j in out] + [m.span() for m in KNOWN.finditer(text)]
+    if "://" in text or "@" in text:
+        taken += [m.span(m.lastgroup) for m in ADDRESS.finditer(text)]
+    taken = _merged(taken)
+    at = 0
+    for i, j in runs:
+        while at < len(taken) and taken[at][1] <= i:
+            at += 1
+        for a, b in _outside(i, j, taken, at):
+            out += [(3, *p) for p in _random_parts(text, a, b)]
     return sorted(out, key=lambda s: (s[1], s[0]))
 
 

@@ -157,6 +157,21 @@ def test_secrets(frame, docs):
     assert left[0].text == docs[0][1] and HEXES not in left[len(docs) - 2].text
 
 
+def test_random_strings_whatever_stands_around_them():
+    key, other = "sk4Zq9Xv7Lw2Bt8Rm3Nc6Hy", "Qz7xW4kP9vJ2mR8tY5bN3cL6"
+    found = lambda text: [text[i:j] for k, i, j in secrets.all_spans(text) if k == 3]
+    for text in (f"key:{key} x", f"Bearer:{key}", f"https://example.com/a/b?page=2&sig={key}", f"see {key}.{other}", f"x%{key}", f"?{key}", f"u@{key}", f"https://{key}:x@example.com/a"):
+        assert any(key in f for f in found(text)), text
+    assert found(f"{key}.{other}") == [key, other] and found(f"{HEXES}/{key}") == ["/" + key] and found(f"{KEY}/{key}") == ["/" + key]
+    assert found("information_" * 8 + "=" + key) == [key]
+    for text in ("mail john.smith.of.the.office4711@mail.example.com", f"https://example.com/{key}/{key}", "id=123e4567-e89b-12d3-a456-426614174000", "D41D8CD98F00B204E9800998ECF8427E", "2024/01/01-12:00 20240101120000123456", "internationalization_of_the_application"):
+        assert not found(text), text
+    rng = random.Random(12)
+    for alphabet in ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
+        runs = ["".join(rng.choice(alphabet) for _ in range(20)) for _ in range(500)]
+        assert sum(secrets.is_random(r) for r in runs) >= 495
+
+
 def test_packing(frame, docs):
     rows = packing.pack(frame).collect()
     own, bins = {}, {}
