@@ -7,12 +7,15 @@ labelled ones. All others are judged by their templates.
 The tree. A path is cut at its slashes. Below each host, and level by level, a
 segment stays as it is if it is frequent among its siblings (SHARE of the
 parent's urls and MIN_COUNT urls) and otherwise becomes the wildcard of its shape: digits,
-hex, words, or mixed, with its extension. Sibling branches of one wildcard
+hex, words, or mixed, with its extension. Siblings without labels take part in a
+wildcard only if MIN_LABELS labelled siblings of the shape, with COVER of its urls
+labelled, speak for them; else they are a wildcard of their own, marked "?". Labelled sibling branches of one wildcard
 shape are merged if a chi-square test on their labels does not tell them apart (below
 MERGE), else kept apart as the two groups above and below the parent's rate. A
 template is rejected if it has MIN_LABELS labelled urls of its own and their smoothed share
-of blocked ones, (blocked + PRIOR * rate) / (labelled + PRIOR), is at least
-REJECT; the rate is that of the parent, and even above the host.
+of blocked ones in its branch, (blocked + PRIOR * rate) / (labelled + PRIOR), is at least
+REJECT; the rate is that of the parent, and even above the host. Urls that end at an inner node have only each other's labels. Levels
+go on until no segment is left, one round for each level of the deepest path.
 
 Each level is a partial aggregate and an equi-join on (node, segment); a hot host is
 split like any hot key. Only counts are exchanged, urls once, by their hash.
@@ -24,6 +27,8 @@ gives an empty result.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +36,8 @@ from .common import shared_checkpoint
 
 #: The rules (host, path) with their verdicts.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-LEVELS = 6
 SHARE, MIN_COUNT = 0.02, 20
-MERGE, PRIOR, REJECT, MIN_LABELS = 3.84, 4.0, 0.7, 5
+MERGE, PRIOR, REJECT, MIN_LABELS, COVER = 3.84, 4.0, 0.7, 5, 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -76,10 +80,10 @@ def _rated(rows: DataFrame, keys: list[str], rate: str) -> DataFrame:
 def templates(judged: DataFrame) -> DataFrame:
     """(host, path, template, purity, labels) for each distinct host and path of judged urls."""
     rows = judged.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("verdict").alias("labelled"), F.count_if(F.col("verdict") == "block").alias("blocked"))
-    rows = rows.withColumn("segments", F.slice(F.split("path", "/"), 2, LEVELS)).withColumn("purity", F.lit(0.5))
+    rows = rows.withColumn("segments", F.expr("slice(split(path, '/'), 2, greatest(size(split(path, '/')) - 1, 0))")).withColumn("purity", F.lit(0.5))
     hosts = _rated(rows, ["host"], "purity").select("host", F.col("purity").alias("next"), F.col("l").alias("labels"))
     rows = rows.join(hosts, "host").drop("purity").withColumnRenamed("next", "purity").withColumn("node", F.col("host"))
-    for level in range(LEVELS):
+    for level in count():
         rows = shared_checkpoint(rows.withColumn("segment", F.get("segments", F.lit(level))))
         going = rows.where(F.col("segment").isNotNull())
         if going.isEmpty():
@@ -91,12 +95,20 @@ def templates(judged: DataFrame) -> DataFrame:
         # a wildcard branch that the test tells apart from its siblings goes to their upper or lower group
         rate = F.col("pb") / F.greatest(F.col("pl"), F.lit(1))
         chi = F.pow(F.col("b") - F.col("l") * rate, 2) / F.greatest(F.col("l") * rate * (1 - rate), F.lit(1e-9))
-        side = F.when((F.col("l") == 0) | (chi < MERGE), "").when(F.col("b") > F.col("l") * rate, "+").otherwise("-")
-        child = child.withColumn("part", F.when(stays, F.col("segment")).otherwise(F.concat(_shape("segment"), side)))
+        # labels speak for siblings without any only if enough siblings and urls of the shape have them
+        child = child.withColumn("shape", F.when(~stays, _shape("segment")))
+        shapes = child.where("shape is not null").groupBy("node", "shape").agg(F.count_if(F.col("l") > 0).alias("told"), F.sum("l").alias("sl"), F.sum("all").alias("sall"))
+        child = child.join(shapes, ["node", "shape"], "left")
+        speaks = (F.col("told") >= MIN_LABELS) & (F.col("sl") >= COVER * F.col("sall"))
+        alone = (F.col("l") == 0) & (F.col("sl") > 0) & ~speaks
+        side = F.when(alone, "?").when((F.col("l") == 0) | (chi < MERGE), "").when(F.col("b") > F.col("l") * rate, "+").otherwise("-")
+        child = child.withColumn("part", F.when(stays, F.col("segment")).otherwise(F.concat("shape", side)))
         merged = child.groupBy("node", "part").agg(F.sum("b").alias("mb"), F.sum("l").alias("ml"), F.first("up").alias("mup"))
         child = child.select("node", "segment", "part").join(merged, ["node", "part"]).select("node", "segment", "part", "ml", _smooth(F.col("mb"), F.col("ml"), F.col("mup")).alias("next"))
         rows = rows.join(child, ["node", "segment"], "left")
         rows = rows.withColumn("purity", F.coalesce("next", "purity")).withColumn("labels", F.coalesce("ml", "labels")).withColumn("node", F.when(F.col("part").isNull(), F.col("node")).otherwise(F.concat_ws("/", "node", "part"))).drop("next", "part", "ml")
+    own = rows.groupBy("node").agg(F.sum("labelled").alias("labels"))
+    rows = rows.drop("labels").join(own, "node")
     return rows.select("host", "path", F.col("node").alias("template"), F.round("purity", 9).alias("purity"), "labels")
 
 

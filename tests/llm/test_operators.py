@@ -264,6 +264,21 @@ def test_url_rules_and_templates(spark):
     assert urls.filter_urls(df.limit(0)).collect() == []
 
 
+def test_urls_of_small_and_large_hosts_have_equal_verdicts(spark):
+    pages = [f"http://{host}.example.com/{lang}/{k}.html" for host, size in (("small", 1), ("large", 20)) for lang, n in (("de", 12), ("fr", 3), ("es", 4), ("en", 2)) for k in range(n * size)]
+    pages += [f"http://{host}.example.com{end}" for host in ("small", "large") for end in ("", "/", "/about")]
+    rows = urls.filter_urls(spark.createDataFrame(list(enumerate(pages)), "page_id long, url string")).collect()
+    assert {(r.host, r.path) for r in rows if r.verdict == "block"} == {(r.host, r.path) for r in rows if r.path.startswith("/de/")}
+
+
+def test_urls_are_told_apart_at_any_depth(spark):
+    rules = (("h.org", "/a/b/c/d/e/f/g/bad/1", "block"), ("h.org", "/a/b/c/d/e/f/g/good/1", "allow"))
+    pages = [f"http://h.org/a/b/c/d/e/f/g/{side}/{k}" for side in ("bad", "good") for k in range(200)]
+    rows = urls.filter_urls(spark.createDataFrame(list(enumerate(pages)), "page_id long, url string"), rules).collect()
+    assert {r.template for r in rows} == {"h.org/a/b/c/d/e/f/g/bad/{n}", "h.org/a/b/c/d/e/f/g/good/{n}"}
+    assert {r.path for r in rows if r.verdict == "block"} == {r.path for r in rows if "/bad/" in r.path}
+
+
 def test_weak_labels(spark):
     rng = random.Random(2)
     sentence = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(12)).capitalize() + "."
