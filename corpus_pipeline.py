@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexloom.llm.common import shared_folder
 from lexloom.llm.decontaminate import drop_contaminated
-from lexloom.llm.neardup import drop_near_duplicates
+from lexloom.llm.neardup import STAGE_PERCENT, STAGE_SHINGLE, drop_near_duplicates
 from lexloom.llm.packing import pack
 from lexloom.llm.quality import apply_rules
 from lexloom.llm.secrets import redact_secrets
@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs, STAGE_PERCENT, STAGE_SHINGLE)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

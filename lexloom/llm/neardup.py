@@ -1,17 +1,17 @@
 """Operator 10, MinHash near-dedup: a chosen-path set similarity join.
 
-A document is the set of its distinct three-word shingles (A-Z lower-cased; a
+A document is the set of its distinct shingles, of three words in the query and five in the pipeline (A-Z lower-cased; a
 shorter document is one shingle). Two documents are linked if their Jaccard
 similarity reaches the threshold, confirmed on full sets; classes are the
 connected components of the links.
 
-Steps. Documents with equal sets become one class at once. Each of TREES
+Steps. Documents with equal sets become one class at once. Each of some
 independent trees branches the classes by minwise tokens: a node holds those
 that agree in the tokens chosen on its path. Nodes start at depth START and
 branch on while they hold more than SMALL classes, to depth DEPTH at most.
 A pair of similarity s shares a node of depth d with probability s**d in a
-tree, so at 0.85 a pair is missed by all 16 trees with a probability below
-1e-8 at depth 2, 1e-5 at depth 4.
+tree; there are so many trees that a pair at the threshold is missed by all with a
+probability below MISSED at the greatest depth: 16 at 0.85, 22 at 0.80.
 
 Nodes are compared in two passes that lose no link of a node. First each class
 with the least class of its node, which joins large groups of near copies by a
@@ -22,8 +22,8 @@ already connected need no comparison: a further link would change no class. So
 each stray is first confirmed with those few that resemble it most, and only
 what is still unconnected after that is confirmed in full.
 Before texts are fetched, a pair must pass an exact bound on set sizes and a
-sketch of 64 minwise bytes, in the second pass also one of 1024 (a true link
-fails either with a probability below 1e-6). Components spread by least labels with pointer jumping, as joins.
+sketch of the trees' minwise bytes, in the second pass also one of 1024 (a link at the
+threshold fails either with a probability of UNLIKE at most). Components spread by least labels with pointer jumping, as joins.
 
 Defined cases: null, empty or blank text has no shingles and is linked with
 nothing; rows repeated with the same id and text share everything; null ids
@@ -33,7 +33,9 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,20 +46,40 @@ from .common import KEY, Polynomial, U, keyed, mix, partitions, shared_checkpoin
 
 SHINGLE = 3
 PERCENT = 85
-TREES, START, DEPTH, SMALL = 16, 2, 4, 64
-MINS = TREES * DEPTH
-#: Of 64 sketch bytes so many must agree; the mean at a similarity of 0.85 is 54.
-AGREE = 38
-#: The longer sketch of the second pass: its bytes, how many must agree (the mean at 0.85 is 871, six deviations less are 802), and how many of a stray's best are confirmed first.
-LONG, AGREE_LONG, BEST = 1024, 802, 4
+#: Of the pipeline's stage; the two above are op10's contract.
+STAGE_PERCENT, STAGE_SHINGLE = 80, 5
+START, DEPTH, SMALL = 2, 4, 64
+MISSED, UNLIKE = 1e-5, 1e-8
+#: The longer sketch of the second pass: its bytes, and how many of a stray's best are confirmed first.
+LONG, BEST = 1024, 4
 #: Rows in a slice, and bits of a shingle's hash beside the row's number.
 ROWS, BITS = 4095, 52
 VERIFY_GROUP = 256
 
-_SEEDS = np.random.default_rng(85).integers(1, 2**63, MINS, dtype=np.uint64) | U(1)
 _LONG_SEEDS = np.random.default_rng(1024).integers(1, 2**63, LONG, dtype=np.uint64) | U(1)
 
 
+@cache
+def trees(percent: int) -> int:
+    """So many that all miss a pair at the threshold with a probability below MISSED."""
+    shared = (percent / 100) ** DEPTH
+    return 1 if shared >= 1 else math.ceil(math.log(MISSED) / math.log1p(-shared))
+
+
+@cache
+def least_agreement(size: int, percent: int) -> int:
+    """Of so many sketch bytes so many agree at the threshold, but for a probability of UNLIKE; two bytes agree by chance once in 256."""
+    p = percent / 100 + (1 - percent / 100) / 256
+    if p >= 1:
+        return size
+    below = 0.0
+    for k in range(size + 1):
+        below += math.exp(math.lgamma(size + 1) - math.lgamma(k + 1) - math.lgamma(size - k + 1) + k * math.log(p) + (size - k) * math.log1p(-p))
+        if below > UNLIKE:
+            return k
+    return size
+
+
 def shingle_sets(batch: pa.RecordBatch, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of up to ROWS texts, sorted by text, and where each text's begin."""
     words = words_of(batch, fold=True)
@@ -74,26 +96,29 @@ def shingle_sets(batch: pa.RecordBatch, size: int = SHINGLE) -> tuple[np.ndarray
     return both & U((1 << BITS) - 1), first
 
 
-def _sketch(size: int):
+def _sketch(size: int, percent: int):
+    mins = trees(percent) * DEPTH
+    seeds = np.random.default_rng(85).integers(1, 2**63, mins, dtype=np.uint64) | U(1)
+
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in slices(b, rows=ROWS)):
             sets, first = shingle_sets(batch, size)
             n = np.diff(first)
             full = np.flatnonzero(n)
-            least = np.zeros((len(n), MINS), U)
+            least = np.zeros((len(n), mins), U)
             digest = np.zeros((2, len(n)), U)
             if len(full):
                 spread = mix(sets)
                 digest[0, full] = np.add.reduceat(spread, first[full])
                 digest[1, full] = np.add.reduceat(mix(spread ^ U(0x5851F42D4C957F2D)), first[full])
-                for k, seed in enumerate(_SEEDS):
+                for k, seed in enumerate(seeds):
                     least[full, k] = np.minimum.reduceat(spread * seed, first[full])
             least = mix(least)
             short = (least >> U(32)).astype(np.uint32).view(np.int32)
             sketch = (least & U(255)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(batch.column(k) for k in KEY), pa.array(n.astype(np.int64)), signed(digest[0]), signed(digest[1]),
-                 pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * MINS), pa.array(short.ravel())),
+                 pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * mins), pa.array(short.ravel())),
                  pa.array([r.tobytes() for r in sketch], pa.binary())],
                 ["doc_id", *KEY, "n", "a", "b", "mins", "sketch"],
             )
@@ -101,10 +126,10 @@ def _sketch(size: int):
     return sketches
 
 
-def _nodes(classes: DataFrame) -> DataFrame:
+def _nodes(classes: DataFrame, percent: int) -> DataFrame:
     """(node, c): for each class and tree the node where it ends, of those that hold another class."""
     path = lambda t, depth: F.xxhash64(t, *[F.get("mins", t * DEPTH + k) for k in range(depth)])
-    rows = classes.select("c", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(*[path(t, d).alias(f"d{d}") for d in range(START, DEPTH + 1)]))).alias("p")).select("c", "p.*")
+    rows = classes.select("c", F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees(percent) - 1)), lambda t: F.struct(*[path(t, d).alias(f"d{d}") for d in range(START, DEPTH + 1)]))).alias("p")).select("c", "p.*")
     out = []
     for depth in range(START, DEPTH + 1):
         node = f"d{depth}"
@@ -140,12 +165,12 @@ def _long_sketch(size: int):
 def _agreement(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
     """How many bytes of two sketches (the last axis of x and y) agree, -1 where the size bound or the sketch excludes a link."""
     same = (x == y).sum(-1)
-    ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (same >= (AGREE if x.shape[-1] == MINS else AGREE_LONG))
+    ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (same >= least_agreement(x.shape[-1], percent))
     return np.where(ok, same, -1)
 
 
 def _bytes_of(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1) if len(column) else np.zeros((0, MINS), np.uint8)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.uint8)
 
 
 def _pair_filter(percent: int):
@@ -279,14 +304,14 @@ def _components_of(docs: DataFrame, percent: int, size: int) -> DataFrame:
     rows = keyed(docs)
     type_of = dict(docs.dtypes)["doc_id"]
     texts = squeezed(rows.select(*KEY, "text"))
-    seen = rows.select("doc_id", *KEY, "text").mapInArrow(_sketch(size), f"doc_id {type_of}, _id long, _t long, n long, a long, b long, mins array<int>, sketch binary")
+    seen = rows.select("doc_id", *KEY, "text").mapInArrow(_sketch(size, percent), f"doc_id {type_of}, _id long, _t long, n long, a long, b long, mins array<int>, sketch binary")
     seen = shared_checkpoint(seen.repartition(partitions(docs.sparkSession), *KEY))
     equal = ["n", "a", "b"]
     classes = seen.where("n > 0").groupBy(*equal).agg(F.min("doc_id").alias("low"), F.min(F.struct(*KEY, "mins", "sketch")).alias("one"))
     classes = shared_checkpoint(classes.select(F.monotonically_increasing_id().alias("c"), *equal, "low", "one.*"))
     about = classes.select("c", "n", "sketch")
 
-    nodes = _nodes(classes)
+    nodes = _nodes(classes, percent)
     stars = nodes.join(nodes.groupBy("node").agg(F.min("c").alias("a")), "node").where("a != c").select("a", F.col("c").alias("b")).distinct()
     sides = stars.join(about.toDF("a", "an", "ask"), "a").join(about.toDF("b", "bn", "bsk"), "b")
     stars = shared_checkpoint(sides.mapInArrow(_pair_filter(percent), "a long, b long"))

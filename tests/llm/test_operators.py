@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from lexloom.llm import decontaminate, html, neardup, packing, quality, secrets, toxicity, urls, weaklabel
 
 from . import brute
@@ -80,6 +81,28 @@ def test_near_duplicates_repeated_rows(spark):
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id, r.kept) for r in got.collect()) == [(-1, 2, 2, False), (2, 2, 2, True), (5, 2, 2, False), (5, 2, 2, False), (7, 0, 7, True), (7, 0, 7, True)]
 
 
+def test_near_duplicates_at_other_thresholds(spark, frame, docs):
+    got = by_id(neardup.near_duplicates(frame, 80, 5))
+    assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == brute.near(docs, 80, 5)
+    rng = random.Random(6)
+    pairs = []
+    for i in range(150):
+        w = [str(rng.randrange(10**6)) for _ in range(200)]
+        pairs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:150] + [str(rng.randrange(10**6)) for _ in range(50)]))]
+    got = by_id(neardup.near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string"), 59, 5))
+    want = brute.near(pairs, 59, 5)
+    assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == want and sum(w[2] for w in want.values()) == 150
+    assert [neardup.trees(p) for p in (100, 85, 80)] == [1, 16, 22] and neardup.least_agreement(1024, 80) < 755
+
+
+def test_the_stage_takes_five_words(spark):
+    w = [f"w{k}" for k in range(400)]
+    edited = [f"x{k}" if k % 40 == 20 else x for k, x in enumerate(w)]
+    close = [f"y{k}" if k % 80 == 30 else x for k, x in enumerate(w)]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate((w, edited, close))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == [0, 1]
+
+
 def test_different_texts_of_null_and_repeated_ids_stay(spark):
     texts = ["a b c d", "e f g h", "i j k l", "m n o p", "q r s t", "q r s t", "q r s t"]
     rows = list(zip([None, None, 5, 5, None, 5, 9], texts, strict=True)) + [(None, ""), (None, " ")]
