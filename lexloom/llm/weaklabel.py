@@ -158,7 +158,9 @@ def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             label = [posterior["".join(map(str, v))] for v in vote.tolist()]
             yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array([index[order[a:b]].astype("<i4").tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]), pa.array(label)], ["h", "index", "label"])
 
-    chosen = rows.where(F.length("text").between(1, LONGEST)).select(F.xxhash64("text").alias("h"), "text").orderBy("h").limit(sample).dropDuplicates(["h"])
+    hashed = rows.where(F.length("text").between(1, LONGEST)).select(F.xxhash64("text").alias("h"), "text")
+    least = hashed.select("h").distinct().orderBy("h").limit(sample)
+    chosen = hashed.join(F.broadcast(least), "h").dropDuplicates(["h"])
     learned = sorted(chosen.mapInArrow(sampled, "h long, index binary, label double").collect(), key=lambda r: r.h)
     weights = spark.sparkContext.broadcast(train([(np.frombuffer(bytes(r["index"]), "<i4").astype(np.int64), r.label) for r in learned]))
 

@@ -314,6 +314,18 @@ def test_weak_labels(spark):
     assert weaklabel.classify(df.limit(0)).collect() == []
 
 
+def test_copies_leave_room_for_other_texts_in_the_sample(spark):
+    rng = random.Random(7)
+    sentence = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(12)).capitalize() + "."
+    good = ["\n".join(sentence() for _ in range(8)) for _ in range(100)]
+    junk = ["\n".join(" ".join(w.upper() + "!!" for w in sentence().split()) for _ in range(8)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(good + junk)), "doc_id long, text string")
+    least = df.selectExpr("doc_id", "text", "xxhash64(text) AS h").orderBy("h").first()
+    copies = spark.createDataFrame([(1000 + k, least.text) for k in range(150)], "doc_id long, text string")
+    got = by_id(weaklabel.classify(df.union(copies), sample=120))
+    assert sum(got[i].kept for i in range(100)) >= 95 and sum(got[i].kept for i in range(100, 160)) <= 5
+
+
 def test_expectation_maximisation_finds_the_accuracies():
     rng = np.random.default_rng(4)
     truth = rng.random(20000) < 0.7
