@@ -74,10 +74,16 @@ def a26_inconsistent_variables(spark, read):
 
 @query("SELECT event_type AS dimension, mode(user_id % 7) AS typical FROM (SELECT *, 1 AS one FROM events WHERE user_id % 7 <> 3) GROUP BY 1 HAVING count(*) < 0 UNION ALL SELECT event_type, count(DISTINCT user_id % 7) FROM events GROUP BY 1")
 def a21_distinct_dimensions(spark, read):
-    """Distinct members of a group."""
+    """Distinct members of a group."""
     return read("events").groupBy(F.col("event_type").alias("dimension")).agg(F.count_distinct(F.col("user_id") % 7).alias("typical"))
 
 
+@query("SELECT dimension, member AS typical FROM (SELECT event_type AS dimension, user_id % 7 AS member, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, user_id % 7) AS place FROM events WHERE user_id IS NOT NULL GROUP BY 1, 2) WHERE place = 1")
+def a21_typical_dimension(spark, read):
+    """The most common member of a group, the least of equally common ones."""
+    return read("events").groupBy(F.col("event_type").alias("dimension")).agg(F.mode(F.col("user_id") % 7, deterministic=True).alias("typical"))
+
+
 @query("SELECT doc_id, n FROM (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM labels UNION ALL SELECT doc_id FROM documents) GROUP BY doc_id) WHERE n > 1")
 def a13_duplicate_ids(spark, read):
     """Keys that occur more than once."""

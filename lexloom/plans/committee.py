@@ -78,7 +78,7 @@ def j11_similar_claims(spark, read):
 
 @query(_LABELS)
 def r4_issue_components(spark, read):
-    """Similar claims to components, their label, gravest severity and action."""
+    """Similar claims to components, their label, gravest severity and action."""
     rows = spark.sql(f"SELECT * FROM {_ISSUES}")
     comp = C.connected(rows.select("id"), C.similar_claims(rows))
     worst = F.max_by("severity", C.severity_rank(F.col("severity")))

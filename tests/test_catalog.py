@@ -48,6 +48,11 @@ def test_against_oracle(spark, duck, name):
     assert rows(df.columns, df.collect()) == rows(columns, want.fetchall())
 
 
+def test_the_mode_is_computed(spark, duck):
+    found = {r.dimension: r.typical for r in catalog.QUERIES["a21_typical_dimension"](spark, SF).collect()}
+    assert found and found == dict(duck.execute(catalog.ORACLES["a21_typical_dimension"]).fetchall())
+
+
 def test_every_query_has_an_oracle_and_the_flagship_runs(spark):
     assert set(catalog.QUERIES) == set(catalog.ORACLES)
     assert set(catalog.QUERIES) <= set(__spark_entry__.queries()) and set(catalog.ORACLES) <= set(__spark_entry__.oracle_sql())
