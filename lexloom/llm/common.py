@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U = np.uint64
 SLICE_BYTES = 2 << 20
@@ -33,7 +34,10 @@ def shared_folder(spark: SparkSession) -> str:
     """The shared folder that the session names in spark.checkpoint.dir; one of our own only where it names none, as in local tests."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -49,18 +53,27 @@ def keyed(docs: DataFrame, *also: str) -> DataFrame:
     Two rows share (_id, _t) only if both their id and their text agree, and
     then every operator here gives both the same result.
     """
+    number, told = F.col("doc_id").cast("long"), []
+    if not isinstance(docs.schema["doc_id"].dataType, (T.IntegralType, T.NullType)):  # ids that are no whole numbers go by their hash
+        number = F.coalesce(F.col("doc_id").cast("string").try_cast("long"), F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("string"))))
+        told = [F.col("doc_id").cast("string")]
     return docs.select(
         "doc_id",
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
         *also,
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63) + 1)).alias("_id"),
-        F.xxhash64(F.col("text"), F.col("doc_id").isNull()).alias("_t"),
+        F.coalesce(number, F.lit(-(2**63) + 1)).alias("_id"),
+        F.xxhash64(F.col("text"), F.col("doc_id").isNull(), *told).alias("_t"),
     )
 
 
 KEY = ["_id", "_t"]
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """text, key and _row, a struct of all columns of docs whatever their names; select("_row.*") gives the columns back."""
+    return keyed(docs.withColumn("_row", F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])), "_row").select("text", *KEY, "_row")
+
+
 def sha256_of(column: Column) -> Column:
     return F.sha2(F.encode(column, "UTF-8"), 256)
 
@@ -203,14 +216,15 @@ def squeezed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(squeeze, types)
 
 
-def unsqueezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches with their texts back, a few hundred rows at a time."""
+def unsqueezed(batches: Iterator[pa.RecordBatch], also: str = "") -> Iterator[pa.RecordBatch]:
+    """Batches with their texts back, a few hundred rows at a time; also: the name under which the frames stay."""
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
         at = batch.schema.get_field_index("text")
         if pa.types.is_binary(batch.schema.field(at).type):
+            batch = batch.append_column(also, batch.column(at)) if also else batch
             texts = pa.array([unpack(x) for x in batch.column(at).to_pylist()], pa.binary())
             batch = batch.set_column(at, "text", texts.cast(pa.string()))
         yield batch

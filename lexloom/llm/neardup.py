@@ -8,22 +8,24 @@ connected components of the links.
 Steps. Documents with equal sets become one class at once. Each of some
 independent trees branches the classes by minwise tokens: a node holds those
 that agree in the tokens chosen on its path. Nodes start at depth START and
-branch on while they hold more than SMALL classes, to depth DEPTH at most.
+branch on while they hold more than SMALL classes, to depth DEPTH at most: what is
+hot there are near copies of each other, and branching hardly parts them further.
 A pair of similarity s shares a node of depth d with probability s**d in a
 tree; there are so many trees that a pair at the threshold is missed by all with a
 probability below MISSED at the greatest depth: 16 at 0.85, 22 at 0.80.
 
-Nodes are compared in two passes that lose no link of a node. First each class
-with the least class of its node, which joins large groups of near copies by a
-number of comparisons in proportion to their size. Then, in nodes whose classes
-are not yet all connected, every class with all that are connected to
-something else than most of the node, in blocks of SMALL by SMALL. Pairs
-already connected need no comparison: a further link would change no class. So
-each stray is first confirmed with those few that resemble it most, and only
-what is still unconnected after that is confirmed in full.
-Before texts are fetched, a pair must pass an exact bound on set sizes and a
-sketch of the trees' minwise bytes, in the second pass also one of 1024 (a link at the
-threshold fails either with a probability of UNLIKE at most). Components spread by least labels with pointer jumping, as joins.
+Small nodes are compared exhaustively by their classes' minwise tokens; only classes
+that may be linked to another of a node, and those of hot nodes, stay. Their texts are
+fetched and squeezed once, and give a longer sketch (LONG buckets, the least shingle of each).
+Links are confirmed in two rounds that lose no link of a node. First each class
+with the leader of its node, the class that shares most nodes with most others; this
+joins large groups of near copies by as many comparisons as they have classes. Then, in nodes
+whose classes are not all under one leader yet, every class with all that are under
+another leader than most of the node, in blocks of SMALL by SMALL. Pairs
+under one leader need no comparison: a further link would change no class.
+Before texts are compared, a pair must pass an exact bound on set sizes and the sketches
+(which a link at the threshold fails with a probability of UNLIKE at most).
+Components spread by least labels with pointer jumping, as joins.
 
 Defined cases: null, empty or blank text has no shingles and is linked with
 nothing; rows repeated with the same id and text share everything; null ids
@@ -42,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, Polynomial, U, keyed, mix, partitions, shared_checkpoint, signed, slices, squeezed, unsqueezed, words_of
+from .common import KEY, Polynomial, U, carried, keyed, mix, partitions, shared_checkpoint, signed, slices, squeezed, unsqueezed, words_of
 
 SHINGLE = 3
 PERCENT = 85
@@ -50,14 +52,12 @@ PERCENT = 85
 STAGE_PERCENT, STAGE_SHINGLE = 80, 5
 START, DEPTH, SMALL = 2, 4, 64
 MISSED, UNLIKE = 1e-5, 1e-8
-#: The longer sketch of the second pass: its bytes, and how many of a stray's best are confirmed first.
-LONG, BEST = 1024, 4
+#: Buckets of the longer sketch, a power of two, and the normal deviate of UNLIKE.
+LONG, DEVIATE = 1024, 5.6
 #: Rows in a slice, and bits of a shingle's hash beside the row's number.
 ROWS, BITS = 4095, 52
 VERIFY_GROUP = 256
 
-_LONG_SEEDS = np.random.default_rng(1024).integers(1, 2**63, LONG, dtype=np.uint64) | U(1)
-
 
 @cache
 def trees(percent: int) -> int:
@@ -68,8 +68,8 @@ def trees(percent: int) -> int:
 
 @cache
 def least_agreement(size: int, percent: int) -> int:
-    """Of so many sketch bytes so many agree at the threshold, but for a probability of UNLIKE; two bytes agree by chance once in 256."""
-    p = percent / 100 + (1 - percent / 100) / 256
+    """Of so many independent minwise tokens so many agree at the threshold, but for a probability of UNLIKE."""
+    p = percent / 100
     if p >= 1:
         return size
     below = 0.0
@@ -80,6 +80,17 @@ def least_agreement(size: int, percent: int) -> int:
     return size
 
 
+def least_common(n: np.ndarray, m: np.ndarray, drawn: np.ndarray, percent: int) -> np.ndarray:
+    """Of `drawn` shingles, a random part of the union of two sets of n and m, so many are common at the threshold, but for a probability of UNLIKE.
+
+    They are drawn without replacement, so the deviation shrinks with the rest of the union; 4 stands for skewness and rounding.
+    """
+    p = percent / 100
+    union = np.maximum((n + m) / (1 + p), drawn)
+    rest = (union - drawn) / np.maximum(union - 1, 1)
+    return drawn * p - DEVIATE * np.sqrt(drawn * p * (1 - p) * rest) - 4
+
+
 def shingle_sets(batch: pa.RecordBatch, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of up to ROWS texts, sorted by text, and where each text's begin."""
     words = words_of(batch, fold=True)
@@ -113,31 +124,27 @@ def _sketch(size: int, percent: int):
                 digest[1, full] = np.add.reduceat(mix(spread ^ U(0x5851F42D4C957F2D)), first[full])
                 for k, seed in enumerate(seeds):
                     least[full, k] = np.minimum.reduceat(spread * seed, first[full])
-            least = mix(least)
-            short = (least >> U(32)).astype(np.uint32).view(np.int32)
-            sketch = (least & U(255)).astype(np.uint8)
+            short = (mix(least) >> U(32)).astype(np.uint32).view(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(batch.column(k) for k in KEY), pa.array(n.astype(np.int64)), signed(digest[0]), signed(digest[1]),
-                 pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * mins), pa.array(short.ravel())),
-                 pa.array([r.tobytes() for r in sketch], pa.binary())],
-                ["doc_id", *KEY, "n", "a", "b", "mins", "sketch"],
+                 pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * mins), pa.array(short.ravel()))],
+                ["doc_id", *KEY, "n", "a", "b", "mins"],
             )
 
     return sketches
 
 
 def _nodes(classes: DataFrame, percent: int) -> DataFrame:
-    """(node, c): for each class and tree the node where it ends, of those that hold another class."""
+    """(node, c, size): for each class and tree the node where it ends, of those that hold another class."""
     path = lambda t, depth: F.xxhash64(t, *[F.get("mins", t * DEPTH + k) for k in range(depth)])
     rows = classes.select("c", F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees(percent) - 1)), lambda t: F.struct(*[path(t, d).alias(f"d{d}") for d in range(START, DEPTH + 1)]))).alias("p")).select("c", "p.*")
     out = []
     for depth in range(START, DEPTH + 1):
         node = f"d{depth}"
         sizes = rows.groupBy(node).agg(F.count("*").alias("size")).where("size > 1")
-        rows = rows.join(sizes, node)
+        rows = shared_checkpoint(rows.join(sizes, node))
         ends = F.lit(True) if depth == DEPTH else F.col("size") <= SMALL
-        rows = shared_checkpoint(rows)
-        out.append(rows.where(ends).select(F.col(node).alias("node"), "c"))
+        out.append(rows.where(ends).select(F.col(node).alias("node"), "c", "size"))
         rows = rows.where(~ends).drop("size", node)
     nodes = out[0]
     for x in out[1:]:
@@ -145,96 +152,107 @@ def _nodes(classes: DataFrame, percent: int) -> DataFrame:
     return nodes
 
 
-def _long_sketch(size: int):
-    """Classes with their text become classes with the longer sketch."""
+def _matrix(column: pa.Array, rows: int) -> np.ndarray:
+    """A list or binary column of equal lengths as a matrix."""
+    if pa.types.is_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(rows, -1)
+    return column.flatten().to_numpy().reshape(rows, -1)
 
-    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for b in unsqueezed(batches) for s in slices(b, rows=ROWS)):
-            sets, first = shingle_sets(batch, size)
-            least = np.zeros((batch.num_rows, LONG), U)
-            if len(sets):  # classes always have shingles
-                spread = mix(sets)
-                for k, seed in enumerate(_LONG_SEEDS):
-                    least[:, k] = np.minimum.reduceat(spread * seed, first[:-1])
-            rows = (mix(least) & U(255)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("n"), pa.array([r.tobytes() for r in rows], pa.binary())], ["c", "n", "sketch"])
 
-    return sketches
+def _alike(percent: int):
+    """The classes of small nodes that may be linked to another of their node."""
 
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.zeros(0, np.int64)]
+            for one in batch.column("members"):
+                m = one.values
+                n, mins = m.field("n").to_numpy(), _matrix(m.field("mins"), len(m))
+                ok = (100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n)) & ((mins[:, None] == mins).sum(-1) >= least_agreement(mins.shape[1], percent))
+                np.fill_diagonal(ok, False)
+                found.append(m.field("c").to_numpy()[ok.any(1)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)))], ["c"])
+
+    return classes
 
-def _agreement(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """How many bytes of two sketches (the last axis of x and y) agree, -1 where the size bound or the sketch excludes a link."""
-    same = (x == y).sum(-1)
-    ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (same >= least_agreement(x.shape[-1], percent))
-    return np.where(ok, same, -1)
 
+def _touched(nodes: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(c): the classes that may be linked to another, and all of hot nodes."""
+    small = nodes.where(F.col("size") <= SMALL).join(classes.select("c", "n", "mins"), "c").groupBy("node").agg(F.collect_list(F.struct("c", "n", "mins")).alias("members"))
+    return small.select("members").mapInArrow(_alike(percent), "c long").unionByName(nodes.where(F.col("size") > SMALL).select("c")).distinct()
 
-def _bytes_of(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.uint8)
+
+def long_sketches(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each set, and each of LONG buckets of shingles, a byte of the least in it, 0 where there is none."""
+    rows = len(first) - 1
+    v = mix(sets ^ U(0x2545F4914F6CDD1D))
+    key = np.repeat(np.arange(rows, dtype=np.uint64), np.diff(first)) * U(LONG) + (v & U(LONG - 1))
+    both = np.sort((key << U(42)) | (v >> U(22)))
+    new = np.ones(len(both), bool)
+    new[1:] = (both[1:] >> U(42)) != (both[:-1] >> U(42))
+    out = np.zeros(rows * LONG, np.uint8)
+    out[(both[new] >> U(42)).astype(np.int64)] = (mix(both[new] & U((1 << 42) - 1)) % U(255) + U(1)).astype(np.uint8)
+    return out.reshape(rows, LONG)
+
+
+def _long_sketch(size: int):
+    """Classes with their text, and with the longer sketch."""
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (s for b in unsqueezed(batches, "packed") for s in slices(b, rows=ROWS)):
+            sketch = long_sketches(*shingle_sets(batch, size))
+            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("n"), batch.column("packed"), pa.array([r.tobytes() for r in sketch], pa.binary())], ["c", "n", "text", "sketch"])
+
+    return sketches
 
 
 def _pair_filter(percent: int):
+    """Pairs whose sizes and sketches don't exclude a link."""
+
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = _agreement(batch.column("an").to_numpy(), batch.column("bn").to_numpy(), _bytes_of(batch.column("ask")), _bytes_of(batch.column("bsk")), percent)
-            yield batch.select(["a", "b"]).filter(pa.array(same >= 0))
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
+            n, m = batch.column("an").to_numpy(), batch.column("bn").to_numpy()
+            x, y = _matrix(batch.column("ask"), batch.num_rows), _matrix(batch.column("bsk"), batch.num_rows)
+            none = ((x | y) == 0).sum(-1)
+            ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((x == y).sum(-1) - none >= least_common(n, m, LONG - none, percent))
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     return pairs
 
 
-def _blocks(nodes: DataFrame, comp: DataFrame, about: DataFrame) -> DataFrame:
-    """(members, strays): of each node whose classes (c, n, sketch) are in several components, every block of its classes beside every block of those outside its largest."""
-    mixed = nodes.join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    groups = mixed.groupBy("node", "comp").agg(F.count("*").alias("n"))
-    most = groups.groupBy("node").agg(F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("comps"), F.sum("n").alias("size")).where("comps > 1")
-    most = most.select("node", "most.comp", (F.col("size") - F.col("most.n")).alias("stray"), "size").withColumnRenamed("comp", "main")
+def _blocks(nodes: DataFrame, under: DataFrame, about: DataFrame) -> DataFrame:
+    """(members, strays): of each node whose classes (c, n, sketch) are under several leaders, every block of its classes beside every block of those outside its largest group."""
+    mixed = nodes.select("node", "c").join(under, "c", "left").withColumn("top", F.coalesce("top", "c"))
+    groups = mixed.groupBy("node", "top").agg(F.count("*").alias("n"))
+    most = groups.groupBy("node").agg(F.max(F.struct("n", "top")).alias("most"), F.count("*").alias("tops"), F.sum("n").alias("size")).where("tops > 1")
+    most = most.select("node", F.col("most.top").alias("main"), (F.col("size") - F.col("most.n")).alias("stray"), "size")
     mixed = mixed.join(most, "node").join(about, "c")
     block = lambda count: F.pmod(F.xxhash64("c"), F.ceil(F.col(count) / SMALL))
-    one = F.struct("c", F.col("n").cast("long").alias("n"), "comp", "sketch")
+    one = F.struct("c", F.col("n").cast("long").alias("n"), "top", "sketch")
     members = mixed.groupBy("node", block("size").alias("block")).agg(F.collect_list(one).alias("members"))
-    strays = mixed.where("comp != main").groupBy("node", block("stray").alias("block")).agg(F.collect_list(one).alias("strays"))
+    strays = mixed.where("top != main").groupBy("node", block("stray").alias("block")).agg(F.collect_list(one).alias("strays"))
     return members.drop("block").join(strays.drop("block"), "node").select("members", "strays")
 
 
-def _touched(percent: int):
-    """The classes of a block that may be linked to one of another component."""
-
-    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
-            found = [np.zeros(0, np.int64)]
-            for members, strays in zip(batch.column("members"), batch.column("strays"), strict=True):
-                cm, cs, same = _compared(members.values, strays.values, percent)
-                found += [cs[(same >= 0).any(1)], cm[(same >= 0).any(0)]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)))], ["c"])
-
-    return classes
-
-
-def _compared(m: pa.StructArray, s: pa.StructArray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Members, strays, and how much each stray agrees with each member of another component."""
-    same = _agreement(s.field("n").to_numpy()[:, None], m.field("n").to_numpy()[None], _bytes_of(s.field("sketch"))[:, None], _bytes_of(m.field("sketch"))[None], percent)
-    same[s.field("comp").to_numpy()[:, None] == m.field("comp").to_numpy()[None]] = -1
-    return m.field("c").to_numpy(), s.field("c").to_numpy(), same
-
-
-def _block_filter(percent: int, best: bool = False):
-    """(stray, other, same): pairs of a block in different components that may be linked; with best only each stray's most alike."""
+def _block_filter(percent: int):
+    """(a, b): pairs of a block under different leaders that may be linked."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
-            found: list[list[np.ndarray]] = [[], [], []]
+            found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
             for members, strays in zip(batch.column("members"), batch.column("strays"), strict=True):
-                cm, cs, same = _compared(members.values, strays.values, percent)
-                if best:
-                    top = same.argmax(1)
-                    only = np.full_like(same, -1)
-                    only[np.arange(len(cs)), top] = same[np.arange(len(cs)), top]
-                    same = only
-                i, j = np.nonzero(same >= 0)
-                for k, x in enumerate((cs[i], cm[j], same[i, j].astype(np.int64))):
-                    found[k].append(x)
-            if found[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in found], ["stray", "other", "same"])
+                m, s = members.values, strays.values
+                x, y = _matrix(s.field("sketch"), len(s)), _matrix(m.field("sketch"), len(m))
+                none = (x == 0).astype(np.float32) @ (y == 0).astype(np.float32).T
+                sn, mn = s.field("n").to_numpy()[:, None], m.field("n").to_numpy()[None]
+                ok = (100 * np.minimum(sn, mn) >= percent * np.maximum(sn, mn)) & (s.field("top").to_numpy()[:, None] != m.field("top").to_numpy()[None])
+                ok &= np.stack([(r == y).sum(-1) for r in x]) - none >= least_common(sn, mn, LONG - none, percent)
+                i, j = np.nonzero(ok)
+                cs, cm = s.field("c").to_numpy()[i], m.field("c").to_numpy()[j]
+                found[0].append(np.minimum(cs, cm))
+                found[1].append(np.maximum(cs, cm))
+            both = np.unique(np.stack([np.concatenate(x) for x in found]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
     return pairs
 
@@ -263,13 +281,13 @@ def _confirm(percent: int, size: int):
     return links
 
 
-def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
     """Those pairs (a, b) of classes that are linked. A pair's first class leads a group of at most about VERIFY_GROUP."""
     groups = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / VERIFY_GROUP).alias("parts")), "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
     need = groups.select("a", "part", F.col("b").alias("c")).unionByName(groups.select("a", "part", F.col("a").alias("c")).distinct())
-    rows = need.join(classes.select("c", *KEY), "c").join(texts, KEY).select("a", "part", "c", "text")
+    rows = need.join(texts, "c").select("a", "part", "c", "text")
     rows = rows.repartition(partitions(pairs.sparkSession), "a", "part").sortWithinPartitions("a", "part", (F.col("a") != F.col("c")))
-    return shared_checkpoint(rows.mapInArrow(_confirm(percent, size), "a long, b long").distinct())
+    return shared_checkpoint(rows.mapInArrow(_confirm(percent, size), "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -277,15 +295,23 @@ def components(edges: DataFrame) -> DataFrame:
     both = shared_checkpoint(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = shared_checkpoint(both.groupBy(F.col("a").alias("c")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
     while True:
-        near = both.join(labels, both.b == labels.c).groupBy("a").agg(F.min("comp").alias("near"))
-        step = labels.join(near, labels.c == near.a).select("c", F.least("comp", "near").alias("comp"), F.col("comp").alias("was"))
-        jump = step.select(F.col("c").alias("comp"), F.col("comp").alias("far"))
+        near = both.join(labels, both.b == labels.c).select(F.col("a").alias("c"), "comp", F.lit(None).cast("long").alias("was"))
+        step = near.unionByName(labels.withColumn("was", F.col("comp"))).groupBy("c").agg(F.min("comp").alias("comp"), F.max("was").alias("was"))
+        jump = labels.select(F.col("c").alias("comp"), F.col("comp").alias("far"))
         step = shared_checkpoint(step.join(jump, "comp").select("c", F.least("comp", "far").alias("comp"), "was"))
         labels = step.select("c", "comp")
         if step.where("comp != was").isEmpty():
             return labels
 
 
+def _tops(links: DataFrame) -> DataFrame:
+    """(c, top): one of the leaders a that each b is linked to, or that one's leader."""
+    up = links.groupBy(F.col("b").alias("c")).agg(F.min("a").alias("top"))
+    far = up.toDF("top", "far")
+    up = up.join(far, "top", "left").select("c", F.coalesce("far", "top").alias("top"))
+    return shared_checkpoint(up.unionByName(links.select("a").distinct().join(up.select(F.col("c").alias("a")), "a", "left_anti").select(F.col("a").alias("c"), F.col("a").alias("top"))))
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs; kept marks the one with the least id."""
     return _components_of(docs, percent, size).drop(*KEY, "group")
@@ -296,45 +322,38 @@ def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SH
     found = _components_of(docs, percent, size).where("kept")
     # component_id is a document's id, which may be null or shared by unlinked texts
     stays = found.where("n_shingles > 0").groupBy("group").agg(F.min(F.struct(*KEY)).alias("k")).select("k.*").unionByName(found.where("n_shingles = 0").select(*KEY).distinct())
-    whole = keyed(docs.withColumn("_whole", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), "_whole").select(*KEY, "_whole")
-    return whole.join(stays, KEY, "left_semi").groupBy(*KEY).agg(F.first("_whole").alias("_whole")).select("_whole.*")
+    return carried(docs).join(stays, KEY, "left_semi").groupBy(*KEY).agg(F.first("_row").alias("_row")).select("_row.*")
 
 
 def _components_of(docs: DataFrame, percent: int, size: int) -> DataFrame:
     rows = keyed(docs)
-    type_of = dict(docs.dtypes)["doc_id"]
-    texts = squeezed(rows.select(*KEY, "text"))
-    seen = rows.select("doc_id", *KEY, "text").mapInArrow(_sketch(size, percent), f"doc_id {type_of}, _id long, _t long, n long, a long, b long, mins array<int>, sketch binary")
-    seen = shared_checkpoint(seen.repartition(partitions(docs.sparkSession), *KEY))
+    type_of = docs.schema["doc_id"].dataType.simpleString()
+    seen = shared_checkpoint(rows.select("doc_id", *KEY, "text").mapInArrow(_sketch(size, percent), f"doc_id {type_of}, _id long, _t long, n long, a long, b long, mins array<int>"))
     equal = ["n", "a", "b"]
-    classes = seen.where("n > 0").groupBy(*equal).agg(F.min("doc_id").alias("low"), F.min(F.struct(*KEY, "mins", "sketch")).alias("one"))
+    classes = seen.where("n > 0").groupBy(*equal).agg(F.min("doc_id").alias("low"), F.min(F.struct(*KEY, "mins")).alias("one"))
     classes = shared_checkpoint(classes.select(F.monotonically_increasing_id().alias("c"), *equal, "low", "one.*"))
-    about = classes.select("c", "n", "sketch")
 
     nodes = _nodes(classes, percent)
-    stars = nodes.join(nodes.groupBy("node").agg(F.min("c").alias("a")), "node").where("a != c").select("a", F.col("c").alias("b")).distinct()
+    touched = shared_checkpoint(_touched(nodes, classes, percent))
+    nodes = nodes.join(touched, "c", "left_semi")
+    weight = nodes.groupBy("c").agg(F.sum("size").alias("weight"))
+    nodes = shared_checkpoint(nodes.join(weight, "c").select("node", "c", "weight"))
+    wanted = touched.join(classes.select("c", "n", *KEY), "c").join(squeezed(rows.select(*KEY, "text")), KEY).dropDuplicates(["c"])
+    found = shared_checkpoint(wanted.select("c", "n", "text").mapInArrow(_long_sketch(size), "c long, n long, text binary, sketch binary"))
+    about, texts = found.select("c", "n", "sketch"), found.select("c", "text")
+
+    leaders = nodes.groupBy("node").agg(F.max(F.struct("weight", (-F.col("c")).alias("c"))).alias("lead")).select("node", (-F.col("lead.c")).alias("a"))
+    stars = nodes.join(leaders, "node").where("a != c").select("a", F.col("c").alias("b")).distinct()
     sides = stars.join(about.toDF("a", "an", "ask"), "a").join(about.toDF("b", "bn", "bsk"), "b")
     stars = shared_checkpoint(sides.mapInArrow(_pair_filter(percent), "a long, b long"))
-    links = _links(stars, classes, texts, percent, size)
+    links = _links(stars, texts, percent, size)
 
+    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = _blocks(nodes, _tops(links), about).mapInArrow(_block_filter(percent), "a long, b long").distinct()
+    rest = shared_checkpoint(rest.join(done, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        links = links.unionByName(_links(rest, texts, percent, size))
     comp = components(links)
-    found = "stray long, other long, same long"
-    touched = shared_checkpoint(_blocks(nodes, comp, about).mapInArrow(_touched(percent), "c long").distinct())
-    if not touched.isEmpty():
-        nodes = shared_checkpoint(nodes.join(touched, "c", "left_semi"))
-        about = touched.join(classes.select("c", "n", *KEY), "c").join(texts, KEY).select("c", "n", "text").mapInArrow(_long_sketch(size), "c long, n long, sketch binary")
-        about = shared_checkpoint(about)
-        pair = [F.least("stray", "other").alias("a"), F.greatest("stray", "other").alias("b")]
-        likely = _blocks(nodes, comp, about).mapInArrow(_block_filter(percent, best=True), found)
-        likely = likely.groupBy("stray", F.pmod(F.xxhash64("other"), F.lit(BEST)).alias("part")).agg(F.max_by("other", F.struct("same", "other")).alias("other"))
-        done = stars
-        for turn in ("likely", "rest"):
-            pairs = likely if turn == "likely" else _blocks(nodes, comp, about).mapInArrow(_block_filter(percent), found)
-            pairs = shared_checkpoint(pairs.select(*pair).distinct().join(done, ["a", "b"], "left_anti"))
-            if not pairs.isEmpty():
-                links = links.unionByName(_links(pairs, classes, texts, percent, size))
-                comp = components(links)
-            done = done.unionByName(pairs)
 
     lows = comp.join(classes.select("c", "low"), "c")
     lows = lows.join(lows.groupBy("comp").agg(F.min("low").alias("least")), "comp").select("c", "least", "comp")

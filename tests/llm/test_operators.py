@@ -364,3 +364,30 @@ def test_html_keeps_all_words(spark):
         assert sorted(re.findall(r"w\d+", html.render("".join(parts)))) == sorted(words)
     df = spark.createDataFrame([(1, "<p>a", "z"), (1, "<p>a", "z"), (2, None, "z")], "page_id long, html string, text string")
     assert sorted((r.page_id, r.text) for r in html.extract_text(df).collect()) == [(1, "a"), (1, "a"), (2, "")]
+
+
+def test_sketch_bound_keeps_links_at_the_threshold():
+    rng = np.random.default_rng(8)
+    for union in (20, 170, 900, 6000):
+        common = int(np.ceil(0.85 * union))
+        for _ in range(60):
+            all_ = rng.choice(2**52, union, replace=False).astype(np.uint64)
+            own = rng.integers(0, union - common + 1)
+            a, b = np.sort(all_[: common + own]), np.sort(np.concatenate([all_[:common], all_[common + own :]]))
+            x = neardup.long_sketches(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+            none = ((x[0] | x[1]) == 0).sum()
+            assert (x[0] == x[1]).sum() - none >= neardup.least_common(len(a), len(b), neardup.LONG - none, 85)
+
+
+def test_near_duplicates_of_named_ids_and_empty_table(spark):
+    rows = [("x1", "a b c d"), ("x0", "a b c d"), ("x2", "p q r s")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [("x0", "x0", True), ("x1", "x0", False), ("x2", "x2", True)]
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert neardup.near_duplicates(empty).count() == 0 and neardup.drop_near_duplicates(empty).count() == 0
+
+
+def test_near_dedup_of_clashing_columns(spark):
+    rows = [(1, "a b c d", 7, 8, "z"), (2, "a b c d", 7, 8, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, _id int, `_row` string")
+    assert [tuple(r) for r in neardup.drop_near_duplicates(df).collect()] == [rows[0]]
