@@ -99,3 +99,89 @@ def token_pieces(text, size=2048):
     ids = _tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
     cuts = [0, *range((len(ids) - 1) % size + 1, len(ids) + 1, size)]
     return [(a, b - a, zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[a:b]))) for a, b in zip(cuts, cuts[1:])]
+
+
+def toxicity(docs, labels, o):
+    """{id: (score, evidence)} from all terms as strings; for ASCII texts without near copies. o: the operator's constants."""
+    import math
+
+    import xxhash
+
+    def terms(text):
+        own, total = Counter(re.findall("[a-z]+", (text or "").lower())), 0
+        total = sum(own.values())
+        out = Counter(own)
+        for size in o.STEMS:
+            stems = Counter()
+            for w, n in own.items():
+                if len(w) > size:
+                    stems[w[:size] + f"*{size}"] += n
+            out.update(stems)
+        for t, n in list(out.items()):
+            out.update({f"{t}%{p}": 1 for p in o.DENSE if n > 1 and 100 * n >= p * total})
+        return out
+
+    text_of, known = dict(docs), {i: y for i, y in labels if zlib.crc32(str(i).encode()) % 3 != 1}
+    signed = lambda t: (lambda v: v - (v >> 63 << 64))(xxhash.xxh64_intdigest(t.encode(), seed=42))
+    by_hash = {}
+    for i in sorted(known, reverse=True):
+        if text_of[i]:
+            by_hash[signed(text_of[i])] = i
+    ids = [i for _, i in sorted(by_hash.items())]
+    y = [known[i] for i in ids]
+    counts = [terms(text_of[i]) for i in ids]
+    n1, n0 = sum(y), len(y) - sum(y)
+    telling = set()
+    for t in set().union(*counts):
+        a, b = (sum(t in c for c, k in zip(counts, y) if k == v) for v in (1, 0))
+        p, q, m = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1), (a + b + 1) / (n1 + n0 + 2)
+        z = abs(p - q) / math.sqrt(m * (1 - m) * (1 / n1 + 1 / n0))
+        if a + b >= o.MIN_DOCS and z >= o.Z and max(p / q, q / p) >= o.RATIO:
+            telling.add(t)
+    words = {t for c in counts for t in c if t.isalpha()} | telling
+    df = Counter(t for _, text in docs for t in terms(text) if t in words)
+
+    def vector(c):
+        v = {}
+        for t, n in c.items():
+            if t in words:
+                idf = math.log((1 + len(docs)) / (1 + df[t]))
+                w = o.BOOST * (idf + 1) if t in telling else max(0.0, idf - math.log(o.COMMON))
+                if w:
+                    v[t] = (1 + math.log(n)) * w
+        norm = math.sqrt(sum(w * w for w in v.values()))
+        return {t: w / norm for t, w in v.items()}
+
+    vectors, rate = [vector(c) for c in counts], sum(y) / len(y)
+
+    def near(v, without=-1):
+        s = sorted((-round(sum(w * u.get(t, 0) for t, w in v.items()), 12), e) for e, u in enumerate(vectors) if e != without)
+        return [(-a, e) for a, e in s[: o.K] if a < 0]
+
+    vote = lambda n: (sum(s * y[e] for s, e in n) + o.PRIOR * rate) / (sum(s for s, _ in n) + o.PRIOR)
+    found = [near(v, e) for e, v in enumerate(vectors)]
+    none = [y[e] for e, n in enumerate(found) if not n]
+    bare = (sum(none) + rate) / (len(none) + 1)
+    pools = [[v, v, t, 1] for v, t in sorted((vote(n), y[e]) for e, n in enumerate(found) if n)]
+    k = 0
+    while k + 1 < len(pools):
+        if pools[k][2] / pools[k][3] >= pools[k + 1][2] / pools[k + 1][3]:
+            pools[k : k + 2] = [[pools[k][0], pools[k + 1][1], pools[k][2] + pools[k + 1][2], pools[k][3] + pools[k + 1][3]]]
+            k = max(0, k - 1)
+        else:
+            k += 1
+    xs, ys = zip(*((x, (t + rate) / (n + 1)) for a, b, t, n in pools for x in (a, b)))
+
+    def curve(v):
+        if v <= xs[0]:
+            return ys[0]
+        for (x0, y0), (x1, y1) in zip(zip(xs, ys), zip(xs[1:], ys[1:])):
+            if v <= x1:
+                return y1 if x1 == x0 else y0 + (y1 - y0) * (v - x0) / (x1 - x0)
+        return ys[-1]
+
+    out = {}
+    for i, t in docs:
+        n = near(vector(terms(t)))
+        out[i] = (min(1.0, max(0.0, curve(vote(n)))) if n else bare, [str(ids[e]) for _, e in n])
+    return out

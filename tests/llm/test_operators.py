@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -246,28 +247,64 @@ def test_toxicity(spark):
     assert {r.score for r in none} == {0.0}
 
 
-def test_copies_of_a_toxic_text_do_not_teach_its_words():
+def example_frame(spark, rows):
+    """(id, text, label) as examples in the operator's form, with their documents."""
+    df = spark.createDataFrame([(i, t, y) for i, t, y in rows], "doc_id long, text string, toxic int").selectExpr("xxhash64(text) AS h", "doc_id", "toxic", "text")
+    return df, df.select("doc_id", "text")
+
+
+def test_copies_of_a_toxic_text_do_not_teach_its_words(spark):
     rng = random.Random(8)
-    vocab = [f"w{k}x" for k in range(800)]
+    vocab = [f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyzabcd'[k // 100]}x" for k in range(800)]
     text = lambda n: [rng.choice(vocab) for _ in range(n)]
     one = [f"own{'abcdefghij'[k % 10] * (k // 10 + 1)}" for k in range(60)]
     rows = [(k, " ".join([*one[:k % 50], "and", *one[k % 50:], "vilest"]), 1) for k in range(30)]
     rows += [(100 + k, " ".join([*text(60), "vilest"]), 1) for k in range(30)] + [(200 + k, " ".join(text(60)), 0) for k in range(300)]
-    kin = toxicity.families([t for _, t, _ in rows])
+    batch = pa.RecordBatch.from_arrays([pa.array([t for _, t, _ in rows])], ["text"])
+    kin = toxicity.families(list(toxicity.near_copy_keys(batch)))
     assert set(kin[:30]) == {0} and len(set(kin[30:])) == 330
-    index = toxicity.build(rows)
-    assert set(index.idf) == {"vilest", "vile*", "viles*"}
-    assert index.score(toxicity.terms_of("some vilest words", index.idf))[0] > 0.9 and index.score(toxicity.terms_of("own" + "a", index.idf))[0] < 0.5
+    vocabulary, weight, telling, index = toxicity.build(*example_frame(spark, rows))
+    terms = lambda *texts: toxicity.Terms(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]), telling)
+    assert set(telling.tolist()) == set(toxicity.Terms(pa.RecordBatch.from_arrays([pa.array(["vilest"])], ["text"])).hash.tolist())
+    vile, own, copy = toxicity.vectors(terms("some vilest words", "ownaa", rows[40][1]), vocabulary, weight)
+    assert index.score(*vile)[0] > 0.9 and index.score(*own)[0] < 0.5 and index.ids[index.score(*copy)[1][0]] == rows[40][0]
 
 
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(0)
-    terms = [f"t{k}" for k in range(40)]
-    vectors = [{t: float(rng.random()) for t in rng.choice(terms, rng.integers(1, 6), replace=False)} for _ in range(700)]
-    index = toxicity.Index({t: 1.0 for t in terms}, vectors, [0] * 700, list(range(700)))
-    for v in vectors[:50]:
-        scores = sorted(((-round(sum(w * x.get(t, 0) for t, w in v.items()), 12), e) for e, x in enumerate(vectors)))
-        assert index.nearest(v) == [(-s, e) for s, e in scores[: toxicity.K] if s < 0]
+    vectors = []
+    for _ in range(2000):
+        at = np.sort(rng.choice(40, rng.integers(1, 6), replace=False))
+        vectors.append((at, rng.random(len(at))))
+    vectors += vectors[:30]
+    index = toxicity.Index(40, vectors, [0] * 2030, list(range(2030)), [*range(2000), *range(30)])
+    for e, (t, w) in enumerate(vectors[:50]):
+        mine = dict(zip(t.tolist(), w.tolist(), strict=True))
+        scores = sorted((-round(sum(x * mine.get(k, 0) for k, x in zip(u.tolist(), v.tolist(), strict=True)), 12), i) for i, (u, v) in enumerate(vectors))
+        assert list(zip(*(x.tolist() for x in index.nearest(t, w)), strict=True)) == [(-s, i) for s, i in scores[: toxicity.K] if s < 0]
+        scores = [x for x in scores if index.family[x[1]] != e]
+        assert list(zip(*(x.tolist() for x in index.nearest(t, w, e)), strict=True)) == [(-s, i) for s, i in scores[: toxicity.K] if s < 0]
+
+
+def test_toxicity_against_a_plain_version(spark):
+    rng = random.Random(21)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    docs, labels = [], []
+    for i in range(420):
+        w = [vocab[min(399, int(rng.expovariate(1 / 60)))] for _ in range(rng.randrange(5, 60))]
+        toxic = int(rng.random() < 0.25)
+        w += ["Scummiest" if k % 2 else "scummy" for k in range(rng.randrange(1, 4))] if toxic and rng.random() < 0.9 else []
+        rng.shuffle(w)
+        docs.append((i, " ".join(w)))
+        labels += [(i, toxic)] if i % 4 else []
+    docs += [(900, None), (901, ""), (902, docs[5][1]), (903, "zzz nothing known")]
+    want = brute.toxicity(docs, labels, toxicity)
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id long, text string, score string, h int")
+    rows = toxicity.score_toxicity(df.repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert {r.doc_id: round(r.score, 6) for r in rows} == {i: round(s, 6) for i, (s, _) in want.items()}
+    # where cosines tie to the last digits the order of places decides in either version
+    assert sum(r.evidence == want[r.doc_id][1] for r in rows) >= len(rows) - 4
+    assert toxicity.score_toxicity(df.limit(0), spark.createDataFrame(labels, "doc_id long, toxic int")).collect() == []
 
 
 def test_url_rules_and_templates(spark):
