@@ -3,12 +3,14 @@
 Overlapping heuristic labellers vote good, bad or nothing on each document. Their votes are
 counted by pattern over the whole corpus (at most 3**labellers rows), and
 expectation-maximisation on these counts estimates how often each labeller is
-right, and with it a posterior for each pattern. SAMPLE documents, the ones
-with the least text hashes, then train a logistic scorer on hashed features of
+right, and with it a posterior for each pattern. SAMPLE distinct texts, the ones
+with the least hashes, then train a logistic scorer on hashed features of
 words, endings and shapes, with the posteriors as labels. The scorer alone scores
 every document, in one pass with no exchange.
 
-Bounds: the pattern table, SAMPLE documents of at most LONGEST characters, and
+The sample is cut by hashes alone: distinct hashes are counted, those below the threshold that
+leaves a few more than SAMPLE are sorted, and only then are their texts read.
+Bounds: the pattern table, SAMPLE texts with 1 << BITS features at most, however long they are, and
 1 << BITS weights sent to executors.
 
 Defined cases: null, empty and wordless texts score 0 and are not kept;
@@ -26,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, Polynomial, U, _byte_powers, mix, slices, words_of
+from .common import BLANK, Polynomial, U, _byte_powers, mix, ragged, shared_checkpoint, slices, words_of
 from .quality import _SYMBOL, WINDOW, LineView, _again, _within
 
 LABELLERS = ("length", "symbols", "capitals", "repeated_lines", "repeated_words", "exclamations", "line_ends", "word_length", "bare_marks", "marked_words", "marks")
 #: For each labeller its figure is bad from the first limit on and good up to the second; length and line_ends the other way round.
 LIMITS = ((20, 50), (0.1, 0.02), (0.3, 0.12), (0.3, 0.0), (0.2, 0.05), (0.1, 0.02), (0.1, 0.5), (12.0, 9.0), (0.15, 0.05), (0.2, 0.05), (0.6, 0.3))
 FALLING = (0, 6)
-SAMPLE, LONGEST, BITS = 8000, 20_000, 14
+SAMPLE, BITS = 8000, 14
 STEPS, RATE, DECAY, SCALE = 300, 2.0, 1e-4, 8.0
 KEEP = 0.5
 
@@ -111,16 +113,24 @@ def features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([(k >> U(64 - BITS)).astype(np.int64) for k in kinds]), np.tile(words.doc(), 3)
 
 
-def train(rows: list[tuple[np.ndarray, float]]) -> np.ndarray:
-    """Weights, the bias last, from each document's features and posterior."""
+def counted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct features of each document, by document, how often it has each, and where each document's begin."""
+    index, doc = features(batch)
+    both, count = np.unique((doc.astype(np.int64) << BITS) | index, return_counts=True)
+    return (both & ((1 << BITS) - 1)).astype(np.int32), count.astype(np.int32), np.searchsorted(both, np.arange(batch.num_rows + 1) << BITS)
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> np.ndarray:
+    """Weights, the bias last, from each document's distinct features, their counts, and its posterior."""
     size = 1 << BITS
     weights = np.zeros(size + 1)
     if not rows:
         return weights
-    index = np.concatenate([f for f, _ in rows])
-    doc = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
-    value = SCALE / np.maximum(np.bincount(doc, minlength=len(rows)), 1)[doc]
-    y = np.array([p for _, p in rows])
+    index = np.concatenate([f for f, _, _ in rows])
+    doc = np.repeat(np.arange(len(rows)), [len(f) for f, _, _ in rows])
+    times = np.concatenate([n for _, n, _ in rows])
+    value = SCALE * times / np.maximum(np.bincount(doc, weights=times, minlength=len(rows)), 1)[doc]
+    y = np.array([p for _, _, p in rows])
     # both classes weigh the same
     weight = np.where(y >= 0.5, 0.5 / max(1, (y >= 0.5).sum()), 0.5 / max(1, (y < 0.5).sum()))
     speed, seen = np.zeros(size + 1), np.zeros(size + 1)
@@ -152,17 +162,22 @@ def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in slices(b)):
-            vote, (index, doc) = votes(batch), features(batch)
-            order = np.argsort(doc, kind="stable")
-            edge = np.searchsorted(doc[order], np.arange(batch.num_rows + 1))
-            label = [posterior["".join(map(str, v))] for v in vote.tolist()]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array([index[order[a:b]].astype("<i4").tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]), pa.array(label)], ["h", "index", "label"])
-
-    hashed = rows.where(F.length("text").between(1, LONGEST)).select(F.xxhash64("text").alias("h"), "text")
-    least = hashed.select("h").distinct().orderBy("h").limit(sample)
+            index, count, first = counted(batch)
+            label = [posterior["".join(map(str, v))] for v in votes(batch).tolist()]
+            size = np.diff(first)
+            yield pa.RecordBatch.from_arrays([batch.column("h"), ragged(index, size), ragged(count, size), pa.array(label)], ["h", "index", "times", "label"])
+
+    hashed = rows.where(F.length("text") > 0).select(F.xxhash64("text").alias("h"), "text")
+    distinct = shared_checkpoint(hashed.select("h").distinct())
+    share = (sample + 8 * sample**0.5 + 20) / max(1, distinct.count())
+    if share < 1:  # hashes are even, so below this one lie a few more than needed
+        distinct = distinct.where(F.col("h") < int(share * 2**64) - 2**63)
+    least = distinct.orderBy("h").limit(sample)
     chosen = hashed.join(F.broadcast(least), "h").dropDuplicates(["h"])
-    learned = sorted(chosen.mapInArrow(sampled, "h long, index binary, label double").collect(), key=lambda r: r.h)
-    weights = spark.sparkContext.broadcast(train([(np.frombuffer(bytes(r["index"]), "<i4").astype(np.int64), r.label) for r in learned]))
+    found = chosen.mapInArrow(sampled, "h long, index array<int>, times array<int>, label double").toArrow()
+    learned = sorted(zip(*(found.column(c).to_pylist() for c in ("h", "label")), range(found.num_rows), strict=True))
+    lists = [[x.values.to_numpy() for x in found.column(c)] for c in ("index", "times")]
+    weights = spark.sparkContext.broadcast(train([(lists[0][k], lists[1][k], label) for _, label, k in learned]))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value

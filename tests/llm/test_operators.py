@@ -428,3 +428,33 @@ def test_near_dedup_of_clashing_columns(spark):
     rows = [(1, "a b c d", 7, 8, "z"), (2, "a b c d", 7, 8, "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, _id int, `_row` string")
     assert [tuple(r) for r in neardup.drop_near_duplicates(df).collect()] == [rows[0]]
+
+
+def test_scorer_against_a_plain_version(monkeypatch):
+    monkeypatch.setattr(weaklabel, "STEPS", 40)
+    rng = random.Random(13)
+    texts = [" ".join(rng.choice(["Alpha", "beta.", "GAMMA", "delta", "x%%", "12"]) for _ in range(rng.randrange(1, 40))) for _ in range(60)] + ["word " * 30000]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    index, count, first = weaklabel.counted(batch)
+    label = [rng.random() for _ in texts]
+    got = weaklabel.train([(index[a:b], count[a:b], y) for a, b, y in zip(first[:-1], first[1:], label, strict=True)])
+    # the same steps on a plain matrix of feature shares
+    feature, doc = weaklabel.features(batch)
+    x = np.zeros((len(texts), 1 << weaklabel.BITS))
+    np.add.at(x, (doc, feature), 1)
+    x = np.hstack([weaklabel.SCALE * x / x.sum(1, keepdims=True), np.ones((len(texts), 1))])
+    y = np.array(label)
+    share = np.where(y >= 0.5, 0.5 / (y >= 0.5).sum(), 0.5 / (y < 0.5).sum())
+    w, m, v = (np.zeros(x.shape[1]) for _ in range(3))
+    for t in range(1, 41):
+        g = x.T @ ((1 / (1 + np.exp(-x @ w)) - y) * share) + weaklabel.DECAY * w
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w = w - 0.05 * weaklabel.RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+    assert np.abs(got - w).max() < 1e-6 and np.abs(w).max() > 0.1
+    assert len(index[first[-2] :]) == 3
+
+
+def test_weak_labels_of_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a b c d."), (1, "a b c d."), (None, "a b c d."), (2, None)], "doc_id long, text string")
+    rows = weaklabel.classify(df.selectExpr("*", "1 AS h", "2 AS score")).collect()
+    assert len(rows) == 4 and len({r.score for r in rows if r.doc_id != 2}) == 1
