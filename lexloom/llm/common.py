@@ -74,6 +74,14 @@ def carried(docs: DataFrame) -> DataFrame:
     return keyed(docs.withColumn("_row", F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])), "_row").select("text", *KEY, "_row")
 
 
+def renewed(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The columns of docs from rows of _row and a new text; n_chars follows the text."""
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
+
+
 def sha256_of(column: Column) -> Column:
     return F.sha2(F.encode(column, "UTF-8"), 256)
 

@@ -83,12 +83,13 @@ def least_agreement(size: int, percent: int) -> int:
 def least_common(n: np.ndarray, m: np.ndarray, drawn: np.ndarray, percent: int) -> np.ndarray:
     """Of `drawn` shingles, a random part of the union of two sets of n and m, so many are common at the threshold, but for a probability of UNLIKE.
 
-    They are drawn without replacement, so the deviation shrinks with the rest of the union; 4 stands for skewness and rounding.
+    They are drawn without replacement, so the deviation and the skewness shrink with the rest of the union; 1 stands for rounding.
     """
     p = percent / 100
     union = np.maximum((n + m) / (1 + p), drawn)
     rest = (union - drawn) / np.maximum(union - 1, 1)
-    return drawn * p - DEVIATE * np.sqrt(drawn * p * (1 - p) * rest) - 4
+    skew = (DEVIATE**2 - 1) / 6 * abs(1 - 2 * p) * np.maximum(union - 2 * drawn, 0) / np.maximum(union - 2, 1)
+    return drawn * p - DEVIATE * np.sqrt(drawn * p * (1 - p) * rest) - skew - 1
 
 
 def shingle_sets(batch: pa.RecordBatch, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ dup AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n FROM lines GROUP BY d
 grams AS (SELECT doc_id, k, array_to_string(list_slice(w, k, k + 7), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS k FROM d WHERE len(w) >= 8)),
 twice AS (SELECT doc_id, k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1),
 again AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(k, k + 8)) AS p FROM twice) GROUP BY doc_id),
-texts AS (SELECT source, line, text, min(doc_id) AS doc_id FROM lines GROUP BY 1, 2, 3),
+texts AS (SELECT DISTINCT source, line, doc_id FROM lines),
 hosts AS (SELECT source, count(*) AS docs FROM documents GROUP BY 1),
 often AS (SELECT t.source, line, min(doc_id) AS first FROM texts t JOIN hosts h ON t.source IS NOT DISTINCT FROM h.source GROUP BY 1, 2 HAVING count(*) >= 20 AND count(*) >= 0.005 * any_value(docs)),
 gone AS (SELECT doc_id, sum(n) AS n FROM lines JOIN often o ON o.line = lines.line AND o.source IS NOT DISTINCT FROM lines.source AND o.first <> doc_id GROUP BY doc_id),

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _FOLDED, BLANK, KEY, Polynomial, _byte_powers, keyed, partitions, ragged, shared_checkpoint, slices, words_of
+from .common import _FOLDED, BLANK, KEY, Polynomial, _byte_powers, carried, keyed, partitions, ragged, renewed, shared_checkpoint, slices, words_of
 
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 MIN_DOCS, SHARE, KEEP = 20, 0.005, 0.5
@@ -142,12 +142,6 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, keep:
 
 def apply_rules(docs: DataFrame, **limits) -> DataFrame:
     """The documents that pass, without the lines above the limits; n_chars follows the text. Columns as in docs."""
-    names = docs.columns
     verdicts = judge(docs, **limits).where("kept").select(*KEY, "removed").dropDuplicates(KEY)
-    full = keyed(docs.withColumn("whole", F.struct(*names)), "whole").select("text", "whole", *KEY)
-    kept = full.join(verdicts, KEY).select(*[F.col("whole")[c].alias(c) for c in names if c != "text"], "text", "removed")
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    clean = kept.mapInArrow(_without, f"{types}, text string")
-    if "n_chars" in names:
-        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(*names)
+    kept = carried(docs).join(verdicts, KEY).select("_row", "text", "removed")
+    return renewed(docs, kept.mapInArrow(_without, kept.select("_row", "text").schema))

@@ -458,3 +458,22 @@ def test_weak_labels_of_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b c d."), (1, "a b c d."), (None, "a b c d."), (2, None)], "doc_id long, text string")
     rows = weaklabel.classify(df.selectExpr("*", "1 AS h", "2 AS score")).collect()
     assert len(rows) == 4 and len({r.score for r in rows if r.doc_id != 2}) == 1
+
+
+def test_quality_rules_with_clashing_names_and_other_ids(spark):
+    body = " ".join("abcdefghij"[k % 10] * (k // 10 + 1) for k in range(40))
+    kind = "doc_id string, text string, source string, removed int, `a.b` string, _row int, whole int, n_chars int, lines string"
+    rows = [(str(k) if k else "not a number", f"{body} {chr(97 + k % 26) * (9 + k // 26)}\nthe common line of all", "h", 1, "x", 2, 3, 9, "l") for k in range(30)]
+    left = quality.apply_rules(spark.createDataFrame(rows, kind), min_docs=20)
+    assert left.columns == ["doc_id", "text", "source", "removed", "a.b", "_row", "whole", "n_chars", "lines"]
+    out = left.collect()
+    assert len(out) == 30 and all(r.n_chars == len(r.text) and (r.removed, r["a.b"], r["_row"]) == (1, "x", 2) for r in out)
+    assert sum("common line" in r.text for r in out) == 1
+    empty = spark.createDataFrame([], kind)
+    assert quality.apply_rules(empty).collect() == [] and quality.judge(empty).collect() == []
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert secrets.find_secrets(docs).collect() == [] and secrets.redact_secrets(docs).collect() == []
+    assert html.extract_text(spark.createDataFrame([], "page_id long, html string")).collect() == []
