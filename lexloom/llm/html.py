@@ -3,15 +3,22 @@
 A tree builder with implied tags (a paragraph ends where a block begins, a
 list item at the next, cells and rows at theirs) and visibility rules (head,
 scripts and the like, `hidden`, `display:none`, `visibility:hidden`, hidden
-inputs, closed comments) feeds a renderer. Blocks stand on lines of their own, paragraphs,
+inputs, comments) feeds a renderer. Blocks stand on lines of their own, paragraphs,
 headings, lists and tables with an empty line around; list items carry their
-bullet or number, indented by depth; table cells are padded to the widest of their column; preformatted text
+bullet or number, indented by depth; table cells are padded to the widest of their column,
+cells that span rows or columns keep the others in their columns; preformatted text
 keeps its blanks. Nothing visible is left out.
 
-Pages are rendered where they are read, with no exchange; a task holds one batch.
+Both parts take time and space in proportion to the page: no stray tag is looked for below the open ones,
+nesting of any depth is walked with a stack of its own, and a page gets at most PADDING
+blanks of padding and as many slots under spanning cells for each of its characters; beyond that tables are shown without alignment
+and cells span nothing. Indents end at INDENT; of tables inside tables more than TABLES deep the cells are blocks.
+
+Pages are rendered where they are read, with no exchange; a task holds one slice.
 
 Defined cases: null and empty html gives empty text; unclosed or stray tags
-never fail; unknown tags are inline; repeated rows render alike; extra columns
+never fail; an attribute that should be a number and is none counts as absent (ASCII digits, nine at most); a character
+reference of eight digits or more is the replacement character; unknown tags are inline; repeated rows render alike; extra columns
 are ignored; an empty table gives an empty result.
 """
 
@@ -19,6 +26,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,7 +34,7 @@ from pyspark.sql import DataFrame
 
 from .common import slices
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
@@ -36,12 +44,24 @@ RAW = {"script", "style", "textarea", "title", "xmp"}
 INVISIBLE = {"head", "script", "style", "template", "noscript", "title", "object", "datalist", "iframe", "audio", "video", "canvas"}
 SPACED = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "table", "blockquote", "pre", "figure", "fieldset"}
 BLOCKS = SPACED | {"html", "body", "div", "section", "article", "header", "footer", "nav", "main", "aside", "address", "li", "dt", "dd", "tr", "caption", "thead", "tbody", "tfoot", "form", "figcaption", "details", "summary", "hgroup", "center", "legend", "option", "hr"}
-#: An opening tag closes the nearest of these, unless one of the barriers is nearer.
-IMPLIED = {
-    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
-    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}),
-    "thead": ({"thead", "tbody", "tfoot"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot"}, {"table"}), "body": ({"head"}, set()),
-}
+#: An opening tag of the first set closes the nearest open one of the second, unless one of the barriers is nearer.
+IMPLIED = (
+    ({"li"}, {"li"}, {"ul", "ol", "menu"}), ({"dt", "dd"}, {"dt", "dd"}, {"dl"}), ({"option"}, {"option"}, {"select"}),
+    ({"td", "th"}, {"td", "th"}, {"tr", "table"}), ({"tr"}, {"tr"}, {"table"}),
+    ({"thead", "tbody", "tfoot"}, {"thead", "tbody", "tfoot"}, {"table"}), ({"body"}, {"head"}, set()),
+    (BLOCKS - {"html", "body"}, {"p"}, (BLOCKS | {"td", "th"}) - {"p"}),
+)
+#: By tag: the rules that it sets off, those that it opens, and those that it bars. The last rule, of paragraphs, comes first.
+_SETS_OFF, _OPENS, _BARS = ({t: [k for k in (7, *range(7)) if t in IMPLIED[k][n]] for t in set().union(*(r[n] for r in IMPLIED))} for n in range(3))
+INDENT, PADDING, TABLES = 40, 4, 8
+_LONG_REFERENCE = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
+_NUMBER = re.compile(r"\s*([+-]?[0-9]{1,9})(?![0-9])", re.ASCII)
+#: Limits of the standard for spans.
+COLUMNS, ROWS = 1000, 65534
+
+
+def unescape(text: str) -> str:
+    return entities.unescape(_LONG_REFERENCE.sub("\ufffd", text)) if "&" in text else text
 
 
 class Node:
@@ -56,6 +76,10 @@ class Node:
                 return (m[2] or "").strip("\"'")
         return None
 
+    def number(self, name: str) -> int | None:
+        m = _NUMBER.match(self.attribute(name) or "") if self.attributes else None
+        return int(m[1]) if m else None
+
     def hidden(self) -> bool:
         if self.tag in INVISIBLE:
             return True
@@ -67,80 +91,111 @@ class Node:
         return "style" in low and bool(_HIDDEN_STYLE.search(self.attribute("style") or ""))
 
 
+class _Open:
+    """The open nodes, with what is needed to close one without a search in vain."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.near = [root], [(-1,) * len(IMPLIED)]
+        self.counts: list[Counter] = [Counter()]  # by tag, one for each open table and what is outside
+
+    def push(self, node: Node) -> None:
+        """near: for each implied rule the place of the node that it would close."""
+        near, tag = self.near[-1], node.tag
+        if tag in _OPENS or tag in _BARS:
+            changed = list(near)
+            for k in _BARS.get(tag, ()):
+                changed[k] = -1
+            for k in _OPENS.get(tag, ()):
+                changed[k] = len(self.nodes)
+            near = tuple(changed)
+        self.counts[-1][tag] += 1
+        if tag == "table":
+            self.counts.append(Counter())
+        self.nodes.append(node)
+        self.near.append(near)
+
+    def pop(self, place: int) -> None:
+        """Close the node at the place and all above it."""
+        while len(self.nodes) > place:
+            self.near.pop()
+            tag = self.nodes.pop().tag
+            if tag == "table":
+                self.counts.pop()
+            self.counts[-1][tag] -= 1
+
+    def close(self, tag: str) -> None:
+        """A closing tag: the nearest open node of its name, inside the innermost table unless it is a table, body or html."""
+        if tag in ("table", "body", "html") if not self.counts[-1][tag] else True:
+            if self.counts[-1][tag] or any(c[tag] for c in self.counts):
+                k = len(self.nodes) - 1
+                while self.nodes[k].tag != tag:
+                    k -= 1
+                self.pop(k)
+
+
 def parse(text: str) -> Node:
     """The tree of a page."""
     root = Node("#root")
-    stack, at, low = [root], 0, None
+    opened, at = _Open(root), 0
     while at < len(text):
         m = _TOKEN.match(text, at)
         at = m.end()
         tag = m[2]
         if tag is None:
             if text[m.start()] != "<" or at - m.start() == 1:
-                stack[-1].children.append(entities.unescape(m[0]))
+                opened.nodes[-1].children.append(unescape(m[0]))
             continue
         tag = tag.lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag == "table" and tag != "table" and tag not in ("body", "html"):
-                    break
+            opened.close(tag)
             continue
-        closes, barriers = IMPLIED.get(tag, (None, None))
-        if tag in BLOCKS and tag not in ("html", "body"):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCKS or stack[k].tag in ("td", "th"):
-                    break
-        if closes:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in closes:
-                    del stack[k:]
-                    break
-                if stack[k].tag in barriers:
-                    break
+        for k in _SETS_OFF.get(tag, ()):
+            if opened.near[-1][k] >= 0:
+                opened.pop(opened.near[-1][k])
         node = Node(tag, m[3])
-        stack[-1].children.append(node)
+        opened.nodes[-1].children.append(node)
         if tag in RAW:
-            low = low or text.lower()
-            end = low.find(f"</{tag}", at)
-            end = len(text) if end < 0 else end
-            node.children.append(text[at:end] if tag in ("script", "style", "xmp") else entities.unescape(text[at:end]))
+            end = re.compile(f"</{tag}", re.I | re.ASCII).search(text, at)
+            end = end.start() if end else len(text)
+            node.children.append(text[at:end] if tag in ("script", "style", "xmp") else unescape(text[at:end]))
             close = text.find(">", end)
             at = len(text) if close < 0 else close + 1
         elif tag not in VOID:
-            stack.append(node)
+            opened.push(node)
     return root
 
 
 class Page:
-    """Lines of visible text; a line begins when a block does."""
+    """Lines of visible text; a line begins when a block does. spare: how many blanks of padding and slots of spans may still be spent; tables: how many it is inside of."""
 
-    def __init__(self):
+    def __init__(self, spare: list[int], tables: int = 0):
         self.lines: list[str] = []
-        self.line, self.gap, self.indent, self.mark = "", False, "", ""
+        self.tables = tables
+        self.parts, self.gap, self.indent, self.mark, self.spare = [], False, "", "", spare
 
     def text(self, s: str) -> None:
         s = _BLANKS.sub(" ", s)
-        if not self.line:
+        if not self.parts:
             s = s.lstrip(" ")
-        elif self.line.endswith(" ") and s.startswith(" "):
+        elif self.parts[-1].endswith(" ") and s.startswith(" "):
             s = s[1:]
-        self.line += s
+        if s:
+            self.parts.append(s)
 
     def end(self, gap: bool = False) -> None:
-        line = self.line.rstrip(" ")
+        line = "".join(self.parts).rstrip(" ")
         if line:
             self._push(self.indent + self.mark + line)
             if self.mark:
-                self.indent, self.mark = self.indent + " " * len(self.mark), ""
-        self.line = ""
+                self.deeper(len(self.mark))
+                self.mark = ""
+        self.parts = []
         self.gap |= gap and bool(self.lines)
 
+    def deeper(self, n: int) -> None:
+        if len(self.indent) + n <= INDENT:
+            self.indent += " " * n
+
     def _push(self, line: str) -> None:
         if self.gap:
             self.lines.append("")
@@ -196,101 +251,143 @@ def _rows(table: Node) -> tuple[list[list[Node]], list]:
     return rows, loose
 
 
-def _table(page: Page, table: Node, depth: int) -> None:
+def _placed(rows: list[list[tuple[list[str], int, int]]], spare: list[int]) -> list[dict[int, list[str]]]:
+    """Rows of cells (lines, columns, rows that it spans) as rows of lines by column, where only columns count in which a cell begins."""
+    grid, until = [], {}  # until: for columns taken from above, the first row that is free
+    for r, row in enumerate(rows):
+        until = {c: u for c, u in until.items() if u > r}
+        at, line = 0, {}
+        for lines, wide, high in row:
+            while at in until:
+                at += 1
+            line[at] = lines
+            if wide * high > spare[1]:
+                wide = high = 1
+            spare[1] -= wide * high
+            if high > 1:
+                until |= {c: r + high for c in range(at, at + wide)}
+            at += wide
+        grid.append(line)
+    rank = {c: k for k, c in enumerate(sorted({c for line in grid for c in line}))}
+    return [{rank[c]: lines for c, lines in line.items()} for line in grid]
+
+
+def _aligned(page: Page, grid: list[dict[int, list[str]]]) -> list[str]:
+    """The rows' lines, with cells padded to their column while blanks can be spared."""
+    widths: dict[int, int] = {}
+    for row in grid:
+        for c, lines in row.items():
+            widths[c] = max([widths.get(c, 0), *map(len, lines)])
+    before = [0]
+    for c in range(len(widths)):
+        before.append(before[-1] + widths[c] + 2)
+    lines = [[(c, own[i]) for c, own in row.items() if i < len(own)] for row in grid for i in range(max(map(len, row.values()), default=0))]
+    need = sum(before[x[-1][0]] - sum(len(t) for _, t in x[:-1]) for x in lines if x)
+    if need > page.spare[0]:
+        return ["  ".join(t for _, t in x) for x in lines]
+    page.spare[0] -= need
+    out = []
+    for x in lines:
+        parts, at = [], 0
+        for c, t in x:
+            parts += [" " * (before[c] - at), t]
+            at = before[c] + len(t)
+        out.append("".join(parts))
+    return out
+
+
+def _table(page: Page, table: Node):
     rows, loose = _rows(table)
     for x in loose:  # a caption, and what has no cell, is shown before the rows
-        _show(page, x, depth + 1)
+        yield from _child(page, x)
         page.end()
-    grid = []
-    for row in rows:
-        cells = []
+    cells = []
+    for r, row in enumerate(rows):
+        cells.append([])
         for c in row:
-            inner = Page()
+            inner = Page(page.spare, page.tables + 1)
             for x in c.children:
-                _show(inner, x, depth + 1)
+                yield from _child(inner, x)
             inner.end()
-            cells.append([x for x in inner.lines if x])
-            span = c.attribute("colspan") if c.attributes else None
-            cells += [[]] * (min(int(span), 100) - 1 if span and span.isdigit() and int(span) > 1 else 0)
-        grid.append(cells)
-    widths: list[int] = []
-    for row in grid:
-        widths += [0] * (len(row) - len(widths))
-        for k, c in enumerate(row):
-            widths[k] = max([widths[k], *map(len, c)])
-    lines = []
-    for row in grid:
-        for i in range(max((len(c) for c in row), default=0)):
-            lines.append("  ".join((c[i] if i < len(c) else "").ljust(w) for c, w in zip(row, widths, strict=False)))
-    page.verbatim(lines)
+            wide, high = c.number("colspan"), c.number("rowspan")
+            high = len(rows) if high == 0 else min(max(1, high or 1), ROWS)
+            cells[-1].append(([x for x in inner.lines if x], min(max(1, wide or 1), COLUMNS), min(high, len(rows) - r)))
+    page.verbatim(_aligned(page, _placed(cells, page.spare)))
 
 
-def _show(page: Page, node, depth: int = 0) -> None:
+def _child(page: Page, node):
+    """What shows a child: text at once, a node as a walk of its own."""
     if isinstance(node, str):
         page.text(node)
-        return
-    if depth > 200:  # deeper nesting is shown without layout, so that no page exhausts the stack
-        page.text(_all_text(node))
-        return
+    elif not node.hidden():
+        yield _show(page, node)
+
+
+def _show(page: Page, node: Node):
+    """A walk that yields the walks of children to be made in its place."""
     tag = node.tag
-    if node.hidden():
-        return
     if tag == "br":
         page.end()
         return
     if tag == "img":
-        page.text(entities.unescape(node.attribute("alt") or ""))
+        page.text(unescape(node.attribute("alt") or ""))
         return
     if tag == "input":
         if (node.attribute("type") or "").lower() in ("submit", "button", "reset"):
-            page.text(entities.unescape(node.attribute("value") or ""))
+            page.text(unescape(node.attribute("value") or ""))
         return
     block, spaced = tag in BLOCKS, tag in SPACED
     nested = tag in ("ul", "ol") and bool(page.indent or page.mark)
     if block:
         page.end(spaced and not nested)
-    if tag == "table":
-        _table(page, node, depth)
+    if tag == "table" and page.tables < TABLES:
+        yield from _table(page, node)
     elif tag == "pre":
         page.verbatim(_all_text(node).removeprefix("\n").split("\n"))
     elif tag in ("ul", "ol", "menu"):
-        start = node.attribute("start") if tag == "ol" and node.attributes else None
-        number = int(start) if start and start.lstrip("-").isdigit() else 1
+        start = node.number("start") if tag == "ol" else None
+        number = 1 if start is None else start
         for c in node.children:
             if not isinstance(c, str) and c.tag == "li" and not c.hidden():
                 page.end()
                 indent, mark = page.indent, page.mark
                 if mark:
-                    page.indent = indent + " " * len(mark)
-                page.mark = f"{number}. " if tag == "ol" else "- "
+                    page.deeper(len(mark))
+                outer, page.mark = page.indent, f"{number}. " if tag == "ol" else "- "
                 number += 1
                 for x in c.children:
-                    _show(page, x, depth + 1)
+                    yield from _child(page, x)
                 page.end()
-                page.indent, page.mark = (indent + " " * len(mark) if mark else indent), ""
+                page.indent, page.mark = (outer if mark else indent), ""
             else:
-                _show(page, c, depth + 1)
+                yield from _child(page, c)
     elif tag in ("blockquote", "dd"):
         indent = page.indent
-        page.indent += "  "
+        page.deeper(2)
         for x in node.children:
-            _show(page, x, depth + 1)
+            yield from _child(page, x)
         page.end()
         page.indent = indent
     else:
         for x in node.children:
-            _show(page, x, depth + 1)
+            yield from _child(page, x)
         if tag in ("td", "th"):
-            page.text(" ")
+            page.end()
     if block:
         page.end(spaced and not nested)
 
 
 def render(text: str | None) -> str:
     """All visible text of a page, laid out in lines."""
-    page = Page()
+    page = Page([PADDING * len(text or "")] * 2)
     for x in parse(text or "").children:
-        _show(page, x)
+        walks = [_child(page, x)]
+        while walks:
+            inner = next(walks[-1], None)
+            if inner is None:
+                walks.pop()
+            else:
+                walks.append(inner)
     page.end()
     return "\n".join(page.lines)
 

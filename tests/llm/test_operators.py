@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -477,3 +478,40 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.find_secrets(docs).collect() == [] and secrets.redact_secrets(docs).collect() == []
     assert html.extract_text(spark.createDataFrame([], "page_id long, html string")).collect() == []
+
+
+def test_html_of_odd_attributes_deep_pages_and_wide_tables():
+    nines = "5" * 5000
+    assert html.render("<table><tr><td rowspan=2>A<td>B<tr><td>C</table>") == "A  B\n   C"
+    assert html.render("<table><tr><td colspan=2>long title<td>x<tr><td>a<td>b<td>c</table>") == "long title     x\na           b  c"
+    assert html.render("<div>" * 5000 + "<div>alpha</div><div>beta</div>") == "alpha\nbeta"
+    for start in ("²", "--5", nines, "", "x", "٣"):
+        assert html.render(f'<ol start="{start}"><li>x') == "1. x"
+    for odd in ('<td colspan="²">x', f"<td colspan={nines}>x", "<td colspan=-3 rowspan=0>x", "<td rowspan='--1'>x", f"<td rowspan={nines}>x"):
+        assert html.render(odd) == "x"
+    assert html.render(f"a&#{nines};b &#x{'f' * 4000};c &#65;") == "a�b �c A"
+    assert html.render("<title>İİİİ</title><script>İ</SCRIPT>seen<ScRiPt>x</sCrIpT> too") == "seen too"
+    rng = random.Random(31)
+    tags = ["p", "div", "b", "li", "ul", "table", "tr", "td", "th", "span", "h2", "blockquote", "dd", "dt", "ol", "option", "tbody", "a", "i"]
+    values = ["", "=1", "=0", "=-4", "=²", "='9999999999999'", '="3"', "=x", "=' '", "=1000", "=65534"]
+    for _ in range(300):
+        words, parts = [], []
+        for k in range(40):
+            t, a = rng.choice(tags), "".join(f" {n}{rng.choice(values)}" for n in ("colspan", "rowspan", "start") if rng.random() < 0.4)
+            parts.append(rng.choice([f"<{t}{a}>", f"</{t}>", f"<{t}{a}>", "<br>", f"&#{rng.choice(values)};", "&amp;", f"<!--{t}-->"]))
+            words.append(f"w{k}")
+            parts.append(f" w{k} ")
+        page = "".join(parts)
+        out = html.render(page)
+        assert sorted(re.findall(r"w\d+", out)) == sorted(words) and len(out) <= 60 * len(page)
+    # time and output in proportion to the page
+    for what in ("<a></b>", "<b>x<div>y</div>", "<table><tr><td rowspan=9>a", "<!a", "<blockquote>x", "<ul><li>a", "<td colspan=1000 rowspan=0>x<tr>", "<table><b><i></b>", "<p><b>", "<table><tr><td>a<td>b</table>"):
+        took = []
+        for n in (2000, 16000):
+            began = time.process_time()
+            out = html.render(what * n)
+            took.append(time.process_time() - began)
+            assert len(out) <= (PADDED := html.PADDING + html.INDENT) * len(what * n), PADDED
+        assert took[1] < 40 * max(took[0], 0.02), what
+    page = "<table><tr><td>" + "x" * 20000 + "<td>y" + "<tr><td>a<td>b" * 2000 + "</table>"
+    assert len(html.render(page)) <= 6 * len(page)
