@@ -70,16 +70,16 @@ KEY = ["_id", "_t"]
 
 
 def carried(docs: DataFrame) -> DataFrame:
-    """text, key and _row, a struct of all columns of docs whatever their names; select("_row.*") gives the columns back."""
-    return keyed(docs.withColumn("_row", F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])), "_row").select("text", *KEY, "_row")
+    """key and _row, a struct of all columns of docs whatever their names; select("_row.*") gives the columns back."""
+    return keyed(docs.withColumn("_row", F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])), "_row").select(*KEY, "_row")
 
 
 def renewed(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The columns of docs from rows of _row and a new text; n_chars follows the text."""
+    """The columns of docs from rows of _row, without its text, and a new text; n_chars follows the text."""
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return rows.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
+    return rows.select(*[(new[c] if c in new else F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 def sha256_of(column: Column) -> Column:

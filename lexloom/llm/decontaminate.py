@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, keyed, shared_checkpoint
+from .common import KEY, carried, keyed, shared_checkpoint
 
 LENGTH, GRAM = 10, 5
 BROADCAST_ROWS = 200_000
@@ -126,8 +126,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = LENGT
     move below the words' projection and split each text again for every place.
     """
     hits = shared_checkpoint(_judged(keyed(docs), benchmark, length, gram, "inner").select(*KEY, "n_hit"))
-    whole = keyed(docs.withColumn("_whole", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), "_whole").select(*KEY, "_whole")
-    return whole.join(hits.where("n_hit > 0").select(*KEY).distinct(), KEY, "left_anti").select("_whole.*")
+    return carried(docs).join(hits.where("n_hit > 0").select(*KEY).distinct(), KEY, "left_anti").select("_row.*")
 
 
 def _extended(length: int, gram: int) -> Column:

@@ -57,6 +57,8 @@ LONG, DEVIATE = 1024, 5.6
 #: Rows in a slice, and bits of a shingle's hash beside the row's number.
 ROWS, BITS = 4095, 52
 VERIFY_GROUP = 256
+#: Edges for one task where only edges are moved.
+EDGES = 1 << 18
 
 
 @cache
@@ -222,33 +224,48 @@ def _pair_filter(percent: int):
 
 
 def _blocks(nodes: DataFrame, under: DataFrame, about: DataFrame) -> DataFrame:
-    """(members, strays): of each node whose classes (c, n, sketch) are under several leaders, every block of its classes beside every block of those outside its largest group."""
+    """(node, members, strays): of each node whose classes (c, n, sketch) are under several leaders, every block of its classes beside every block of those outside its largest group.
+
+    Each class brings all its nodes, by which a pair that meets in several is kept in one.
+    """
+    own = nodes.groupBy("c").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
     mixed = nodes.select("node", "c").join(under, "c", "left").withColumn("top", F.coalesce("top", "c"))
     groups = mixed.groupBy("node", "top").agg(F.count("*").alias("n"))
     most = groups.groupBy("node").agg(F.max(F.struct("n", "top")).alias("most"), F.count("*").alias("tops"), F.sum("n").alias("size")).where("tops > 1")
     most = most.select("node", F.col("most.top").alias("main"), (F.col("size") - F.col("most.n")).alias("stray"), "size")
-    mixed = mixed.join(most, "node").join(about, "c")
+    mixed = mixed.join(most, "node").join(about.join(own, "c"), "c")
     block = lambda count: F.pmod(F.xxhash64("c"), F.ceil(F.col(count) / SMALL))
-    one = F.struct("c", F.col("n").cast("long").alias("n"), "top", "sketch")
+    one = F.struct("c", F.col("n").cast("long").alias("n"), "top", (F.col("top") != F.col("main")).cast("int").alias("stray"), "nodes", "sketch")
     members = mixed.groupBy("node", block("size").alias("block")).agg(F.collect_list(one).alias("members"))
     strays = mixed.where("top != main").groupBy("node", block("stray").alias("block")).agg(F.collect_list(one).alias("strays"))
-    return members.drop("block").join(strays.drop("block"), "node").select("members", "strays")
+    return members.drop("block").join(strays.drop("block"), "node").select("node", "members", "strays")
+
+
+def _first_common(mine: pa.Array, other: pa.Array, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For pairs of rows of two columns of sorted lists the least value in both lists of a pair."""
+    a, b = mine.to_pylist(), other.to_pylist()
+    out = [min(set(a[k]).intersection(b[m])) for k, m in zip(i.tolist(), j.tolist(), strict=True)]
+    return np.array(out, np.int64)
 
 
 def _block_filter(percent: int):
-    """(a, b): pairs of a block under different leaders that may be linked."""
+    """(a, b): pairs of a block under different leaders that may be linked, each in the least of the nodes that both are in."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
             found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
-            for members, strays in zip(batch.column("members"), batch.column("strays"), strict=True):
+            for node, members, strays in zip(batch.column("node").to_pylist(), batch.column("members"), batch.column("strays"), strict=True):
                 m, s = members.values, strays.values
                 x, y = _matrix(s.field("sketch"), len(s)), _matrix(m.field("sketch"), len(m))
                 none = (x == 0).astype(np.float32) @ (y == 0).astype(np.float32).T
                 sn, mn = s.field("n").to_numpy()[:, None], m.field("n").to_numpy()[None]
                 ok = (100 * np.minimum(sn, mn) >= percent * np.maximum(sn, mn)) & (s.field("top").to_numpy()[:, None] != m.field("top").to_numpy()[None])
                 ok &= np.stack([(r == y).sum(-1) for r in x]) - none >= least_common(sn, mn, LONG - none, percent)
+                # two strays meet twice
+                ok &= (m.field("stray").to_numpy()[None] == 0) | (s.field("c").to_numpy()[:, None] < m.field("c").to_numpy()[None])
                 i, j = np.nonzero(ok)
+                here = _first_common(s.field("nodes"), m.field("nodes"), i, j) == node
+                i, j = i[here], j[here]
                 cs, cm = s.field("c").to_numpy()[i], m.field("c").to_numpy()[j]
                 found[0].append(np.minimum(cs, cm))
                 found[1].append(np.maximum(cs, cm))
@@ -292,14 +309,15 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataF
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(c, comp) for each end of the edges (a, b): the least end that it is connected to."""
-    both = shared_checkpoint(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = shared_checkpoint(both.groupBy(F.col("a").alias("c")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
+    """(c, comp) for each end of the edges (a, b): the least end that it is connected to. Runs in as few tasks as the edges are worth."""
+    tasks = 1 + edges.count() // EDGES
+    both = shared_checkpoint(edges.select("a", "b").union(edges.select("b", "a")).distinct().coalesce(tasks))
+    labels = shared_checkpoint(both.groupBy(F.col("a").alias("c")).agg(F.least(F.min("b"), F.first("a")).alias("comp")).coalesce(tasks))
     while True:
-        near = both.join(labels, both.b == labels.c).select(F.col("a").alias("c"), "comp", F.lit(None).cast("long").alias("was"))
-        step = near.unionByName(labels.withColumn("was", F.col("comp"))).groupBy("c").agg(F.min("comp").alias("comp"), F.max("was").alias("was"))
+        near = both.join(labels, both.b == labels.c).select(F.col("a").alias("c"), "comp", F.lit(None).cast("long").alias("was")).coalesce(tasks)
+        step = near.unionByName(labels.withColumn("was", F.col("comp"))).groupBy("c").agg(F.min("comp").alias("comp"), F.max("was").alias("was")).coalesce(tasks)
         jump = labels.select(F.col("c").alias("comp"), F.col("comp").alias("far"))
-        step = shared_checkpoint(step.join(jump, "comp").select("c", F.least("comp", "far").alias("comp"), "was"))
+        step = shared_checkpoint(step.join(jump, "comp").select("c", F.least("comp", "far").alias("comp"), "was").coalesce(tasks))
         labels = step.select("c", "comp")
         if step.where("comp != was").isEmpty():
             return labels
@@ -307,10 +325,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _tops(links: DataFrame) -> DataFrame:
     """(c, top): one of the leaders a that each b is linked to, or that one's leader."""
-    up = links.groupBy(F.col("b").alias("c")).agg(F.min("a").alias("top"))
+    tasks = 1 + links.count() // EDGES
+    links = links.coalesce(tasks)
+    up = links.groupBy(F.col("b").alias("c")).agg(F.min("a").alias("top")).coalesce(tasks)
     far = up.toDF("top", "far")
     up = up.join(far, "top", "left").select("c", F.coalesce("far", "top").alias("top"))
-    return shared_checkpoint(up.unionByName(links.select("a").distinct().join(up.select(F.col("c").alias("a")), "a", "left_anti").select(F.col("a").alias("c"), F.col("a").alias("top"))))
+    first = links.select("a").distinct().join(up.select(F.col("c").alias("a")), "a", "left_anti")
+    return shared_checkpoint(up.unionByName(first.select(F.col("a").alias("c"), F.col("a").alias("top"))).coalesce(tasks))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:

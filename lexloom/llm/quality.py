@@ -143,5 +143,6 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, keep:
 def apply_rules(docs: DataFrame, **limits) -> DataFrame:
     """The documents that pass, without the lines above the limits; n_chars follows the text. Columns as in docs."""
     verdicts = judge(docs, **limits).where("kept").select(*KEY, "removed").dropDuplicates(KEY)
-    kept = carried(docs).join(verdicts, KEY).select("_row", "text", "removed")
+    # of a kept document the text is never null; it travels once
+    kept = carried(docs).join(verdicts, KEY).select(F.col("_row").dropFields("text").alias("_row"), F.col("_row")["text"].alias("text"), "removed")
     return renewed(docs, kept.mapInArrow(_without, kept.select("_row", "text").schema))
