@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom import lexicon
@@ -68,6 +68,26 @@ def temporal_header(meta: dict[str, Column]) -> Column:
     return F.concat_ws(" | ", *[F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f"{k}: "), c)) for k, c in meta.items()])
 
 
+def section_numbers(title: Column) -> Column:
+    """The distinct article numbers behind section signs."""
+    return F.array_distinct(F.regexp_extract_all(title, F.lit("§([0-9]+(?:-[0-9]+)?)"), F.lit(1)))
+
+
+def composed(parts: DataFrame, key: str, order: str, part: str, between: str, limit: int) -> DataFrame:
+    """(key, text): each key's parts in order, joined, and cut with a mark at the limit."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(order, part))), lambda x: x[part])
+    whole = parts.groupBy(key).agg(F.array_join(ordered, between).alias("text"))
+    return whole.withColumn("text", F.when(F.length("text") > limit, F.concat(F.left("text", F.lit(limit)), F.lit("…"))).otherwise(F.col("text")))
+
+
+def first_difference(a: Column, b: Column, around: int = 10) -> Column:
+    """(pos, around): the first place where two texts differ, from 1, and the first text about it; 0 and nothing where they agree."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(a), F.length(b), F.lit(1)))
+    pos = F.coalesce(F.get(F.filter(places, lambda k: F.coalesce(F.substring(a, k, F.lit(1)), F.lit("")) != F.coalesce(F.substring(b, k, F.lit(1)), F.lit(""))), F.lit(0)), F.lit(0))
+    low = F.greatest(pos - around, F.lit(1))
+    return F.struct(pos.alias("pos"), F.when(pos > 0, F.substring(a, low, pos + around - low)).otherwise("").alias("around"))
+
+
 def file_name(text: Column) -> Column:
     return F.regexp_replace(text, r'[\\/:*?"<>|]', "_")
 

@@ -20,6 +20,16 @@ def claims(responses: DataFrame) -> DataFrame:
     )
 
 
+def response_layers(text: Column) -> Column:
+    """(state, citations, claim_status): error or agree; the text with its citations in one form; its status in one word."""
+    status = citation.status(text)["status"]
+    return F.struct(
+        F.when(F.coalesce(status, F.lit("")) == "error", "error").otherwise("agree").alias("state"),
+        citation.normalize(text).alias("citations"),
+        F.coalesce(status, F.lit("unknown")).alias("claim_status"),
+    )
+
+
 def clusters(rows: DataFrame, key: list[str]) -> DataFrame:
     """rows(key…, model, status) grouped by key: who, which statuses, and whether they agree."""
     grouped = rows.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set("model")), ",").alias("models"), F.array_join(F.array_sort(F.collect_set("status")), ",").alias("statuses"), F.count_distinct("status").alias("n_statuses"), F.count("*").alias("n_claims"))
@@ -61,14 +71,20 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def similar_claims(rows: DataFrame, threshold: float = 0.35) -> DataFrame:
     """Pairs (a, b) of claims(id, dimension, issue) of one dimension whose beginnings share their characters.
 
-    Candidates meet by a shared character, so only claims with something in
-    common are compared; the similarity is exact.
+    A claim is looked for by its rarest characters only, so many that any claim above the threshold
+    shares one of them, and among claims of a fitting number of characters; a common
+    character alone brings no pairs. The similarity of what meets is exact.
     """
     chars = rows.select("id", "dimension", T.characters(F.col("issue")).alias("chars")).withColumn("chars", F.filter("chars", lambda c: c != ""))
-    each = chars.select("id", "dimension", F.size("chars").alias("n"), F.explode("chars").alias("c"))
-    other = each.toDF("id_b", "dimension", "n_b", "c")
-    shared = each.join(other, ["dimension", "c"]).where("id < id_b").groupBy("id", "id_b", "n", "n_b").agg(F.count("*").alias("common"))
-    return shared.where(F.col("common") > threshold * (F.col("n") + F.col("n_b") - F.col("common"))).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
+    each = chars.select("id", "dimension", "chars", F.explode("chars").alias("c"))
+    often = each.groupBy("dimension", "c").agg(F.count("*").alias("often"))
+    n = F.size("chars")
+    first = F.slice(F.array_sort(F.collect_list(F.struct("often", "c"))), 1, F.max(n - F.ceil(threshold * n).cast("int") + 1))
+    keys = each.join(often, ["dimension", "c"]).groupBy("dimension", "id").agg(F.any_value("chars").alias("chars"), first.alias("first"))
+    keys = keys.select("dimension", "id", "chars", F.explode("first.c").alias("c"))
+    met = keys.join(keys.toDF("dimension", "id_b", "chars_b", "c"), ["dimension", "c"]).where("id < id_b")
+    met = met.where((F.size("chars_b") >= threshold * F.size("chars")) & (F.size("chars") >= threshold * F.size("chars_b")))
+    return met.where(T.jaccard(F.col("chars"), F.col("chars_b")) > threshold).select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 # What a cluster's label leads to, by priority.

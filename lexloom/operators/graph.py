@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HIERARCHY = ("is_a", "has_part")
@@ -49,6 +49,36 @@ def context(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int =
     return out.withColumn("path", F.array_join(F.concat("above", F.array("label"), "below"), " → "))
 
 
+#: Prefixes of the ids of entities made from tables.
+PREFIXES = {"Article": "art-", "Concept": "con-"}
+
+
+def entities(rows: DataFrame, kind: str, key: Column, label: Column, text: Column) -> DataFrame:
+    """(id, label, type, metadata) of articles or concepts."""
+    return rows.select(F.concat(F.lit(PREFIXES[kind]), key.cast("string")).alias("id"), label.alias("label"), F.lit(kind).alias("type"), F.create_map(F.lit("text"), text).alias("metadata"))
+
+
+def entity_json() -> Column:
+    return F.to_json(F.struct("id", "label", "type", "metadata"))
+
+
+def entities_of_json(rows: DataFrame, column: str) -> DataFrame:
+    """Entities back from their JSON; without metadata it is empty."""
+    x = F.from_json(column, "id string, label string, type string, metadata map<string,string>")
+    return rows.select(x.alias("x")).select("x.id", "x.label", "x.type", F.coalesce("x.metadata", F.create_map().cast("map<string,string>")).alias("metadata"))
+
+
+def retrieve(queries: DataFrame, points: DataFrame, nodes: DataFrame, edges: DataFrame, k: int, depth: int = 2) -> DataFrame:
+    """The k nearest points(id, v, entity) of each of queries(query_id, q), each with the surroundings of its entity, null where the graph has none; surroundings are found for the entities that were met only."""
+    from lexloom.operators import retrieval
+    from lexloom.sources.shared import checkpoint
+
+    found = retrieval.top_k(queries, points.select("id", "v"), k).join(points.select("id", "entity"), "id")
+    found = checkpoint(found.select("query_id", "id", "score", "rank", "entity"))
+    around = context(nodes, edges, found.select(F.col("entity").alias("id")).distinct(), depth)
+    return found.join(around, F.col("entity") == F.col("start"), "left").drop("start")
+
+
 def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with an end that is no node."""
     ids = nodes.select("id")

@@ -11,11 +11,11 @@ from lexloom.functions import vectors
 MAX_QUERIES = 2000
 
 
-def top_k(queries: DataFrame, points: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
-    """(query_id, id, score, rank): for queries(query_id, q) the k points(id, v) of the highest cosine; ties by id.
+def scores(queries: DataFrame, points: DataFrame) -> DataFrame:
+    """(query_id, id, score): the cosine of each of queries(query_id, q) with each of points(id, v).
 
     A stated query set against all points, in blocks: each block of queries is
-    one broadcast row. Spark keeps k rows per query in each task before the exchange.
+    one broadcast row.
     """
     blocks = max(1, -(-queries.count() // MAX_QUERIES))
     scored = None
@@ -24,6 +24,17 @@ def top_k(queries: DataFrame, points: DataFrame, k: int, threshold: float | None
         part = points.crossJoin(F.broadcast(block)).select("id", "v", F.explode("qs").alias("q"))
         part = part.select(F.col("q.query_id").alias("query_id"), "id", F.round(vectors.cosine(F.col("q.q"), F.col("v")), 9).alias("score"))
         scored = part if scored is None else scored.unionByName(part)
+    return scored
+
+
+def above(queries: DataFrame, points: DataFrame, threshold: float) -> DataFrame:
+    """(query_id, near): how many points reach a score, counted in each task before the exchange."""
+    return scores(queries, points).where(F.col("score") >= threshold).groupBy("query_id").agg(F.count("*").alias("near"))
+
+
+def top_k(queries: DataFrame, points: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
+    """(query_id, id, score, rank): the k points of the highest cosine for each query; ties by id. Spark keeps k rows per query in each task before the exchange."""
+    scored = scores(queries, points)
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)
     near = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

@@ -64,6 +64,39 @@ def violations(rows: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumn("v", F.explode(F.filter(each, lambda v: v.isNotNull()))).select(*rows.columns, "v.*")
 
 
+def violation_counts(rows: DataFrame, text: str = "text") -> DataFrame:
+    """(invariant, severity, n): how many rows break each invariant, in one aggregate over the rows."""
+    found = broken(F.col(text))
+    counted = rows.agg(*[F.count_if(found[i]).alias(i) for i, _ in INVARIANTS])
+    each = F.array(*[F.struct(F.lit(i).alias("invariant"), F.lit(s).alias("severity"), F.col(i).alias("n")) for i, s in INVARIANTS])
+    return counted.select(F.explode(each).alias("x")).select("x.*").where("n > 0")
+
+
+def issues(rows: DataFrame, raw: str) -> DataFrame:
+    """One row for each issue of an answer: the last list in a fence, a bare or wrapped list, or one inside other text; blank issues are dropped, missing places are numbered."""
+    kind = "array<struct<issue:string,location:string>>"
+    wrapped = lambda x: F.from_json(x, f"struct<issues:{kind}>")["issues"]
+    fenced = F.transform(F.regexp_extract_all(raw, F.lit(r"(?s)```(?:json)?\s*(.*?)```"), F.lit(1)), lambda x: F.coalesce(F.from_json(x, kind), wrapped(x)))
+    tries = F.coalesce(
+        F.try_element_at(F.filter(fenced, lambda x: F.size(x) > 0), F.lit(-1)),
+        F.when(F.col(raw).startswith("["), F.from_json(raw, kind)),
+        F.when(F.col(raw).startswith("{"), wrapped(F.col(raw))),
+        F.from_json(F.regexp_extract(raw, r"(?s)(\[\s*\{.*\}\s*\])", 1), kind),
+    )
+    found = rows.select(*rows.columns, F.posexplode(tries).alias("pos", "x")).where("trim(x.issue) != ''")
+    return found.select(*rows.columns, F.coalesce("x.location", F.concat(F.lit("item_"), F.col("pos").cast("string"))).alias("location"), "x.issue")
+
+
+def judgment_problems(rows: DataFrame) -> DataFrame:
+    """One row for each column of a judgment and its chunk that is outside its domain, and for chunks of another document."""
+    c = F.col
+    checks = {
+        "court_level": ~c("court_level").isin(*lexicon.COURT_LEVELS), "case_type": ~c("case_type").isin(*lexicon.JUDGMENT_TYPES), "holding": ~c("holding").isin(*lexicon.HOLDINGS),
+        "chunk_type": ~c("chunk_type").isin(*lexicon.CHUNK_TYPES), "chunk_index": c("chunk_index") < 0, "chunk_text": F.length("chunk_text") < lexicon.MIN_CHUNK, "chunk doc_id": c("chunk_doc") != c("doc_id"),
+    }
+    return rows.withColumn("problem", F.explode(F.filter(F.array(*[F.when(bad, F.lit(n)) for n, bad in checks.items()]), lambda p: p.isNotNull())))
+
+
 def gates(text: Column) -> dict[str, Column]:
     """G1 to G5, true where a prompt passes."""
     low, words = F.lower(text), F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom import lexicon
 from lexloom.functions import text as T
 from lexloom.functions.udfs import char_diff
 
@@ -38,11 +39,14 @@ def insert_ignore(base: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame
 def as_of(versions: DataFrame, moments: DataFrame, key: str, version: str, moment: str) -> DataFrame:
     """For each row of moments the greatest version up to its moment; null before the first.
 
-    A partial maximum per (key, moment) after an equi-join on the key.
+    Versions and moments of a key stand in one order of time, and each moment takes the last version
+    before it: one exchange, and no pairs of versions and moments.
     """
-    hit = moments.join(versions.select(key, version), key).where(F.col(version) <= F.col(moment))
-    best = hit.groupBy(key, moment).agg(F.max(version).alias("as_of_version"))
-    return moments.join(best, [key, moment], "left")
+    both = moments.withColumn("_at", F.col(moment)).withColumn("_version", F.lit(None).cast(versions.schema[version].dataType)).withColumn("_asks", F.lit(1))
+    known = versions.select(key, F.col(version).alias("_version")).withColumn("_at", F.col("_version")).withColumn("_asks", F.lit(0))
+    w = Window.partitionBy(key).orderBy("_at", "_asks").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.unionByName(known, allowMissingColumns=True).withColumn("as_of_version", F.last("_version", ignorenulls=True).over(w))
+    return out.where("_asks = 1").select(*moments.columns, "as_of_version")
 
 
 def check(tracked: DataFrame, index: DataFrame) -> DataFrame:
@@ -99,16 +103,24 @@ def summary(ops: str, chars: int = 80) -> Column:
 
 
 def last_amendment(history: Column) -> Column:
-    """(doc_no, articles, full) of the last numbered entry of an amendment history."""
-    entries = F.filter(F.split(history, r"(?m)^\s*[0-9]+[.．、]\s*"), lambda e: F.trim(e) != "")
-    last = F.coalesce(F.try_element_at(entries, F.lit(-1)), F.lit(""))
+    """(doc_no, articles, full) of the last numbered entry of an amendment history; empty where none is numbered."""
+    entries = F.split(history, r"\n\s*[0-9]+\.\s*")
+    only = F.regexp_extract(history, r"(?s)[0-9]+\.\s*(.*)$", 1)
+    last = F.when(F.size(entries) > 1, F.element_at(entries, -1)).otherwise(only)
+    last = F.coalesce(F.regexp_replace(last, r"^\s+|\s+$", ""), F.lit(""))
     return F.struct(
-        F.regexp_extract(last, r"([^\s，。]*字第\s*[0-9]+\s*號)", 1).alias("doc_no"),
-        F.slice(F.array_distinct(F.regexp_extract_all(last, F.lit(r"第\s*([0-9]+(?:-[0-9]+)?)\s*條"), F.lit(1))), 1, 20).alias("articles"),
-        F.left(F.trim(last), F.lit(500)).alias("full"),
+        F.trim(F.regexp_extract(last, f"({lexicon.DOCUMENT_NUMBER})", 1)).alias("doc_no"),
+        F.slice(F.array_distinct(F.regexp_extract_all(last, F.lit(lexicon.ARTICLE_RANGE), F.lit(1))), 1, 20).alias("articles"),
+        F.left(last, F.lit(500)).alias("full"),
     )
 
 
+def snapshot_rows(laws: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, version, article_no, text) of nested snapshot JSON; versions that begin with an underscore are internal."""
+    rows = laws.select(key, F.explode(F.from_json(column, "map<string,map<string,string>>")).alias("version", "a")).where(~F.col("version").startswith("_"))
+    return rows.select(key, "version", F.explode("a").alias("article_no", "text"))
+
+
 def search(names: DataFrame, word: str, preferred_level: str) -> DataFrame:
     """names(name, level, …) matched in tiers: equal, beginning, anywhere; the preferred level first, then by name."""
     tier = F.when(F.col("name") == word, 0).when(F.col("name").startswith(word), 1).when(F.col("name").contains(word), 2)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lexloom.functions import text as T
 from lexloom.functions import vectors
 from lexloom.streaming import feeds
 
@@ -130,10 +131,7 @@ _PREVIEW = values("id, a, b", "(1, 'abcdefghijklmnopqrstuvwxyz', 'abcdefghijklmn
 @query("SELECT * FROM (VALUES (1, 16, 'fghijklmnopqrstuvwxy'), (2, 0, ''), (3, 3, 'ab')) t(id, pos, around)")
 def r26_diff_preview(spark, read):
     """The first place where two texts differ, with ten characters on either side."""
-    first = F.coalesce(F.get(F.filter(F.sequence(F.lit(1), F.lit(80)), lambda k: F.coalesce(F.substring("a", k, F.lit(1)), F.lit("")) != F.coalesce(F.substring("b", k, F.lit(1)), F.lit(""))), F.lit(0)), F.lit(0))
-    rows = spark.sql(f"SELECT * FROM {_PREVIEW}").withColumn("pos", first)
-    low = F.greatest(F.col("pos") - 10, F.lit(1))
-    return rows.select("id", "pos", F.when(F.col("pos") > 0, F.substring("a", low, F.col("pos") + 10 - low)).otherwise("").alias("around"))
+    return spark.sql(f"SELECT * FROM {_PREVIEW}").select("id", T.first_difference(F.col("a"), F.col("b")).alias("x")).select("id", "x.pos", "x.around")
 
 
 _PLAN = values("condition, drops", "('full', '')", "('no citation', 'CITATION')", "('no core', 'ALL')")

@@ -216,7 +216,8 @@ def t1_cosine_top_k(spark, read):
 @query(f"SELECT q.vec_id AS query_id, count(*) AS near FROM embeddings q, embeddings p WHERE q.vec_id % 100 = 0 AND round({_COS}, 9) >= 0.3 GROUP BY 1")
 def p8_score_threshold(spark, read):
     """Points above a score."""
-    return _top(read, 10**9, 0.3).groupBy("query_id").agg(F.count("*").alias("near"))
+    e = read("embeddings")
+    return R.above(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 0.3)
 
 
 _MEASURED = f"SELECT query_id, any_value(ql) AS domain, count(*) FILTER (pl = ql) / 5.0 AS precision, count(*) FILTER (pl = ql)::DOUBLE / (SELECT count(*) FROM embeddings e WHERE e.label = any_value(ql)) AS recall FROM ({_TOP}) GROUP BY query_id"

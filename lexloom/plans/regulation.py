@@ -247,8 +247,7 @@ _SNAPSHOT_JSON = values("pcode, j", """('A1', '{"20200101": {"1": "x", "9-1": "y
 @query("""SELECT * FROM (VALUES ('A1', '20200101', '1', 'x'), ('A1', '20200101', '9-1', 'y'), ('A1', '20210101', '1', 'x2')) t(pcode, version, article_no, text)""")
 def s4_snapshot_rows(spark, read):
     """Nested snapshot JSON as rows; internal versions are left out."""
-    rows = spark.sql(f"SELECT * FROM {_SNAPSHOT_JSON}").select("pcode", F.explode(F.from_json("j", "map<string,map<string,string>>")).alias("version", "a")).where(~F.col("version").startswith("_"))
-    return rows.select("pcode", "version", F.explode("a").alias("article_no", "text"))
+    return V.snapshot_rows(spark.sql(f"SELECT * FROM {_SNAPSHOT_JSON}"), "pcode", "j")
 
 
 @query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&nbsp;', ' ', 'g'), '[ \\t\\n]+', ' ', 'g')) AS heading, len(regexp_extract_all(html, '<p>')) AS paragraphs FROM pages")

@@ -132,10 +132,8 @@ def f30_composed(spark, read):
     """documents in order under their headers, joined and cut with a mark."""
     rows = spark.sql(f"SELECT * FROM {_RAW}").withColumn("m", T.front_matter(F.col("raw")))
     part = F.concat(T.temporal_header({"status": F.col("m.status")}), F.lit("\n"), F.col("m.body"))
-    whole = rows.groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", part.alias("p")))), lambda x: x["p"]), "\n===\n").alias("p"))
-    limit = 35
-    cut = F.when(F.length("p") > limit, F.concat(F.left("p", F.lit(limit)), F.lit("…"))).otherwise(F.col("p"))
-    return whole.select(cut.alias("prompt"), T.tokens(cut).cast("int").alias("tokens"))
+    whole = T.composed(rows.select(F.lit(1).alias("one"), "ordinal", part.alias("part")), "one", "ordinal", "part", "\n===\n", 35)
+    return whole.select(F.col("text").alias("prompt"), T.tokens(F.col("text")).cast("int").alias("tokens"))
 
 
 _LAYERS = values("task, layer_ord, file_ord, path", "('*', 1, 1, 'core/a')", "('*', 1, 2, 'core/b')", "('*', 2, 1, 'core/c')", "('QC', 1, 1, 'task/q')", "('QC', 1, 2, 'core/b')", "('REPORT', 1, 1, 'task/r')")
@@ -184,7 +182,7 @@ def f40_personal_data(spark, read):
 @query("SELECT severity, count(*) AS n FROM (" + _VIOLATIONS.replace("ROWS", "(SELECT doc_id AS id, text FROM documents)") + ") GROUP BY severity")
 def a18_severities(spark, read):
     """A18, I001 to I006 on documents: violations by severity."""
-    return R.violations(read("documents").select("doc_id", "text")).groupBy("severity").agg(F.count("*").alias("n"))
+    return R.violation_counts(read("documents").select("text")).groupBy("severity").agg(F.sum("n").alias("n"))
 
 
 _GATES = "(contains(l, 'role') AND contains(l, 'task') AND contains(l, 'output') AND contains(l, 'constraint')) AS g1, n >= 50 AS g2, (contains(text, '例如') OR contains(l, 'example') OR contains(text, '{') OR contains(text, '```')) AS g4, (d1 = d2 AND s1 - 2 * d1 = s2 - 2 * d2) AS g5"
@@ -265,13 +263,7 @@ _RAWJSON = values("id, raw", """(1, 'text ```json\n[{"issue": "a"}]\n``` and ```
 @query("SELECT * FROM (VALUES (1, 'item_0', 'b'), (2, 'item_0', 'c'), (3, 'item_0', 'd'), (4, 'item_0', 'e')) t(id, location, issue)")
 def f47_issues_from_answers(spark, read):
     """Issues out of fenced, bare, wrapped or embedded JSON; blank issues are dropped."""
-    kind = "array<struct<issue:string,location:string>>"
-    fenced = F.transform(F.regexp_extract_all("raw", F.lit(r"(?s)```(?:json)?\s*(.*?)```"), F.lit(1)), lambda x: F.coalesce(F.from_json(x, kind), F.from_json(x, f"struct<issues:{kind}>")["issues"]))
-    tries = F.coalesce(F.try_element_at(F.filter(fenced, lambda x: F.size(x) > 0), F.lit(-1)),
-                       F.when(F.col("raw").startswith("["), F.from_json("raw", kind)), F.when(F.col("raw").startswith("{"), F.from_json("raw", f"struct<issues:{kind}>")["issues"]),
-                       F.from_json(F.regexp_extract("raw", r"(?s)(\[\s*\{.*\}\s*\])", 1), kind))
-    rows = spark.sql(f"SELECT * FROM {_RAWJSON}").select("id", F.posexplode(tries).alias("pos", "x"))
-    return rows.where("trim(x.issue) != ''").select("id", F.coalesce("x.location", F.concat(F.lit("item_"), F.col("pos").cast("string"))).alias("location"), "x.issue")
+    return R.issues(spark.sql(f"SELECT * FROM {_RAWJSON}"), "raw").select("id", "location", "issue")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.page') AS VARCHAR) AS page, length(props) AS n FROM events")

@@ -31,10 +31,10 @@ def once(events: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def sync(index: DataFrame, tracked: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Take all index rows that have arrived, check the tracked laws against the latest of each, and append what the check found; then stop."""
+    """Take all index rows that have arrived, check the tracked laws against the latest of each, and write what the check found to the batch's own folder, so that a batch that is run again replaces its rows; then stop."""
 
     def batch(rows: DataFrame, number: int) -> None:
         newest = versions.latest(rows, ["pcode"], F.desc("current"))
-        versions.check(tracked, newest).withColumn("batch", F.lit(number)).write.mode("append").parquet(target)
+        versions.check(tracked, newest).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return index.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
