@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from .common import partitions, shared_checkpoint, slices, words_of
 
 SEQUENCE, OPEN, END = 2048, 1024, 0
-#: Distinct chunks that a task's Python worker keeps; then it starts anew.
-CACHE = 1 << 20
+#: Distinct chunks, and ids of them, that a Python worker keeps; then it starts anew.
+CACHE, POOL = 1 << 18, 1 << 21
 #: First-round tasks, by the bins they leave, for one task of the second round.
 TASKS_TO_ONE = 64
 
@@ -56,8 +56,7 @@ class Encoder:
 
     def _clear(self) -> None:
         self._place: dict[int, int] = {}
-        self._ids: list[np.ndarray] = []
-        self._pool, self._first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self._pool, self._first, self._used = np.zeros(1 << 12, np.uint32), np.zeros(1 << 12, np.int64), 0
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self._bpe.encode(text, allowed_special="all"), np.uint32)
@@ -95,7 +94,7 @@ class Encoder:
         return np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])])
 
     def _lookup(self, distinct: np.ndarray, begin: np.ndarray, stop: np.ndarray, raw: bytes) -> np.ndarray:
-        if len(self._place) + len(distinct) > CACHE:
+        if len(self._place) + len(distinct) > CACHE or self._used > POOL:
             self._clear()
         got = list(map(self._place.get, distinct.tolist()))
         missing = [k for k, v in enumerate(got) if v is None]
@@ -103,16 +102,23 @@ class Encoder:
             known = distinct.tolist()
             encode = self._bpe.encode_ordinary
             new = [encode(raw[i:j].decode()) for i, j in zip(begin[missing].tolist(), stop[missing].tolist(), strict=True)]
-            base = len(self._first) - 1
+            base = len(self._place)
             for n, k in enumerate(missing):
                 self._place[known[k]] = got[k] = base + n
             lengths = np.fromiter(map(len, new), np.int64, len(new))
-            self._ids.append(np.fromiter((x for ids in new for x in ids), np.uint32, int(lengths.sum())))
-            self._pool = np.concatenate([self._pool, self._ids.pop()])
-            self._first = np.concatenate([self._first, self._first[-1] + np.cumsum(lengths)])
+            to, total = base + len(new), self._used + int(lengths.sum())
+            self._first, self._pool = _room(self._first, to + 1), _room(self._pool, total)
+            self._first[base + 1 : to + 1] = self._used + np.cumsum(lengths)
+            self._pool[self._used : total] = np.fromiter((x for ids in new for x in ids), np.uint32, total - self._used)
+            self._used = total
         return np.array(got, np.int64)
 
 
+def _room(values: np.ndarray, n: int) -> np.ndarray:
+    """values, in an array of twice the length if n do not fit."""
+    return values if n <= len(values) else np.concatenate([values, np.zeros(max(n, 2 * len(values)) - len(values), values.dtype)])
+
+
 def _odd_texts(data: np.ndarray, offsets: np.ndarray, raw: bytes) -> np.ndarray:
     """Texts with blanks outside ASCII, or with a special token's name."""
     at = np.flatnonzero((data == 0xC2) | (data == 0xE1) | (data == 0xE2) | (data == 0xE3))

@@ -9,9 +9,9 @@ segment stays as it is if it is frequent among its siblings (SHARE of the
 parent's urls and MIN_COUNT urls) and otherwise becomes the wildcard of its shape: digits,
 hex, words, or mixed, with its extension. Siblings without labels take part in a
 wildcard only if MIN_LABELS labelled siblings of the shape, with COVER of its urls
-labelled, speak for them; else they are a wildcard of their own, marked "?". Labelled sibling branches of one wildcard
-shape are merged if a chi-square test on their labels does not tell them apart (below
-MERGE), else kept apart as the two groups above and below the parent's rate. A
+labelled, speak for them; else they are a wildcard of their own, marked "?". A labelled branch of a wildcard
+shape is merged with its siblings of that shape if a chi-square test on its labels and theirs does not tell them apart (below
+MERGE); those that it tells apart form the two groups above and below their siblings' rate. A
 template is rejected if it has MIN_LABELS labelled urls of its own and their smoothed share
 of blocked ones in its branch, (blocked + PRIOR * rate) / (labelled + PRIOR), is at least
 REJECT; the rate is that of the parent, and even above the host. Urls that end at an inner node have only each other's labels. Levels
@@ -89,19 +89,21 @@ def templates(judged: DataFrame) -> DataFrame:
         if going.isEmpty():
             break
         # what stays literal, what becomes a wildcard
-        parent = going.groupBy("node").agg(F.sum("n").alias("total"), F.sum("labelled").alias("pl"), F.sum("blocked").alias("pb"))
+        parent = going.groupBy("node").agg(F.sum("n").alias("total"))
         child = _rated(going, ["node", "segment"], "purity").join(parent, "node")
         stays = (F.col("all") >= MIN_COUNT) & (F.col("all") >= SHARE * F.col("total"))
-        # a wildcard branch that the test tells apart from its siblings goes to their upper or lower group
-        rate = F.col("pb") / F.greatest(F.col("pl"), F.lit(1))
-        chi = F.pow(F.col("b") - F.col("l") * rate, 2) / F.greatest(F.col("l") * rate * (1 - rate), F.lit(1e-9))
         # labels speak for siblings without any only if enough siblings and urls of the shape have them
         child = child.withColumn("shape", F.when(~stays, _shape("segment")))
-        shapes = child.where("shape is not null").groupBy("node", "shape").agg(F.count_if(F.col("l") > 0).alias("told"), F.sum("l").alias("sl"), F.sum("all").alias("sall"))
+        shapes = child.where("shape is not null").groupBy("node", "shape").agg(F.count_if(F.col("l") > 0).alias("told"), F.sum("l").alias("sl"), F.sum("b").alias("sb"), F.sum("all").alias("sall"))
         child = child.join(shapes, ["node", "shape"], "left")
         speaks = (F.col("told") >= MIN_LABELS) & (F.col("sl") >= COVER * F.col("sall"))
         alone = (F.col("l") == 0) & (F.col("sl") > 0) & ~speaks
-        side = F.when(alone, "?").when((F.col("l") == 0) | (chi < MERGE), "").when(F.col("b") > F.col("l") * rate, "+").otherwise("-")
+        # a wildcard branch that the test tells apart from its siblings of the shape goes to their upper or lower group
+        rest, blocked = F.col("sl") - F.col("l"), F.col("sb") - F.col("b")
+        rate = F.col("sb") / F.greatest(F.col("sl"), F.lit(1))
+        gap = F.col("b") / F.greatest(F.col("l"), F.lit(1)) - blocked / F.greatest(rest, F.lit(1))
+        chi = gap * gap / F.greatest(rate * (1 - rate) * (1 / F.greatest(F.col("l"), F.lit(1)) + 1 / F.greatest(rest, F.lit(1))), F.lit(1e-9))
+        side = F.when(alone, "?").when((F.col("l") == 0) | (rest == 0) | (chi < MERGE), "").when(gap > 0, "+").otherwise("-")
         child = child.withColumn("part", F.when(stays, F.col("segment")).otherwise(F.concat("shape", side)))
         merged = child.groupBy("node", "part").agg(F.sum("b").alias("mb"), F.sum("l").alias("ml"), F.first("up").alias("mup"))
         child = child.select("node", "segment", "part").join(merged, ["node", "part"]).select("node", "segment", "part", "ml", _smooth(F.col("mb"), F.col("ml"), F.col("mup")).alias("next"))

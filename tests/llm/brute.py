@@ -185,3 +185,68 @@ def toxicity(docs, labels, o):
         n = near(vector(terms(t)))
         out[i] = (min(1.0, max(0.0, curve(vote(n)))) if n else bare, [str(ids[e]) for _, e in n])
     return out
+
+
+def url_tree(urls, o):
+    """urls: (host, path, verdict or None), each once with its number. {(host, path): (template, purity, labels)} by a plain tree. o: the operator's constants."""
+    import math  # noqa: F401
+
+    def shape(s):
+        m = re.fullmatch(r"(.*?)(\.[A-Za-z]{1,5})?", s)
+        stem, ext = m[1], m[2] or ""
+        kind = "" if not stem else "{n}" if re.fullmatch("[0-9]+", stem) else "{hex}" if re.fullmatch("[0-9a-fA-F]{8,}", stem) else "{word}" if not re.search("[0-9]", stem) else "{mix}"
+        return kind + ext
+
+    rows = defaultdict(lambda: [0, 0, 0])
+    for host, path, verdict in urls:
+        r = rows[host, path]
+        r[0] += 1
+        r[1] += verdict is not None
+        r[2] += verdict == "block"
+    smooth = lambda b, n, rate: (b + o.PRIOR * rate) / (n + o.PRIOR)
+    total = lambda own: [sum(rows[k][i] for k in own) for i in range(3)]
+    out = {}
+
+    def descend(own, node, level, rate):
+        going = defaultdict(list)
+        for host, path in own:
+            parts = path.split("/")[1:]
+            if level < len(parts):
+                going[parts[level]].append((host, path))
+            else:
+                out[host, path] = (node, rate)
+        size = sum(total(v)[0] for v in going.values())
+        stays = {s for s, v in going.items() if total(v)[0] >= o.MIN_COUNT and total(v)[0] >= o.SHARE * size}
+        alike = defaultdict(list)
+        for s in going:
+            if s not in stays:
+                alike[shape(s)].append(s)
+        parts = defaultdict(list)
+        for s, v in going.items():
+            if s in stays:
+                parts[s].append(s)
+                continue
+            kin = alike[shape(s)]
+            n, b = total(v)[1:]
+            told = sum(total(going[k])[1] > 0 for k in kin)
+            everyone = [sum(x) for x in zip(*(total(going[k]) for k in kin))]
+            rest, blocked = everyone[1] - n, everyone[2] - b
+            side = ""
+            if n == 0 and everyone[1] > 0 and not (told >= o.MIN_LABELS and everyone[1] >= o.COVER * everyone[0]):
+                side = "?"
+            elif n and rest:
+                pooled, gap = everyone[2] / everyone[1], b / n - blocked / rest
+                if gap * gap / max(pooled * (1 - pooled) * (1 / n + 1 / rest), 1e-9) >= o.MERGE:
+                    side = "+" if gap > 0 else "-"
+            parts[shape(s) + side].append(s)
+        for part, segments in parts.items():
+            below = [k for s in segments for k in going[s]]
+            descend(below, f"{node}/{part}", level + 1, smooth(total(below)[2], total(below)[1], rate))
+
+    for host in {h for h, _ in rows}:
+        own = [k for k in rows if k[0] == host]
+        descend(own, host, 0, smooth(total(own)[2], total(own)[1], 0.5))
+    labels = Counter()
+    for k, (node, _) in out.items():
+        labels[node] += rows[k][1]
+    return {k: (node, round(rate, 9), labels[node]) for k, (node, rate) in out.items()}

@@ -515,3 +515,55 @@ def test_html_of_odd_attributes_deep_pages_and_wide_tables():
         assert took[1] < 40 * max(took[0], 0.02), what
     page = "<table><tr><td>" + "x" * 20000 + "<td>y" + "<tr><td>a<td>b" * 2000 + "</table>"
     assert len(html.render(page)) <= 6 * len(page)
+
+
+def test_url_tree_against_a_plain_one(spark):
+    rng = random.Random(17)
+    words = ["news", "blog", "item", "shop", "a", "b2", "x-1", "list.html", "view.php", "deadbeef01"]
+    pages = []
+    for _ in range(3000):
+        host = rng.choice(["h1.net", "h2.net", "h3.net"])
+        path = "".join("/" + (rng.choice(words) if rng.random() < 0.6 else str(rng.randrange(60)) + rng.choice(["", ".html"])) for _ in range(rng.randrange(0, 5)))
+        bad = 0.9 if "/shop" in path else 0.1
+        verdict = ("block" if rng.random() < bad else "allow") if rng.random() < 0.5 else None
+        pages.append((host, path, verdict))
+    got = urls.templates(spark.createDataFrame(pages, "host string, path string, verdict string")).collect()
+    want = brute.url_tree(pages, urls)
+    assert {(r.host, r.path): (r.template, r.labels) for r in got} == {k: (t, n) for k, (t, _, n) in want.items()}
+    assert all(abs(r.purity - want[r.host, r.path][1]) < 1e-8 for r in got)
+    assert any("+" in r.template for r in got) and any(r.purity >= urls.REJECT and r.labels >= urls.MIN_LABELS for r in got)
+
+
+def test_random_spans_against_a_plain_version():
+    rng = random.Random(23)
+    word = lambda: rng.choice(["the", "information", "=", "key=", " ", "\n", "/", "https://example.com/a_b/", "?sig=", "john@mail.example.com", HEXES[:40], HEXES, KEY, "token: " + HEXES[:12], "20240101120000123456", "é", "-", "123e4567-e89b-12d3-a456-426614174000", "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.choice([5, 12, 24, 40])))])
+    for _ in range(400):
+        text = "".join(word() for _ in range(rng.randrange(1, 14)))
+        base = secrets.base_spans(text)
+        free = [re.fullmatch(r"[A-Za-z0-9+/_=-]", c) is not None for c in text]
+        taken = [s[1:] for s in base] + [m.span() for m in secrets.KNOWN.finditer(text)] + [m.span(m.lastgroup) for m in secrets.ADDRESS.finditer(text)]
+        for i, j in taken:
+            free[i:j] = [False] * (j - i)
+        want, at = [], 0
+        while at < len(text):
+            end = at
+            while end < len(text) and free[end]:
+                end += 1
+            if end - at >= secrets.MIN_CHARS:
+                if secrets.is_random(text[at:end]):
+                    want.append((3, at, end))
+                else:
+                    cuts = [at, *(k for k in range(at + 1, end) if text[k - 1] == "=" and text[k] != "="), end]
+                    want += [(3, i, j) for i, j in zip(cuts, cuts[1:]) if len(cuts) > 2 and j - i >= secrets.MIN_CHARS and secrets.is_random(text[i:j])]
+            at = max(end, at + 1)
+        assert sorted(s for s in secrets.all_spans(text) if s[0] == 3) == want and [s for s in secrets.all_spans(text) if s[0] < 3] == base
+
+
+def test_encoder_starts_anew_when_its_cache_is_full(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 200)
+    monkeypatch.setattr(packing, "POOL", 300)
+    encoder = packing.Encoder()
+    for seed in range(4):
+        texts = [t or "" for _, t in corpus(seed, 20)]
+        ids, first = encoder.column(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]))
+        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [encoder.encode(t).tolist() for t in texts]
