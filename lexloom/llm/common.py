@@ -41,6 +41,13 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that was written by Spark, wherever it is."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def shared_checkpoint(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
@@ -69,9 +76,14 @@ def keyed(docs: DataFrame, *also: str) -> DataFrame:
 KEY = ["_id", "_t"]
 
 
+def whole(docs: DataFrame) -> DataFrame:
+    """docs with all columns, whatever their names, in one more, the struct _row; select("_row.*") gives them back."""
+    return docs.withColumn("_row", F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]))
+
+
 def carried(docs: DataFrame) -> DataFrame:
-    """key and _row, a struct of all columns of docs whatever their names; select("_row.*") gives the columns back."""
-    return keyed(docs.withColumn("_row", F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])), "_row").select(*KEY, "_row")
+    """key and _row of each row."""
+    return keyed(whole(docs), "_row").select(*KEY, "_row")
 
 
 def renewed(docs: DataFrame, rows: DataFrame) -> DataFrame:

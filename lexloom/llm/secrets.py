@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import renewed, slices, whole
 
 #: Fixed values of the base patterns, in their order.
 KINDS = ("assign", "access", "hex", "random")
@@ -175,5 +175,5 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """docs with every secret replaced by a mark; n_chars follows the text."""
-    clean = docs.mapInArrow(_scan(True), docs.schema)
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+    rows = whole(docs).select(F.col("_row").dropFields("text").alias("_row"), F.col("_row")["text"].alias("text"))
+    return renewed(docs, rows.mapInArrow(_scan(True), rows.schema))

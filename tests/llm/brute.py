@@ -250,3 +250,26 @@ def url_tree(urls, o):
     for k, (node, _) in out.items():
         labels[node] += rows[k][1]
     return {k: (node, round(rate, 9), labels[node]) for k, (node, rate) in out.items()}
+
+
+def quality_rules(docs, min_docs, share, keep, min_words=20):
+    """docs: (id, text, source) with distinct ids. {id: text without lines above the limits} of those that pass."""
+    alike = lambda line: " ".join(words(re.sub("[0-9]", "0", line.translate(LOW))))
+    has = defaultdict(set)
+    hosts = Counter(s for _, _, s in docs)
+    for i, t, s in docs:
+        for line in (t or "").split("\n"):
+            if words(line):
+                has[s, alike(line)].add(i)
+    out = {}
+    for i, t, s in docs:
+        if quality_base(t)[5]:
+            continue
+        left, lines = "", t.split("\n")
+        for k, line in enumerate(lines):
+            own = has.get((s, alike(line)), set()) if words(line) else set()
+            if not (len(own) >= min_docs and len(own) >= share * hosts[s] and i != min(own)):
+                left += line + ("\n" if k + 1 < len(lines) else "")
+        if len(words(left)) >= min_words and len(words(left)) >= keep * len(words(t)):
+            out[i] = left
+    return out
