@@ -4,6 +4,14 @@ Each stage works on all documents that the one before it kept, and its
 decisions take effect: rejected documents, all but one of a group of near
 copies, and documents with benchmark passages go; lines above the quality limits
 and secrets are taken out of the texts; the last stage packs what is left.
+
+Defined cases, of every stage: a null or empty text fails the quality rules, so none comes
+further; repeated rows of one id and text share a verdict, and one of them stays in near_dedup;
+of a group of near copies the document of the least id stays, null ids before all others, ties
+by the text's hash; ids may be of any type, null or shared by different texts; columns of any name pass through up to packing; an
+empty table gives an empty result; a benchmark without words takes nothing out.
+Each stage's rows are deleted once the next one's are written; checkpoints go with
+spark.cleaner.referenceTracking.cleanCheckpoints.
 """
 
 from __future__ import annotations
@@ -12,7 +20,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm.common import shared_folder
+from lexloom.llm.common import drop_folder, shared_folder
 from lexloom.llm.decontaminate import drop_contaminated
 from lexloom.llm.neardup import STAGE_PERCENT, STAGE_SHINGLE, drop_near_duplicates
 from lexloom.llm.packing import pack
@@ -55,8 +63,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each stage's rows are written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            drop_folder(spark, before)
+        before = f"{folder}/{name}"
     return docs
