@@ -129,7 +129,7 @@ class Index:
         self.family = np.arange(len(ids)) if family is None else np.array(family)
         self.blocks = -(-len(ids) // BLOCK)
         term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)]).astype(np.int64)
-        example = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors]).astype(np.int32)
+        example = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
         weight = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
         order = np.lexsort((example, term))
         term, self.example, self.weight = term[order], example[order], weight[order]
@@ -137,7 +137,7 @@ class Index:
         new = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
         self.start = np.append(new, len(cell)).astype(np.int64)
         self.most = np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0)
-        self.block = (cell[new] % max(1, self.blocks)).astype(np.int32)
+        self.block = (cell[new] % max(1, self.blocks)).astype(np.int64)
         self.of_term = np.searchsorted(cell[new] // max(1, self.blocks), np.arange(size + 1))
         self.rate = float(self.labels.mean()) if len(ids) else 0.0
         self.curve: tuple[np.ndarray, np.ndarray] | None = None
@@ -145,9 +145,11 @@ class Index:
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, without: int = -1, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """(cosines, examples) of the k of the highest positive cosine, best first, ties by place; without: a family left out."""
-        n = self.of_term[terms + 1] - self.of_term[terms]
-        cells, w = _stretches(self.of_term[terms], n), np.repeat(weights, n)
-        bound = np.bincount(self.block[cells], weights=w * self.most[cells], minlength=self.blocks)
+        begin = self.of_term.take(terms)
+        n = self.of_term.take(terms + 1) - begin
+        cells, w = _stretches(begin, n), np.repeat(weights, n)
+        block = self.block.take(cells)
+        bound = np.bincount(block, weights=w * self.most.take(cells), minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         best = (np.zeros(0), np.zeros(0, np.int64))
@@ -158,14 +160,17 @@ class Index:
                 break
             visit = np.zeros(self.blocks, bool)
             visit[turn] = True
-            here = visit[self.block[cells]]
-            own, x = cells[here], w[here]
-            n = self.start[own + 1] - self.start[own]
-            at = _stretches(self.start[own], n)
-            score = np.bincount(self.example[at], weights=np.repeat(x, n) * self.weight[at], minlength=len(self.ids))
+            here = np.flatnonzero(visit.take(block))
+            own = cells.take(here)
+            begin = self.start.take(own)
+            n = self.start.take(own + 1) - begin
+            at = _stretches(begin, n)
+            score = np.bincount(self.example.take(at), weights=np.repeat(w.take(here), n) * self.weight.take(at), minlength=len(self.ids))
             if without >= 0:
                 score[self.family == without] = 0
             hit = np.flatnonzero(score > 0)
+            if len(hit) > 4 * k:  # the k best, and what ties with the last of them once rounded
+                hit = hit[score[hit] >= np.partition(score[hit], len(hit) - k)[len(hit) - k] - 1e-11]
             score, hit = np.concatenate([best[0], np.round(score[hit], 12)]), np.concatenate([best[1], hit])
             top = np.lexsort((hit, -score))[:k]
             best = (score[top], hit[top])
