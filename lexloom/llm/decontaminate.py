@@ -14,7 +14,7 @@ benchmark's as exact word sequences. Item windows shorter than `length` get
 fingerprints of their own length.
 
 All of it is DataFrame functions. The benchmark's side is small in practice but not
-by definition: it is broadcast up to BROADCAST_ROWS rows, counted first, and
+by definition: it is broadcast up to BROADCAST_ROWS windows and BROADCAST_BYTES of their words and items, both counted first, and
 shuffled beyond that. Of a document only distinct fingerprints leave its row,
 and windows come back as one list per fingerprint, so a passage that many documents share makes
 rows in proportion to those documents.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import KEY, carried, keyed, shared_checkpoint
 
 LENGTH, GRAM = 10, 5
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -85,7 +85,9 @@ def _judged(rows: DataFrame, benchmark: DataFrame, length: int, gram: int, how:
     windows = shared_checkpoint(_windows(benchmark, length, gram))
     lengths = [r[0] for r in windows.select("len").distinct().collect()]  # at most `length` of them
     prints = windows.groupBy("len", "print").agg(F.collect_list(F.struct(F.array_join("window", " ").alias("window"), "items")).alias("windows"))
-    if prints.count() <= BROADCAST_ROWS and windows.count() <= BROADCAST_ROWS:
+    text = F.sum(F.octet_length(F.array_join("window", " ")) + F.aggregate("items", F.lit(0), lambda n, x: n + F.octet_length(x) + 16))
+    size = windows.agg(F.count("*").alias("rows"), F.coalesce(text, F.lit(0)).alias("bytes")).first()
+    if size.rows <= BROADCAST_ROWS and size.bytes <= BROADCAST_BYTES:  # fingerprints are no more than windows
         prints = F.broadcast(prints)
 
     split = rows.select(*KEY, words_of("text").alias("w"))
