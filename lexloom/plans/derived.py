@@ -19,6 +19,7 @@ from lexloom.operators import graph as G
 from lexloom.operators import retrieval as N
 from lexloom.operators import rules as R
 from lexloom.operators import versions as V
+from lexloom.sources import seed, tables
 
 from .committee import _COS, _EDGES, _NODES, _graph
 from .registry import query
@@ -589,3 +590,22 @@ def r9_serialised(spark, read):
     flat = F.replace("text", F.lit("\n"), F.lit(" "))
     rows = read("conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.min_by(flat, "turn").alias("first"), F.max_by(flat, "turn").alias("last"))
     return rows.select("conv_id", "turns", F.to_json(F.struct(F.col("conv_id").alias("query_id"), F.left("first", F.lit(80)).alias("query_text"), F.left("last", F.lit(200)).alias("answer"), F.col("turns").alias("models"))).alias("json"))
+
+
+def _literals(rows: list[tuple[str, ...]], columns: str) -> str:
+    return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(quoted(*r)) + ')' for r in rows)}) AS t({columns}))"
+
+
+@query(f"WITH v AS {_literals(seed.node_rows(), 'id, label, type')}, e AS {_literals(seed.edge_rows(), 'src, dst, type')} SELECT id, label, type, (SELECT count(*) FROM e WHERE src = id) AS n_out, (SELECT count(*) FROM e WHERE dst = id AND e.type = 'has_part') AS n_above FROM v")
+def s14_seed_graph(spark, read):
+    """The seed graph's nodes with the number of their edges."""
+    nodes, edges = seed.graph(spark)
+    out, up = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n_out")), edges.where("type = 'has_part'").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n_above"))
+    return nodes.join(out, "id", "left").join(up, "id", "left").select("id", "label", "type", F.coalesce("n_out", F.lit(0)).alias("n_out"), F.coalesce("n_above", F.lit(0)).alias("n_above"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS pcode, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS level, CASE WHEN c_custkey % 3 = 1 THEN 30 ELSE 7 END AS frequency_days, baseline_version IS NULL AS unseen FROM (SELECT *, CASE WHEN c_custkey % 2 = 0 THEN '19960101' END AS baseline_version FROM customer)")
+def s6_tracking_rows(spark, read):
+    """Rows in the tracker's schema, with its defaults."""
+    rows = read("customer").selectExpr("c_custkey AS pcode", "c_name AS name", "CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS level", "CASE WHEN c_custkey % 3 = 1 THEN 30 END AS frequency_days", "CASE WHEN c_custkey % 2 = 0 THEN '19960101' END AS baseline_version")
+    return tables.fitted(rows, "tracked_regulations").select("pcode", "name", "level", "frequency_days", F.col("baseline_version").isNull().alias("unseen"))

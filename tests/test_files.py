@@ -6,7 +6,8 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from lexloom.sources import readers, sinks
+from lexloom.operators import graph
+from lexloom.sources import readers, seed, sinks, tables
 from lexloom.streaming import feeds
 
 
@@ -62,3 +63,22 @@ def test_quota_counts_are_the_same_over_a_stream(spark, tmp_path):
     query.awaitTermination()
     assert {tuple(r) for r in spark.table("quota").collect()} == {tuple(r) for r in feeds.daily_counts(events).collect()}
     assert feeds.once(events.union(events)).count() == 40 and feeds.sliding_counts(events).agg(F.sum("calls")).first()[0] == 80
+
+
+def test_tracker_tables_are_made_once_and_filled(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS tracker")
+    rows = spark.createDataFrame([(1, "one")], "pcode int, name string")
+    for _ in range(2):
+        tables.create(spark, "tracker")
+    tables.append(rows, "tracked_regulations", "tracker")
+    tables.append(spark.createDataFrame([("1", "changed")], "pcode string, status string"), "check_history", "tracker")
+    assert [tuple(r) for r in spark.table("tracker.tracked_regulations").collect()] == [("1", "one", "", None, None, 7, None, None)]
+    assert spark.table("tracker.check_history").first().status == "changed" and spark.table("tracker.law_cache").count() == 0
+    spark.sql("DROP DATABASE tracker CASCADE")
+
+
+def test_seed_graph_takes_texts_from_articles(spark):
+    nodes, edges = seed.graph(spark)
+    assert graph.dangling(nodes, edges).count() == 0 and nodes.count() == nodes.select("id").distinct().count()
+    texts = {r.id: r.metadata for r in seed.with_texts(nodes, spark.createDataFrame([("184", "x")], "article_no string, text string")).collect()}
+    assert texts["art-184"] == {"text": "x"} and texts["art-185"] == {} and len(texts) == nodes.count()
