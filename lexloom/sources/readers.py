@@ -40,8 +40,9 @@ def index_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """(pcode, version, article_no, text) of snapshot files {version: {article: text}} named by their pcode; internal versions begin with _."""
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("pcode"), F.from_json("value", "map<string,map<string,string>>").alias("m"))
+    """(pcode, version, article_no, text) of snapshot files {version: {article: text}} named by their pcode, or in folders pcode=…; internal versions begin with _."""
+    pcode = F.coalesce(F.nullif(F.regexp_extract(F.input_file_name(), r"/pcode=([^/]+)/", 1), F.lit("")), F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1))
+    files = spark.read.text(path, wholetext=True).select(pcode.alias("pcode"), F.from_json("value", "map<string,map<string,string>>").alias("m"))
     versions = files.select("pcode", F.explode("m").alias("version", "articles")).where(~F.col("version").startswith("_"))
     return versions.select("pcode", "version", F.explode("articles").alias("article_no", "text"))
 

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df with its lineage cut; the folder is the session's spark.checkpoint.dir, one of our own only where it names none."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The shared folder that the session names in spark.checkpoint.dir; one of our own only where a local session names none."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and sc.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexloom-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df with its lineage cut."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)
