@@ -7,7 +7,6 @@ document, if that is longer) and not for its whole partition.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexloom.sources.shared import checkpoint as shared_checkpoint  # noqa: F401  the operators take both from here
+from lexloom.sources.shared import folder as shared_folder  # noqa: F401
+
 U = np.uint64
 SLICE_BYTES = 1 << 19
 
@@ -30,17 +32,6 @@ _FOLDED = _BYTES.copy()
 _FOLDED[65:91] = _BYTES[97:123]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; one of our own only where it names none, as in local tests."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexloom-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder that was written by Spark, wherever it is."""
     jvm = spark.sparkContext._jvm
@@ -48,12 +39,6 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def keyed(docs: DataFrame, *also: str) -> DataFrame:
     """The columns an operator needs, and a key that survives null and repeated ids.
 
