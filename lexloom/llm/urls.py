@@ -17,8 +17,7 @@ of blocked ones in its branch, (blocked + PRIOR * rate) / (labelled + PRIOR), is
 REJECT; the rate is that of the parent, and even above the host. Urls that end at an inner node have only each other's labels. Levels
 go on until no segment is left, one round for each level of the deepest path.
 
-Each level is a partial aggregate and an equi-join on (node, segment); a hot host is
-split like any hot key. Only counts are exchanged, urls once, by their hash.
+Each level is a partial aggregate and an equi-join on (node, segment), whose sides Spark can split where a host is hot. Only counts are exchanged, urls once, by their hash.
 
 Defined cases: a null url, or one without ://, has an empty host and path, fits no rule and is
 allowed; repeated urls count each; extra columns are ignored; an empty table
@@ -77,12 +76,18 @@ def _rated(rows: DataFrame, keys: list[str], rate: str) -> DataFrame:
     return sums.withColumn("purity", _smooth(F.col("b"), F.col("l"), F.col("up")))
 
 
+def _joined(rows: DataFrame, sums: DataFrame, key: str) -> DataFrame:
+    """rows with the sums of their key. Sums are dealt once more for the join: as they come from their aggregate, Spark could not split a hot key's rows."""
+    k = F.xxhash64(key, F.lit("join"))
+    return rows.withColumn("_k", k).join(sums.withColumn("_k", k), ["_k", key]).drop("_k")
+
+
 def templates(judged: DataFrame) -> DataFrame:
     """(host, path, template, purity, labels) for each distinct host and path of judged urls."""
     rows = judged.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("verdict").alias("labelled"), F.count_if(F.col("verdict") == "block").alias("blocked"))
     rows = rows.withColumn("segments", F.expr("slice(split(path, '/'), 2, greatest(size(split(path, '/')) - 1, 0))")).withColumn("purity", F.lit(0.5))
     hosts = _rated(rows, ["host"], "purity").select("host", F.col("purity").alias("next"), F.col("l").alias("labels"))
-    rows = rows.join(hosts, "host").drop("purity").withColumnRenamed("next", "purity").withColumn("node", F.col("host"))
+    rows = _joined(rows, hosts, "host").drop("purity").withColumnRenamed("next", "purity").withColumn("node", F.col("host"))
     for level in count():
         rows = shared_checkpoint(rows.withColumn("segment", F.get("segments", F.lit(level))))
         going = rows.where(F.col("segment").isNotNull())
@@ -110,7 +115,7 @@ def templates(judged: DataFrame) -> DataFrame:
         rows = rows.join(child, ["node", "segment"], "left")
         rows = rows.withColumn("purity", F.coalesce("next", "purity")).withColumn("labels", F.coalesce("ml", "labels")).withColumn("node", F.when(F.col("part").isNull(), F.col("node")).otherwise(F.concat_ws("/", "node", "part"))).drop("next", "part", "ml")
     own = rows.groupBy("node").agg(F.sum("labelled").alias("labels"))
-    rows = rows.drop("labels").join(own, "node")
+    rows = _joined(rows.drop("labels"), own, "node")
     return rows.select("host", "path", F.col("node").alias("template"), F.round("purity", 9).alias("purity"), "labels")
 
 
