@@ -8,6 +8,7 @@ document, if that is longer) and not for its whole partition.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,18 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run meanwhile hand so many rows at once to Python, for rows that are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def keyed(docs: DataFrame, *also: str) -> DataFrame:
     """The columns an operator needs, and a key that survives null and repeated ids.
 
@@ -190,12 +203,12 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[o[0] : o[-1]], o - o[0]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
-    """A batch in pieces of about SLICE_BYTES of the column and at most so many rows; rows stay whole."""
+def slices(batch: pa.RecordBatch, column: str = "text", rows: int = 1 << 16, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of about `size` bytes of the column and at most so many rows; rows stay whole."""
     _, o = string_bytes(batch.column(column))
     at = 0
     while at < batch.num_rows:
-        to = min(at + rows, max(at + 1, int(np.searchsorted(o, o[at] + SLICE_BYTES, "right")) - 1))
+        to = min(at + rows, max(at + 1, int(np.searchsorted(o, o[at] + size, "right")) - 1))
         yield batch.slice(at, to - at)
         at = to
 

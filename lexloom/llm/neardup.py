@@ -15,16 +15,17 @@ tree; there are so many trees that a pair at the threshold is missed by all with
 probability below MISSED at the greatest depth: 16 at 0.85, 22 at 0.80.
 
 Small nodes are compared exhaustively by their classes' minwise tokens; only classes
-that may be linked to another of a node, and those of hot nodes, stay. Their texts are
-fetched and squeezed once, and give a longer sketch (LONG buckets, the least shingle of each).
+that may be linked to another of a node, and those of hot nodes, stay, and their texts are
+fetched and squeezed once.
 Links are confirmed in two rounds that lose no link of a node. First each class
 with the leader of its node, the class that shares most nodes with most others; this
 joins large groups of near copies by as many comparisons as they have classes. Then, in nodes
 whose classes are not all under one leader yet, every class with all that are under
-another leader than most of the node, in blocks of SMALL by SMALL. Pairs
+another leader than most of the node, in blocks of SMALL by SMALL (or of SHINGLES shingles). Pairs
 under one leader need no comparison: a further link would change no class.
-Before texts are compared, a pair must pass an exact bound on set sizes and the sketches
-(which a link at the threshold fails with a probability of UNLIKE at most).
+Blocks carry texts, so a pair is compared where it meets, in one of the nodes that it shares, and only links leave the task:
+first by an exact bound on set sizes, then by sketches of LONG buckets, the least shingle of each
+(which a link at the threshold fails with a probability of UNLIKE at most), then by full sets.
 Components spread by least labels with pointer jumping, as joins.
 
 Defined cases: null, empty or blank text has no shingles and is linked with
@@ -44,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, Polynomial, U, carried, keyed, mix, partitions, shared_checkpoint, signed, slices, squeezed, unsqueezed, words_of
+from .common import KEY, Polynomial, U, arrow_batches, carried, keyed, mix, partitions, shared_checkpoint, signed, slices, squeezed, unsqueezed, words_of
 
 SHINGLE = 3
 PERCENT = 85
@@ -54,6 +55,8 @@ START, DEPTH, SMALL = 2, 4, 64
 MISSED, UNLIKE = 1e-5, 1e-8
 #: Buckets of the longer sketch, a power of two, and the normal deviate of UNLIKE.
 LONG, DEVIATE = 1024, 5.6
+#: Shingles in a block at most, but for a class that has more; blocks that a task keeps, and rows of two blocks in a batch.
+SHINGLES, BLOCKS, BATCH = 1 << 18, 24, 8
 #: Rows in a slice, and bits of a shingle's hash beside the row's number.
 ROWS, BITS = 4095, 52
 VERIFY_GROUP = 256
@@ -198,81 +201,78 @@ def long_sketches(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out.reshape(rows, LONG)
 
 
-def _long_sketch(size: int):
-    """Classes with their text, and with the longer sketch."""
+def _blocks(nodes: DataFrame, under: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, members, strays): of each node whose classes (c, n, text) are under several leaders, every block of its classes beside every block of those outside its largest group.
 
-    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for b in unsqueezed(batches, "packed") for s in slices(b, rows=ROWS)):
-            sketch = long_sketches(*shingle_sets(batch, size))
-            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("n"), batch.column("packed"), pa.array([r.tobytes() for r in sketch], pa.binary())], ["c", "n", "text", "sketch"])
-
-    return sketches
-
-
-def _pair_filter(percent: int):
-    """Pairs whose sizes and sketches don't exclude a link."""
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
-            n, m = batch.column("an").to_numpy(), batch.column("bn").to_numpy()
-            x, y = _matrix(batch.column("ask"), batch.num_rows), _matrix(batch.column("bsk"), batch.num_rows)
-            none = ((x | y) == 0).sum(-1)
-            ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((x == y).sum(-1) - none >= least_common(n, m, LONG - none, percent))
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
-
-    return pairs
-
-
-def _blocks(nodes: DataFrame, under: DataFrame, about: DataFrame) -> DataFrame:
-    """(node, members, strays): of each node whose classes (c, n, sketch) are under several leaders, every block of its classes beside every block of those outside its largest group.
-
-    Each class brings all its nodes, by which a pair that meets in several is kept in one.
+    Each class brings all its nodes, by which a pair that meets in several is compared in one.
     """
     own = nodes.groupBy("c").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
     mixed = nodes.select("node", "c").join(under, "c", "left").withColumn("top", F.coalesce("top", "c"))
     groups = mixed.groupBy("node", "top").agg(F.count("*").alias("n"))
-    most = groups.groupBy("node").agg(F.max(F.struct("n", "top")).alias("most"), F.count("*").alias("tops"), F.sum("n").alias("size")).where("tops > 1")
-    most = most.select("node", F.col("most.top").alias("main"), (F.col("size") - F.col("most.n")).alias("stray"), "size")
-    mixed = mixed.join(most, "node").join(about.join(own, "c"), "c")
-    block = lambda count: F.pmod(F.xxhash64("c"), F.ceil(F.col(count) / SMALL))
-    one = F.struct("c", F.col("n").cast("long").alias("n"), "top", (F.col("top") != F.col("main")).cast("int").alias("stray"), "nodes", "sketch")
-    members = mixed.groupBy("node", block("size").alias("block")).agg(F.collect_list(one).alias("members"))
-    strays = mixed.where("top != main").groupBy("node", block("stray").alias("block")).agg(F.collect_list(one).alias("strays"))
+    most = groups.groupBy("node").agg(F.max(F.struct("n", "top")).alias("most"), F.count("*").alias("tops")).where("tops > 1")
+    most = most.select("node", F.col("most.top").alias("main"))
+    mixed = mixed.join(most, "node").join(texts.join(own, "c"), "c").withColumn("stray", F.col("top") != F.col("main"))
+    size = mixed.groupBy("node").agg(F.count("*").alias("m"), F.sum("n").alias("mn"), F.count_if("stray").alias("s"), F.sum(F.when(F.col("stray"), F.col("n"))).alias("sn"))
+    mixed = mixed.join(size, "node")
+    block = lambda count, shingles: F.pmod(F.xxhash64("c"), F.ceil(F.greatest(F.col(count) / SMALL, F.col(shingles) / SHINGLES)))
+    one = F.struct("c", F.col("n").cast("long").alias("n"), "top", F.col("stray").cast("int").alias("stray"), "nodes", "text")
+    members = mixed.groupBy("node", block("m", "mn").alias("block")).agg(F.collect_list(one).alias("members"))
+    strays = mixed.where("stray").groupBy("node", block("s", "sn").alias("block")).agg(F.collect_list(one).alias("strays"))
     return members.drop("block").join(strays.drop("block"), "node").select("node", "members", "strays")
 
 
-def _first_common(mine: pa.Array, other: pa.Array, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For pairs of rows of two columns of sorted lists the least value in both lists of a pair."""
-    a, b = mine.to_pylist(), other.to_pylist()
-    out = [min(set(a[k]).intersection(b[m])) for k, m in zip(i.tolist(), j.tolist(), strict=True)]
-    return np.array(out, np.int64)
+class _Block:
+    """The classes of a block with their shingle sets and sketches."""
+
+    def __init__(self, rows: pa.StructArray, size: int):
+        self.c, self.n, self.top, self.stray = (rows.field(k).to_numpy() for k in ("c", "n", "top", "stray"))
+        self.nodes = [set(x) for x in rows.field("nodes").to_pylist()]
+        self.sets, sketches = [], []
+        batch = pa.RecordBatch.from_arrays([rows.field("text")], ["text"])
+        for part in (s for b in unsqueezed(iter([batch])) for s in slices(b, rows=ROWS)):
+            sets, first = shingle_sets(part, size)
+            sketches.append(long_sketches(sets, first))
+            self.sets += [sets[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+        self.sketch = np.concatenate(sketches)
+        self.none = (self.sketch == 0).astype(np.float32)
 
 
-def _block_filter(percent: int):
-    """(a, b): pairs of a block under different leaders that may be linked, each in the least of the nodes that both are in."""
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets reach the similarity."""
+    both = np.sort(np.concatenate([a, b]))
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
-            found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+
+def _block_links(percent: int, size: int):
+    """(a, b): linked pairs of a block under different leaders, each in the least of the nodes that both are in."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, int, int], _Block] = {}
+
+        def block(node: int, kind: int, rows: pa.StructArray) -> _Block:
+            key = (node, kind, hash(rows.field("c").to_numpy().tobytes()))
+            if key not in seen:
+                if len(seen) >= BLOCKS:
+                    seen.pop(next(iter(seen)))
+                seen[key] = _Block(rows, size)
+            return seen[key]
+
+        for batch in batches:
+            found = []
             for node, members, strays in zip(batch.column("node").to_pylist(), batch.column("members"), batch.column("strays"), strict=True):
-                m, s = members.values, strays.values
-                x, y = _matrix(s.field("sketch"), len(s)), _matrix(m.field("sketch"), len(m))
-                none = (x == 0).astype(np.float32) @ (y == 0).astype(np.float32).T
-                sn, mn = s.field("n").to_numpy()[:, None], m.field("n").to_numpy()[None]
-                ok = (100 * np.minimum(sn, mn) >= percent * np.maximum(sn, mn)) & (s.field("top").to_numpy()[:, None] != m.field("top").to_numpy()[None])
-                ok &= np.stack([(r == y).sum(-1) for r in x]) - none >= least_common(sn, mn, LONG - none, percent)
+                m, s = block(node, 0, members.values), block(node, 1, strays.values)
+                none = s.none @ m.none.T
+                sn, mn = s.n[:, None], m.n[None]
                 # two strays meet twice
-                ok &= (m.field("stray").to_numpy()[None] == 0) | (s.field("c").to_numpy()[:, None] < m.field("c").to_numpy()[None])
-                i, j = np.nonzero(ok)
-                here = _first_common(s.field("nodes"), m.field("nodes"), i, j) == node
-                i, j = i[here], j[here]
-                cs, cm = s.field("c").to_numpy()[i], m.field("c").to_numpy()[j]
-                found[0].append(np.minimum(cs, cm))
-                found[1].append(np.maximum(cs, cm))
-            both = np.unique(np.stack([np.concatenate(x) for x in found]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+                ok = (100 * np.minimum(sn, mn) >= percent * np.maximum(sn, mn)) & (s.top[:, None] != m.top[None]) & ((m.stray[None] == 0) | (s.c[:, None] < m.c[None]))
+                ok &= np.stack([(r == m.sketch).sum(-1) for r in s.sketch]) - none >= least_common(sn, mn, LONG - none, percent)
+                for i, j in zip(*(x.tolist() for x in np.nonzero(ok)), strict=True):
+                    if min(s.nodes[i] & m.nodes[j]) == node and _linked(s.sets[i], m.sets[j], percent):
+                        found.append(sorted((int(s.c[i]), int(m.c[j]))))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return pairs
+    return links
 
 
 def _confirm(percent: int, size: int):
@@ -290,9 +290,7 @@ def _confirm(percent: int, size: int):
                     leader, own = a[i], mine
                     continue
                 assert leader == a[i], "a group without its leader"
-                both = np.sort(np.concatenate([own, mine]))
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= percent * (len(both) - common):
+                if _linked(own, mine, percent):
                     found.append((a[i], b[i]))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -303,7 +301,7 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataF
     """Those pairs (a, b) of classes that are linked. A pair's first class leads a group of at most about VERIFY_GROUP."""
     groups = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / VERIFY_GROUP).alias("parts")), "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
     need = groups.select("a", "part", F.col("b").alias("c")).unionByName(groups.select("a", "part", F.col("a").alias("c")).distinct())
-    rows = need.join(texts, "c").select("a", "part", "c", "text")
+    rows = need.join(texts.select("c", "text"), "c").select("a", "part", "c", "text")
     rows = rows.repartition(partitions(pairs.sparkSession), "a", "part").sortWithinPartitions("a", "part", (F.col("a") != F.col("c")))
     return shared_checkpoint(rows.mapInArrow(_confirm(percent, size), "a long, b long"))
 
@@ -361,20 +359,13 @@ def _components_of(docs: DataFrame, percent: int, size: int) -> DataFrame:
     weight = nodes.groupBy("c").agg(F.sum("size").alias("weight"))
     nodes = shared_checkpoint(nodes.join(weight, "c").select("node", "c", "weight"))
     wanted = touched.join(classes.select("c", "n", *KEY), "c").join(squeezed(rows.select(*KEY, "text")), KEY).dropDuplicates(["c"])
-    found = shared_checkpoint(wanted.select("c", "n", "text").mapInArrow(_long_sketch(size), "c long, n long, text binary, sketch binary"))
-    about, texts = found.select("c", "n", "sketch"), found.select("c", "text")
+    texts = shared_checkpoint(wanted.select("c", "n", "text"))
 
     leaders = nodes.groupBy("node").agg(F.max(F.struct("weight", (-F.col("c")).alias("c"))).alias("lead")).select("node", (-F.col("lead.c")).alias("a"))
-    stars = nodes.join(leaders, "node").where("a != c").select("a", F.col("c").alias("b")).distinct()
-    sides = stars.join(about.toDF("a", "an", "ask"), "a").join(about.toDF("b", "bn", "bsk"), "b")
-    stars = shared_checkpoint(sides.mapInArrow(_pair_filter(percent), "a long, b long"))
+    stars = shared_checkpoint(nodes.join(leaders, "node").where("a != c").select("a", F.col("c").alias("b")).distinct())
     links = _links(stars, texts, percent, size)
-
-    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = _blocks(nodes, _tops(links), about).mapInArrow(_block_filter(percent), "a long, b long").distinct()
-    rest = shared_checkpoint(rest.join(done, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links = links.unionByName(_links(rest, texts, percent, size))
+    with arrow_batches(docs.sparkSession, BATCH):  # a row is two blocks of texts
+        links = links.unionByName(shared_checkpoint(_blocks(nodes, _tops(links), texts).mapInArrow(_block_links(percent, size), "a long, b long")))
     comp = components(links)
 
     lows = comp.join(classes.select("c", "low"), "c")

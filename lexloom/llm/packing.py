@@ -37,7 +37,9 @@ from .common import partitions, shared_checkpoint, slices, words_of
 
 SEQUENCE, OPEN, END = 2048, 1024, 0
 #: Distinct chunks, and ids of them, that a Python worker keeps; then it starts anew.
-CACHE, POOL = 1 << 18, 1 << 21
+CACHE, POOL = 1 << 19, 1 << 22
+#: Bytes of text in which each distinct chunk is looked up once.
+TOGETHER = 1 << 21
 #: First-round tasks, by the bins they leave, for one task of the second round.
 TASKS_TO_ONE = 64
 
@@ -194,7 +196,7 @@ class Packer:
 
 def _pieces(size: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for b in batches for s in slices(b)):
+        for batch in (s for b in batches for s in slices(b, size=TOGETHER)):
             ids, first = encoder().column(batch)
             rows = []
             for d in range(batch.num_rows):
