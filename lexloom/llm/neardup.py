@@ -158,13 +158,6 @@ def _nodes(classes: DataFrame, percent: int) -> DataFrame:
     return nodes
 
 
-def _matrix(column: pa.Array, rows: int) -> np.ndarray:
-    """A list or binary column of equal lengths as a matrix."""
-    if pa.types.is_binary(column.type):
-        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(rows, -1)
-    return column.flatten().to_numpy().reshape(rows, -1)
-
-
 def _alike(percent: int):
     """The classes of small nodes that may be linked to another of their node."""
 
@@ -173,7 +166,7 @@ def _alike(percent: int):
             found = [np.zeros(0, np.int64)]
             for one in batch.column("members"):
                 m = one.values
-                n, mins = m.field("n").to_numpy(), _matrix(m.field("mins"), len(m))
+                n, mins = m.field("n").to_numpy(), m.field("mins").flatten().to_numpy().reshape(len(m), -1)
                 ok = (100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n)) & ((mins[:, None] == mins).sum(-1) >= least_agreement(mins.shape[1], percent))
                 np.fill_diagonal(ok, False)
                 found.append(m.field("c").to_numpy()[ok.any(1)])
