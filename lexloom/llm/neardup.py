@@ -14,8 +14,8 @@ A pair of similarity s shares a node of depth d with probability s**d in a
 tree; there are so many trees that a pair at the threshold is missed by all with a
 probability below MISSED at the greatest depth: 16 at 0.85, 22 at 0.80.
 
-Small nodes are compared exhaustively by their classes' minwise tokens; only classes
-that may be linked to another of a node, and those of hot nodes, stay, and their texts are
+Small nodes are compared exhaustively by their classes' minwise tokens; in each only the classes
+that may be linked to another of it stay, in hot nodes all, and the texts of what stays anywhere are
 fetched and squeezed once.
 Links are confirmed in two rounds that lose no link of a node. First each class
 with the leader of its node, the class that shares most nodes with most others; this
@@ -55,8 +55,8 @@ START, DEPTH, SMALL = 2, 4, 64
 MISSED, UNLIKE = 1e-5, 1e-8
 #: Buckets of the longer sketch, a power of two, and the normal deviate of UNLIKE.
 LONG, DEVIATE = 1024, 5.6
-#: Shingles in a block at most, but for a class that has more; blocks that a task keeps, and rows of two blocks in a batch.
-SHINGLES, BLOCKS, BATCH = 1 << 18, 24, 8
+#: Shingles in a block at most, but for a class that has more; classes that a task keeps from batch to batch, and rows of two blocks in a batch.
+SHINGLES, CLASSES, BATCH = 1 << 18, 2048, 32
 #: Rows in a slice, and bits of a shingle's hash beside the row's number.
 ROWS, BITS = 4095, 52
 VERIFY_GROUP = 256
@@ -159,26 +159,28 @@ def _nodes(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _alike(percent: int):
-    """The classes of small nodes that may be linked to another of their node."""
+    """(node, c, size): the classes of small nodes that may be linked to another of their node, and how many those are."""
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.zeros(0, np.int64)]
-            for one in batch.column("members"):
+            found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
+            for node, one in zip(batch.column("node").to_pylist(), batch.column("members"), strict=True):
                 m = one.values
                 n, mins = m.field("n").to_numpy(), m.field("mins").flatten().to_numpy().reshape(len(m), -1)
                 ok = (100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n)) & ((mins[:, None] == mins).sum(-1) >= least_agreement(mins.shape[1], percent))
                 np.fill_diagonal(ok, False)
-                found.append(m.field("c").to_numpy()[ok.any(1)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)))], ["c"])
+                c = m.field("c").to_numpy()[ok.any(1)]
+                for x, values in zip(found, (np.full(len(c), node), c, np.full(len(c), len(c))), strict=True):
+                    x.append(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in found], ["node", "c", "size"])
 
     return classes
 
 
 def _touched(nodes: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(c): the classes that may be linked to another, and all of hot nodes."""
+    """(node, c, size): of small nodes the classes that may be linked to another, and all of hot nodes."""
     small = nodes.where(F.col("size") <= SMALL).join(classes.select("c", "n", "mins"), "c").groupBy("node").agg(F.collect_list(F.struct("c", "n", "mins")).alias("members"))
-    return small.select("members").mapInArrow(_alike(percent), "c long").unionByName(nodes.where(F.col("size") > SMALL).select("c")).distinct()
+    return small.mapInArrow(_alike(percent), "node long, c long, size long").unionByName(nodes.where(F.col("size") > SMALL).select("node", "c", "size"))
 
 
 def long_sketches(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -214,19 +216,36 @@ def _blocks(nodes: DataFrame, under: DataFrame, texts: DataFrame) -> DataFrame:
     return members.drop("block").join(strays.drop("block"), "node").select("node", "members", "strays")
 
 
+class _Prepared:
+    """Shingle sets and sketches of the classes that a task has lately met."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def add(self, *columns: pa.ListArray) -> None:
+        """Prepare all classes of these lists at once, each once."""
+        rows = pa.concat_arrays([x.flatten() for x in columns])
+        c, at = np.unique(rows.field("c").to_numpy(), return_index=True)
+        if len(self.of) > CLASSES:
+            self.of.clear()
+        new = [k for k, one in enumerate(c.tolist()) if one not in self.of]
+        batch = pa.RecordBatch.from_arrays([pa.array(c[new]), rows.field("text").take(pa.array(at[new]))], ["c", "text"])
+        for part in (s for b in unsqueezed(iter([batch])) for s in slices(b, rows=ROWS)):
+            sets, first = shingle_sets(part, self.size)
+            sketches = long_sketches(sets, first)
+            for k, one in enumerate(part.column("c").to_pylist()):
+                self.of[one] = (sets[first[k] : first[k + 1]].copy(), sketches[k])
+
+
 class _Block:
-    """The classes of a block with their shingle sets and sketches."""
+    """The classes of a block."""
 
-    def __init__(self, rows: pa.StructArray, size: int):
+    def __init__(self, rows: pa.StructArray, prepared: _Prepared):
         self.c, self.n, self.top, self.stray = (rows.field(k).to_numpy() for k in ("c", "n", "top", "stray"))
-        self.nodes = [set(x) for x in rows.field("nodes").to_pylist()]
-        self.sets, sketches = [], []
-        batch = pa.RecordBatch.from_arrays([rows.field("text")], ["text"])
-        for part in (s for b in unsqueezed(iter([batch])) for s in slices(b, rows=ROWS)):
-            sets, first = shingle_sets(part, size)
-            sketches.append(long_sketches(sets, first))
-            self.sets += [sets[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-        self.sketch = np.concatenate(sketches)
+        self.nodes = rows.field("nodes")
+        both = [prepared.of[c] for c in self.c.tolist()]
+        self.sets, self.sketch = [x for x, _ in both], np.stack([x for _, x in both])
         self.none = (self.sketch == 0).astype(np.float32)
 
 
@@ -241,27 +260,21 @@ def _block_links(percent: int, size: int):
     """(a, b): linked pairs of a block under different leaders, each in the least of the nodes that both are in."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, int, int], _Block] = {}
-
-        def block(node: int, kind: int, rows: pa.StructArray) -> _Block:
-            key = (node, kind, hash(rows.field("c").to_numpy().tobytes()))
-            if key not in seen:
-                if len(seen) >= BLOCKS:
-                    seen.pop(next(iter(seen)))
-                seen[key] = _Block(rows, size)
-            return seen[key]
-
+        prepared = _Prepared(size)
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            prepared.add(batch.column("members"), batch.column("strays"))
             found = []
             for node, members, strays in zip(batch.column("node").to_pylist(), batch.column("members"), batch.column("strays"), strict=True):
-                m, s = block(node, 0, members.values), block(node, 1, strays.values)
+                m, s = _Block(members.values, prepared), _Block(strays.values, prepared)
                 none = s.none @ m.none.T
                 sn, mn = s.n[:, None], m.n[None]
                 # two strays meet twice
                 ok = (100 * np.minimum(sn, mn) >= percent * np.maximum(sn, mn)) & (s.top[:, None] != m.top[None]) & ((m.stray[None] == 0) | (s.c[:, None] < m.c[None]))
                 ok &= np.stack([(r == m.sketch).sum(-1) for r in s.sketch]) - none >= least_common(sn, mn, LONG - none, percent)
                 for i, j in zip(*(x.tolist() for x in np.nonzero(ok)), strict=True):
-                    if min(s.nodes[i] & m.nodes[j]) == node and _linked(s.sets[i], m.sets[j], percent):
+                    if min(set(s.nodes[i].as_py()).intersection(m.nodes[j].as_py())) == node and _linked(s.sets[i], m.sets[j], percent):
                         found.append(sorted((int(s.c[i]), int(m.c[j]))))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -346,14 +359,12 @@ def _components_of(docs: DataFrame, percent: int, size: int) -> DataFrame:
     classes = seen.where("n > 0").groupBy(*equal).agg(F.min("doc_id").alias("low"), F.min(F.struct(*KEY, "mins")).alias("one"))
     classes = shared_checkpoint(classes.select(F.monotonically_increasing_id().alias("c"), *equal, "low", "one.*"))
 
-    nodes = _nodes(classes, percent)
-    touched = shared_checkpoint(_touched(nodes, classes, percent))
-    nodes = nodes.join(touched, "c", "left_semi")
+    nodes = shared_checkpoint(_touched(_nodes(classes, percent), classes, percent))
     weight = nodes.groupBy("c").agg(F.sum("size").alias("weight"))
-    nodes = shared_checkpoint(nodes.join(weight, "c").select("node", "c", "weight"))
-    wanted = touched.join(classes.select("c", "n", *KEY), "c").join(squeezed(rows.select(*KEY, "text")), KEY).dropDuplicates(["c"])
+    wanted = weight.select("c").join(classes.select("c", "n", *KEY), "c").join(squeezed(rows.select(*KEY, "text")), KEY).dropDuplicates(["c"])
     texts = shared_checkpoint(wanted.select("c", "n", "text"))
 
+    nodes = shared_checkpoint(nodes.join(weight, "c").select("node", "c", "weight"))
     leaders = nodes.groupBy("node").agg(F.max(F.struct("weight", (-F.col("c")).alias("c"))).alias("lead")).select("node", (-F.col("lead.c")).alias("a"))
     stars = shared_checkpoint(nodes.join(leaders, "node").where("a != c").select("a", F.col("c").alias("b")).distinct())
     links = _links(stars, texts, percent, size)
