@@ -7,8 +7,10 @@ document, if that is longer) and not for its whole partition.
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -260,6 +262,17 @@ def ragged(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
+@cache
+def vocabulary():
+    """The byte-level vocabulary, once in a Python worker."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 50256})
+
+
 def take(batch: pa.RecordBatch, names: list[str], at: np.ndarray) -> list[pa.Array]:
     index = pa.array(at)
     return [batch.column(n).take(index) for n in names]

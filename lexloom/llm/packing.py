@@ -24,7 +24,6 @@ are those tokens; extra columns are ignored; an empty table gives an empty resul
 
 from __future__ import annotations
 
-import base64
 import zlib
 from collections.abc import Iterator
 
@@ -33,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_checkpoint, slices, words_of
+from .common import partitions, shared_checkpoint, slices, vocabulary, words_of
 
 SEQUENCE, OPEN, END = 2048, 1024, 0
-#: Distinct chunks, and ids of them, that a Python worker keeps; then it starts anew.
-CACHE, POOL = 1 << 19, 1 << 22
+#: Distinct chunks, and ids of them, that a task keeps; then it starts anew.
+CACHE, POOL = 1 << 18, 1 << 21
 #: Bytes of text in which each distinct chunk is looked up once.
 TOGETHER = 1 << 21
 #: First-round tasks, by the bins they leave, for one task of the second round.
@@ -47,13 +46,8 @@ TASKS_TO_ONE = 64
 class Encoder:
     """Token ids of whole columns, through a cache of chunks."""
 
-    def __init__(self, ranks: str | None = None):
-        import public_tokenizers
-        import tiktoken
-
-        with open(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self._bpe = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={"<|endoftext|>": 50256})
+    def __init__(self):
+        self._bpe = vocabulary()
         self._clear()
 
     def _clear(self) -> None:
@@ -141,16 +135,6 @@ def _odd_texts(data: np.ndarray, offsets: np.ndarray, raw: bytes) -> np.ndarray:
     return odd
 
 
-_encoder: Encoder | None = None
-
-
-def encoder() -> Encoder:
-    """One to a Python worker, for all its tasks."""
-    global _encoder
-    _encoder = _encoder or Encoder()
-    return _encoder
-
-
 class Packer:
     """Open bins by free space. Items are anything with a length."""
 
@@ -196,8 +180,9 @@ class Packer:
 
 def _pieces(size: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder()  # its chunks go with the task, as the worker lives on
         for batch in (s for b in batches for s in slices(b, size=TOGETHER)):
-            ids, first = encoder().column(batch)
+            ids, first = encoder.column(batch)
             rows = []
             for d in range(batch.num_rows):
                 own = np.append(ids[first[d] : first[d + 1]], np.uint32(END)).astype("<u4")

@@ -21,7 +21,6 @@ different kinds may overlap; redaction merges them.
 
 from __future__ import annotations
 
-import base64
 import re
 from collections.abc import Iterator
 
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import renewed, slices, whole
+from .common import renewed, slices, vocabulary, whole
 
 #: Fixed values of the base patterns, in their order.
 KINDS = ("assign", "access", "hex", "random")
@@ -61,20 +60,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (s[1], s[0]))
 
 
-_ranks = None
-
-
 def tokens(text: str) -> int:
     """Tokens of a run in the byte-level vocabulary."""
-    global _ranks
-    if _ranks is None:
-        import public_tokenizers
-        import tiktoken
-
-        with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ranks = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-    return len(_ranks.encode_ordinary(text))
+    return len(vocabulary().encode_ordinary(text))
 
 
 def is_random(run: str) -> bool:
