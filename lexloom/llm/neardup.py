@@ -338,6 +338,16 @@ def _tops(links: DataFrame) -> DataFrame:
     return shared_checkpoint(up.unionByName(first.select(F.col("a").alias("c"), F.col("a").alias("top"))).coalesce(tasks))
 
 
+def _under_one(links: DataFrame, tops: DataFrame) -> DataFrame:
+    """(c, comp) for each end of the links. Only links between different leaders, and of a leader to its own, need to spread; what is under a leader follows it."""
+    lead = tops.toDF("a", "ta")
+    edges = links.join(lead, "a", "left").join(tops.toDF("b", "tb"), "b", "left").select(F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b"))
+    chain = tops.select(F.col("top").alias("a")).distinct().join(lead, "a").select("a", F.col("ta").alias("b"))
+    comp = components(shared_checkpoint(edges.unionByName(chain).where("a != b").distinct()))
+    under = tops.join(comp.toDF("top", "comp"), "top", "left").select("c", F.coalesce("comp", "top").alias("comp"))
+    return under.unionByName(comp.join(tops, "c", "left_anti"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs; kept marks the one with the least id."""
     return _components_of(docs, percent, size).drop(*KEY, "group")
@@ -368,9 +378,10 @@ def _components_of(docs: DataFrame, percent: int, size: int) -> DataFrame:
     leaders = nodes.groupBy("node").agg(F.max(F.struct("weight", (-F.col("c")).alias("c"))).alias("lead")).select("node", (-F.col("lead.c")).alias("a"))
     stars = shared_checkpoint(nodes.join(leaders, "node").where("a != c").select("a", F.col("c").alias("b")).distinct())
     links = _links(stars, texts, percent, size)
+    tops = _tops(links)
     with arrow_batches(docs.sparkSession, BATCH):  # a row is two blocks of texts
-        links = links.unionByName(shared_checkpoint(_blocks(nodes, _tops(links), texts).mapInArrow(_block_links(percent, size), "a long, b long")))
-    comp = components(links)
+        links = links.unionByName(shared_checkpoint(_blocks(nodes, tops, texts).mapInArrow(_block_links(percent, size), "a long, b long")))
+    comp = _under_one(links, tops)
 
     lows = comp.join(classes.select("c", "low"), "c")
     lows = lows.join(lows.groupBy("comp").agg(F.min("low").alias("least")), "comp").select("c", "least", "comp")

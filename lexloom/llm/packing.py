@@ -260,8 +260,9 @@ def pack(docs: DataFrame, size: int = SEQUENCE, most: int = OPEN) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row for each piece of each row of docs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
-    pieces = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_pieces(size), rows)
-    first = pieces.mapInArrow(_first_round(size, most), f"{rows}, sequence_id long, offset long, tail boolean")
+    pieces, bins = _pieces(size), _first_round(size, most)
+    # one function, so that a task needs one Python worker
+    first = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lambda batches: bins(pieces(batches)), f"{rows}, sequence_id long, offset long, tail boolean")
     first = shared_checkpoint(first.repartition(partitions(docs.sparkSession), "sequence_id"))
     bins = first.where("tail").groupBy("sequence_id").agg(F.sum("length").alias("used"))
     bins = bins.repartition(1 + bins.count() // (TASKS_TO_ONE * most), "sequence_id").sortWithinPartitions(F.desc("used"), "sequence_id")
