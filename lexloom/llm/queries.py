@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode
 from .common import sha256_of
 from .decontaminate import contaminated_words
 from .html import extract_text
@@ -70,10 +71,16 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = encode(_table(spark, sf_dir, "documents"), decoded=True)
+    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), sha256_of("decoded").alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_templates, op2_quality_rules, op3_html_text, op4_substring_dedup, op5_secret_scan,
         op6_toxicity, op7_decontaminate, op8_best_fit_packing, op9_weak_quality, op10_near_duplicates,
+        op13_bpe_round_trip,
     )
 }
