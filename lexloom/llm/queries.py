@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import alignment_digests
 from .bpe import encode
 from .common import sha256_of
 from .decontaminate import contaminated_words
@@ -71,6 +72,11 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = alignment_digests(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = encode(_table(spark, sf_dir, "documents"), decoded=True)
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), sha256_of("decoded").alias("decoded_sha256"))
@@ -81,6 +87,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_url_templates, op2_quality_rules, op3_html_text, op4_substring_dedup, op5_secret_scan,
         op6_toxicity, op7_decontaminate, op8_best_fit_packing, op9_weak_quality, op10_near_duplicates,
-        op13_bpe_round_trip,
+        op11_token_alignment, op13_bpe_round_trip,
     )
 }
