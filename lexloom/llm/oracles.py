@@ -1,7 +1,7 @@
 """DuckDB SQL for those of the queries that SQL can express on whole tables in reasonable time.
 
 The others have none: templates with a statistical merge (1), page layout (3),
-a tokenizer (5, 8), trained models (6, 9). Tests compare them with plain
+a tokenizer (5, 8, 11, 13), trained models (6, 9). Tests compare them with plain
 versions, round trips or held-out labels. Ids of documents are distinct here.
 """
 
@@ -69,4 +69,14 @@ r AS (SELECT doc_id, doc_id AS o FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e
 SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o) AS component_id, r.doc_id = min(o) AS kept FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
 """
 
-ORACLES: dict[str, str] = {"op2_quality_rules": OP2, "op4_substring_dedup": OP4, "op7_decontaminate": OP7, "op10_near_duplicates": OP10}
+OP12 = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE)), true)),
+s AS (SELECT a.vec_id AS anchor_id, x.vec_id, x.label = a.label AS same, list_dot_product(a.v, x.v)::BIGINT AS score FROM e a JOIN e x ON x.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10
+"""
+
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2, "op4_substring_dedup": OP4, "op7_decontaminate": OP7, "op10_near_duplicates": OP10, "op12_hard_negatives": OP12}

@@ -13,6 +13,7 @@ from .common import sha256_of
 from .decontaminate import contaminated_words
 from .html import extract_text
 from .neardup import near_duplicates
+from .negatives import mine
 from .packing import pack
 from .quality import judge
 from .repeats import remove_repeats
@@ -77,6 +78,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(_table(spark, sf_dir, "embeddings"), moved)
+
+
 def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = encode(_table(spark, sf_dir, "documents"), decoded=True)
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), sha256_of("decoded").alias("decoded_sha256"))
@@ -87,6 +93,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_url_templates, op2_quality_rules, op3_html_text, op4_substring_dedup, op5_secret_scan,
         op6_toxicity, op7_decontaminate, op8_best_fit_packing, op9_weak_quality, op10_near_duplicates,
-        op11_token_alignment, op13_bpe_round_trip,
+        op11_token_alignment, op12_hard_negatives, op13_bpe_round_trip,
     )
 }
