@@ -125,6 +125,7 @@ class Aligned:
         low = ones[1].rank(ends[0] - sides[0].lengths[self.a]) if len(self.a) else self.a
         high = ones[1].rank(ends[0] - 1) if len(self.a) else self.a
         self.reach = high - low + 1
+        self._ids = max(side.size for side in sides)
         self.link_a = np.repeat(self.a, self.reach)
         self.link_b = joined(self.b, low, self.reach)
         self.n_groups = np.diff(np.searchsorted(self.cut_a, self.first_a, "right"))
@@ -139,7 +140,7 @@ class Aligned:
         ids, after = np.zeros(len(self.a) + len(self.b), np.int64), np.full(len(self.a) + len(self.b), ord(","), np.uint8)
         ids[at_a], ids[at_b] = self.a, self.b
         after[at_a[self.cut_a - 1]], after[at_b[self.cut_b - 1]] = ord("|"), ord(";")
-        digits, starts, lengths = _decimals(1 << WIDE)
+        digits, starts, lengths = _decimals(self._ids)
         size = lengths[ids]
         out = joined(digits, starts[ids], size)
         out[np.cumsum(size) - 1] = after
