@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexloom.plans import analytics, committee, derived, files, regulation, texts  # noqa: F401  they register themselves
+from lexloom.plans import analytics, committee, derived, files, regulation, stored, texts  # noqa: F401  they register themselves
 from lexloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -48,26 +48,32 @@ def blind_spots(rows: DataFrame, key: list[str], statuses=("nonexistent", "delet
     return rows.where(F.col("status").isin(*statuses)).groupBy(*key).agg(F.count_distinct("model").alias("models")).where(F.col("models") >= least)
 
 
-def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the least id reachable; edges(a, b) in either direction.
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component) for each end of the edges(a, b): the least id reachable.
 
-    Least labels with pointer jumping; every round is two joins, its result is
+    Least labels with pointer jumping over the ends of edges only; every round is two joins, its result is
     checkpointed in the shared folder, and rounds stop when no label changes.
     """
     from lexloom.sources.shared import checkpoint
 
     both = checkpoint(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = nodes.select("id", F.col("id").alias("component"))
+    labels = checkpoint(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
-        near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("near"))
-        step = labels.join(near, F.col("id") == F.col("a"), "left").select("id", F.least("component", F.coalesce("near", "component")).alias("component"), F.col("component").alias("was"))
-        jump = step.select(F.col("id").alias("component"), F.col("component").alias("far"))
+        near = both.join(labels, F.col("b") == F.col("id")).select(F.col("a").alias("id"), "component", F.lit(None).cast(labels.schema["component"].dataType).alias("was"))
+        step = near.unionByName(labels.withColumn("was", F.col("component"))).groupBy("id").agg(F.min("component").alias("component"), F.max("was").alias("was"))
+        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("far"))
         step = checkpoint(step.join(jump, "component").select("id", F.least("component", "far").alias("component"), "was"))
         labels = step.select("id", "component")
         if step.where("component != was").isEmpty():
             return labels
 
 
+def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component) for each node: the least id reachable; edges(a, b) between nodes in either direction. Nodes without edges take no part in the rounds."""
+    found = components(edges)
+    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
 def similar_claims(rows: DataFrame, threshold: float = 0.35) -> DataFrame:
     """Pairs (a, b) of claims(id, dimension, issue) of one dimension whose beginnings share their characters.
 

@@ -18,6 +18,7 @@ from lexloom.operators import consensus as K
 from lexloom.operators import graph as G
 from lexloom.operators import retrieval as N
 from lexloom.operators import rules as R
+from lexloom.operators import similarity
 from lexloom.operators import versions as V
 from lexloom.sources import seed, tables
 
@@ -348,12 +349,15 @@ def j11_claim_rows(spark, read):
     return K.similar_claims(_ISSUES(read), 0.75)
 
 
-@query(f"""WITH RECURSIVE e AS ({_ALIKE}), both_ AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT id, id AS o FROM {_ISSUES} UNION SELECT r.id, both_.b FROM r JOIN both_ ON both_.a = r.o), c AS (SELECT id, min(o) AS component FROM r GROUP BY id)
+_ALIKE_LOW = f"SELECT a.id AS a, b.id AS b FROM ({_CHARS}) a JOIN ({_CHARS}) b ON a.dimension = b.dimension AND a.id < b.id WHERE len(list_intersect(a.s, b.s))::DOUBLE / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) > 0.35"
+
+
+@query(f"""WITH RECURSIVE e AS ({_ALIKE_LOW}), both_ AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT id, id AS o FROM {_ISSUES} UNION SELECT r.id, both_.b FROM r JOIN both_ ON both_.a = r.o), c AS (SELECT id, min(o) AS component FROM r GROUP BY id)
 SELECT component, n_claims, reviewers, label, severity, CASE label WHEN 'consensus' THEN 'auto_fix' ELSE 'verify_apply' END AS action FROM (SELECT component, count(*) AS n_claims, count(DISTINCT reviewer) AS reviewers, CASE WHEN count(DISTINCT reviewer) >= 2 THEN 'consensus' ELSE 'unique_insight' END AS label, CASE WHEN bool_or(severity = 'critical') THEN 'critical' WHEN bool_or(severity = 'major') THEN 'major' ELSE 'minor' END AS severity FROM c JOIN {_ISSUES} USING (id) GROUP BY component)""")
 def r4_component_rows(spark, read):
     """Similar claims to components, their label, gravest severity and action."""
     rows = _ISSUES(read)
-    comp = K.connected(rows.select("id"), K.similar_claims(rows, 0.75))
+    comp = similarity.of_claims(rows).drop("links")
     worst = F.max_by("severity", K.severity_rank(F.col("severity")))
     out = rows.join(comp, "id").groupBy("component").agg(F.count("*").alias("n_claims"), F.count_distinct("reviewer").alias("reviewers"), worst.alias("severity"))
     out = out.withColumn("label", F.when(F.col("reviewers") >= 2, "consensus").otherwise("unique_insight"))

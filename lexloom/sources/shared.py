@@ -22,3 +22,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """df with its lineage cut."""
     folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
