@@ -7,10 +7,11 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
-from lexloom.operators import similarity
+from lexloom.operators import intervals, similarity
 from lexloom.operators.vector_index import VectorIndex
 from lexloom.sources import shared
 from lexloom.sources.stored import Stored
+from lexloom.streaming import tracker
 
 from .committee import _COS
 from .derived import Source
@@ -104,3 +105,42 @@ _LINKED = "a.dimension = b.dimension AND a.s <> b.s AND bit_count(a.s & b.s)::DO
 def j11_linked_claims(spark, read):
     """With how many claims of its dimension each claim shares more than 35 percent of its characters; one dimension holds a third of all claims."""
     return similarity.of_claims(_CLAIMS(read)).select("id", "links")
+
+
+# ---- the tracking run as a stream --------------------------------------------------------------
+
+_INDEX = Source("orders", "'L' || o_custkey AS pcode", "o_orderdate AS seen", "CAST(10000 + o_orderkey % 9973 AS VARCHAR(5)) AS current", "o_orderkey % 11 = 0 AS abolished")
+_DAYS = f"SELECT pcode, CAST(date_trunc('day', seen) AS TIMESTAMP) AS seen, max(current) AS current, bool_or(abolished) AS abolished FROM {_INDEX} GROUP BY 1, 2"
+
+
+@query(f"""WITH d AS ({_DAYS}), r AS (SELECT *, max(CASE WHEN NOT abolished THEN current END) OVER (PARTITION BY pcode ORDER BY seen ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old, lead(seen) OVER (PARTITION BY pcode ORDER BY seen) AS next FROM d)
+SELECT pcode, strftime(seen, '%Y%m%d') AS at, old AS old_version, current AS new_version, CASE WHEN abolished THEN 'abolished' WHEN old IS NULL THEN 'newly_tracked' WHEN current > old THEN 'changed' ELSE 'unchanged' END AS status FROM r
+UNION ALL SELECT pcode, strftime(seen + INTERVAL 180 DAY, '%Y%m%d'), greatest(old, CASE WHEN NOT abolished THEN current END), NULL, 'missing' FROM r WHERE seen + INTERVAL 180 DAY < coalesce(next, (SELECT max(seen) - INTERVAL 1 DAY FROM d))""")
+def m5_tracking_stream(spark, read):
+    """M5, M6, M7: all orders as index rows that arrive in three drops, with a restart of the tracking stream between them."""
+    rows = _INDEX(read)
+    with _folder(spark, "tracking") as path:
+        for low, high in (("0001", "1994"), ("1994", "1996"), ("1996", "9999")):
+            rows.where((F.date_format("seen", "yyyy") >= low) & (F.date_format("seen", "yyyy") < high)).write.mode("append").parquet(f"{path}/in")
+            tracker.run(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), f"{path}/out", f"{path}/state").awaitTermination()
+        found = tracker.found(spark, f"{path}/out")
+        return shared.checkpoint(found.select("pcode", F.date_format("at", "yyyyMMdd").alias("at"), "old_version", "new_version", "status"))
+
+
+# ---- validity intervals ------------------------------------------------------------------------
+
+#: Versions of a law last until the next one; periods are asked for. One law in fifty is law 0, with as many versions as all of these.
+_VERSIONS = "SELECT law, day AS start, lead(day) OVER (PARTITION BY law ORDER BY day) AS \"end\" FROM (SELECT DISTINCT CASE WHEN o_custkey % 50 = 0 THEN 0 ELSE o_custkey END AS law, CAST(o_orderdate AS DATE) AS day FROM orders)"
+_PERIODS = "SELECT CASE WHEN o_custkey % 50 = 0 THEN 0 ELSE o_custkey END AS law, o_orderkey AS asked, CAST(o_orderdate AS DATE) - CAST(o_orderkey % 90 AS INT) AS start, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 7 * (o_orderkey % 7) * 5 AS INT) AS \"end\" FROM orders WHERE o_orderkey % 3 = 0"
+
+
+@query(f"SELECT p.law, p.asked, count(*) AS versions, strftime(min(v.start), '%Y%m%d') AS first, strftime(max(v.start), '%Y%m%d') AS last, sum(least(coalesce(v.\"end\", p.\"end\"), p.\"end\") - greatest(v.start, p.start))::BIGINT AS days FROM ({_VERSIONS}) v JOIN ({_PERIODS}) p ON v.law = p.law AND v.start < p.\"end\" AND p.start < coalesce(v.\"end\", DATE '9999-01-01') GROUP BY 1, 2")
+def j5_validity_periods(spark, read):
+    """J5 for periods: which versions of a law were in force in each period asked for, and for how many days."""
+    o = read("orders").select(F.expr("CASE WHEN o_custkey % 50 = 0 THEN 0 ELSE o_custkey END AS law"), F.col("o_orderdate").cast("date").alias("day"), "o_orderkey")
+    versions = o.select("law", "day").distinct().selectExpr("law", "day AS start", "lead(day) OVER (PARTITION BY law ORDER BY day) AS end")
+    periods = o.where("o_orderkey % 3 = 0").selectExpr("law", "o_orderkey AS asked", "date_sub(day, CAST(o_orderkey % 90 AS INT)) AS start", "date_add(day, CAST(o_orderkey % 7 * (o_orderkey % 7) * 5 AS INT)) AS end")
+    met = intervals.overlapping(versions, periods, ["law"])
+    days = F.datediff(F.least(F.coalesce("l.end", "r.end"), "r.end"), F.greatest("l.start", "r.start"))
+    shown = lambda c: F.date_format(c, "yyyyMMdd")
+    return met.groupBy("law", F.col("r.asked").alias("asked")).agg(F.count("*").alias("versions"), shown(F.min("l.start")).alias("first"), shown(F.max("l.start")).alias("last"), F.sum(days).alias("days"))

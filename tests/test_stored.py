@@ -167,3 +167,43 @@ def test_one_hot_dimension_leaves_a_row_for_each_class_and_block(spark):
 
 def test_no_claims(spark):
     assert similarity.of_claims(spark.createDataFrame([], "id long, dimension string, issue string")).count() == 0
+
+
+INDEX = "pcode string, seen timestamp, current string, abolished boolean"
+
+
+def seen(spark, *of):
+    return spark.createDataFrame(list(of), "pcode string, day string, current string, abolished boolean").select("pcode", F.to_timestamp("day").alias("seen"), "current", "abolished")
+
+
+def track(spark, path, *drops, late="1 day"):
+    from lexloom.streaming import tracker
+
+    for drop in drops:
+        drop.write.mode("append").parquet(f"{path}/in")
+        tracker.run(spark.readStream.schema(INDEX).parquet(f"{path}/in"), f"{path}/out", f"{path}/state", late=late).awaitTermination()
+    return sorted((r.pcode, str(r["at"])[:10], r.old_version, r.new_version, r.status) for r in tracker.found(spark, f"{path}/out").collect())
+
+
+def test_tracking_goes_on_after_a_restart(spark, tmp_path):
+    drops = [
+        seen(spark, ("A", "2020-01-01", "v1", False), ("A", "2020-01-01", "v0", False), ("B", "2020-01-05", "v1", True), ("C", "2020-01-01", "v1", False), (None, "2020-01-01", "x", False), ("D", None, "x", False)),
+        seen(spark, ("A", "2020-03-01", "v2", False), ("B", "2020-03-01", "v1", None), ("A", "2020-03-02", None, False)),
+        seen(spark, ("A", "2020-12-01", "v2", False), ("B", "2021-02-01", "v0", False)),
+    ]
+    got = track(spark, tmp_path, *drops)
+    assert got == [
+        ("A", "2020-01-01", None, "v1", "newly_tracked"), ("A", "2020-03-01", "v1", "v2", "changed"), ("A", "2020-03-02", "v2", "", "unchanged"), ("A", "2020-08-29", "v2", None, "missing"), ("A", "2020-12-01", "v2", "v2", "unchanged"),
+        ("B", "2020-01-05", None, "v1", "abolished"), ("B", "2020-03-01", None, "v1", "newly_tracked"), ("B", "2020-08-28", "v1", None, "missing"), ("B", "2021-02-01", "v1", "v0", "unchanged"),
+        ("C", "2020-01-01", None, "v1", "newly_tracked"), ("C", "2020-06-29", "v1", None, "missing"),
+    ]
+    from lexloom.streaming import tracker
+
+    index = drops[0].unionByName(drops[1]).unionByName(drops[2])
+    assert got == sorted((r.pcode, str(r["at"])[:10], r.old_version, r.new_version, r.status) for r in tracker.history(index).collect())
+    assert track(spark, tmp_path) == got
+
+
+def test_late_rows_change_nothing(spark, tmp_path):
+    got = track(spark, tmp_path, seen(spark, ("A", "2020-03-01", "v2", False), ("B", "2020-03-01", "v1", False)), seen(spark, ("A", "2020-02-27", "v9", False), ("A", "2020-03-05", "v2", False), ("A", "2019-01-01", "v9", False)), late="10 days")
+    assert [x for x in got if x[0] == "A"] == [("A", "2020-02-27", "v2", "v9", "late"), ("A", "2020-03-01", None, "v2", "newly_tracked"), ("A", "2020-03-05", "v2", "v2", "unchanged")]
