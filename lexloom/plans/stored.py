@@ -8,6 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import functions as F
 
 from lexloom.operators import intervals, similarity
+from lexloom.operators.text_index import TrigramIndex, WordIndex
 from lexloom.operators.vector_index import VectorIndex
 from lexloom.sources import shared
 from lexloom.sources.stored import Stored
@@ -144,3 +145,52 @@ def j5_validity_periods(spark, read):
     days = F.datediff(F.least(F.coalesce("l.end", "r.end"), "r.end"), F.greatest("l.start", "r.start"))
     shown = lambda c: F.date_format(c, "yyyyMMdd")
     return met.groupBy("law", F.col("r.asked").alias("asked")).agg(F.count("*").alias("versions"), shown(F.min("l.start")).alias("first"), shown(F.max("l.start")).alias("last"), F.sum(days).alias("days"))
+
+
+# ---- text search -------------------------------------------------------------------------------
+
+_NAMES = "SELECT 'p' || p_partkey AS id, p_name AS text FROM part UNION ALL SELECT 'c' || c_custkey, c_name FROM customer UNION ALL SELECT 'u' || page_id, url FROM pages"
+_WORDS = "SELECT 'b' || item_id AS word_id, lower(substr(text, 3, 1 + CAST(item_id % 4 AS INT))) AS word FROM benchmark UNION ALL SELECT 'n' || n_nationkey, '/' || n_nationkey FROM nation UNION ALL SELECT 's' || s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN '0' || s_suppkey WHEN 1 THEN 'rin' ELSE 'no such ' || s_suppkey END FROM supplier"
+
+
+@query(f"SELECT word_id, count(*) AS texts, min(id) AS first, max(id) AS last FROM ({_WORDS}) w JOIN ({_NAMES}) n ON contains(n.text, w.word) WHERE word <> '' GROUP BY 1")
+def p2_trigram_search(spark, read):
+    """Parts, customers and pages whose name or address contains each of many search words."""
+    names = read("part").selectExpr("'p' || p_partkey AS id", "p_name AS text").union(read("customer").selectExpr("'c' || c_custkey", "c_name")).union(read("pages").selectExpr("'u' || page_id", "url"))
+    wanted = read("benchmark").selectExpr("'b' || item_id AS word_id", "lower(substr(text, 3, 1 + CAST(item_id % 4 AS INT))) AS word").union(read("nation").selectExpr("'n' || n_nationkey", "'/' || n_nationkey"))
+    wanted = wanted.union(read("supplier").selectExpr("'s' || s_suppkey", "CASE s_suppkey % 3 WHEN 0 THEN '0' || s_suppkey WHEN 1 THEN 'rin' ELSE 'no such ' || s_suppkey END"))
+    with _folder(spark, "trigrams") as path:
+        found = TrigramIndex(spark, path).build(names).search(wanted)
+        return shared.checkpoint(found.groupBy("word_id").agg(F.count("*").alias("texts"), F.min("id").alias("first"), F.max("id").alias("last")))
+
+
+_CUT = r"list_filter(regexp_split_to_array(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z\x{{80}}-\x{{10FFFF}}]+'), lambda x: x <> '')"
+_SAID = "conv_id * 100000 + turn AS id"
+_ASKED = "regexp_extract(text, '^(?:[^ ]+ ){5}([^ ]+ [^ ]+ [^ ]+)', 1)"
+_BM25 = f"""WITH d AS (SELECT {_SAID}, {_CUT.format('text')} AS w FROM conversations), l AS (SELECT id, len(w) AS n FROM d), t AS (SELECT id, w, count(*) AS tf FROM (SELECT id, unnest(w) AS w FROM d) GROUP BY 1, 2),
+q AS (SELECT DISTINCT item_id AS query_id, unnest({_CUT.format(_ASKED)}) AS w FROM benchmark), f AS (SELECT w, count(*) AS df FROM t GROUP BY 1), m AS (SELECT count(*) AS n, avg(n) AS mean FROM l)
+SELECT query_id, t.id, round(sum(ln(1 + (m.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l.n / m.mean))), 9) AS s FROM q JOIN t USING (w) JOIN f USING (w) JOIN l ON l.id = t.id, m GROUP BY 1, 2"""
+
+
+@query(f"SELECT query_id, id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM ({_BM25}) QUALIFY rank <= 10")
+def s24_ranked_search(spark, read):
+    """The ten turns of conversations of the highest BM25 for three words of each benchmark item."""
+    asked = read("benchmark").select(F.col("item_id").alias("query_id"), F.expr(_ASKED).alias("query"))
+    with _folder(spark, "words") as path:
+        found = WordIndex(spark, path).build(read("conversations").selectExpr(_SAID, "text")).search(asked, 10)
+        return shared.checkpoint(found.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank")))
+
+
+_TWO = "regexp_extract(text, '^(?:[^ ]+ ){2}([^ ]+ [^ ]+)', 1)"
+
+
+@query(f"""WITH d AS (SELECT {_SAID}, ' ' || array_to_string({_CUT.format('text')}, '  ') || ' ' AS w FROM conversations), q AS (SELECT item_id AS query_id, {_CUT.format(_TWO)} AS p FROM benchmark)
+SELECT query_id, count(*) AS texts, sum(n)::BIGINT AS times FROM (SELECT query_id, id, (length(w) - length(replace(w, ' ' || array_to_string(p, '  ') || ' ', ''))) // (length(array_to_string(p, '  ')) + 2) AS n FROM d, q WHERE len(p) = 2 AND p[1] <> p[2]) WHERE n > 0 GROUP BY 1""")
+def s24_phrases(spark, read):
+    """Turns with a phrase of two words of each benchmark item, and how often."""
+    asked = read("benchmark").select(F.col("item_id").alias("query_id"), F.expr(_TWO).alias("phrase"))
+    words = F.filter(F.split(F.translate("phrase", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda x: x != "")
+    asked = asked.where((F.size(words) == 2) & (F.get(words, F.lit(0)) != F.get(words, F.lit(1))))
+    with _folder(spark, "words") as path:
+        found = WordIndex(spark, path).build(read("conversations").selectExpr(_SAID, "text")).phrases(asked)
+        return shared.checkpoint(found.groupBy("query_id").agg(F.count("*").alias("texts"), F.sum("times").alias("times")))

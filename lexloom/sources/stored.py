@@ -89,7 +89,7 @@ class Stored:
         """Let rows be all that the touched parts hold; version: the one that rows were made from."""
         version = self.version() if version is None else version
         folder = f"data-{uuid.uuid4().hex}"
-        rows.repartition("part").write.partitionBy("part").parquet(f"{self.path}/{folder}")
+        rows.hint("rebalance", F.col("part")).write.partitionBy("part").parquet(f"{self.path}/{folder}")  # a large part is several tasks and files
         names = [f.getPath().getName() for f in self._files.listStatus(self._path(f"{self.path}/{folder}"))]
         new = {int(n.split("=")[1]): folder for n in names if n.startswith("part=")}
         if not set(new) <= set(touched):
