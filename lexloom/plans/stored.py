@@ -65,28 +65,28 @@ def t2_index_changes(spark, read):
 
 # ---- changes to a stored table -----------------------------------------------------------------
 
-_NAMED = "SELECT c_custkey AS pcode, c_name AS name, c_mktsegment AS level, c_nationkey AS days FROM customer"
+_TRACKED = Source("documents", "doc_id AS pcode", "source AS name", "lang AS level", "CAST(n_chars % 28 AS INT) AS days")
 
 
-@query("""SELECT pcode, name, level, CASE WHEN days > 20 THEN 1 ELSE days END AS days FROM (
-SELECT c_custkey AS pcode, CASE WHEN c_custkey % 6 = 0 THEN 'new ' || c_name ELSE c_name END AS name, CASE WHEN c_custkey % 6 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'late' END AS level, c_nationkey AS days FROM customer) WHERE level IS NULL OR level <> 'BUILDING'""")
+@query(f"""SELECT pcode, name, level, CASE WHEN days > 20 THEN 1 ELSE days END AS days FROM (
+SELECT pcode, CASE WHEN pcode % 6 = 0 THEN 'new ' || name ELSE name END AS name, CASE WHEN pcode % 6 = 0 THEN NULL WHEN pcode % 2 = 0 THEN level ELSE 'late' END AS level, days FROM {_TRACKED}) WHERE level IS NULL OR level <> 'de'""")
 def m1_stored_changes(spark, read):
     """M1, M2, M3: rows of a stored table ignored if known, replaced, updated and deleted, each as one commit."""
-    rows = read("customer").select(F.col("c_custkey").alias("pcode"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("level"), F.col("c_nationkey").alias("days"))
+    rows = _TRACKED(read)
     with _folder(spark, "tracked") as path:
         table = Stored(spark, path, rows.schema, ["pcode"])
         table.insert_ignore(rows.where("pcode % 2 = 0"))
         table.insert_ignore(rows.withColumn("level", F.lit("late")))
         table.replace(rows.where("pcode % 6 = 0").select("pcode", F.concat(F.lit("new "), "name").alias("name"), F.lit(None).cast("string").alias("level"), "days"))
         table.update("days > 20", {"days": F.lit(1)})
-        table.delete("level = 'BUILDING'")
+        table.delete("level = 'de'")
         return shared.checkpoint(table.rows())
 
 
-@query("SELECT 'first' AS change, count(*) FILTER (c_custkey % 2 = 0) AS n FROM customer UNION ALL SELECT 'second', count(*) FILTER (c_custkey % 2 <> 0) FROM customer UNION ALL SELECT 'replaced', count(*) FILTER (c_custkey % 6 = 0) FROM customer UNION ALL SELECT 'deleted', count(*) FILTER (c_custkey % 5 = 0) FROM customer UNION ALL SELECT 'none', 0 UNION ALL SELECT 'left', count(*) FILTER (c_custkey % 5 <> 0) FROM customer")
+@query(f"SELECT 'first' AS change, count(*) FILTER (pcode % 2 = 0) AS n FROM {_TRACKED} UNION ALL SELECT 'second', count(*) FILTER (pcode % 2 <> 0) FROM {_TRACKED} UNION ALL SELECT 'replaced', count(*) FILTER (pcode % 6 = 0) FROM {_TRACKED} UNION ALL SELECT 'deleted', count(*) FILTER (pcode % 5 = 0) FROM {_TRACKED} UNION ALL SELECT 'none', 0 UNION ALL SELECT 'left', count(*) FILTER (pcode % 5 <> 0) FROM {_TRACKED}")
 def m3_change_counts(spark, read):
     """M1, M3: how many rows each change met."""
-    rows = read("customer").select(F.col("c_custkey").alias("pcode"), F.col("c_name").alias("name"))
+    rows = _TRACKED(read)
     with _folder(spark, "tracked") as path:
         table = Stored(spark, path, rows.schema, ["pcode"])
         done = [("first", table.insert_ignore(rows.where("pcode % 2 = 0"))), ("second", table.insert_ignore(rows)), ("replaced", table.replace(rows.where("pcode % 6 = 0"))), ("deleted", table.delete("pcode % 5 = 0")), ("none", table.delete("pcode < 0"))]
