@@ -7,8 +7,8 @@ take many. A run of MIN_CHARS or more that has
 less than RATIO characters to a token is a secret, whatever stands before it. So is a
 part of it after an equals sign. What is left of a run
 outside the base patterns is a run again, and so is what is left outside known digests
-(hex in the length of a common hash), UUIDs, mail addresses and urls up to their
-query; a url's user part and query are tested. Numbers, dates and
+(hex in the length of a common hash) and UUIDs. A url's path is no run as a whole: its host and each segment between slashes
+are runs of their own. Names of mail addresses are runs like any other. Numbers, dates and
 times, that is runs without a letter, are never secrets.
 
 Everything happens in one pass over the rows, with no exchange. Places are code points, ends
@@ -41,9 +41,9 @@ MIN_CHARS, RATIO = 20, 2.0
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_CHARS)
 DIGESTS = (32, 40, 56, 64, 96, 128)
 NUMBER = re.compile(r"[0-9+/_=-]+")
-#: Digests and UUIDs that stand alone; urls (their host and path) and mail addresses.
+#: Digests and UUIDs that stand alone; host and path of urls.
 KNOWN = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|%s)(?![0-9A-Za-z])" % "|".join("[0-9a-fA-F]{%d}" % n for n in DIGESTS))
-ADDRESS = re.compile(r"""://(?:[^\s/?#@"'<>]*@)?(?P<url>[^\s?#"'<>]*)|(?<![A-Za-z0-9._%+-])(?P<mail>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)""")
+ADDRESS = re.compile(r"""://(?:[^\s/?#@"'<>]*@)?(?P<url>[^\s?#"'<>]*)""")
 PART = re.compile(r"=+(?=[^=])")
 _LONG_HEX = re.compile(r"[0-9a-f]{%d,}" % MIN_HEX)
 
@@ -110,8 +110,8 @@ def all_spans(text: str) -> list[tuple[int, int, int]]:
     if not runs:
         return out
     taken = [(i, j) for _, i, j in out] + [m.span() for m in KNOWN.finditer(text)]
-    if "://" in text or "@" in text:
-        taken += [m.span(m.lastgroup) for m in ADDRESS.finditer(text)]
+    if "://" in text:
+        taken += [(at, at + 1) for m in ADDRESS.finditer(text) for at in range(*m.span("url")) if text[at] == "/"]
     taken = _merged(taken)
     at = 0
     for i, j in runs:

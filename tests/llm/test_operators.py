@@ -185,12 +185,13 @@ def test_secrets(frame, docs):
 def test_random_strings_whatever_stands_around_them():
     key, other = "sk4Zq9Xv7Lw2Bt8Rm3Nc6Hy", "Qz7xW4kP9vJ2mR8tY5bN3cL6"
     found = lambda text: [text[i:j] for k, i, j in secrets.all_spans(text) if k == 3]
-    for text in (f"key:{key} x", f"Bearer:{key}", f"https://example.com/a/b?page=2&sig={key}", f"see {key}.{other}", f"x%{key}", f"?{key}", f"u@{key}", f"https://{key}:x@example.com/a"):
+    for text in (f"key:{key} x", f"Bearer:{key}", f"https://example.com/a/b?page=2&sig={key}", f"see {key}.{other}", f"x%{key}", f"?{key}", f"u@{key}", f"https://{key}:x@example.com/a", f"https://hooks.example.com/services/T0000/B0000/{key}", f"{key}@mail.example.com", f"https://example.com/a/{key}?x=1", f"https://{key}.example.com/"):
         assert any(key in f for f in found(text)), text
     assert found(f"{key}.{other}") == [key, other] and found(f"{HEXES}/{key}") == ["/" + key] and found(f"{KEY}/{key}") == ["/" + key]
     assert found("information_" * 8 + "=" + key) == [key]
-    for text in ("mail john.smith.of.the.office4711@mail.example.com", f"https://example.com/{key}/{key}", "id=123e4567-e89b-12d3-a456-426614174000", "D41D8CD98F00B204E9800998ECF8427E", "2024/01/01-12:00 20240101120000123456", "internationalization_of_the_application"):
+    for text in ("mail john.smith.of.the.office4711@mail.example.com", "https://www.example.com/en/how-to-keep-your-own-house-clean/index.html", "https://example.com/files/d41d8cd98f00b204e9800998ecf8427e/20240101120000123456", "id=123e4567-e89b-12d3-a456-426614174000", "D41D8CD98F00B204E9800998ECF8427E", "2024/01/01-12:00 20240101120000123456", "internationalization_of_the_application"):
         assert not found(text), text
+    assert found(f"https://example.com/{key}/{other}") == [key, other]
     rng = random.Random(12)
     for alphabet in ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
         runs = ["".join(rng.choice(alphabet) for _ in range(20)) for _ in range(500)]
@@ -541,7 +542,12 @@ def test_random_spans_against_a_plain_version():
         text = "".join(word() for _ in range(rng.randrange(1, 14)))
         base = secrets.base_spans(text)
         free = [re.fullmatch(r"[A-Za-z0-9+/_=-]", c) is not None for c in text]
-        taken = [s[1:] for s in base] + [m.span() for m in secrets.KNOWN.finditer(text)] + [m.span(m.lastgroup) for m in secrets.ADDRESS.finditer(text)]
+        taken = [s[1:] for s in base] + [m.span() for m in secrets.KNOWN.finditer(text)]
+        for m in re.finditer(r"""://(?:[^\s/?#@"'<>]*@)?""", text):  # slashes of a url up to its query part runs
+            at = m.end()
+            while at < len(text) and text[at] not in "?#\"'<>" and not text[at].isspace():
+                taken += [(at, at + 1)] * (text[at] == "/")
+                at += 1
         for i, j in taken:
             free[i:j] = [False] * (j - i)
         want, at = [], 0
