@@ -5,14 +5,13 @@ list item at the next, cells and rows at theirs) and visibility rules (head,
 scripts and the like, `hidden`, `display:none`, `visibility:hidden`, hidden
 inputs, comments) feeds a renderer. Blocks stand on lines of their own, paragraphs,
 headings, lists and tables with an empty line around; list items carry their
-bullet or number, indented by depth; table cells are padded to the widest of their column,
-cells that span rows or columns keep the others in their columns; preformatted text
-keeps its blanks. Nothing visible is left out.
+bullet or number, indented by depth; table cells are padded to their column, which is as wide as
+its widest cell that another follows, WIDTH at most; longer ones go on in further lines of that width, and behind a word that is longer still the
+row goes on in the next line, in its columns. Cells that span rows or columns keep the others in their columns; preformatted text
+keeps its blanks. Nothing visible is left out, and all tables are laid out by this one rule, whatever the page's size.
 
 Both parts take time and space in proportion to the page: no stray tag is looked for below the open ones,
-nesting of any depth is walked with a stack of its own, and a page gets at most PADDING
-blanks of padding and as many slots under spanning cells for each of its characters; beyond that tables are shown without alignment
-and cells span nothing. Indents end at INDENT; of tables inside tables more than TABLES deep the cells are blocks.
+nesting of any depth is walked with a stack of its own, and a cell costs WIDTH blanks at most, and as many for each of the ROWS rows that it may span. Indents end at INDENT; of tables inside tables more than TABLES deep the cells are blocks, as each level would copy all lines below it.
 
 Pages are rendered where they are read, with no exchange; a task holds one slice.
 
@@ -53,11 +52,11 @@ IMPLIED = (
 )
 #: By tag: the rules that it sets off, those that it opens, and those that it bars. The last rule, of paragraphs, comes first.
 _SETS_OFF, _OPENS, _BARS = ({t: [k for k in (7, *range(7)) if t in IMPLIED[k][n]] for t in set().union(*(r[n] for r in IMPLIED))} for n in range(3))
-INDENT, PADDING, TABLES = 40, 4, 8
+INDENT, TABLES, WIDTH = 40, 8, 48
 _LONG_REFERENCE = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
 _NUMBER = re.compile(r"\s*([+-]?[0-9]{1,9})(?![0-9])", re.ASCII)
-#: Limits of the standard for spans.
-COLUMNS, ROWS = 1000, 65534
+#: Columns that a cell may span, as in the standard, and beyond which cells of a table span nothing; and rows that a cell may span.
+COLUMNS, ROWS = 1000, 100
 
 
 def unescape(text: str) -> str:
@@ -166,12 +165,12 @@ def parse(text: str) -> Node:
 
 
 class Page:
-    """Lines of visible text; a line begins when a block does. spare: how many blanks of padding and slots of spans may still be spent; tables: how many it is inside of."""
+    """Lines of visible text; a line begins when a block does. tables: how many it is inside of."""
 
-    def __init__(self, spare: list[int], tables: int = 0):
+    def __init__(self, tables: int = 0):
         self.lines: list[str] = []
         self.tables = tables
-        self.parts, self.gap, self.indent, self.mark, self.spare = [], False, "", "", spare
+        self.parts, self.gap, self.indent, self.mark = [], False, "", ""
 
     def text(self, s: str) -> None:
         s = _BLANKS.sub(" ", s)
@@ -251,7 +250,7 @@ def _rows(table: Node) -> tuple[list[list[Node]], list]:
     return rows, loose
 
 
-def _placed(rows: list[list[tuple[list[str], int, int]]], spare: list[int]) -> list[dict[int, list[str]]]:
+def _placed(rows: list[list[tuple[list[str], int, int]]]) -> list[dict[int, list[str]]]:
     """Rows of cells (lines, columns, rows that it spans) as rows of lines by column, where only columns count in which a cell begins."""
     grid, until = [], {}  # until: for columns taken from above, the first row that is free
     for r, row in enumerate(rows):
@@ -261,9 +260,8 @@ def _placed(rows: list[list[tuple[list[str], int, int]]], spare: list[int]) -> l
             while at in until:
                 at += 1
             line[at] = lines
-            if wide * high > spare[1]:
+            if at + wide > COLUMNS:
                 wide = high = 1
-            spare[1] -= wide * high
             if high > 1:
                 until |= {c: r + high for c in range(at, at + wide)}
             at += wide
@@ -272,27 +270,48 @@ def _placed(rows: list[list[tuple[list[str], int, int]]], spare: list[int]) -> l
     return [{rank[c]: lines for c, lines in line.items()} for line in grid]
 
 
-def _aligned(page: Page, grid: list[dict[int, list[str]]]) -> list[str]:
-    """The rows' lines, with cells padded to their column while blanks can be spared."""
+def _folded(line: str) -> list[str]:
+    """A line as lines of WIDTH at most, but for words that are longer."""
+    if len(line) <= WIDTH:
+        return [line]
+    out, rest = [], line.rstrip(" ")
+    while len(rest) > WIDTH:
+        cut = rest.rfind(" ", 1, WIDTH + 1)
+        if cut <= 0 or not rest[:cut].strip(" "):
+            cut = rest.find(" ", len(rest) - len(rest.lstrip(" ")))
+        if cut < 0:
+            break
+        out.append(rest[:cut].rstrip(" "))
+        rest = rest[cut:].lstrip(" ")
+    return [*out, rest]
+
+
+def _aligned(grid: list[dict[int, list[str]]]) -> list[str]:
+    """The rows' lines, with each cell that another follows folded and padded to its column."""
     widths: dict[int, int] = {}
     for row in grid:
-        for c, lines in row.items():
-            widths[c] = max([widths.get(c, 0), *map(len, lines)])
+        last = max(row, default=0)
+        for c in row:
+            if c != last:
+                row[c] = [x for line in row[c] for x in _folded(line)]
+            width = max((len(x) for x in row[c] if c != last and len(x) <= WIDTH), default=0)
+            widths[c] = max(widths.get(c, 0), width)
     before = [0]
     for c in range(len(widths)):
         before.append(before[-1] + widths[c] + 2)
-    lines = [[(c, own[i]) for c, own in row.items() if i < len(own)] for row in grid for i in range(max(map(len, row.values()), default=0))]
-    need = sum(before[x[-1][0]] - sum(len(t) for _, t in x[:-1]) for x in lines if x)
-    if need > page.spare[0]:
-        return ["  ".join(t for _, t in x) for x in lines]
-    page.spare[0] -= need
     out = []
-    for x in lines:
-        parts, at = [], 0
-        for c, t in x:
-            parts += [" " * (before[c] - at), t]
-            at = before[c] + len(t)
-        out.append("".join(parts))
+    for row in grid:
+        for i in range(max(map(len, row.values()), default=0)):
+            parts, at = [], 0
+            for c, own in row.items():
+                if i >= len(own):
+                    continue
+                if at and before[c] < at + 2:  # a word beyond its column
+                    out.append("".join(parts))
+                    parts, at = [], 0
+                parts += [" " * (before[c] - at), own[i]]
+                at = before[c] + len(own[i])
+            out.append("".join(parts))
     return out
 
 
@@ -305,14 +324,14 @@ def _table(page: Page, table: Node):
     for r, row in enumerate(rows):
         cells.append([])
         for c in row:
-            inner = Page(page.spare, page.tables + 1)
+            inner = Page(page.tables + 1)
             for x in c.children:
                 yield from _child(inner, x)
             inner.end()
             wide, high = c.number("colspan"), c.number("rowspan")
             high = len(rows) if high == 0 else min(max(1, high or 1), ROWS)
             cells[-1].append(([x for x in inner.lines if x], min(max(1, wide or 1), COLUMNS), min(high, len(rows) - r)))
-    page.verbatim(_aligned(page, _placed(cells, page.spare)))
+    page.verbatim(_aligned(_placed(cells)))
 
 
 def _child(page: Page, node):
@@ -379,7 +398,7 @@ def _show(page: Page, node: Node):
 
 def render(text: str | None) -> str:
     """All visible text of a page, laid out in lines."""
-    page = Page([PADDING * len(text or "")] * 2)
+    page = Page()
     for x in parse(text or "").children:
         walks = [_child(page, x)]
         while walks:

@@ -512,7 +512,7 @@ def test_html_of_odd_attributes_deep_pages_and_wide_tables():
             began = time.process_time()
             out = html.render(what * n)
             took.append(time.process_time() - began)
-            assert len(out) <= (PADDED := html.PADDING + html.INDENT) * len(what * n), PADDED
+            assert len(out) <= (html.WIDTH + html.INDENT) * len(what * n), what
         assert took[1] < 40 * max(took[0], 0.02), what
     page = "<table><tr><td>" + "x" * 20000 + "<td>y" + "<tr><td>a<td>b" * 2000 + "</table>"
     assert len(html.render(page)) <= 6 * len(page)
@@ -535,6 +535,50 @@ def test_url_tree_against_a_plain_one(spark):
     assert any("+" in r.template for r in got) and any(r.purity >= urls.REJECT and r.labels >= urls.MIN_LABELS for r in got)
 
 
+def plain_table(rows, width):
+    """Lines of a table of words (lists of words for each cell), by the one rule: fold, measure, pad."""
+    fold = lambda words: " ".join(words)
+    cells = []
+    for row in rows:
+        out = []
+        for k, words in enumerate(row):
+            lines = [fold(words)] if words else []
+            if k < len(row) - 1 and words and len(lines[0]) > width:
+                lines, line = [], ""
+                for w in words:
+                    if line and len(line) + 1 + len(w) > width:
+                        lines.append(line)
+                        line = ""
+                    line = f"{line} {w}" if line else w
+                lines.append(line)
+            out.append(lines)
+        cells.append(out)
+    widths = [max([len(x) for row in cells if k < len(row) - 1 for x in row[k] if len(x) <= width], default=0) for k in range(max(map(len, cells)))]
+    shown = []
+    for row in cells:
+        for i in range(max(map(len, row))):
+            line = ""
+            for k, lines in enumerate(row):
+                if i < len(lines):
+                    place = sum(widths[:k]) + 2 * k
+                    if line and place < len(line) + 2:
+                        shown.append(line)
+                        line = ""
+                    line = line.ljust(place) + lines[i]
+            shown.append(line)
+    return "\n".join(x.rstrip() for x in shown)
+
+
+def test_tables_against_a_plain_layout():
+    rng = random.Random(41)
+    for _ in range(300):
+        rows = [[["x" * rng.choice([1, 3, 9, 20, 47, 48, 49, 70]) for _ in range(rng.choice([0, 1, 1, 2, 9]))] for _ in range(rng.randrange(1, 5))] for _ in range(rng.randrange(1, 6))]
+        page = "<table>" + "".join("<tr>" + "".join(f"<td>{' '.join(c)}</td>" for c in row) for row in rows) + "</table>"
+        assert html.render(page) == plain_table(rows, html.WIDTH), page
+    wide = html.render("<table>" + "".join(f"<tr><td>name{k}<td>{k}" for k in range(6)) + f"<tr><td>{'y' * 400}<td>6</table>").split("\n")
+    assert [x.index(str(k)) for k, x in enumerate(wide[:6]) if k] == [4] * 5 and wide[3] == "name3  3" and wide[6:] == ["y" * 400, "       6"]
+
+
 def test_random_spans_against_a_plain_version():
     rng = random.Random(23)
     word = lambda: rng.choice(["the", "information", "=", "key=", " ", "\n", "/", "https://example.com/a_b/", "?sig=", "john@mail.example.com", HEXES[:40], HEXES, KEY, "token: " + HEXES[:12], "20240101120000123456", "é", "-", "123e4567-e89b-12d3-a456-426614174000", "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.choice([5, 12, 24, 40])))])
