@@ -208,6 +208,10 @@ def url_tree(urls, o):
     out = {}
 
     def descend(own, node, level, rate):
+        if not total(own)[1]:  # no label can change a verdict below
+            for host, path in own:
+                out[host, path] = (node + "/**" if level < len(path.split("/")[1:]) else node, rate)
+            return
         going = defaultdict(list)
         for host, path in own:
             parts = path.split("/")[1:]

@@ -518,6 +518,17 @@ def test_html_of_odd_attributes_deep_pages_and_wide_tables():
     assert len(html.render(page)) <= 6 * len(page)
 
 
+def test_a_long_path_costs_no_more_rounds_than_a_short_one(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(urls, "shared_checkpoint", lambda df, keep=urls.shared_checkpoint: rounds.append(1) or keep(df))
+    pages = [("h.net", f"/a{k}/b/{'c/' * depth}d", "block") for k, depth in enumerate((1, 1000))] + [("h.org", "/x/" * 1000 + str(k), None) for k in range(4)]
+    got = {r.path: (r.template, r.purity) for r in urls.templates(spark.createDataFrame(pages, "host string, path string, verdict string")).collect()}
+    assert len(rounds) <= 7 and len(got) == 6
+    want = brute.url_tree([p for p in pages if len(p[1]) < 900], urls)
+    assert {t for p, (t, _) in got.items() if p.startswith("/x")} == {"h.org/**"} and len(want) == 1
+    assert got["/a0/b/c/d"][0].startswith("h.net/{mix}") and got["/a1/b/" + "c/" * 1000 + "d"][0].count("/") == 1003
+
+
 def test_url_tree_against_a_plain_one(spark):
     rng = random.Random(17)
     words = ["news", "blog", "item", "shop", "a", "b2", "x-1", "list.html", "view.php", "deadbeef01"]
