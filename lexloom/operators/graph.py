@@ -24,29 +24,78 @@ def neighbours(edges: DataFrame, up: bool, kinds=HIERARCHY) -> DataFrame:
 
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int, up: bool) -> DataFrame:
-    """(start, id, depth): everything within `depth` hops of starts(id), each once at its least depth."""
+    """(start, id, depth): everything within `depth` hops of starts(id), each once at its least depth. From the second hop on each front is checkpointed, so the plan does not grow with the depth."""
+    from lexloom.sources.shared import checkpoint
+
     hops = neighbours(edges, up).distinct()
     seen = starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth"))
+    if depth > 1:
+        hops, seen = checkpoint(hops), checkpoint(seen)
     front = seen
     for d in range(1, depth + 1):
         front = front.join(hops, "id").select("start", F.col("other").alias("id"), F.lit(d).alias("depth")).distinct()
         front = front.join(seen.select("start", "id"), ["start", "id"], "left_anti")
+        front = checkpoint(front) if d < depth else front
         seen = seen.unionByName(front)
     return seen.where("depth > 0")
 
 
-def context(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int = 2) -> DataFrame:
-    """Per start the labels above, below, referenced, and its path: above, itself, below."""
+def shortest_paths(edges: DataFrame, starts: DataFrame, depth: int, targets: DataFrame | None = None) -> DataFrame:
+    """(start, id, depth, path): one shortest path from each of starts(id) to each entity (of targets, if given) within `depth` hops, over edges(src, dst) in either direction.
+
+    Breadth first: each entity is met once for each start, and keeps the one before it, the least id of those at that depth; paths are put
+    together from these afterwards, from the ends back, so fronts carry two ids only. Each front is checkpointed.
+    """
+    from lexloom.sources.shared import checkpoint
+
+    both = edges.where("src != dst").select(F.col("src").alias("before"), F.col("dst").alias("id"))
+    both = checkpoint(both.union(both.select("id", "before")).distinct())
+    front = checkpoint(starts.select(F.col("id").alias("start"), "id").distinct())
+    met = [front.withColumn("before", F.lit(None).cast(front.schema["id"].dataType))]
+    seen = front
+    for _ in range(depth):
+        front = seen_front(front, both).join(seen, ["start", "id"], "left_anti")
+        front = checkpoint(front)
+        if front.isEmpty():
+            break
+        met.append(front)
+        seen = seen.unionByName(front.select("start", "id"))
+        front = front.select("start", "id")
+    out = None
+    for d in range(1, len(met)):
+        rows = met[d] if targets is None else met[d].join(targets.select("id").distinct(), "id", "left_semi")
+        rows = rows.select("start", "id", "before", F.array("before", "id").alias("path"))
+        for back in range(d - 1, 0, -1):
+            step = met[back].select("start", F.col("id").alias("before"), F.col("before").alias("further"))
+            rows = rows.join(step, ["start", "before"]).select("start", "id", F.col("further").alias("before"), F.concat(F.array("further"), "path").alias("path"))
+        rows = rows.select("start", "id", F.lit(d).alias("depth"), "path")
+        out = rows if out is None else out.unionByName(rows)
+    return out if out is not None else met[0].select("start", "id", F.lit(0).alias("depth"), F.array("id").alias("path")).limit(0)
+
+
+def seen_front(front: DataFrame, both: DataFrame) -> DataFrame:
+    """(start, id, before): the next hop of a front(start, id), each with the least one before."""
+    step = both.select(F.col("before").alias("_at"), F.col("id").alias("_next"))
+    return front.join(step, F.col("id") == F.col("_at")).groupBy("start", F.col("_next").alias("id")).agg(F.min("_at").alias("before"))
+
+
+def context(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int = 2, lists: tuple[str, ...] = ("above", "below", "refs")) -> DataFrame:
+    """Per start the labels above, below, referenced, and its path: above, itself, below.
+
+    lists: which of these are wanted as lists, for starts that have a few; of the others there is only the number of labels, n_above, n_below or n_refs.
+    """
     label = nodes.select(F.col("id"), "label")
 
     def listed(rows: DataFrame, name: str) -> DataFrame:
-        return rows.join(label, "id").groupBy("start").agg(F.array_sort(F.collect_set("label")).alias(name))
+        labels = rows.join(label, "id").groupBy("start")
+        return labels.agg(F.array_sort(F.collect_set("label")).alias(name)) if name in lists else labels.agg(F.count_distinct("label").alias(f"n_{name}"))
 
     refs = edges.where(F.col("type").isin("references", "see_also")).select(F.col("src").alias("start"), F.col("dst").alias("id"))
     out = starts.join(label, "id").select(F.col("id").alias("start"), "label")
     for rows, name in ((reach(edges, starts, depth, True), "above"), (reach(edges, starts, depth, False), "below"), (refs, "refs")):
-        out = out.join(listed(rows, name), "start", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
-    return out.withColumn("path", F.array_join(F.concat("above", F.array("label"), "below"), " → "))
+        out = out.join(listed(rows, name), "start", "left")
+        out = out.withColumn(name, F.coalesce(name, F.array().cast("array<string>"))) if name in lists else out.withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0)))
+    return out.withColumn("path", F.array_join(F.concat("above", F.array("label"), "below"), " → ")) if {"above", "below"} <= set(lists) else out
 
 
 #: Prefixes of the ids of entities made from tables.
@@ -68,14 +117,14 @@ def entities_of_json(rows: DataFrame, column: str) -> DataFrame:
     return rows.select(x.alias("x")).select("x.id", "x.label", "x.type", F.coalesce("x.metadata", F.create_map().cast("map<string,string>")).alias("metadata"))
 
 
-def retrieve(queries: DataFrame, points: DataFrame, nodes: DataFrame, edges: DataFrame, k: int, depth: int = 2) -> DataFrame:
+def retrieve(queries: DataFrame, points: DataFrame, nodes: DataFrame, edges: DataFrame, k: int, depth: int = 2, lists: tuple[str, ...] = ("above", "below", "refs")) -> DataFrame:
     """The k nearest points(id, v, entity) of each of queries(query_id, q), each with the surroundings of its entity, null where the graph has none; surroundings are found for the entities that were met only."""
     from lexloom.operators import retrieval
     from lexloom.sources.shared import checkpoint
 
     found = retrieval.top_k(queries, points.select("id", "v"), k).join(points.select("id", "entity"), "id")
     found = checkpoint(found.select("query_id", "id", "score", "rank", "entity"))
-    around = context(nodes, edges, found.select(F.col("entity").alias("id")).distinct(), depth)
+    around = context(nodes, edges, found.select(F.col("entity").alias("id")).distinct(), depth, lists)
     return found.join(around, F.col("entity") == F.col("start"), "left").drop("start")
 
 

@@ -41,15 +41,20 @@ def validate_answer(text: Column, task: Column) -> Column:
 INVARIANTS = (("I001", "CRITICAL"), ("I002", "HIGH"), ("I003", "CRITICAL"), ("I004", "MEDIUM"), ("I005", "HIGH"), ("I006", "HIGH"))
 
 
+#: Whether a text has a match of PERSONAL: each branch cut to what decides, so that no long run is tried from each of its characters.
+_HAS_PERSONAL = r"[0-9]{7}|[0-9]{2}[-/][0-9]{1,2}[-/][0-9]|0[0-9]{1,2}[-\s][0-9]{6}"
+_HAS_MAIL = r"[A-Za-z0-9_.+-]@[A-Za-z0-9_-]+\.[A-Za-z0-9_.]"
+
+
 def broken(text: Column) -> dict[str, Column]:
     """For each invariant whether a text breaks it."""
     cited = text.rlike(lexicon.CITATION)
     return {
         "I001": T.any_of(text, lexicon.RISK_WORDS) & ~T.any_of(text, lexicon.GUIDANCE_WORDS),
         "I002": T.any_of(text, lexicon.CLAIM_WORDS) & ~cited,
-        "I003": T.hits(text, lexicon.FORBIDDEN, ignore_case=True) > 0,
+        "I003": text.rlike("(?i)" + "|".join(f"(?:{p})" for p in lexicon.FORBIDDEN)),
         "I004": T.any_of(text, lexicon.CHOICE_WORDS) & ~T.any_of(text, lexicon.ANALYSIS_WORDS),
-        "I005": text.rlike(lexicon.PERSONAL),
+        "I005": text.rlike(_HAS_PERSONAL) | (F.contains(text, F.lit("@")) & text.rlike(_HAS_MAIL)),
         "I006": T.any_of(text, lexicon.CONCLUSION_WORDS) & ~cited,
     }
 

@@ -128,6 +128,34 @@ def search(names: DataFrame, word: str, preferred_level: str) -> DataFrame:
     return found.orderBy("tier", F.when(F.col("level") == preferred_level, 0).otherwise(1), "name")
 
 
+def linked_hashes(rows: DataFrame, key: str, order: list[str], payload: str, first: str = "") -> DataFrame:
+    """rows with hash and prev_hash, per key in order: each hash is of the one before (`first` at the beginning), a bar and the payload, so a change of one row changes all later hashes of its key.
+
+    A chain is one sequence by nature: a key's rows go through one task, batch by batch, with the last hash carried along, so a
+    task holds one batch whatever a key's number of rows. A null payload counts as empty.
+    """
+    schema = rows.schema
+
+    def linked(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        at, last = object(), first
+        for batch in batches:
+            before, own = [], []
+            for k, text in zip(batch.column(key).to_pylist(), batch.column(payload).to_pylist(), strict=True):
+                last = first if k != at else last
+                at = k
+                before.append(last)
+                last = hashlib.sha256(f"{last}|{text or ''}".encode()).hexdigest()
+                own.append(last)
+            yield batch.append_column("hash", pa.array(own, pa.string())).append_column("prev_hash", pa.array(before, pa.string()))
+
+    dealt = rows.repartition(key).sortWithinPartitions(key, *order)
+    return dealt.mapInArrow(linked, type(schema)([*schema.fields]).add("hash", "string").add("prev_hash", "string"))
+
+
 def hash_chain(rows: DataFrame, key: str, order: list[str], payload: Column) -> DataFrame:
     """hash and prev_hash per key in order."""
     w = Window.partitionBy(key).orderBy(*order)

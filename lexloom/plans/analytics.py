@@ -73,10 +73,10 @@ def a26_inconsistent_variables(spark, read):
     return rows.groupBy("var").agg(F.array_join(F.array_sort(F.collect_set("val")), ",").alias("vals"), F.count_distinct("val").alias("n")).where("n > 1").drop("n")
 
 
-@query("SELECT event_type AS dimension, mode(user_id % 7) AS typical FROM (SELECT *, 1 AS one FROM events WHERE user_id % 7 <> 3) GROUP BY 1 HAVING count(*) < 0 UNION ALL SELECT event_type, count(DISTINCT user_id % 7) FROM events GROUP BY 1")
+@query("SELECT event_type AS dimension, count(DISTINCT user_id % 7) AS members FROM events GROUP BY 1")
 def a21_distinct_dimensions(spark, read):
     """Distinct members of a group."""
-    return read("events").groupBy(F.col("event_type").alias("dimension")).agg(F.count_distinct(F.col("user_id") % 7).alias("typical"))
+    return read("events").groupBy(F.col("event_type").alias("dimension")).agg(F.count_distinct(F.col("user_id") % 7).alias("members"))
 
 
 @query("SELECT dimension, member AS typical FROM (SELECT event_type AS dimension, user_id % 7 AS member, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, user_id % 7) AS place FROM events WHERE user_id IS NOT NULL GROUP BY 1, 2) WHERE place = 1")

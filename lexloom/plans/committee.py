@@ -169,8 +169,8 @@ def g4_descend(spark, read):
 def g5_context(spark, read):
     """What stands above, below and is referenced."""
     nodes, edges = _graph(read)
-    c = G.context(nodes, edges, nodes.where("type = 'Chapter'").select("id"), depth=1)
-    return c.select("start", "label", F.array_join("above", ",").alias("above"), F.size("below").cast("long").alias("n_below"), F.size("refs").cast("long").alias("n_refs"))
+    c = G.context(nodes, edges, nodes.where("type = 'Chapter'").select("id"), depth=1, lists=("above",))
+    return c.select("start", "label", F.array_join("above", ",").alias("above"), "n_below", "n_refs")
 
 
 @query(f"WITH e AS ({_EDGES}), v AS ({_NODES}) SELECT c.id AS start, r.label || ' → ' || c.label AS path FROM v c JOIN e ON e.dst = c.id AND e.type = 'has_part' JOIN v r ON r.id = e.src WHERE c.type = 'Article'")

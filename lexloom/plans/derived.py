@@ -21,6 +21,7 @@ from lexloom.operators import rules as R
 from lexloom.operators import similarity
 from lexloom.operators import versions as V
 from lexloom.sources import seed, tables
+from lexloom.sources.shared import checkpoint
 
 from .committee import _COS, _EDGES, _NODES, _graph
 from .registry import query
@@ -364,11 +365,23 @@ def r4_component_rows(spark, read):
     return out.select("component", "n_claims", "reviewers", "label", "severity", K.action(F.col("label"))["action"].alias("action"))
 
 
+#: Values of a stated set that is sent along with every row.
+FEW = 10_000
+
+
+def _few(rows, *columns):
+    """One row with the distinct values of a stated set, counted before they are brought together."""
+    kept = checkpoint(rows.select(F.struct(*columns).alias("d") if len(columns) > 1 else F.col(columns[0]).alias("d")).distinct())
+    if (n := kept.count()) > FEW:
+        raise ValueError(f"{n} values are no stated set of a few")
+    return kept.agg(F.collect_list("d").alias("d"))
+
+
 @query("SELECT b.p_brand AS brand, t.p_type AS dimension FROM (SELECT DISTINCT p_brand FROM part) b, (SELECT DISTINCT p_type FROM part) t EXCEPT SELECT p_brand, p_type FROM part WHERE p_size > 25")
 def r5_uncovered_rows(spark, read):
-    """Expected dimensions that no claim covers, for each brand; the expected ones are a few."""
+    """Expected dimensions that no claim covers, for each brand; the expected ones are a stated few."""
     part = read("part")
-    expected = part.select(F.col("p_brand").alias("brand")).distinct().join(F.broadcast(part.agg(F.collect_set("p_type").alias("d")))).select("brand", F.explode("d").alias("dimension"))
+    expected = part.select(F.col("p_brand").alias("brand")).distinct().join(F.broadcast(_few(part, "p_type"))).select("brand", F.explode("d").alias("dimension"))
     return expected.join(part.where("p_size > 25").select(F.col("p_brand").alias("brand"), F.col("p_type").alias("dimension")), ["brand", "dimension"], "left_anti")
 
 
@@ -504,7 +517,7 @@ def m1_change_rows(spark, read):
 def u7_load_rows(spark, read):
     """Core layers first, then the task's, each path once; the core is a counted few rows and is sent along as one array."""
     nation, region = read("nation"), read("region")
-    core = region.agg(F.collect_list(F.struct(F.col("r_name").alias("path"), F.col("r_regionkey").cast("int").alias("at"))).alias("core"))
+    core = _few(region.select(F.col("r_name").alias("path"), F.col("r_regionkey").cast("int").alias("at")), "path", "at").withColumnRenamed("d", "core")
     own = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("task"), F.explode(F.array(F.struct(F.col("r_name").alias("path"), F.lit(10000).alias("at")), F.struct(F.col("n_name").alias("path"), F.lit(10001).alias("at")))).alias("x"))
     both = own.unionByName(nation.select(F.col("n_name").alias("task")).join(F.broadcast(core)).select("task", F.explode("core").alias("x")))
     once = both.select("task", "x.*").groupBy("task", "path").agg(F.min("at").alias("at"))
@@ -568,8 +581,8 @@ def g7_graph_retrieval(spark, read):
     e = read("embeddings")
     queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     points = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.expr("'n' || (label * 3)").alias("entity"))
-    found = G.retrieve(queries, points, nodes, edges, 5, depth=1)
-    return found.select("query_id", "id", F.round("score", 6).alias("score"), F.col("label").alias("entity"), F.array_join("above", ",").alias("above"), F.size("below").cast("long").alias("n_below"))
+    found = G.retrieve(queries, points, nodes, edges, 5, depth=1, lists=("above",))
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), F.col("label").alias("entity"), F.array_join("above", ",").alias("above"), "n_below")
 
 
 _JUDGED = Source(

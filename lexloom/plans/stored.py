@@ -7,14 +7,14 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
-from lexloom.operators import intervals, similarity
+from lexloom.operators import graph, intervals, similarity, versions
 from lexloom.operators.text_index import TrigramIndex, WordIndex
 from lexloom.operators.vector_index import VectorIndex
 from lexloom.sources import shared
 from lexloom.sources.stored import Stored
 from lexloom.streaming import tracker
 
-from .committee import _COS
+from .committee import _COS, _EDGES, _graph
 from .derived import Source
 from .registry import query
 
@@ -147,6 +147,27 @@ def j5_validity_periods(spark, read):
     return met.groupBy("law", F.col("r.asked").alias("asked")).agg(F.count("*").alias("versions"), shown(F.min("l.start")).alias("first"), shown(F.max("l.start")).alias("last"), F.sum(days).alias("days"))
 
 
+# ---- hashes that follow each other, and paths ---------------------------------------------------
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, event_id || ':' || event_type AS p, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+c AS (SELECT user_id, event_id, k, '' AS prev_hash, sha256('|' || p) AS hash FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.event_id, e.k, c.hash, sha256(c.hash || '|' || e.p) FROM c JOIN e ON e.user_id = c.user_id AND e.k = c.k + 1)
+SELECT user_id, event_id, hash, prev_hash FROM c""")
+def w7_linked_hashes(spark, read):
+    """A chain of hashes for each user, each of the one before and the event."""
+    rows = read("events").select("user_id", "ts", "event_id", F.concat_ws(":", F.col("event_id").cast("string"), "event_type").alias("payload"))
+    return versions.linked_hashes(rows, "user_id", ["ts", "event_id"], "payload").select("user_id", "event_id", "hash", "prev_hash")
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT src, dst FROM ({_EDGES}) WHERE src <> dst), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+w AS (SELECT id AS start, id, 0 AS d, [id] AS p FROM (SELECT 'r' || r_regionkey AS id FROM region) UNION ALL SELECT w.start, b.dst, d + 1, list_append(p, b.dst) FROM w JOIN b ON b.src = w.id WHERE d < 3 AND NOT list_contains(p, b.dst))
+SELECT start, id, d AS depth, array_to_string(p, '>') AS path FROM (SELECT *, row_number() OVER (PARTITION BY start, id ORDER BY d, list_reverse(p)) AS n FROM w) WHERE n = 1 AND d > 0""")
+def g6_shortest_paths(spark, read):
+    """One shortest path from each region to every entity within three hops, over edges in either direction."""
+    nodes, edges = _graph(read)
+    found = graph.shortest_paths(edges, nodes.where("type = 'Part'").select("id"), 3)
+    return found.select("start", "id", "depth", F.array_join("path", ">").alias("path"))
+
+
 # ---- text search -------------------------------------------------------------------------------
 
 _NAMES = "SELECT 'p' || p_partkey AS id, p_name AS text FROM part UNION ALL SELECT 'c' || c_custkey, c_name FROM customer UNION ALL SELECT 'u' || page_id, url FROM pages"

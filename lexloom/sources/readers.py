@@ -47,6 +47,13 @@ def snapshots(spark: SparkSession, path: str) -> DataFrame:
     return versions.select("pcode", "version", F.explode("articles").alias("article_no", "text"))
 
 
+def snapshot_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same rows from files of many laws, one {pcode, versions} a line."""
+    laws = spark.read.schema("pcode string, versions map<string,map<string,string>>").json(path)
+    versions = laws.select("pcode", F.explode("versions").alias("version", "articles")).where(~F.col("version").startswith("_"))
+    return versions.select("pcode", "version", F.explode("articles").alias("article_no", "text"))
+
+
 def graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of graph files; missing metadata is an empty map."""
     schema = "nodes array<struct<id:string,label:string,type:string,metadata:map<string,string>>>, edges array<struct<source:string,target:string,type:string,metadata:map<string,string>>>"
