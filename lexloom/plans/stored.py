@@ -7,12 +7,12 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
-from lexloom.operators import graph, intervals, similarity, versions
+from lexloom.operators import graph, intervals, similarity, sketches, versions
 from lexloom.operators.text_index import TrigramIndex, WordIndex
 from lexloom.operators.vector_index import VectorIndex
 from lexloom.sources import shared
 from lexloom.sources.stored import Stored
-from lexloom.streaming import tracker
+from lexloom.streaming import feeds, tracker
 
 from .committee import _COS, _EDGES, _graph
 from .derived import Source
@@ -215,3 +215,52 @@ def s24_phrases(spark, read):
     with _folder(spark, "words") as path:
         found = WordIndex(spark, path).build(read("conversations").selectExpr(_SAID, "text")).phrases(asked)
         return shared.checkpoint(found.groupBy("query_id").agg(F.count("*").alias("texts"), F.sum("times").alias("times")))
+
+
+# ---- sessions, and calls that follow others, as streams ------------------------------------------
+
+_GAPS = "SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events)"
+
+
+def _streamed(spark, events, path, query):
+    """What a streaming query over the events gives that arrive in two drops by time, with a restart, and one more event long after all."""
+    cut = events.agg(F.percentile_approx("event_id", 0.5)).first()[0]
+    last = events.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts")).select(*[F.col("ts") if f.name == "ts" else F.lit(-1).cast(f.dataType).alias(f.name) if f.dataType.simpleString() != "string" else F.lit("last").alias(f.name) for f in events.schema])
+    middle = events.where(F.col("event_id") == cut).agg(F.max("ts").alias("middle"))
+    halves = events.join(F.broadcast(middle))
+    for drop in (halves.where("ts <= middle").drop("middle"), halves.where("ts > middle").drop("middle"), last.withColumn("event_type", F.lit("view")).unionByName(last.withColumn("event_type", F.lit("purchase")))):
+        drop.write.mode("append").parquet(f"{path}/in")
+        feeds.append(query(spark.readStream.schema(events.schema).parquet(f"{path}/in")), f"{path}/out", f"{path}/state").awaitTermination()
+    return spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out/batch=*").where("user_id >= 0").drop("batch")
+
+
+@query(f"SELECT user_id, strftime(min(ts), '%Y%m%d%H%M%S') AS start, strftime(max(ts) + INTERVAL 6 HOUR, '%Y%m%d%H%M%S') AS until, count(*) AS calls FROM ({_GAPS}) GROUP BY user_id, k")
+def m9_sessions_stream(spark, read):
+    """M9, 2.11: calls of a user that follow each other within six hours, from a stream with a restart."""
+    with _folder(spark, "sessions") as path:
+        found = _streamed(spark, read("events"), path, lambda e: feeds.sessions(e, "6 hours"))
+        return shared.checkpoint(found.select("user_id", F.date_format("start", "yyyyMMddHHmmss").alias("start"), F.date_format("end", "yyyyMMddHHmmss").alias("until"), "calls"))
+
+
+@query("SELECT a.user_id, a.event_id, b.event_id AS then_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'purchase' AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 12 HOUR")
+def m9_followed_stream(spark, read):
+    """M9, 2.11: views with each purchase by the same user within twelve hours, as a join of two streams with a restart."""
+    both = lambda e: feeds.followed(e.where("event_type = 'view'"), e.where("event_type = 'purchase'"), "12 hours")
+    with _folder(spark, "followed") as path:
+        return shared.checkpoint(_streamed(spark, read("events"), path, both).select("user_id", "event_id", "then_id"))
+
+
+# ---- sketches that merge -------------------------------------------------------------------------
+
+@query("SELECT event_type, strftime(ts, '%Y%m') AS period, count(*) AS n, count(DISTINCT user_id) AS users, true AS users_fit, true AS median_fits FROM events GROUP BY 1, 2")
+def a1_merged_sketches(spark, read):
+    """A1, A2, 2.4: sketches by day merged to months; whether the estimates beside the exact counts are within their bounds."""
+    rows = read("events").withColumn("d", F.date_format("ts", "yyyyMMdd"))
+    month = F.substring("d", 1, 6).alias("period")
+    months = sketches.merged(sketches.daily(rows, "d", ["event_type"], "user_id", "event_id"), ["event_type"], F.substring("day", 1, 6))
+    months = months.select("event_type", "period", "n", sketches.members("members").alias("about"), sketches.quantile("spread", 0.5).alias("median"))
+    joined = rows.withColumn("period", month).join(F.broadcast(months.select("event_type", "period", "median")), ["event_type", "period"])
+    exact = joined.groupBy("event_type", "period").agg(F.count_distinct("user_id").alias("users"), F.count_if(F.col("event_id") < F.col("median")).alias("below"), F.count_if(F.col("event_id") <= F.col("median")).alias("upto"))
+    fits = F.abs(F.col("about") - F.col("users")) <= sketches.ERROR * F.col("users") + 1
+    middle = (F.col("below") <= (0.5 + sketches.RANK) * F.col("n") + 1) & (F.col("upto") >= (0.5 - sketches.RANK) * F.col("n") - 1)
+    return months.join(exact, ["event_type", "period"]).select("event_type", "period", "n", "users", fits.alias("users_fit"), middle.alias("median_fits"))

@@ -4,6 +4,7 @@ import io
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexloom.operators import graph
@@ -82,3 +83,54 @@ def test_seed_graph_takes_texts_from_articles(spark):
     assert graph.dangling(nodes, edges).count() == 0 and nodes.count() == nodes.select("id").distinct().count()
     texts = {r.id: r.metadata for r in seed.with_texts(nodes, spark.createDataFrame([("184", "x")], "article_no string, text string")).collect()}
     assert texts["art-184"] == {"text": "x"} and texts["art-185"] == {} and len(texts) == nodes.count()
+
+
+def _events(spark, *of):
+    return spark.createDataFrame(list(of), "event_id long, t string, user_id long, event_type string").select("event_id", F.to_timestamp("t").alias("ts"), "user_id", "event_type")
+
+
+def test_sessions_and_late_rows(spark, tmp_path):
+    drops = [
+        _events(spark, (1, "2024-01-01 10:00:00", 1, "view"), (2, "2024-01-01 10:20:00", 1, "purchase"), (3, "2024-01-01 12:00:00", 1, "view"), (4, "2024-01-01 10:00:00", 2, "view")),
+        _events(spark, (5, "2024-01-01 09:00:00", 1, "view"), (6, "2024-01-01 12:10:00", 1, "purchase")),
+        _events(spark, (7, "2024-01-03 00:00:00", 9, "view")),
+    ]
+    late = []
+    for drop in drops:
+        drop.write.mode("append").parquet(f"{tmp_path}/in")
+        run = feeds.append(feeds.sessions(spark.readStream.schema(drop.schema).parquet(f"{tmp_path}/in")), f"{tmp_path}/out", f"{tmp_path}/state")
+        run.awaitTermination()
+        late.append(feeds.dropped(run))
+    got = sorted((r.user_id, str(r.start), str(r.end), r.calls) for r in spark.read.parquet(f"{tmp_path}/out/batch=*").collect())
+    assert got == [(1, "2024-01-01 10:00:00", "2024-01-01 10:50:00", 2), (1, "2024-01-01 12:00:00", "2024-01-01 12:40:00", 2), (2, "2024-01-01 10:00:00", "2024-01-01 10:30:00", 1)]
+    assert late == [0, 1, 0]
+    batch = feeds.sessions(drops[0].unionByName(drops[1].where("event_id = 6")))
+    assert sorted((r.user_id, str(r.start), str(r.end), r.calls) for r in batch.collect()) == got
+
+
+def test_sketches_merge_to_their_rows(spark):
+    from lexloom.operators import sketches
+
+    rows = spark.range(60_000).selectExpr("id % 30 AS day", "id % 2 AS k", "id * 7919 % 20011 AS who", "CAST(id AS DOUBLE) AS v").unionByName(spark.sql("SELECT 1L AS day, 1L AS k, CAST(NULL AS LONG) AS who, CAST(NULL AS DOUBLE) AS v"))
+    days = sketches.daily(rows, "day", ["k"], "who", "v")
+    for period in (F.lit(0), F.floor(F.col("day") / 10)):
+        for r in sketches.merged(days, ["k"], period).select("k", "period", "n", sketches.members("members").alias("m"), sketches.quantile("spread", 0.9).alias("q")).collect():
+            own = rows.where(F.col("k") == r.k).where(period == r.period)
+            exact, below = own.agg(F.count_distinct("who"), F.avg((F.col("v") <= r.q).cast("int"))).first()
+            assert abs(r.m - exact) <= sketches.ERROR * exact + 1 and abs(below - 0.9) <= sketches.RANK and r.n == own.count()
+    assert sketches.daily(rows.limit(0), "day", ["k"], "who", "v").count() == 0
+
+
+def test_snapshots_of_many_laws_in_a_file(spark, tmp_path):
+    lines = [{"pcode": "A1", "versions": {"20200101": {"1": "x"}, "_old": {"1": "z"}}}, {"pcode": "B2", "versions": {"20210101": {"1": "y", "2": "w"}}}, {"pcode": "C3", "versions": {}}]
+    (tmp_path / "laws.json").write_text("\n".join(map(json.dumps, lines)))
+    assert {tuple(r) for r in readers.snapshot_lines(spark, str(tmp_path)).collect()} == {("A1", "20200101", "1", "x"), ("B2", "20210101", "1", "y"), ("B2", "20210101", "2", "w")}
+
+
+def test_a_stated_set_is_counted_before_it_is_sent(spark, monkeypatch):
+    from lexloom.plans import derived
+
+    monkeypatch.setattr(derived, "FEW", 3)
+    assert len(derived._few(spark.range(3), "id").first().d) == 3
+    with pytest.raises(ValueError):
+        derived._few(spark.range(4), "id")
