@@ -626,3 +626,16 @@ def s6_tracking_rows(spark, read):
     """Rows in the tracker's schema, with its defaults."""
     rows = read("customer").selectExpr("c_custkey AS pcode", "c_name AS name", "CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS level", "CASE WHEN c_custkey % 3 = 1 THEN 30 END AS frequency_days", "CASE WHEN c_custkey % 2 = 0 THEN '19960101' END AS baseline_version")
     return tables.fitted(rows, "tracked_regulations").select("pcode", "name", "level", "frequency_days", F.col("baseline_version").isNull().alias("unseen"))
+
+
+_SEEDED = _literals([(n, label, kind, str(k), ";".join(f"{a}={b}" for a, b in seed.METADATA.get(n, {}).items())) for k, (n, label, kind) in enumerate(seed.node_rows())], "id, label, type, place, known")
+
+
+@query(f"SELECT id, label, type, CAST(place AS INT) AS place, CASE WHEN text IS NULL THEN known ELSE 'text=' || text END AS metadata FROM {_SEEDED} LEFT JOIN (SELECT 'art-' || l_partkey || CASE WHEN l_suppkey % 4 = 3 THEN '-' || l_linenumber ELSE '' END AS article, min(l_returnflag || l_linenumber) AS text FROM lineitem GROUP BY 1) ON article = id")
+def s14_seed_texts(spark, read):
+    """The seed graph in its order of insertion, with what is known of its parts, and texts from landed articles."""
+    nodes, _ = seed.graph(spark)
+    number = F.concat(F.col("l_partkey").cast("string"), F.when(F.col("l_suppkey") % 4 == 3, F.concat(F.lit("-"), F.col("l_linenumber").cast("string"))).otherwise(""))
+    articles = read("lineitem").select(number.alias("article_no"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("text"))
+    shown = F.array_join(F.transform(F.map_entries("metadata"), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ";")
+    return seed.with_texts(nodes, articles).select("id", "label", "type", "place", shown.alias("metadata"))

@@ -46,35 +46,48 @@ CONCEPTS = {
     "con-limiting": ("消滅時效", ("197",)),
     "con-damages": ("損害賠償", ("192", "193", "194", "195")),
 }
-# Relations between articles.
+# Relations between articles (from, to, type), after the chapter that they follow.
 RELATIONS = {
-    "references": (("354", "347"), ("359", "354"), ("360", "354"), ("365", "356"), ("354", "373"), ("430", "429"), ("440", "421"), ("185", "184"), ("187", "184"), ("188", "184"), ("190", "184"), ("191", "184"), ("191-3", "184"), ("197", "184")),
-    "exception_to": (("355", "354"), ("451", "450")),
-    "conflicts_with": (("184", "191"),),
-    "supplements": (("227", "354"),),
-}
+    "ch-sale": (
+        ("354", "347", "references"), ("359", "354", "references"), ("360", "354", "references"), ("365", "356", "references"), ("354", "373", "references"), ("355", "354", "exception_to"),
+    ),
+    "ch-lease": (("430", "429", "references"), ("440", "421", "references"), ("451", "450", "exception_to")),
+    "ch-tort": (
+        ("185", "184", "references"), ("187", "184", "references"), ("188", "184", "references"), ("190", "184", "references"), ("191", "184", "references"), ("191-3", "184", "references"), ("197", "184", "references"),
+        ("184", "191", "conflicts_with"), ("227", "354", "supplements"),
+    ),
+}
+# What is known of nodes besides.
+METADATA = {"part-obligation": {"sub": "第二編"}, "ch-sale": {"articles": "§345-§397"}, "ch-lease": {"articles": "§421-§463"}, "ch-tort": {"articles": "§184-§198"}}
 
 
 def node_rows() -> list[tuple[str, str, str]]:
-    """(id, label, type)."""
-    articles = [(f"art-{no}", f"§{no} {title}", "Article") for own in ARTICLES.values() for no, title in own.items()]
-    return [x[:3] for x in ABOVE] + articles + [(c, label, "Concept") for c, (label, _) in CONCEPTS.items()]
+    """(id, label, type) in the order in which searches and counts meet them: the parts, each chapter before its articles (the last one after its only article), the concepts."""
+    out = [x[:3] for x in ABOVE if x[2] != "Chapter"]
+    for chapter, label, kind, _ in (x for x in ABOVE if x[2] == "Chapter"):
+        own = [(f"art-{no}", f"§{no} {title}", "Article") for no, title in ARTICLES[chapter].items()]
+        out += [*own, (chapter, label, kind)] if chapter == "ch-general-performance" else [(chapter, label, kind), *own]
+    return out + [(c, label, "Concept") for c, (label, _) in CONCEPTS.items()]
 
 
 def edge_rows() -> list[tuple[str, str, str]]:
-    """(src, dst, type)."""
-    parts = [(up, c, "has_part") for c, _, _, up in ABOVE if up] + [(ch, f"art-{no}", "has_part") for ch, own in ARTICLES.items() for no in own]
-    between = [(f"art-{a}", f"art-{b}", kind) for kind, pairs in RELATIONS.items() for a, b in pairs]
-    return parts + between + [(c, f"art-{no}", "references") for c, (_, own) in CONCEPTS.items() for no in own]
+    """(src, dst, type), in such an order too."""
+    out = [(up, c, "has_part") for c, _, kind, up in ABOVE if up and kind != "Chapter"]
+    for chapter, _, _, up in (x for x in ABOVE if x[2] == "Chapter"):
+        out += [(up, chapter, "has_part"), *((chapter, f"art-{no}", "has_part") for no in ARTICLES[chapter])]
+        out += [(f"art-{a}", f"art-{b}", kind) for a, b, kind in RELATIONS.get(chapter, ())]
+    return out + [(c, f"art-{no}", "references") for c, (_, own) in CONCEPTS.items() for no in own]
 
 
 def graph(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """nodes(id, label, type) and edges(src, dst, type)."""
-    return spark.createDataFrame(node_rows(), "id string, label string, type string"), spark.createDataFrame(edge_rows(), "src string, dst string, type string")
+    """nodes(id, label, type, metadata, place) and edges(src, dst, type, place); place is that of insertion."""
+    nodes = [(*x, METADATA.get(x[0], {}), k) for k, x in enumerate(node_rows())]
+    edges = [(*x, k) for k, x in enumerate(edge_rows())]
+    return spark.createDataFrame(nodes, "id string, label string, type string, metadata map<string,string>, place int"), spark.createDataFrame(edges, "src string, dst string, type string, place int")
 
 
 def with_texts(nodes: DataFrame, articles: DataFrame) -> DataFrame:
-    """nodes with metadata: the text of articles(article_no, text) where there is one."""
-    texts = articles.select(F.concat(F.lit("art-"), "article_no").alias("id"), "text")
-    metadata = F.when(F.col("text").isNotNull(), F.create_map(F.lit("text"), "text")).otherwise(F.create_map().cast("map<string,string>"))
-    return nodes.join(texts, "id", "left").withColumn("metadata", metadata).drop("text")
+    """nodes with the text of articles(article_no, text) in their metadata, where there is one; of several the least."""
+    texts = articles.where("text IS NOT NULL").groupBy(F.concat(F.lit("art-"), "article_no").alias("id")).agg(F.min("text").alias("text"))
+    known = F.map_concat(F.map_filter("metadata", lambda k, _: k != "text"), F.when(F.col("text").isNotNull(), F.create_map(F.lit("text"), "text")).otherwise(F.create_map().cast("map<string,string>")))
+    return nodes.join(texts, "id", "left").withColumn("metadata", known).drop("text")
