@@ -65,6 +65,12 @@ def _plan(length: int, gram: int) -> tuple[int, int]:
     return size, length - size + 1
 
 
+def _marked(length: int, gram: int) -> Column:
+    """A document's fingerprints for windows of `length` words, with that length; from its grams in g1, g2, …"""
+    size, width = _plan(length, gram)
+    return F.transform(_prints(F.col(f"g{size}"), width), lambda p: F.struct(F.lit(length).alias("len"), p.alias("print")))
+
+
 def _windows(benchmark: DataFrame, length: int, gram: int) -> DataFrame:
     """One row for each distinct window: its words, their number, its fingerprint, and the items that have it."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words_of("text").alias("w")).where(F.size("w") > 0)
@@ -92,16 +98,13 @@ def _judged(rows: DataFrame, benchmark: DataFrame, length: int, gram: int, how:
 
     split = rows.select(*KEY, words_of("text").alias("w"))
     own = split.select(*KEY, *[_grams(F.col("w"), size).alias(f"g{size}") for size in sorted({_plan(n, gram)[0] for n in lengths})])
-    found = None
-    for n in lengths:
-        size, width = _plan(n, gram)
-        some = own.select(*KEY, F.explode(_prints(F.col(f"g{size}"), width)).alias("print"))
-        some = some.join(prints.where(F.col("len") == n), "print").select(*KEY, F.struct("len", "print", "windows").alias("hit"))
-        found = some if found is None else found.unionByName(some)
-    if found is None:
+    each = [_marked(n, gram) for n in lengths]
+    if not lengths:
         none = F.array().cast("array<struct<at:int,len:int>>")
         empty = rows if how == "left" else rows.limit(0)
         return empty.select(*rows.columns, F.size(words_of("text")).cast("long").alias("n_words"), none.alias("hits"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+    some = own.select(*KEY, F.explode(F.concat(*each)).alias("p")).select(*KEY, "p.len", "p.print")  # all lengths in one pass
+    found = some.join(prints, ["len", "print"]).select(*KEY, F.struct("len", "print", "windows").alias("hit"))
     found = shared_checkpoint(found.groupBy(*KEY).agg(F.collect_set("hit").alias("found")))
 
     both = rows.join(found, KEY, how).select(*rows.columns, "found", words_of("text").alias("w"))
