@@ -9,7 +9,7 @@ from lexloom.functions import text as T
 from lexloom.functions import vectors
 from lexloom.streaming import feeds
 
-from .registry import query, values
+from .registry import fixture, query, values
 
 # ---- ablation: labels joined to documents ------------------------------------------------------
 
@@ -38,7 +38,7 @@ def a16_fail_rates(spark, read):
 _RATES = values("category, n, rates", "('a', 10, '0.5,0.2')", "('b', 7, '1,0')", "('c', 5, '0.9,0.9,0.9')")
 
 
-@query("SELECT * FROM (VALUES ('a', 0.1::DOUBLE, 0.4::DOUBLE, 0.5::DOUBLE, 5::BIGINT), ('b', 0.0, 0.0, 1.0, 7), ('c', 0.729, 0.001, 0.27, 1)) t(category, all_fail, all_pass, mixed, expected)")
+@fixture("SELECT * FROM (VALUES ('a', 0.1::DOUBLE, 0.4::DOUBLE, 0.5::DOUBLE, 5::BIGINT), ('b', 0.0, 0.0, 1.0, 7), ('c', 0.729, 0.001, 0.27, 1)) t(category, all_fail, all_pass, mixed, expected)")
 def a17_expectations(spark, read):
     """Products of rates, what is neither, and its expected number."""
     rows = spark.sql(f"SELECT * FROM {_RATES}").withColumn("p", F.transform(F.split("rates", ","), lambda x: x.cast("double")))
@@ -50,7 +50,7 @@ def a17_expectations(spark, read):
 _RUBRIC = values("doc, criterion, weight, score", "(1, 'a', 30, 90)", "(1, 'b', 70, 100)", "(2, 'a', 30, 50)", "(2, 'b', 70, 80)")
 
 
-@query(f"SELECT doc, sum(weight * score) / 100.0::DOUBLE AS total FROM {_RUBRIC} GROUP BY doc")
+@fixture(f"SELECT doc, sum(weight * score) / 100.0::DOUBLE AS total FROM {_RUBRIC} GROUP BY doc")
 def a24_rubric(spark, read):
     """Weighted rubric totals."""
     return spark.sql(f"SELECT * FROM {_RUBRIC}").groupBy("doc").agg((F.sum(F.col("weight") * F.col("score")) / 100.0).alias("total"))
@@ -66,7 +66,7 @@ def a25_token_costs(spark, read):
 _VARIABLES = values("doc, var, val", "(1, 'Amount', '100')", "(2, 'Amount', '200')", "(1, 'Court', 'x')", "(2, 'Court', 'x')", "(3, 'Rate', NULL)")
 
 
-@query(f"SELECT var, string_agg(DISTINCT val, ',' ORDER BY val) AS vals FROM {_VARIABLES} GROUP BY var HAVING count(DISTINCT val) > 1")
+@fixture(f"SELECT var, string_agg(DISTINCT val, ',' ORDER BY val) AS vals FROM {_VARIABLES} GROUP BY var HAVING count(DISTINCT val) > 1")
 def a26_inconsistent_variables(spark, read):
     """Variables with different values across documents."""
     rows = spark.sql(f"SELECT * FROM {_VARIABLES}")
@@ -118,7 +118,7 @@ def m9_rate_windows(spark, read):
 _CHECKS = values("run, ok", "(1, true)", "(1, true)", "(2, true)", "(2, true)", "(2, true)", "(2, true)", "(2, false)", "(3, false)")
 
 
-@query("SELECT * FROM (VALUES (1, 'green'), (2, 'yellow'), (3, 'red')) t(run, light)")
+@fixture("SELECT * FROM (VALUES (1, 'green'), (2, 'yellow'), (3, 'red')) t(run, light)")
 def r23_health(spark, read):
     """All passed, most passed, or not."""
     share = F.avg(F.col("ok").cast("int"))
@@ -128,7 +128,7 @@ def r23_health(spark, read):
 _PREVIEW = values("id, a, b", "(1, 'abcdefghijklmnopqrstuvwxyz', 'abcdefghijklmnoXqrstuvwxyz')", "(2, 'same', 'same')", "(3, 'ab', 'abc')")
 
 
-@query("SELECT * FROM (VALUES (1, 16, 'fghijklmnopqrstuvwxy'), (2, 0, ''), (3, 3, 'ab')) t(id, pos, around)")
+@fixture("SELECT * FROM (VALUES (1, 16, 'fghijklmnopqrstuvwxy'), (2, 0, ''), (3, 3, 'ab')) t(id, pos, around)")
 def r26_diff_preview(spark, read):
     """The first place where two texts differ, with ten characters on either side."""
     return spark.sql(f"SELECT * FROM {_PREVIEW}").select("id", T.first_difference(F.col("a"), F.col("b")).alias("x")).select("id", "x.pos", "x.around")
@@ -138,14 +138,14 @@ _PLAN = values("condition, drops", "('full', '')", "('no citation', 'CITATION')"
 _CORE = values("path", "('core/CITATION_POLICY')", "('core/ROLE')", "('core/GATE')")
 
 
-@query(f"SELECT condition, path FROM {_PLAN}, {_CORE} WHERE drops <> 'ALL' AND (drops = '' OR NOT contains(path, drops))")
+@fixture(f"SELECT condition, path FROM {_PLAN}, {_CORE} WHERE drops <> 'ALL' AND (drops = '' OR NOT contains(path, drops))")
 def r14_conditions(spark, read):
     """Each condition's load plan; ALL drops every core path. Both sides are literals."""
     both = spark.sql(f"SELECT * FROM {_PLAN}").crossJoin(spark.sql(f"SELECT * FROM {_CORE}"))
     return both.where("drops != 'ALL' AND (drops = '' OR NOT contains(path, drops))").select("condition", "path")
 
 
-@query("SELECT reviewer, finding, count(*) OVER () AS n FROM (SELECT 'r1' AS reviewer, unnest(['a', 'b']) AS finding UNION ALL SELECT 'r2', unnest(['c']))")
+@fixture("SELECT reviewer, finding, count(*) OVER () AS n FROM (SELECT 'r1' AS reviewer, unnest(['a', 'b']) AS finding UNION ALL SELECT 'r2', unnest(['c']))")
 def r25_findings(spark, read):
     """Findings of all reviewers, each with its reviewer."""
     rows = spark.sql("SELECT reviewer, explode(findings) AS finding FROM VALUES ('r1', array('a', 'b')), ('r2', array('c')) AS t(reviewer, findings)")

@@ -8,7 +8,7 @@ from lexloom.operators import consensus as C
 from lexloom.operators import graph as G
 from lexloom.operators import retrieval as R
 
-from .registry import query, values
+from .registry import fixture, query, values
 
 # ---- claims of models on articles: events as answers ----------------------------------------
 
@@ -51,13 +51,13 @@ def a6_report_counters(spark, read):
 _ANSWERS = values("query_id, model, text", "('q1', 'model-a', '§987 已刪除，§9999 不存在')", "('q1', 'model-b', '第987條已廢止，第9999條查無')", "('q1', 'model-c', '§987 已刪除')", "('q2', 'model-a', '第1條之規定與第1條')", "('q2', 'model-b', '')")
 
 
-@query("SELECT * FROM (VALUES ('q1', 'model-a', 0, 'general', NULL), ('q1', 'model-b', 0, '民法第987條', 'deleted'), ('q1', 'model-b', 1, '民法第9999條', 'deleted'), ('q1', 'model-c', 0, 'general', NULL), ('q2', 'model-a', 0, '民法第1條', NULL), ('q2', 'model-a', 1, '民法第1條', NULL), ('q2', 'model-b', 0, 'general', NULL)) t(query_id, model, pos, article_ref, status)")
+@fixture("SELECT * FROM (VALUES ('q1', 'model-a', 0, 'general', NULL), ('q1', 'model-b', 0, '民法第987條', 'deleted'), ('q1', 'model-b', 1, '民法第9999條', 'deleted'), ('q1', 'model-c', 0, 'general', NULL), ('q2', 'model-a', 0, '民法第1條', NULL), ('q2', 'model-a', 1, '民法第1條', NULL), ('q2', 'model-b', 0, 'general', NULL)) t(query_id, model, pos, article_ref, status)")
 def f18_claims_of_answers(spark, read):
     """answers as claims; repeated references stay, answers without one are one general claim."""
     return C.claims(spark.sql(f"SELECT * FROM {_ANSWERS}"))
 
 
-@query("SELECT * FROM (VALUES ('q1', 'general', 'model-a,model-c', 'consensus'), ('q1', '民法第987條', 'model-b', 'consensus'), ('q1', '民法第9999條', 'model-b', 'consensus'), ('q2', 'general', 'model-b', 'consensus'), ('q2', '民法第1條', 'model-a', 'consensus')) t(query_id, article_ref, models, label)")
+@fixture("SELECT * FROM (VALUES ('q1', 'general', 'model-a,model-c', 'consensus'), ('q1', '民法第987條', 'model-b', 'consensus'), ('q1', '民法第9999條', 'model-b', 'consensus'), ('q2', 'general', 'model-b', 'consensus'), ('q2', '民法第1條', 'model-a', 'consensus')) t(query_id, article_ref, models, label)")
 def l5_committee_clusters(spark, read):
     """Answers to claims to clusters, for all queries in one job."""
     return C.clusters(C.claims(spark.sql(f"SELECT * FROM {_ANSWERS}")), ["query_id", "article_ref"]).select("query_id", "article_ref", "models", "label")
@@ -70,13 +70,13 @@ _ISSUES = values(
 _LABELS = "SELECT * FROM (VALUES (1, 3, 3, 'consensus', 'critical', 'auto_fix', 1), (4, 1, 1, 'unique_insight', 'minor', 'verify_apply', 2), (5, 1, 1, 'unique_insight', 'major', 'verify_apply', 2), (6, 1, 1, 'unique_insight', 'minor', 'verify_apply', 2)) t(component, n_claims, reviewers, label, severity, action, priority)"
 
 
-@query("SELECT * FROM (VALUES (1, 2), (1, 3), (2, 3)) t(a, b)")
+@fixture("SELECT * FROM (VALUES (1, 2), (1, 3), (2, 3)) t(a, b)")
 def j11_similar_claims(spark, read):
     """Claims of one dimension whose beginnings share their characters."""
     return C.similar_claims(spark.sql(f"SELECT * FROM {_ISSUES}"))
 
 
-@query(_LABELS)
+@fixture(_LABELS)
 def r4_issue_components(spark, read):
     """Similar claims to components, their label, gravest severity and action."""
     rows = spark.sql(f"SELECT * FROM {_ISSUES}")
@@ -87,7 +87,7 @@ def r4_issue_components(spark, read):
     return out.select("component", "n_claims", "reviewers", "label", "severity", "act.action", "act.priority").orderBy("priority", "component")
 
 
-@query(f"SELECT d.dimension FROM (VALUES ('clarity'), ('safety'), ('structure'), ('scope')) d(dimension) WHERE d.dimension NOT IN (SELECT dimension FROM {_ISSUES})")
+@fixture(f"SELECT d.dimension FROM (VALUES ('clarity'), ('safety'), ('structure'), ('scope')) d(dimension) WHERE d.dimension NOT IN (SELECT dimension FROM {_ISSUES})")
 def r5_uncovered_dimensions(spark, read):
     """Expected dimensions that no claim covers."""
     expected = spark.sql("SELECT * FROM VALUES ('clarity'), ('safety'), ('structure'), ('scope') AS d(dimension)")
@@ -105,7 +105,7 @@ def g9_nation_components(spark, read):
 _PROVIDERS = values("q, provider, priority, ok, text", "('a', 'p1', 1, true, '" + "共同內容" * 15 + "甲')", "('a', 'p2', 2, true, '乙" + "共同內容" * 15 + "')", "('b', 'p1', 1, false, NULL)", "('b', 'p2', 2, true, 'x')", "('c', 'p1', 1, false, NULL)", "('d', 'p1', 1, true, 'abc')", "('d', 'p2', 2, true, 'xbc')")
 
 
-@query("SELECT * FROM (VALUES ('a', 2, 60, 'consensus', 'p1'), ('b', 1, 1, 'dissensus', 'p2'), ('c', 0, 0, 'blind_spot', NULL), ('d', 2, 2, 'dissensus', 'p1')) t(q, valid, shared, verdict, first)")
+@fixture("SELECT * FROM (VALUES ('a', 2, 60, 'consensus', 'p1'), ('b', 1, 1, 'dissensus', 'p2'), ('c', 0, 0, 'blind_spot', NULL), ('d', 2, 2, 'dissensus', 'p1')) t(q, valid, shared, verdict, first)")
 def l4_provider_verdicts(spark, read):
     """First success by priority, longest passage in common, verdict."""
     from lexloom.functions.udfs import common_fragment
@@ -120,7 +120,7 @@ def l4_provider_verdicts(spark, read):
 _CONFIDENCES = values("id, number, text", "(1, CAST(0.8 AS DOUBLE), NULL)", "(2, CAST(1.7 AS DOUBLE), NULL)", "(3, NULL, '80%')", "(4, NULL, '0.8')", "(5, NULL, NULL)", "(6, NULL, 'high')", "(7, CAST(-1 AS DOUBLE), NULL)")
 
 
-@query(f"SELECT id, round(coalesce(greatest(0.0, least(1.0, coalesce(number, TRY_CAST(replace(text, '%', '') AS DOUBLE) / 100))), 0.8), 6)::DOUBLE AS confidence FROM {_CONFIDENCES}")
+@fixture(f"SELECT id, round(coalesce(greatest(0.0, least(1.0, coalesce(number, TRY_CAST(replace(text, '%', '') AS DOUBLE) / 100))), 0.8), 6)::DOUBLE AS confidence FROM {_CONFIDENCES}")
 def f49_confidences(spark, read):
     """confidences clamped; texts are percentages; a default."""
     return spark.sql(f"SELECT * FROM {_CONFIDENCES}").select("id", F.round(C.confidence(F.col("number"), F.col("text")), 6).alias("confidence"))
@@ -190,7 +190,7 @@ def a14_graph_counts(spark, read):
 _PARTS = values("src, dst, type", "('a', 'b', 'has_part')", "('a', 'zz', 'has_part')", "('b', 'b', 'is_a')", "('yy', 'a', 'references')")
 
 
-@query("SELECT * FROM (VALUES ('a', 'zz'), ('yy', 'a')) t(src, dst)")
+@fixture("SELECT * FROM (VALUES ('a', 'zz'), ('yy', 'a')) t(src, dst)")
 def j16_dangling_edges(spark, read):
     """Edges with an end that is no node."""
     return G.dangling(spark.sql("SELECT * FROM VALUES ('a'), ('b') AS n(id)"), spark.sql(f"SELECT * FROM {_PARTS}")).select("src", "dst")
@@ -246,7 +246,7 @@ def a9_macro_averages(spark, read):
 _LISTS = values("id, found, expected", "(1, 'a,b,b,c', 'a,b')", "(2, '', 'a')", "(3, 'x', '')", "(4, 'a,a', 'a,a,b')")
 
 
-@query("SELECT * FROM (VALUES (1, 1.0::DOUBLE, 0.5::DOUBLE), (2, 0.0, 0.0), (3, 0.0, 0.0), (4, 0.5, 0.5)) t(id, recall, precision)")
+@fixture("SELECT * FROM (VALUES (1, 1.0::DOUBLE, 0.5::DOUBLE), (2, 0.0, 0.0), (3, 0.0, 0.0), (4, 0.5, 0.5)) t(id, recall, precision)")
 def u4_list_measures(spark, read):
     """The measures on lists with repeats and empties."""
     lists = spark.sql(f"SELECT * FROM {_LISTS}").select("id", *[F.filter(F.split(c, ","), lambda x: x != "").alias(c) for c in ("found", "expected")])

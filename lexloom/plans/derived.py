@@ -24,7 +24,7 @@ from lexloom.sources import seed, tables
 from lexloom.sources.shared import checkpoint
 
 from .committee import _COS, _EDGES, _NODES, _graph
-from .registry import query
+from .registry import fixture, query
 from .texts import _ADVISED, _ROUTE, _STATUS, _SURE, _VIOLATIONS
 
 
@@ -613,7 +613,7 @@ def _literals(rows: list[tuple[str, ...]], columns: str) -> str:
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(quoted(*r)) + ')' for r in rows)}) AS t({columns}))"
 
 
-@query(f"WITH v AS {_literals(seed.node_rows(), 'id, label, type')}, e AS {_literals(seed.edge_rows(), 'src, dst, type')} SELECT id, label, type, (SELECT count(*) FROM e WHERE src = id) AS n_out, (SELECT count(*) FROM e WHERE dst = id AND e.type = 'has_part') AS n_above FROM v")
+@fixture(f"WITH v AS {_literals(seed.node_rows(), 'id, label, type')}, e AS {_literals(seed.edge_rows(), 'src, dst, type')} SELECT id, label, type, (SELECT count(*) FROM e WHERE src = id) AS n_out, (SELECT count(*) FROM e WHERE dst = id AND e.type = 'has_part') AS n_above FROM v")
 def s14_seed_graph(spark, read):
     """The seed graph's nodes with the number of their edges."""
     nodes, edges = seed.graph(spark)

@@ -8,7 +8,7 @@ from lexloom.functions import dates as D
 from lexloom.functions import text as T
 from lexloom.operators import versions as V
 
-from .registry import query, values
+from .registry import fixture, query, values
 
 # ---- snapshots and diffs -------------------------------------------------------------------
 
@@ -50,7 +50,7 @@ def x5_diff_sides(spark, read):
 _PAIRS = values("id, old, new", "(1, '甲乙丙', '甲丙')", "(2, 'abc', 'abxc')", "(3, 'same', 'same')", "(4, 'paq', 'pq')", "(5, '', 'new')", "(6, 'old', '')")
 
 
-@query(f"SELECT id, CASE id WHEN 1 THEN '=甲|-乙|=丙' WHEN 2 THEN '=ab|+x|=c' WHEN 3 THEN '=same' WHEN 4 THEN '=p|-a|=q' WHEN 5 THEN '+new' ELSE '-old' END AS ops, CASE id WHEN 1 THEN '-乙' WHEN 2 THEN '+x' WHEN 3 THEN '' WHEN 4 THEN '-a' WHEN 5 THEN '+new' ELSE '-old' END AS summary FROM {_PAIRS}")
+@fixture(f"SELECT id, CASE id WHEN 1 THEN '=甲|-乙|=丙' WHEN 2 THEN '=ab|+x|=c' WHEN 3 THEN '=same' WHEN 4 THEN '=p|-a|=q' WHEN 5 THEN '+new' ELSE '-old' END AS ops, CASE id WHEN 1 THEN '-乙' WHEN 2 THEN '+x' WHEN 3 THEN '' WHEN 4 THEN '-a' WHEN 5 THEN '+new' ELSE '-old' END AS summary FROM {_PAIRS}")
 def x2_char_operations(spark, read):
     """X-2, F56: a true longest common subsequence, and the short summary of its changes."""
     from lexloom.functions.udfs import char_diff
@@ -142,7 +142,7 @@ _KEYS = values("pcode, level", "(1, 'a')", "(2, 'b')", "(3, 'c')")
 _NEW = values("pcode, level", "(2, 'B')", "(9, 'Z')")
 
 
-@query(f"SELECT 'ignore' AS mode, pcode, level FROM {_KEYS} UNION ALL SELECT 'ignore', pcode, level FROM {_NEW} WHERE pcode NOT IN (SELECT pcode FROM {_KEYS}) UNION ALL SELECT 'replace', pcode, level FROM {_KEYS} WHERE pcode NOT IN (SELECT pcode FROM {_NEW}) UNION ALL SELECT 'replace', pcode, level FROM {_NEW} UNION ALL SELECT 'delete', pcode, level FROM {_KEYS} WHERE pcode <> 2 UNION ALL SELECT 'update', pcode, CASE WHEN pcode = 2 THEN 'U' ELSE level END FROM {_KEYS}")
+@fixture(f"SELECT 'ignore' AS mode, pcode, level FROM {_KEYS} UNION ALL SELECT 'ignore', pcode, level FROM {_NEW} WHERE pcode NOT IN (SELECT pcode FROM {_KEYS}) UNION ALL SELECT 'replace', pcode, level FROM {_KEYS} WHERE pcode NOT IN (SELECT pcode FROM {_NEW}) UNION ALL SELECT 'replace', pcode, level FROM {_NEW} UNION ALL SELECT 'delete', pcode, level FROM {_KEYS} WHERE pcode <> 2 UNION ALL SELECT 'update', pcode, CASE WHEN pcode = 2 THEN 'U' ELSE level END FROM {_KEYS}")
 def m1_row_changes(spark, read):
     """M1, M2, M3: insert-or-ignore, insert-or-replace, delete and update of a keyed table."""
     base, new = spark.sql(f"SELECT * FROM {_KEYS}"), spark.sql(f"SELECT * FROM {_NEW}")
@@ -233,7 +233,7 @@ def a19_traffic_lights(spark, read):
 _NOS = values("no", "('2')", "('10')", "('9')", "('9-1')", "('9-A')", "('A1')", "('9-12')", "('1')")
 
 
-@query(f"SELECT no, row_number() OVER (ORDER BY coalesce(TRY_CAST(split_part(no, '-', 1) AS INT), 2147483647), coalesce(TRY_CAST(split_part(no, '-', 2) AS INT), 0), no) AS pos FROM {_NOS}")
+@fixture(f"SELECT no, row_number() OVER (ORDER BY coalesce(TRY_CAST(split_part(no, '-', 1) AS INT), 2147483647), coalesce(TRY_CAST(split_part(no, '-', 2) AS INT), 0), no) AS pos FROM {_NOS}")
 def t6_article_order(spark, read):
     """Natural article order; letters do not fail."""
     from pyspark.sql import Window
@@ -244,7 +244,7 @@ def t6_article_order(spark, read):
 _SNAPSHOT_JSON = values("pcode, j", """('A1', '{"20200101": {"1": "x", "9-1": "y"}, "20210101": {"1": "x2"}, "_oldver": {"1": "z"}}')""", """('B2', '{"20190101": {}}')""")
 
 
-@query("""SELECT * FROM (VALUES ('A1', '20200101', '1', 'x'), ('A1', '20200101', '9-1', 'y'), ('A1', '20210101', '1', 'x2')) t(pcode, version, article_no, text)""")
+@fixture("""SELECT * FROM (VALUES ('A1', '20200101', '1', 'x'), ('A1', '20200101', '9-1', 'y'), ('A1', '20210101', '1', 'x2')) t(pcode, version, article_no, text)""")
 def s4_snapshot_rows(spark, read):
     """Nested snapshot JSON as rows; internal versions are left out."""
     return V.snapshot_rows(spark.sql(f"SELECT * FROM {_SNAPSHOT_JSON}"), "pcode", "j")
@@ -307,7 +307,7 @@ def w7_hash_chain(spark, read):
 _DATES = values("s", "('中華民國一百零六年六月十四日')", "('中華民國 106 年 6 月 14 日')", "('民國二十年十二月一日')", "('無日期')", "('')")
 
 
-@query(f"SELECT s, CASE WHEN s LIKE '%一百零六%' OR s LIKE '%106%' THEN '20170614' WHEN s LIKE '%二十年%' THEN '19311201' ELSE '' END AS ymd FROM {_DATES}")
+@fixture(f"SELECT s, CASE WHEN s LIKE '%一百零六%' OR s LIKE '%106%' THEN '20170614' WHEN s LIKE '%二十年%' THEN '19311201' ELSE '' END AS ymd FROM {_DATES}")
 def f2_roc_dates(spark, read):
     """dates of the Republic's calendar, with either kind of numeral."""
     return spark.sql(f"SELECT * FROM {_DATES}").select("s", D.roc_date(F.col("s")).alias("ymd"))
@@ -316,13 +316,13 @@ def f2_roc_dates(spark, read):
 _NUMBERS = values("s, n", "('十', 10)", "('一百零六', 106)", "('二〇', 0)", "('三千二百', 3200)", "('兩百', 200)", "('九十九', 99)", "('', 0)", "('第五條', 5)", "('二十', 20)", "('一千零一', 1001)")
 
 
-@query(f"SELECT s, n AS value FROM {_NUMBERS}")
+@fixture(f"SELECT s, n AS value FROM {_NUMBERS}")
 def f1_chinese_numbers(spark, read):
     """Chinese numerals as a fold over characters."""
     return spark.sql(f"SELECT s FROM {_NUMBERS}").select("s", D.chinese_number(F.col("s")).alias("value"))
 
 
-@query("SELECT * FROM (VALUES ('20111231,20170614'), ('')) t(dates)")
+@fixture("SELECT * FROM (VALUES ('20111231,20170614'), ('')) t(dates)")
 def f3_amendment_dates(spark, read):
     """All dates of a history, distinct and ascending."""
     rows = spark.sql("SELECT * FROM VALUES ('1. 中華民國一百零六年六月十四日公布 2. 中華民國一百年十二月三十一日修正 3. 中華民國一百零六年六月十四日'), ('無') AS t(h)")
@@ -332,7 +332,7 @@ def f3_amendment_dates(spark, read):
 _YMD = values("s", "('2023-02-30')", "('2023/02/28')", "('20240229')", "('2024')", "('')", "('民國')")
 
 
-@query(f"SELECT s, CASE WHEN length(d) = 8 AND TRY_STRPTIME(d, '%Y%m%d') IS NOT NULL THEN d ELSE '' END AS ymd, CASE WHEN length(d) = 8 AND TRY_STRPTIME(d, '%Y%m%d') IS NOT NULL THEN strftime(TRY_STRPTIME(d, '%Y%m%d') + INTERVAL 7 DAY, '%Y%m%d') ELSE '' END AS later, CASE WHEN length(s) = 8 THEN substr(s, 1, 4) || '-' || substr(s, 5, 2) || '-' || substr(s, 7, 2) ELSE s END AS shown FROM (SELECT s, regexp_replace(s, '[^0-9]', '', 'g') AS d FROM {_YMD})")
+@fixture(f"SELECT s, CASE WHEN length(d) = 8 AND TRY_STRPTIME(d, '%Y%m%d') IS NOT NULL THEN d ELSE '' END AS ymd, CASE WHEN length(d) = 8 AND TRY_STRPTIME(d, '%Y%m%d') IS NOT NULL THEN strftime(TRY_STRPTIME(d, '%Y%m%d') + INTERVAL 7 DAY, '%Y%m%d') ELSE '' END AS later, CASE WHEN length(s) = 8 THEN substr(s, 1, 4) || '-' || substr(s, 5, 2) || '-' || substr(s, 7, 2) ELSE s END AS shown FROM (SELECT s, regexp_replace(s, '[^0-9]', '', 'g') AS d FROM {_YMD})")
 def f4_dates(spark, read):
     """real dates only, day arithmetic, display."""
     s = F.col("s")

@@ -10,7 +10,7 @@ from lexloom.functions import dates as D
 from lexloom.functions import text as T
 from lexloom.operators import rules as R
 
-from .registry import query, values
+from .registry import fixture, query, values
 
 
 def _or(column: str, words) -> str:
@@ -34,7 +34,7 @@ _ROUTE = (
 )
 
 
-@query(f"SELECT text, {_ROUTE} AS task FROM {_QUESTIONS}")
+@fixture(f"SELECT text, {_ROUTE} AS task FROM {_QUESTIONS}")
 def f19_routes(spark, read):
     """the task of each question."""
     return spark.sql(f"SELECT * FROM {_QUESTIONS}").select("text", R.route(F.col("text")).alias("task"))
@@ -59,7 +59,7 @@ _ANSWERS = values("text, task", "('這份合約看起來還可以', 'QC')", "('
 _ADVISED = " ".join(f"WHEN task = '{t}' AND length(text) > 0 AND {_sum('text', p)} < {max(1, len(p) // 3)} THEN true" for t, (p, _) in lexicon.ANSWER_PATTERNS.items())
 
 
-@query(f"SELECT text, task, CASE {_ADVISED} ELSE false END AS advised FROM {_ANSWERS}")
+@fixture(f"SELECT text, task, CASE {_ADVISED} ELSE false END AS advised FROM {_ANSWERS}")
 def f22_validated_answers(spark, read):
     """answers that lack their task's patterns get advice."""
     rows = spark.sql(f"SELECT * FROM {_ANSWERS}")
@@ -69,7 +69,7 @@ def f22_validated_answers(spark, read):
 _CITED = values("text, want", "('§987', '民法第987條')", "('釋字812號', '釋字第812號')", "('釋字第 812 號', '釋字第812號')", "('第1條', '民法第1條')", "('112台上9999號', '112年度台上字第9999號')", "('民法第5條', '民法第5條')", "('見§12及第3條之規定', '見民法第12條及民法第3條之規定')", "('無', '無')")
 
 
-@query(f"SELECT text, want AS citation FROM {_CITED}")
+@fixture(f"SELECT text, want AS citation FROM {_CITED}")
 def f13_citations(spark, read):
     """one form for citations."""
     return spark.sql(f"SELECT text FROM {_CITED}").select("text", C.normalize(F.col("text")).alias("citation"))
@@ -80,7 +80,7 @@ _STATUS = "CASE WHEN length(trim(text)) < 5 THEN 'error' " + " ".join(f"WHEN {_s
 _SURE = "CASE WHEN length(trim(text)) < 5 THEN 0.9 " + " ".join(f"WHEN {_sum('text', p, '(?i)' if i else '')} > 0 THEN {'0.9' if n == 'error' else 'least(0.9, 0.3 + 0.15 * (' + _sum('text', p, '(?i)' if i else '') + '))'}" for n, i, p in lexicon.STATUS_PATTERNS) + " ELSE 0 END"
 
 
-@query(f"SELECT text, {_STATUS} AS status, round(CAST({_SURE} AS DOUBLE), 6) AS confidence FROM {_STATEMENTS}")
+@fixture(f"SELECT text, {_STATUS} AS status, round(CAST({_SURE} AS DOUBLE), 6) AS confidence FROM {_STATEMENTS}")
 def f14_statuses(spark, read):
     """what a text says about an article, and how surely."""
     s = C.status(F.col("text"))
@@ -93,13 +93,13 @@ _CASES = values(
 )
 
 
-@query(f"SELECT * FROM {_CASES}")
+@fixture(f"SELECT * FROM {_CASES}")
 def f23_case_numbers(spark, read):
     """Case numbers; the court with the longest name counts."""
     return spark.sql(f"SELECT s FROM {_CASES}").select("s", C.case_number(F.col("s")).alias("c")).select("s", "c.*")
 
 
-@query("SELECT 'TPS,112,V,9999,20230101,1' AS a, 'CHDM,100,訴,1552,20130517,2' AS b, left(sha256('法院' || '甲' || '2020'), 16) AS doc, 'd1_body_07' AS chunk")
+@fixture("SELECT 'TPS,112,V,9999,20230101,1' AS a, 'CHDM,100,訴,1552,20130517,2' AS b, left(sha256('法院' || '甲' || '2020'), 16) AS doc, 'd1_body_07' AS chunk")
 def f24_identifiers(spark, read):
     """case ids, document ids, chunk ids."""
     lit = lambda *x: [F.lit(v) for v in x]
@@ -121,13 +121,13 @@ def f27_token_estimates(spark, read):
 _RAW = values("path, ordinal, raw", "('a.md', 1, '---\nStatus: \"draft\"\ntitle: One\nother: x\n---\nBody A')", "('b.md', 2, 'no front')", "('c.md', 3, '---\nbroken')")
 
 
-@query("SELECT * FROM (VALUES ('a.md', 'Body A', 'draft', 'One'), ('b.md', 'no front', NULL, NULL), ('c.md', '---\nbroken', NULL, NULL)) t(path, body, status, title)")
+@fixture("SELECT * FROM (VALUES ('a.md', 'Body A', 'draft', 'One'), ('b.md', 'no front', NULL, NULL), ('c.md', '---\nbroken', NULL, NULL)) t(path, body, status, title)")
 def f28_front_matter(spark, read):
     """Documents with a front matter block."""
     return spark.sql(f"SELECT * FROM {_RAW}").select("path", T.front_matter(F.col("raw")).alias("m")).select("path", "m.body", "m.status", "m.title")
 
 
-@query("SELECT 'status: draft\nBody A\n===\n\nno front\n' || '…' AS prompt, 9 AS tokens")
+@fixture("SELECT 'status: draft\nBody A\n===\n\nno front\n' || '…' AS prompt, 9 AS tokens")
 def f30_composed(spark, read):
     """documents in order under their headers, joined and cut with a mark."""
     rows = spark.sql(f"SELECT * FROM {_RAW}").withColumn("m", T.front_matter(F.col("raw")))
@@ -139,7 +139,7 @@ def f30_composed(spark, read):
 _LAYERS = values("task, layer_ord, file_ord, path", "('*', 1, 1, 'core/a')", "('*', 1, 2, 'core/b')", "('*', 2, 1, 'core/c')", "('QC', 1, 1, 'task/q')", "('QC', 1, 2, 'core/b')", "('REPORT', 1, 1, 'task/r')")
 
 
-@query(f"SELECT t.task, l.path, row_number() OVER (PARTITION BY t.task ORDER BY min(CASE WHEN l.task = '*' THEN 0 ELSE 1 END * 10000 + layer_ord * 100 + file_ord)) AS pos FROM (VALUES ('QC'), ('REPORT'), ('NONE')) t(task) JOIN {_LAYERS} l ON l.task IN ('*', t.task) GROUP BY t.task, l.path")
+@fixture(f"SELECT t.task, l.path, row_number() OVER (PARTITION BY t.task ORDER BY min(CASE WHEN l.task = '*' THEN 0 ELSE 1 END * 10000 + layer_ord * 100 + file_ord)) AS pos FROM (VALUES ('QC'), ('REPORT'), ('NONE')) t(task) JOIN {_LAYERS} l ON l.task IN ('*', t.task) GROUP BY t.task, l.path")
 def u7_load_plan(spark, read):
     """Core layers first, then the task's, each path once."""
     from pyspark.sql import Window
@@ -167,13 +167,13 @@ _BROKEN = {
 _VIOLATIONS = " UNION ALL ".join(f"SELECT id, '{i}' AS invariant, '{s}' AS severity FROM ROWS WHERE {_BROKEN[i]}" for i, s in R.INVARIANTS)
 
 
-@query(_VIOLATIONS.replace("ROWS", _TEXTS))
+@fixture(_VIOLATIONS.replace("ROWS", _TEXTS))
 def f34_violations(spark, read):
     """Broken invariants, one row each."""
     return R.violations(spark.sql(f"SELECT * FROM {_TEXTS}")).select("id", "invariant", "severity")
 
 
-@query(f"SELECT id, string_agg(left(m, 3) || '***', ',') AS found FROM (SELECT id, unnest(regexp_extract_all(text, '{lexicon.PERSONAL}')) AS m FROM {_TEXTS}) GROUP BY id")
+@fixture(f"SELECT id, string_agg(left(m, 3) || '***', ',') AS found FROM (SELECT id, unnest(regexp_extract_all(text, '{lexicon.PERSONAL}')) AS m FROM {_TEXTS}) GROUP BY id")
 def f40_personal_data(spark, read):
     """Personal data, shown by its first characters."""
     return R.violations(spark.sql(f"SELECT * FROM {_TEXTS}")).where("invariant = 'I005'").select("id", F.col("detail").alias("found"))
@@ -199,7 +199,7 @@ def f41_gates(spark, read):
 _PROMPTS = values("id, text", "(1, 'ROLE task Output constraint {{a}} {b}')", "(2, '{{x}')", "(3, '')", "(4, '讓我們來 看')")
 
 
-@query("SELECT * FROM (VALUES (1, true, false, true, true, true), (2, false, false, true, true, false), (3, false, false, true, false, true), (4, false, false, false, false, true)) t(id, g1, g2, g3, g4, g5)")
+@fixture("SELECT * FROM (VALUES (1, true, false, true, true, true), (2, false, false, true, true, false), (3, false, false, true, false, true), (4, false, false, false, false, true)) t(id, g1, g2, g3, g4, g5)")
 def f43_gate_fixture(spark, read):
     """F41 to F46 with stock phrases and unbalanced braces."""
     rows = R.gate_report(spark.sql(f"SELECT * FROM {_PROMPTS}"))
@@ -212,7 +212,7 @@ _META = values(
 )
 
 
-@query("SELECT * FROM (VALUES ('ZY-LOAN-20260706-0001', ''), ('ZY-LOAN-2026070-0001', 'final without reviewer,doc_id format'), ('ZY-LOAN-20260706-0002', 'missing tlds_version,missing doc_type,status')) t(doc_id, problems)")
+@fixture("SELECT * FROM (VALUES ('ZY-LOAN-20260706-0001', ''), ('ZY-LOAN-2026070-0001', 'final without reviewer,doc_id format'), ('ZY-LOAN-20260706-0002', 'missing tlds_version,missing doc_type,status')) t(doc_id, problems)")
 def f57_metadata(spark, read):
     """Problems of document metadata."""
     return R.meta_problems(spark.sql(f"SELECT * FROM {_META}")).select("doc_id", F.array_join("problems", ",").alias("problems"))
@@ -221,7 +221,7 @@ def f57_metadata(spark, read):
 _RULED = values("id, clause, text, rate, early, late", "(1, 'CL-MORT-006-v2', '{{PartyA.Name}}', '16', '114/01/01', '114/12/31')", "(2, 'CL-LOAN-001-v', '{{Loan.Amount}} {{Amount}}', '16.1', '114/06/01', '114/06/01')", "(3, 'CL-LOAN-001', 'HV-07', 'abc', '114/12/31', '114/01/01')", "(4, 'x', '', NULL, '114/02/30', '114/01/01')")
 
 
-@query("SELECT * FROM (VALUES (1, true, '', true, true, false), (2, false, '{{Loan.Amount}}', false, false, false), (3, true, '', false, false, true), (4, false, '', false, false, false)) t(id, clause_ok, unknown, rate_ok, dates_ok, meta_text)")
+@fixture("SELECT * FROM (VALUES (1, true, '', true, true, false), (2, false, '{{Loan.Amount}}', false, false, false), (3, true, '', false, false, true), (4, false, '', false, false, false)) t(id, clause_ok, unknown, rate_ok, dates_ok, meta_text)")
 def f57_document_rules(spark, read):
     """clause ids, variables, rates, dates, meta text."""
     c = F.col
@@ -229,7 +229,7 @@ def f57_document_rules(spark, read):
     return spark.sql(f"SELECT * FROM {_RULED}").select("id", c("clause").rlike(lexicon.CLAUSE_ID).alias("clause_ok"), F.array_join(R.unknown_variables(c("text")), ",").alias("unknown"), R.rate_ok(c("rate")).alias("rate_ok"), dates.alias("dates_ok"), c("text").rlike(lexicon.META_TEXT).alias("meta_text"))
 
 
-@query("SELECT * FROM (VALUES (1, 'CL-LOAN-007'), (2, '')) t(id, missing)")
+@fixture("SELECT * FROM (VALUES (1, 'CL-LOAN-007'), (2, '')) t(id, missing)")
 def j15_missing_clauses(spark, read):
     """Required clauses that a document lacks."""
     rows = spark.sql("SELECT * FROM VALUES (1, 6), (2, 7) AS t(id, n)").select("id", F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.format_string("CL-LOAN-%03d", k)).alias("has"))
@@ -241,7 +241,7 @@ _QUERIES = values(
 )
 
 
-@query("SELECT * FROM (VALUES ('Q001', ''), ('X1', 'id format,version format,route,difficulty,safety_level,expected_gate_trigger,expected_confidence'), ('Q003', 'safety route without level,warning: edge case without RQ3'), ('Q004', 'missing version')) t(id, problems)")
+@fixture("SELECT * FROM (VALUES ('Q001', ''), ('X1', 'id format,version format,route,difficulty,safety_level,expected_gate_trigger,expected_confidence'), ('Q003', 'safety route without level,warning: edge case without RQ3'), ('Q004', 'missing version')) t(id, problems)")
 def f58_query_problems(spark, read):
     """Problems of evaluation queries."""
     return spark.sql(f"SELECT * FROM {_QUERIES}").withColumn("rq", F.split("rq", ",")).select("id", F.array_join(R.query_problems(), ",").alias("problems"))
@@ -250,7 +250,7 @@ def f58_query_problems(spark, read):
 _RESPONSES = values("id, text", "(1, '依第1條與第2條 [T1] ✅ 信心：高')", "(2, '第1條 第2條 第3條 第4條 第5條 第6條 第7條 第8條 第9條')", "(3, '見 [12] ✅ 信心：無')", "(4, '')")
 
 
-@query("SELECT * FROM (VALUES (1, true, true, 2, 0, true, true, 0), (2, false, false, 9, 3, false, false, 3), (3, false, false, 0, 2, true, true, 0), (4, false, false, 0, 2, false, false, 2)) t(id, cited, sure, refs, issues, cited2, sure2, issues2)")
+@fixture("SELECT * FROM (VALUES (1, true, true, 2, 0, true, true, 0), (2, false, false, 9, 3, false, false, 3), (3, false, false, 0, 2, true, true, 0), (4, false, false, 0, 2, false, false, 2)) t(id, cited, sure, refs, issues, cited2, sure2, issues2)")
 def f31_fabrication(spark, read):
     """Marks of invented citations by both rule sets."""
     a, b = R.fabrication(F.col("text")), R.fabrication(F.col("text"), first=False)
@@ -260,7 +260,7 @@ def f31_fabrication(spark, read):
 _RAWJSON = values("id, raw", """(1, 'text ```json\n[{"issue": "a"}]\n``` and ```json\n[{"issue": "b"}, {"issue": ""}]\n```')""", """(2, '[{"issue": "c"}]')""", """(3, '{"issues": [{"issue": "d"}]}')""", """(4, 'noise [{"issue": "e"}] noise')""", "(5, 'garbage')")
 
 
-@query("SELECT * FROM (VALUES (1, 'item_0', 'b'), (2, 'item_0', 'c'), (3, 'item_0', 'd'), (4, 'item_0', 'e')) t(id, location, issue)")
+@fixture("SELECT * FROM (VALUES (1, 'item_0', 'b'), (2, 'item_0', 'c'), (3, 'item_0', 'd'), (4, 'item_0', 'e')) t(id, location, issue)")
 def f47_issues_from_answers(spark, read):
     """Issues out of fenced, bare, wrapped or embedded JSON; blank issues are dropped."""
     return R.issues(spark.sql(f"SELECT * FROM {_RAWJSON}"), "raw").select("id", "location", "issue")
@@ -275,7 +275,7 @@ def f63_json_fields(spark, read):
 _ALIKE = values("id, a, b", "(1, '民法第1條', '第1條')", "(2, 'abcd', 'bcde')", "(3, '', '')")
 
 
-@query("SELECT * FROM (VALUES (1, true, 0.75::DOUBLE), (2, false, 0.75), (3, true, 1.0)) t(id, equivalent, ratio)")
+@fixture("SELECT * FROM (VALUES (1, true, 0.75::DOUBLE), (2, false, 0.75), (3, true, 1.0)) t(id, equivalent, ratio)")
 def f16_similarity(spark, read):
     """Equal once normalised, or an alignment ratio."""
     from lexloom.functions.udfs import similarity

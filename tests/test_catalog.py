@@ -39,10 +39,10 @@ def rows(columns, found):
     return sorted(repr([plain(r[k]) for k in order]) for r in found)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES | catalog.FIXTURES))
 def test_against_oracle(spark, duck, name):
-    df = catalog.QUERIES[name](spark, SF)
-    want = duck.execute(catalog.ORACLES[name])
+    df = (catalog.QUERIES | catalog.FIXTURES)[name](spark, SF)
+    want = duck.execute((catalog.ORACLES | catalog.FIXTURE_ORACLES)[name])
     columns = [c[0] for c in want.description]
     assert sorted(columns) == sorted(df.columns)
     assert rows(df.columns, df.collect()) == rows(columns, want.fetchall())
@@ -54,6 +54,7 @@ def test_the_mode_is_computed(spark, duck):
 
 
 def test_every_query_has_an_oracle_and_the_flagship_runs(spark):
-    assert set(catalog.QUERIES) == set(catalog.ORACLES)
+    assert set(catalog.QUERIES) == set(catalog.ORACLES) and set(catalog.FIXTURES) == set(catalog.FIXTURE_ORACLES)
+    assert not set(catalog.FIXTURES) & set(__spark_entry__.queries())
     assert set(catalog.QUERIES) <= set(__spark_entry__.queries()) and set(catalog.ORACLES) <= set(__spark_entry__.oracle_sql())
     assert __spark_entry__.entry(spark).count() > 0
