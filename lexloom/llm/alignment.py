@@ -32,9 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import TOGETHER, Cache, Encoder, class_runs, joined, vocabulary
+from .bpe import Cache, Encoder, class_runs, joined, vocabulary
 from .common import drop_folder, sha256_of, shared_checkpoint, shared_folder, slices, string_bytes
 
+#: Bytes of text that are aligned at once; the arrays of tokens, links and digits are some hundred times as large.
+TOGETHER = 1 << 18
 #: Id pairs that are broadcast with their counts.
 FREQUENT = 1 << 16
 #: Ids are below 2**WIDE.
