@@ -181,8 +181,7 @@ def p2_trigram_search(spark, read):
     wanted = read("benchmark").selectExpr("'b' || item_id AS word_id", "lower(substr(text, 3, 1 + CAST(item_id % 4 AS INT))) AS word").union(read("nation").selectExpr("'n' || n_nationkey", "'/' || n_nationkey"))
     wanted = wanted.union(read("supplier").selectExpr("'s' || s_suppkey", "CASE s_suppkey % 3 WHEN 0 THEN '0' || s_suppkey WHEN 1 THEN 'rin' ELSE 'no such ' || s_suppkey END"))
     with _folder(spark, "trigrams") as path:
-        found = TrigramIndex(spark, path).build(names).search(wanted)
-        return shared.checkpoint(found.groupBy("word_id").agg(F.count("*").alias("texts"), F.min("id").alias("first"), F.max("id").alias("last")))
+        return shared.checkpoint(TrigramIndex(spark, path).build(names).counted(wanted))
 
 
 _CUT = r"list_filter(regexp_split_to_array(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z\x{{80}}-\x{{10FFFF}}]+'), lambda x: x <> '')"

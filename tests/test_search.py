@@ -27,6 +27,17 @@ def test_substrings(spark, tmp_path, monkeypatch, side):
     assert sorted(map(tuple, found.collect())) == sorted((w, i) for w, x in wanted if x for i, t in rows if i is not None and t and x in t)
 
 
+def test_equal_words_are_looked_for_once(spark, tmp_path):
+    """Copies of a word meet no texts of their own, and places of a trigram are compared with whole words only."""
+    rows = [(i, f"ring {i:06d}") for i in range(400)] + [(400, "rin 0ing"), (401, "aaaa")]
+    words = ["rin"] * 300 + [f"0{n:03d}" for n in range(100)] + ["aaa", "ring 0", "no", "1", "400 "]
+    index = text_index.TrigramIndex(spark, str(tmp_path / "t")).build(spark.createDataFrame(rows, "id long, text string"))
+    wanted = spark.createDataFrame(list(enumerate(words)), "word_id int, word string")
+    assert sorted(map(tuple, index._met(wanted).collect())) == sorted((w, i) for w in set(words) for i, t in rows if w in t)
+    want = {n: [i for i, t in rows if w in t] for n, w in enumerate(words)}
+    assert sorted(map(tuple, index.counted(wanted).collect())) == [(n, len(x), min(x), max(x)) for n, x in sorted(want.items()) if x]
+
+
 def plain_bm25(rows, queries, k):
     docs = {i: text_index.words(t or "") for i, t in rows if i is not None}
     mean, n = sum(map(len, docs.values())) / len(docs), len(docs)
