@@ -259,8 +259,9 @@ def s8_headings(spark, read):
 
 @query("SELECT o_orderkey AS pcode, l_linenumber AS version, left(l_returnflag || l_linestatus, 500) AS text FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS rn FROM lineitem) JOIN orders ON o_orderkey = l_orderkey WHERE rn = 1")
 def s9_first_version(spark, read):
-    """The first version of each file, cut."""
-    first = V.latest(read("lineitem"), ["l_orderkey"], F.asc("l_linenumber"))
+    """The first version of each file, cut; of equal ones that which stands first in the table's files."""
+    rows = read("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    first = V.latest(rows, ["l_orderkey"], F.asc("l_linenumber"), F.asc("file"), F.asc("place"))
     return first.join(read("orders"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("pcode"), F.col("l_linenumber").alias("version"), F.left(F.concat("l_returnflag", "l_linestatus"), F.lit(500)).alias("text"))
 
 

@@ -58,3 +58,20 @@ def test_every_query_has_an_oracle_and_the_flagship_runs(spark):
     assert not set(catalog.FIXTURES) & set(__spark_entry__.queries())
     assert set(catalog.QUERIES) <= set(__spark_entry__.queries()) and set(catalog.ORACLES) <= set(__spark_entry__.oracle_sql())
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_first_of_equal_versions_is_the_first_row(spark, tmp_path):
+    """S9 on rows that repeat an order and a line: the one that stands first, however the rows are dealt to tasks."""
+    n = 20_000
+    duckdb.execute(f"COPY (SELECT k % 97 AS l_orderkey, k // 97 % 2 AS l_linenumber, 'f' || k AS l_returnflag, 'O' AS l_linestatus FROM range({n}) t(k) ORDER BY hash(k)) TO '{tmp_path}/lineitem.parquet' (ROW_GROUP_SIZE 2048)")
+    duckdb.execute(f"COPY (SELECT k AS o_orderkey FROM range(97) t(k)) TO '{tmp_path}/orders.parquet'")
+    want = {}
+    for key, line, flag in duckdb.execute(f"SELECT l_orderkey, l_linenumber, l_returnflag FROM read_parquet('{tmp_path}/lineitem.parquet', file_row_number = true) ORDER BY file_row_number").fetchall():
+        if line == 0:
+            want.setdefault(key, (key, 0, flag + "O"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert sorted(map(tuple, catalog.QUERIES["s9_first_version"](spark, str(tmp_path)).collect())) == sorted(want.values())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
