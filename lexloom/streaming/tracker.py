@@ -3,6 +3,8 @@
 Index rows (pcode, seen, current, abolished) arrive in files. For each law and day the state says what a check finds: newly_tracked, changed
 (a later version, which becomes the baseline), unchanged, abolished; and missing, once, when a law was not seen
 for `every` days: by an event-time timeout, or at its next row, whichever comes first, so a restart changes nothing.
+Laws are dealt to BUCKETS by a hash; a bucket's laws share one state row and one timeout, that of the law which is due first, so the
+cost of a state is paid a bucket, and not for each of many laws with a few rows.
 
 Defined cases: several rows of one law and day are one, of the greatest version, abolished if any is; rows of days before the law's last
 are late: they change nothing and are reported as late, but for rows older than the watermark, which the stream drops; rows without
@@ -20,7 +22,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 EVERY, LATE = 180, "1 day"
 FOUND = "pcode string, at timestamp, old_version string, new_version string, status string"
-_STATE = "baseline string, last_ms long, told boolean"
+#: Of a stream's whole life: a checkpoint is read with the number that it was made with.
+BUCKETS = 1024
+_STATE = "laws array<string>, baselines array<string>, last_ms array<long>, told array<boolean>"
 _DAY_MS = 86_400_000
 
 
@@ -32,41 +36,52 @@ def _follow(every: int):
     wait = every * _DAY_MS
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        baseline, last, told = state.get if state.exists else (None, None, False)
+        held = {law: rest for law, *rest in zip(*state.get, strict=True)} if state.exists else {}
         out: list[tuple] = []
-        if state.hasTimedOut:
-            out.append((last + wait, baseline, None, "missing"))
-            told = True
-        days: dict[int, tuple[str, bool]] = {}
+        laws: dict[str, dict[int, tuple[str, bool]]] = {}
         for batch in batches:  # a day is one entry, however many rows it has
-            for day, current, gone in zip(batch["seen"].astype("datetime64[ms]").astype("int64").tolist(), batch["current"], batch["abolished"], strict=True):
-                held = days.get(day, ("", False))
-                days[day] = (max(held[0], current), held[1] or bool(gone))
-        for day in sorted(days):
-            current, gone = days[day]
-            if last is not None and day < last:
-                out.append((day, baseline, current, "late"))
+            for law, day, current, gone in zip(batch["pcode"], batch["seen"].astype("datetime64[ms]").astype("int64").tolist(), batch["current"], batch["abolished"], strict=True):
+                days = laws.setdefault(law, {})
+                known = days.get(day, ("", False))
+                days[day] = (max(known[0], current), known[1] or bool(gone))
+        for law, days in laws.items():
+            baseline, last, told = held.get(law, (None, None, False))
+            for day in sorted(days):
+                current, gone = days[day]
+                if last is not None and day < last:
+                    out.append((law, day, baseline, current, "late"))
+                    continue
+                if last is not None and day - last > wait and not told:
+                    out.append((law, last + wait, baseline, None, "missing"))
+                status = "abolished" if gone else "newly_tracked" if baseline is None else "changed" if current > baseline else "unchanged"
+                out.append((law, day, baseline, current, status))
+                last, told = day, False
+                if status in ("newly_tracked", "changed"):
+                    baseline = current
+            held[law] = (baseline, last, told)
+        passed, due = max(0, state.getCurrentWatermarkMs()), None
+        for law, (baseline, last, told) in held.items():
+            if told:
                 continue
-            if last is not None and day - last > wait and not told:
-                out.append((last + wait, baseline, None, "missing"))
-            status = "abolished" if gone else "newly_tracked" if baseline is None else "changed" if current > baseline else "unchanged"
-            out.append((day, baseline, current, status))
-            last, told = day, False
-            if status in ("newly_tracked", "changed"):
-                baseline = current
-        state.update((baseline, last, told))
-        if not told:
-            state.setTimeoutTimestamp(max(last + wait + 1, state.getCurrentWatermarkMs() + 1))
+            if passed and last + wait + 1 < passed:
+                out.append((law, last + wait, baseline, None, "missing"))
+                held[law] = (baseline, last, True)
+            else:
+                due = last if due is None else min(due, last)
+        state.update((list(held), *map(list, zip(*held.values(), strict=True))))
+        if due is not None:
+            state.setTimeoutTimestamp(max(due + wait + 1, passed + 1))
         if out:
-            yield pd.DataFrame({"pcode": [key[0]] * len(out), "at": pd.to_datetime([x[0] for x in out], unit="ms"), "old_version": [x[1] for x in out], "new_version": [x[2] for x in out], "status": [x[3] for x in out]})
+            law, at, old, new, status = zip(*out, strict=True)
+            yield pd.DataFrame({"pcode": law, "at": pd.to_datetime(list(at), unit="ms"), "old_version": old, "new_version": new, "status": status})
 
     return follow
 
 
 def checks(index: DataFrame, every: int = EVERY, late: str = LATE) -> DataFrame:
     """(pcode, at, old_version, new_version, status) of a stream of index rows."""
-    rows = _days(index).withWatermark("seen", late)
-    return rows.groupBy("pcode").applyInPandasWithState(_follow(every), FOUND, _STATE, "append", "EventTimeTimeout")
+    rows = _days(index).withWatermark("seen", late).withColumn("bucket", F.pmod(F.xxhash64("pcode"), F.lit(BUCKETS)))
+    return rows.groupBy("bucket").applyInPandasWithState(_follow(every), FOUND, _STATE, "append", "EventTimeTimeout")
 
 
 def run(index: DataFrame, target: str, checkpoint: str, every: int = EVERY, late: str = LATE) -> StreamingQuery:

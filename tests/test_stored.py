@@ -207,3 +207,19 @@ def test_tracking_goes_on_after_a_restart(spark, tmp_path):
 def test_late_rows_change_nothing(spark, tmp_path):
     got = track(spark, tmp_path, seen(spark, ("A", "2020-03-01", "v2", False), ("B", "2020-03-01", "v1", False)), seen(spark, ("A", "2020-02-27", "v9", False), ("A", "2020-03-05", "v2", False), ("A", "2019-01-01", "v9", False)), late="10 days")
     assert [x for x in got if x[0] == "A"] == [("A", "2020-02-27", "v2", "v9", "late"), ("A", "2020-03-01", None, "v2", "newly_tracked"), ("A", "2020-03-05", "v2", "v2", "unchanged")]
+
+
+def test_many_laws_share_a_state(spark, tmp_path, monkeypatch):
+    """Laws are followed one by one in a bucket's state, whose rows do not grow with the laws."""
+    from lexloom.streaming import tracker
+
+    monkeypatch.setattr(tracker, "BUCKETS", 3)
+    made = [(f"L{n % 40}", f"20{20 + n // 40:02d}-{1 + n * 7 % 12:02d}-{1 + n * 11 % 28:02d}", f"v{n * 13 % 17}", n % 9 == 0) for n in range(160)]
+    drops = [seen(spark, *[x for x in made if x[1][:4] == year]) for year in ("2020", "2021", "2022", "2023")]
+    index = drops[0].unionByName(drops[1]).unionByName(drops[2]).unionByName(drops[3])
+    got = track(spark, tmp_path, *drops)
+    assert got == sorted((r.pcode, str(r["at"])[:10], r.old_version, r.new_version, r.status) for r in tracker.history(index).collect()) and any(x[4] == "missing" for x in got)
+    seen(spark, ("L1", "2024-01-01", "v1", False)).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = tracker.run(spark.readStream.schema(INDEX).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state")
+    stream.awaitTermination()
+    assert max(x["stateOperators"][0]["numRowsTotal"] for x in stream.recentProgress if x["stateOperators"]) <= 3
