@@ -74,15 +74,44 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def similar_claims(rows: DataFrame, threshold: float = 0.35) -> DataFrame:
+#: Claims of a dimension up to which they are compared where they stand.
+SMALL = 64
+
+
+def similar_claims(rows: DataFrame, threshold: float = 0.35, small: int = SMALL) -> DataFrame:
     """Pairs (a, b) of claims(id, dimension, issue) of one dimension whose beginnings share their characters.
 
-    A claim is looked for by its rarest characters only, so many that any claim above the threshold
+    Of a small dimension all claims meet in one row, so its texts travel once. Of a larger one a claim is looked for by its rarest
+    characters only, so many that any claim above the threshold
     shares one of them, and among claims of a fitting number of characters; a common
     character alone brings no pairs. The similarity of what meets is exact.
     """
-    chars = rows.select("id", "dimension", T.characters(F.col("issue")).alias("chars")).withColumn("chars", F.filter("chars", lambda c: c != ""))
-    each = chars.select("id", "dimension", "chars", F.explode("chars").alias("c"))
+    from lexloom.sources.shared import checkpoint
+
+    rows = rows.where("dimension IS NOT NULL AND id IS NOT NULL").select("id", "dimension", "issue")
+    large = checkpoint(rows.groupBy("dimension").agg(F.count("*").alias("n")).where(F.col("n") > small).select("dimension"))
+    if large.isEmpty():
+        return _where_they_stand(rows, threshold)
+    some, rest = rows.join(large, "dimension", "left_anti"), rows.join(large, "dimension", "left_semi")
+    return _where_they_stand(some, threshold).unionByName(_by_rare_characters(rest, threshold))
+
+
+def _sets(rows: DataFrame) -> DataFrame:
+    chars = rows.select("id", "dimension", T.characters(F.col("issue")).alias("chars"))
+    return chars.withColumn("chars", F.filter("chars", lambda c: c != ""))
+
+
+def _where_they_stand(rows: DataFrame, threshold: float) -> DataFrame:
+    """One exchange, of the texts; sets are made behind it, once a claim."""
+    met = rows.groupBy("dimension").agg(F.collect_set(F.struct("id", "issue")).alias("claims"))
+    own = F.transform("claims", lambda x: F.struct(x["id"].alias("id"), F.filter(T.characters(x["issue"]), lambda c: c != "").alias("chars")))
+    met = met.select(own.alias("claims")).select("claims", F.explode("claims").alias("x"))
+    pairs = met.select(F.col("x.id").alias("a"), F.col("x.chars").alias("chars"), F.explode("claims").alias("y")).where(F.col("a") < F.col("y.id"))
+    return pairs.where(T.jaccard(F.col("chars"), F.col("y.chars")) > threshold).select("a", F.col("y.id").alias("b"))
+
+
+def _by_rare_characters(rows: DataFrame, threshold: float) -> DataFrame:
+    each = _sets(rows).select("id", "dimension", "chars", F.explode("chars").alias("c"))
     often = each.groupBy("dimension", "c").agg(F.count("*").alias("often"))
     n = F.size("chars")
     first = F.slice(F.array_sort(F.collect_list(F.struct("often", "c"))), 1, F.max(n - F.ceil(threshold * n).cast("int") + 1))

@@ -105,3 +105,38 @@ def test_a_replayed_batch_replaces_its_rows(spark, tmp_path):
     for k in range(2):  # another state folder: the same batch number comes again
         feeds.sync(spark.readStream.schema(index).parquet(f"{tmp_path}/in"), tracked, f"{tmp_path}/out", f"{tmp_path}/state{k}").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").where(F.col("batch") == 0).count() == 1
+
+
+def test_short_texts_are_compared_as_they_are(monkeypatch):
+    from lexloom.functions import udfs
+
+    rng = random.Random(3)
+    for _ in range(200):
+        made = ["".join(rng.choice("ab行") for _ in range(rng.randrange(0, 14))) for _ in range(rng.randrange(1, 5))]
+        monkeypatch.setattr(udfs, "SHORT", -1)
+        want = udfs.longest_shared(made)
+        monkeypatch.setattr(udfs, "SHORT", 256)
+        with monkeypatch.context() as m:
+            m.setattr(udfs, "_windows", None)
+            assert udfs.longest_shared(made) == want and udfs.longest_shared(made * 3) == want
+
+
+def test_small_dimensions_travel_once(spark):
+    from lexloom.operators import consensus
+
+    rng = random.Random(4)
+    rows = [(n, f"d{n % 5 * (n % 3)}", "".join(rng.choice("abcdefg") for _ in range(rng.randrange(0, 6)))) for n in range(90)] + [(90, None, "abc"), (91, None, "abc"), (92, "d1", None)]
+    frame = spark.createDataFrame(rows, "id long, dimension string, issue string")
+    sets = [(i, d, set(t or "")) for i, d, t in rows if d is not None]
+    want = sorted((a, b) for a, d, x in sets for b, e, y in sets if a < b and d == e and x | y and len(x & y) / len(x | y) > 0.5)
+    for small in (0, 8, 64):
+        assert sorted(map(tuple, consensus.similar_claims(frame, 0.5, small).collect())) == want
+    assert consensus.similar_claims(frame, 0.5)._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+
+
+def test_a_court_is_looked_for_once(spark):
+    from lexloom.functions import citation
+
+    frame = spark.createDataFrame([("臺灣高等法院高雄分院 112 年度 上易字第 7 號",), ("無",), (None,)], "s string").select(citation.case_number(F.col("s")).alias("c"))
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("Contains") + frame._jdf.queryExecution().optimizedPlan().toString().count("contains(") == 1
+    assert [tuple(r.c) if r.c else None for r in frame.collect()] == [("臺灣高等法院高雄分院", "112", "上易", "7", "KSH"), None, None]
