@@ -36,16 +36,34 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[key]
 
 
+def _with(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def case_number(text: Column) -> Column:
     """(court, year, case_type, case_no, court_code) of a case number; null if there is none. The court's name is cut out where it stands."""
     names = F.array(*[F.lit(n) for n in sorted(lexicon.COURTS, key=lambda n: (-len(n), n))])
-    court = F.coalesce(F.get(F.filter(names, lambda n: F.contains(text, n)), F.lit(0)), F.lit(""))
-    rest = F.when(court != "", F.replace(text, court, F.lit(" "))).otherwise(text)
-    year = F.regexp_extract(rest, r"([0-9]{2,3})\s*年度", 1)
-    rest = F.regexp_replace(rest, r"^(.*?)[0-9]{2,3}\s*年度", "$1 ")
-    kind, number = (F.regexp_extract(rest, r"([\p{L}\p{N}_]+)\s*字\s*第\s*([0-9]+)", k) for k in (1, 2))
-    found = F.struct(court.alias("court"), year.alias("year"), kind.alias("case_type"), number.alias("case_no"), F.coalesce(_lookup(lexicon.COURTS, court), F.lit("")).alias("court_code"))
-    return F.when(number != "", found)
+
+    def numbered(court: Column, rest: Column) -> Column:
+        year = F.regexp_extract(rest, r"([0-9]{2,3})\s*年度", 1)
+        kept = F.regexp_replace(rest, r"^(.*?)[0-9]{2,3}\s*年度", "$1 ")
+
+        def found(kept: Column) -> Column:
+            kind, number = (F.regexp_extract(kept, r"([\p{L}\p{N}_]+)\s*字\s*第\s*([0-9]+)", k) for k in (1, 2))
+            return F.struct(court.alias("court"), year.alias("year"), kind.alias("case_type"), number.alias("case_no"), F.coalesce(_lookup(lexicon.COURTS, court), F.lit("")).alias("court_code"))
+
+        return _with(kept, found)
+
+    def in_court(x: Column) -> Column:
+        return _with(F.when(x["court"] != "", F.replace(x["text"], x["court"], F.lit(" "))).otherwise(x["text"]), lambda rest: numbered(x["court"], rest))
+
+    def named(text: Column) -> Column:
+        court = F.coalesce(F.get(F.filter(names, lambda n: F.contains(text, n)), F.lit(0)), F.lit(""))
+        return F.struct(text.alias("text"), court.alias("court"))
+
+    found = _with(_with(text, named), in_court)
+    return _with(found, lambda x: F.when(x["case_no"] != "", x))
 
 
 def case_id(court: Column, year: Column, kind: Column, number: Column, date: Column, check: Column) -> Column:
