@@ -34,3 +34,18 @@ def test_overlaps(spark, hot, far):
 def test_no_intervals(spark):
     none = spark.createDataFrame([], "k string, id long, start long, end long")
     assert intervals.overlapping(none, none, ["k"]).count() == 0
+
+
+def test_keys_with_few_pairs_meet_without_cells(spark):
+    """Rows of small keys travel once; a key with many pairs for its rows goes by cells; nulls are open on either way."""
+    a = [(k, s, s + w if w else None, f"a{k}{s}{w}") for k in (1, 2, 3) for s in range(0, 60 if k == 3 else 9, 2) for w in (0, 1, 5)] + [(1, None, 4, "open"), (None, 0, 9, "none"), (2, 5, 5, "empty")]
+    b = [(k, s, s + 3, f"b{k}{s}") for k in (1, 2, 3) for s in range(60 if k == 3 else 6)] + [(1, None, None, "all"), (None, 0, 9, "none")]
+    schema = "k int, start int, end int, name string"
+    x, y = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
+    low, high = -(10**6), 10**6
+    span = lambda r: (low if r[1] is None else r[1], high if r[2] is None else r[2])
+    want = sorted((k, r[3], q[3]) for r in a for q in b for k in (r[0],) if k is not None and k == q[0] and span(r)[0] < span(r)[1] and max(span(r)[0], span(q)[0]) < min(span(r)[1], span(q)[1]))
+    for few in (0, 20, 10**6):
+        found = intervals.overlapping(x, y, ["k"], few=few)
+        assert sorted((r.k, r.l.name, r.r.name) for r in found.collect()) == want
+    assert "_cell" not in found._jdf.queryExecution().toString() and "_cell" in intervals.overlapping(x, y, ["k"], few=20)._jdf.queryExecution().toString()
