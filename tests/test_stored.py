@@ -165,6 +165,16 @@ def test_one_hot_dimension_leaves_a_row_for_each_class_and_block(spark):
     assert out.agg(F.sum("n")).first()[0] == 20_000 and out.select("component").distinct().count() == 1
 
 
+def test_small_dimensions_take_no_rounds(spark, monkeypatch):
+    """Components of dimensions that lie in one block are found there, chains of links included."""
+    rng = random.Random(6)
+    rows = [(n, f"d{n % 23}", "".join(rng.choice("abcdefghijkl0123") for _ in range(rng.randrange(0, 7)))) for n in range(400)]
+    frame = spark.createDataFrame(rows, "id long, dimension string, issue string")
+    monkeypatch.setattr(similarity, "components", None)
+    for threshold in (0.35, 0.6):
+        assert sorted(map(tuple, similarity.of_claims(frame, threshold).collect())) == plain_links(rows, threshold)
+
+
 def test_no_claims(spark):
     assert similarity.of_claims(spark.createDataFrame([], "id long, dimension string, issue string")).count() == 0
 
